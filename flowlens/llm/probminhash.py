@@ -35,6 +35,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4
 #: Shingles held at once while arrivals are drawn.
 CHUNK = 400_000
+#: Documents of one block when what the stars leave apart is compared.
+BLOCK = 256
 
 
 class Shingler:
@@ -159,15 +161,93 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long, similarity double")
 
 
+def merges(ids: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], left: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Links between documents with different labels that join what they connect;
+    if ``left`` marks some documents, only pairs of a marked and an unmarked one
+    are looked at. Overlaps come from one matrix product over the shingles that
+    two documents share at least; for documents without repeated shingles they
+    give J_P itself, for others a bound, and exact J_P decides."""
+    kinds = [np.unique(k, return_counts=True) for k in sets]
+    size = np.array([len(k) for k, _ in kinds], dtype=float)
+    plain = np.array([(n == 1).all() for _, n in kinds])
+    doc = np.repeat(np.arange(len(ids)), size.astype(int))
+    weight = np.concatenate([n / n.sum() for _, n in kinds])
+    names, code, df = np.unique(np.concatenate([k for k, _ in kinds]), return_inverse=True, return_counts=True)
+    keep = df[code] > 1
+    doc, weight, code = doc[keep], weight[keep], (np.cumsum(df > 1) - 1)[code[keep]]
+    common, share = np.zeros((len(ids), len(ids)), np.float32), np.zeros((len(ids), len(ids)), np.float32)
+    for lo in range(0, int((df > 1).sum()), 4096):
+        at = (code >= lo) & (code < lo + 4096)
+        x, w = np.zeros((2, len(ids), 4096), np.float32)
+        x[doc[at], code[at] - lo] = 1
+        w[doc[at], code[at] - lo] = weight[at]
+        common += x @ x.T
+        share += w @ x.T
+    apart = labels[:, None] != labels[None]
+    apart &= (left[:, None] & ~left[None]) if left.any() else np.triu(np.ones_like(apart), 1)
+    both = plain[:, None] & plain[None]
+    sure = apart & both & (common / np.maximum(size[:, None] + size[None] - common, 1) >= threshold - 1e-6)
+    maybe = apart & ~both & (np.minimum(share, share.T) >= threshold - 1e-4)
+    root: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while root.setdefault(v, v) != v:
+            root[v] = root[root[v]]
+            v = root[v]
+        return v
+
+    out = []
+    for hit, known in ((sure, True), (maybe, False)):
+        r, c = np.nonzero(hit)
+        if known and len(r):  # one pair for each two labels
+            _, first = np.unique(np.stack([labels[r], labels[c]], 1), axis=0, return_index=True)
+            r, c = r[first], c[first]
+        for i, j in zip(r.tolist(), c.tolist(), strict=True):
+            u, v = find(int(labels[i])), find(int(labels[j]))
+            if u != v and (probability_jaccard(sets[i], sets[j]) >= threshold):
+                root[u] = v
+                out.append((int(ids[i]), int(ids[j])))
+    return out
+
+
+def residual(members: DataFrame, groups: DataFrame, texts: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """Links (src, dst) that join documents which share buckets but are in
+    different groups so far. Documents that hang together over such buckets are
+    dealt to blocks of bounded size, and every two blocks meet in one task."""
+    far = members.join(groups.toDF("doc", "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    apart = far.groupBy("bucket").agg((F.min("component") != F.max("component")).alias("apart"), F.min("doc").alias("first")).where("apart").select("bucket", "first")
+    far = saved(far.join(apart, "bucket").select("doc", "component", "first"), "far")
+    if far.isEmpty():
+        return far.select(F.col("doc").alias("src"), F.col("doc").alias("dst")).limit(0)
+    pile = components(far, "doc", "first").toDF("doc", "pile")
+    docs = saved(far.select("doc", "component").distinct().join(pile, "doc"), "piles")
+    sizes = docs.groupBy("pile").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    docs = docs.join(sizes, "pile").withColumn("slot", F.pmod(F.xxhash64("doc", F.lit(41)), F.col("blocks")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("slot")).alias("i"), F.greatest(k, F.col("slot")).alias("j")))
+    dealt = docs.select("pile", "doc", "component", "slot", F.explode(pairs).alias("at")).join(texts.toDF("doc", "text"), "doc")
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("doc")
+        shingler = Shingler()
+        sets = [shingler.keys(words_of(t)) for t in rows["text"]]
+        i, j = rows["i"].iloc[0], rows["j"].iloc[0]
+        left = ((rows["slot"] == i) & (i != j)).to_numpy()
+        found = [] if i != j and (left.all() or not left.any()) else merges(rows["doc"].to_numpy(), rows["component"].to_numpy(), sets, left, threshold)
+        return pd.DataFrame(found, columns=["src", "dst"])
+
+    tasks = dealt.select("pile", "at.i", "at.j", "doc", "component", "slot", "text").groupBy("pile", "i", "j")
+    return saved(tasks.applyInPandas(run, "src long, dst long"), "rest")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, class_id (smallest doc_id with the same words), component_id
     (smallest doc_id reachable over links), kept (doc_id = component_id).
 
     Equal texts collapse to one representative first, so copies cost one row
-    each. Within a band bucket every member is verified against the smallest
-    one, which is linear in the bucket; pairs of members that this leaves in
-    different components are verified too unless the triangle inequality of
-    1 - J_P (a metric) rules them out, so no link that a bucket holds is lost.
+    each. Within a band bucket every member is verified against the one that meets
+    most documents over all bands, which is linear in the bucket; documents of one
+    bucket that this leaves in different groups are then compared in blocks, so no
+    link that a bucket holds is lost.
     """
     sketches = saved(sketch(docs, bands, rows), "sketch")
     one = sketches.groupBy("doc_id").agg(F.min("text_key").alias("text_key"))
@@ -176,36 +256,21 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
         "classes",
     )
     slots = reps.select("class_id", F.explode("bands").alias("bucket"))
-    shared = slots.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class_id").alias("head")).where("n > 1").drop("n")
-    members = saved(slots.join(shared, "bucket").select("bucket", "head", F.col("class_id").alias("doc")), "members")
+    shared = slots.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    met = saved(slots.join(shared, "bucket").select("bucket", F.col("class_id").alias("doc"), "n"), "met")
+    degree = met.groupBy("doc").agg(F.sum("n").alias("degree"))
+    ranked = met.join(degree, "doc").select("bucket", "doc", F.struct("degree", (-F.col("doc")).alias("less")).alias("rank"))
+    members = saved(ranked.join(ranked.groupBy("bucket").agg((-F.max("rank")["less"]).alias("head")), "bucket").select("bucket", "head", "doc"), "members")
 
     pairs = saved(members.where("doc != head").select(F.col("head").alias("a"), F.col("doc").alias("b")).distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    plain = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    plain = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = saved(restrict(plain, wanted, "left_semi").groupBy("doc_id").agg(F.first("text").alias("text")), "texts")
-    stars = saved(verified(pairs, texts), "stars")
-    links = stars.where(F.col("similarity") >= threshold).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    links = saved(verified(pairs, texts).where(F.col("similarity") >= threshold).select(F.col("a").alias("src"), F.col("b").alias("dst")), "links")
     groups = saved(components(links), "groups")
-
-    # members of one bucket that are still apart
-    far = (
-        members.join(groups.toDF("doc", "component"), "doc", "left")
-        .withColumn("component", F.coalesce("component", "doc"))
-        .join(stars.select(F.col("a").alias("head"), F.col("b").alias("doc"), (1 - F.col("similarity")).alias("gap")), ["head", "doc"], "left")
-    )
-    apart = far.groupBy("bucket").agg((F.min("component") != F.max("component")).alias("apart")).where("apart").select("bucket")
-    far = saved(far.where("doc != head").join(apart, "bucket").select("bucket", "doc", "component", "gap"), "far")
-    x, y = far.toDF("bucket", "a", "ca", "ga"), far.toDF("bucket", "b", "cb", "gb")
-    more = (
-        x.join(y, "bucket")
-        .where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.abs(F.col("ga") - F.col("gb")) <= 1 - threshold + 1e-9))
-        .select("a", "b")
-        .distinct()
-        .join(pairs, ["a", "b"], "left_anti")
-    )
-    rest = saved(verified(saved(more, "more"), texts).where(F.col("similarity") >= threshold), "rest")
+    rest = residual(members.select("bucket", "doc"), groups, texts, threshold)
     if not rest.isEmpty():
-        groups = saved(components(groups.toDF("src", "dst").union(rest.select("a", "b"))), "groups")
+        groups = saved(components(groups.toDF("src", "dst").union(rest)), "groups")
 
     of = reps.select("text_key", "class_id").join(groups.toDF("class_id", "component_id"), "class_id", "left")
     return (
