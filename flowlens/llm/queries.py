@@ -5,16 +5,75 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import probminhash
-from .common import table
+from . import decontaminate, embed_dedup, langid, lm_score, mixing, pii, preferences, probminhash, toxicity, warc
+from .common import saved, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_ipf_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op2_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("matches").alias("n_matches"))
+
+
+def op3_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return lm_score.score(table(spark, sf_dir, "documents"), target)
+
+
+def op4_multi_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.detect(table(spark, sf_dir, "documents")))
+
+
+def op6_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identify(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
+def op8_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = saved(preferences.ordered(table(spark, sf_dir, "conversations")), "turns")
+    same = saved(preferences.pair_by_opening(turns), "pairs")
+    out = preferences.format_pairs(turns, same.union(preferences.pair_neighbours(turns, same)))
+    spans = {c: F.array_join(F.transform(c, lambda m: F.concat_ws(":", m["start"], m["end"])), ",") for c in ("chosen_mask", "rejected_mask")}
+    return out.withColumns(spans)
+
+
+def op9_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_probminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op10_probminhash_dedup": op10_probminhash_dedup}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_ipf_mixing,
+        op2_toxicity_lexicon,
+        op3_cross_entropy_difference,
+        op4_multi_index_dedup,
+        op5_pii,
+        op6_qgram_decontamination,
+        op7_language_id,
+        op8_preference_formatting,
+        op9_warc_index,
+        op10_probminhash_dedup,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
