@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, bounded
+from .common import WORD, bounded, saved
 
 VOCABULARY, HEAVY, MASS = 65_536, 1024, 8.0
 
@@ -87,12 +87,12 @@ def tables(texts: DataFrame, ids, heavy: int) -> tuple[np.ndarray, np.ndarray]:
                 yield pd.DataFrame({"kind": kind, "c": c, "key": at, "n": t[c][at]})
 
     rows = texts.select("target", "text").mapInPandas(count, "kind string, c int, key long, n long")
-    rows = rows.groupBy("kind", "c", "key").agg(F.sum("n").alias("n"))
+    counts = saved(rows.groupBy("kind", "c", "key").agg(F.sum("n").alias("n")), "counts")
     size = ids.value.size
     one, two = np.zeros((2, size)), np.zeros((2, heavy * heavy))
     for kind, out in (("w", one), ("p", two)):
-        got = rows.where(F.col("kind") == kind).select("c", "key", "n").toPandas()  # at most 2 * size, 2 * heavy**2 rows
-        out[got["c"].to_numpy(dtype=int), got["key"].to_numpy(dtype=int)] = got["n"]
+        got = counts.where(F.col("kind") == kind).select("c", "key", "n").toArrow()  # at most 2 * size, 2 * heavy**2 rows
+        out[got["c"].to_numpy(), got["key"].to_numpy()] = got["n"].to_numpy()
     return one, two
 
 
