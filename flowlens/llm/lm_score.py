@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, bounded, saved
 
-VOCABULARY, HEAVY, MASS = 65_536, 1024, 8.0
+VOCABULARY, HEAVY, MASS, FINE = 65_536, 1024, 8.0, 1e6
 
 
 def words(text: str) -> list[str]:
@@ -135,27 +135,27 @@ def score(docs: DataFrame, target: DataFrame, most: int = VOCABULARY, heavy: int
                     mine = float(c == int(t))
                     p = (one[c][w[h]] - mine * ow[h] + 1) / (whole[c] - mine * len(a) + size)
                     sums.append(-(n[h] * np.log((two[c][at] - mine * n[h] + mass * p) / (one[c][v[h]] - mine * ov[h] + mass))).sum())
-                head = (np.array([-1]), np.array([n[h].sum()]), np.zeros(1, np.int64), np.zeros(1, np.int64), np.array(sums[1:]), np.array(sums[:1]))
-                rest = (pairs[~h], n[~h], ov[~h], ow[~h], np.zeros((~h).sum()), np.zeros((~h).sum()))
-                k = 1 + len(rest[0])
-                parts.append((np.full(k, i), np.full(k, t), np.full(k, len(a)), *(np.concatenate(x) for x in zip(head, rest, strict=True))))
+                head = [[-1 - i % (1 << 40)], [n[h].sum()], *([round(x * FINE)] for x in sums[::-1])]
+                parts.append((np.full(1 + (~h).sum(), i), np.full(1 + (~h).sum(), len(a) if t else -len(a)), *(np.concatenate([x, y[~h]]) for x, y in zip(head, (pairs, n, ov, ow), strict=True))))
             if parts:
-                yield pd.DataFrame(dict(zip(("doc_id", "target", "own", "pair", "n", "ov", "ow", "lt", "lb"), (np.concatenate(x) for x in zip(*parts, strict=True)), strict=True)))
+                yield pd.DataFrame(dict(zip(("doc_id", "own", "pair", "n", "ov", "ow"), (np.concatenate(x) for x in zip(*parts, strict=True)), strict=True)))
 
-    rows = texts.mapInPandas(split, "doc_id long, target boolean, own int, pair long, n int, ov int, ow int, lt double, lb double")
+    # Rows are narrow because they make up the exchange: the sign of ``own``, the
+    # document's length, tells the corpus, and a negative pair marks a document's
+    # own row of heavy pairs with the two losses, in FINE-ths, in place of counts.
+    rows = texts.mapInPandas(split, "doc_id long, own int, pair long, n int, ov long, ow long")
     counts = spark.createDataFrame(pd.DataFrame({"id": np.arange(size), "b": one[0], "t": one[1]}))
-    # rows of heavy sums need no meeting: they are dealt out by document
-    rows = rows.withColumn("part", F.when(F.col("pair") < 0, F.col("doc_id")).otherwise(F.lit(0)))
-    by_pair = Window.partitionBy("pair", "part")
-    rows = rows.withColumn("pt", F.sum(F.when(F.col("target"), F.col("n")).otherwise(0)).over(by_pair)).withColumn("pb", F.sum(F.when(F.col("target"), 0).otherwise(F.col("n"))).over(by_pair))
+    by_pair = Window.partitionBy("pair")
+    target = F.col("own") > 0
+    rows = rows.withColumn("pt", F.sum(F.when(target, F.col("n")).otherwise(0)).over(by_pair)).withColumn("pb", F.sum(F.when(target, 0).otherwise(F.col("n"))).over(by_pair))
     rows = rows.withColumn("v", F.when(F.col("pair") >= 0, F.expr(f"pair div {size}"))).withColumn("w", F.when(F.col("pair") >= 0, F.col("pair") % size))
     rows = rows.join(F.broadcast(counts.toDF("v", "vb", "vt")), "v", "left").join(F.broadcast(counts.toDF("w", "wb", "wt")), "w", "left")
 
     def of(c: str) -> Column:
-        mine = (F.col("target") if c == "t" else ~F.col("target")).cast("double")
-        p = (F.col(f"w{c}") - mine * F.col("ow") + 1) / (F.lit(float(one[int(c == "t")].sum())) - mine * F.col("own") + size)
+        mine = (target if c == "t" else ~target).cast("double")
+        p = (F.col(f"w{c}") - mine * F.col("ow") + 1) / (F.lit(float(one[int(c == "t")].sum())) - mine * F.abs("own") + size)
         pair = -F.log((F.col(f"p{c}") - mine * F.col("n") + mass * p) / (F.col(f"v{c}") - mine * F.col("ov") + mass))
-        return F.when(F.col("pair") < 0, F.col(f"l{c}")).otherwise(F.col("n") * pair)
+        return F.when(F.col("pair") < 0, F.col("ov" if c == "t" else "ow") / FINE).otherwise(F.col("n") * pair)
 
     sums = rows.groupBy("doc_id").agg(F.sum("n").cast("long").alias("n_tokens"), F.sum(of("t")).alias("t"), F.sum(of("b")).alias("b"))
     return (
