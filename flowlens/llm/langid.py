@@ -141,7 +141,8 @@ def fit(docs: DataFrame, lang: str = "lang", sample: int = SAMPLE) -> Model:
                     s[script(w)] += k * letters(w)
                     for x in grams(w):
                         g[x] += k
-                yield pd.DataFrame({"lang": name, "kind": "g", "key": list(g), "n": list(g.values())})
+                if g:
+                    yield pd.DataFrame({"lang": name, "kind": "g", "key": list(g), "n": list(g.values())})
                 yield pd.DataFrame({"lang": name, "kind": "s", "key": list(s), "n": list(s.values())})
 
     counts = saved(chosen.mapInPandas(count, "lang string, kind string, key string, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")), "grams")

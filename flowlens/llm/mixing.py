@@ -74,7 +74,7 @@ def rake_local(cells: pd.DataFrame, targets: Mapping[str, Mapping[str, float]])
         moved = 0.0
         for dim in DIMS:
             code, names = codes[dim]
-            have = np.bincount(code, weights=w, minlength=len(names))
+            have = np.bincount(code, weights=w, minlength=len(names)).astype(float)
             want = np.array([targets[dim].get(k, 0.0) for k in names]) * (have > 0)
             want = want / max(want.sum(), 1e-300)
             ratio = np.divide(want, have, out=np.zeros_like(have), where=have > 0)
