@@ -22,6 +22,7 @@ import re
 from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -78,20 +79,41 @@ class Model:
             n[gram][at[lang]] += k
         total = sum(n.values(), np.zeros(len(self.langs)))
         norm = np.log(total + SMOOTH * max(len(n), 1))
-        self.gram = {g: (np.log(v + SMOOTH) - norm) for g, v in n.items()}
-        self.unseen = np.log(SMOOTH) - norm
+        names = sorted(n)
+        at_key = np.array([self.key(*(ord(c) for c in g)) for g in names], dtype=np.int64)
+        order = np.argsort(at_key)
+        self.keys = at_key[order]
+        seen = np.array([n[g] for g in names]).reshape(len(names), len(self.langs))[order]
+        self.gram = np.log(np.concatenate([seen, np.zeros((1, len(self.langs)))]) + SMOOTH) - norm  # last: unseen
         share: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(self.langs)))
         for lang, name, k in scripts:
             share[name][at[lang]] += k
         whole = sum(share.values(), np.zeros(len(self.langs)))
         self.uses = {name: v / whole >= SCRIPT_SHARE for name, v in share.items()}
 
-    def score(self, word: str) -> np.ndarray:
-        uses = self.uses.get(script(word))
-        if uses is None or not uses.any():
-            return np.zeros(len(self.langs))
-        out = sum((self.gram.get(g, self.unseen) for g in grams(word)), np.zeros(len(self.langs)))
-        return np.where(uses, out - out[uses].max(), FOREIGN)
+    @staticmethod
+    def key(a, b, c):
+        return (a << 42) | (b << 21) | c
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """A row for each word: log-likelihoods below the best candidate language,
+        FOREIGN for languages that do not use its script, zeros where none does."""
+        if not words or not len(self.keys):
+            return np.zeros((len(words), len(self.langs)), np.float32)
+        padded = [f"^{w.lower()}$" for w in words]
+        size = np.array([len(w) for w in padded]) - 2
+        c = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        first = np.concatenate([[0], np.cumsum(size + 2)[:-1]])
+        begin = np.concatenate([[0], np.cumsum(size)[:-1]])
+        at = np.arange(int(size.sum())) + np.repeat(first - begin, size)
+        key = self.key(c[at], c[at + 1], c[at + 2])
+        row = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        row = np.where(self.keys[row] == key, row, len(self.keys))
+        out = np.add.reduceat(self.gram[row], begin, axis=0)
+        none = np.zeros(len(self.langs), dtype=bool)
+        uses = np.array([self.uses.get(script(w), none) for w in words])
+        best = np.where(uses, out, -np.inf).max(axis=1, keepdims=True)
+        return np.where(uses.any(1, keepdims=True), np.where(uses, out - np.where(np.isfinite(best), best, 0), FOREIGN), 0).astype(np.float32)
 
 
 def viterbi(scores: np.ndarray, tokens: np.ndarray, lens: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -161,29 +183,39 @@ def label(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
         width = max(len(model.langs), 1)
+        known_scripts = {name for name, uses in model.uses.items() if uses.any()}
         known: dict[str, int] = {}
-        rows: list[np.ndarray] = []
-        sizes: list[tuple[int, int]] = []
+        table, sizes = np.zeros((0, len(model.langs)), np.float32), np.zeros((0, 2), np.int64)
 
         def number(words: list[str]) -> list[int]:
             try:
                 return [known[w] for w in words]
             except KeyError:
-                for w in words:
-                    if w not in known:
-                        known[w] = len(rows)
-                        s = model.score(w)
-                        rows.append(s.astype(np.float32))
-                        sizes.append((letters(w), letters(w) if s.any() or width == 1 and script(w) in model.uses else 0))
-                return [known[w] for w in words]
+                return [known.setdefault(w, len(known)) for w in words]
+
+        def grow() -> None:
+            """Score the words that are new since the last batch, all at once."""
+            nonlocal table, sizes
+            new = list(islice(known, len(table), None))
+            n = np.array([letters(w) for w in new], dtype=np.int64)
+            used = np.array([script(w) in known_scripts for w in new], dtype=bool)
+            table = np.concatenate([table, model.scores(new)])
+            sizes = np.concatenate([sizes, np.stack([n, n * used], 1)]) if new else sizes
+
+        def forget() -> None:
+            nonlocal table, sizes
+            if len(known) > KNOWN:
+                known.clear()
+                table, sizes = table[:0], sizes[:0]
 
         def flush(ids: list, texts: list, tokens: list[np.ndarray]) -> pd.DataFrame:
             order = sorted((i for i, t in enumerate(tokens) if len(t)), key=lambda i: -len(tokens[i]))
             langs, score, spans = ["und"] * len(ids), [0.0] * len(ids), [[] for _ in ids]
+            grow()
             if order and model.langs:
                 flat, lens = np.concatenate([tokens[i] for i in order]), np.array([len(tokens[i]) for i in order])
-                path = viterbi(np.array(rows), flat, lens, switch)
-                size = np.array(sizes)[flat]
+                path = viterbi(table, flat, lens, switch)
+                size = sizes[flat]
                 doc = np.repeat(np.arange(len(order)), lens)
                 held = np.bincount(doc * width + path, weights=size[:, 1], minlength=len(order) * width).reshape(-1, width)
                 whole = np.bincount(doc, weights=size[:, 0])
@@ -217,16 +249,10 @@ def label(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
                 if n > TOKENS:
                     yield flush(ids, texts, tokens)
                     ids, texts, tokens, n = [], [], [], 0
-                    if len(known) > KNOWN:
-                        known.clear()
-                        rows.clear()
-                        sizes.clear()
+                    forget()
             if ids:
                 yield flush(ids, texts, tokens)
-                if len(known) > KNOWN:
-                    known.clear()
-                    rows.clear()
-                    sizes.clear()
+                forget()
 
     schema = "doc_id long, lang_pred string, score double, spans array<struct<lang:string,start:int,`end`:int>>"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, schema)
