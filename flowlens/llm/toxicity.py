@@ -1,14 +1,16 @@
 """Toxicity scores from a lexicon, misspellings included (operator 2).
 
 Learning, on a bounded sample of labelled rows (``SAMPLE``): words and word
-beginnings whose documents are toxic more often than chance allows are ordered
-by how many toxic documents they explain, and a greedy cover keeps those that
-explain further ones. That lexicon becomes a trie; a Levenshtein automaton runs
-over all its terms at once (its states are sets of trie node and edits, built on
-demand), so a word is matched in time linear in its length. Each match is scored
-in its context window: inside quotation marks, or near words that report speech,
-it counts as quotation, else as abuse. A logistic model on the counts of abusive,
-misspelled and quoted matches gives the score.
+beginnings are counted by label, and those whose share of toxic documents, drawn
+towards the overall share by ``PULL`` documents, is high enough make up the
+lexicon with their log odds as weight. The surest words become a trie; a
+Levenshtein automaton runs over all of them at once (its states are sets of trie
+node and edits, built on demand), so a word is matched in time linear in its
+length. Near misses that clean documents use are left out again. Each match is
+scored in its context window: inside quotation marks, or near words that report
+speech, it counts as quotation, else as abuse. A logistic model on the summed
+weights of abusive, misspelled and quoted matches gives the score; it is fitted
+with each document's own counts taken out of the lexicon.
 
 Defined results: null and empty texts score like a text without matches; without
 labels of both kinds every score is the share of toxic labels (0 if there are
@@ -29,12 +31,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import restrict
+from .common import restrict, saved
 
 #: Labelled documents that are learned from, at most (about); terms kept.
 SAMPLE, TERMS = 30_000, 20_000
-#: Word beginnings that may become terms; share of toxic documents a term needs.
-STEMS, PRECISION = range(4, 8), 0.9
+#: Word beginnings that may become terms; documents that draw a term's share to the
+#: overall one; log odds a term needs; toxic documents a term needs.
+STEMS, PULL, LEAST, SUPPORT = range(4, 8), 5.0, 1.5, 3
+#: Terms that misspellings are looked for: toxic documents, share of clean ones, number.
+SURE, SLIPS, NEAR_TERMS = 8, 0.02, 2_000
 #: Words to either side that make up the context window.
 WINDOW = 6
 WORD = re.compile(r"[^\W_]+")
@@ -131,26 +136,49 @@ class Automaton:
         return (best[1], best[0]) if best else None
 
 
+def logit(p: float) -> float:
+    return math.log(p / (1 - p))
+
+
 @dataclass
 class Model:
-    words: list[str] = field(default_factory=list)
-    stems: list[str] = field(default_factory=list)
+    """terms: toxic and clean documents of each word, or of each beginning ("stem*")."""
+
+    terms: dict[str, tuple[int, int]] = field(default_factory=dict)
+    near: list[str] = field(default_factory=list)
+    benign: frozenset[str] = frozenset()
     base: float = 0.0
     weights: np.ndarray | None = None
 
+    def weight(self, term: str, toxic: int = 0, clean: int = 0) -> float:
+        """Log odds of a term above the base, less an allowance for few documents,
+        with some documents taken out."""
+        t, c = self.terms[term]
+        t, c = t - toxic, c - clean
+        return max(0.0, logit((t + PULL * self.base) / (t + c + PULL)) - logit(self.base) - 1 / math.sqrt(t + 1e-9)) if t > 0 else 0.0
+
 
 class Matcher:
     """Finds matches in texts; what is known of a word is kept up to a fixed number."""
 
     def __init__(self, model: Model, most: int = 300_000):
         self.model, self.most = model, most
-        self.automaton = Automaton(model.words, model.stems)
+        self.automaton = Automaton(model.near, [])
         self.known: set[str] = set()
         self.hit: dict[str, tuple[str, int]] = {}
 
+    def look_up(self, word: str) -> tuple[str, int] | None:
+        """The weightiest of the word and its beginnings if they are terms, else the closest term."""
+        word = plain(word)
+        terms = self.model.terms
+        own = [t for t in (word, *(word[:k] + "*" for k in STEMS if len(word) > k)) if t in terms]
+        if own:
+            return max(own, key=lambda t: (self.model.weight(t), len(t))), 0
+        return None if not self.model.near or word in self.model.benign else self.automaton.match(word)
+
     def matches(self, text: str | None) -> list[tuple[int, int, str, int, bool]]:
         """(start, end, term, edits, quoted) of every match."""
-        if not text or not (self.model.words or self.model.stems):
+        if not text or not self.model.terms:
             return []
         words = set(WORD.findall(text))
         new = words - self.known
@@ -160,7 +188,7 @@ class Matcher:
                 self.hit.clear()
                 new = words
             for w in new:
-                if found := self.automaton.match(plain(w)):
+                if found := self.look_up(w):
                     self.hit[w] = found
             self.known |= new
         if words.isdisjoint(self.hit):
@@ -182,41 +210,38 @@ class Matcher:
         return not REPORTING.isdisjoint(near)
 
 
-def features(found: list[tuple[int, int, str, int, bool]]) -> list[float]:
-    exact = sum(e == 0 and not q for _, _, _, e, q in found)
-    close = sum(1 / (1 + e) for _, _, _, e, q in found if e and not q)
-    quoted = sum(q for *_, q in found)
-    return [1.0, min(exact, 1), math.log1p(exact), math.log1p(close), math.log1p(quoted)]
+def features(model: Model, found: list[tuple[int, int, str, int, bool]], toxic: int = 0, clean: int = 0) -> list[float]:
+    """One, and the summed weights of abusive, misspelled and quoted terms, each term once."""
+    sums = [0.0, 0.0, 0.0]
+    for kind, term, e in {(2 if q else min(e, 1), t, e) for _, _, t, e, q in found}:
+        sums[kind] += model.weight(term, toxic * (e == 0), clean * (e == 0)) / (1 + e)
+    return [1.0, *(round(min(x, 12.0), 1) for x in sums)]
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 25) -> np.ndarray:
-    w = np.zeros(x.shape[1])
-    keep = np.eye(x.shape[1]) * ridge
-    keep[0, 0] = 1e-6
+def fit_logistic(x: np.ndarray, y: np.ndarray, start: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
+    """Newton steps; weights are drawn towards where they start."""
+    w, keep = start.copy(), np.eye(x.shape[1]) * ridge
+
+    def cost(v: np.ndarray) -> float:
+        z = x @ v
+        return float((np.logaddexp(0, z) - y * z).sum() + (v - start) @ keep @ (v - start) / 2)
+
+    now = cost(w)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + keep, x.T @ (y - p) - keep @ w)
-        w += step
-        if np.abs(step).max() < 1e-8:
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + keep, x.T @ (y - p) - keep @ (w - start))
+        size = 1.0
+        while (new := cost(w + size * step)) > now and size > 1e-6:
+            size /= 2
+        if new >= now:
             break
+        w, now = w + size * step, new
     return w
 
 
-def cover(rows: list[tuple[list[str]]], terms: dict[str, tuple[int, bool]], gain: int) -> list[str]:
-    """Greedy: terms in the order of toxic documents, whole words before stems and
-    long stems before short ones, kept if they explain ``gain`` further documents."""
-    where: dict[str, list[int]] = {}
-    for i, (found,) in enumerate(rows):
-        for t in found:
-            where.setdefault(t, []).append(i)
-    done = np.zeros(len(rows), dtype=bool)
-    kept = []
-    for t in sorted(where, key=lambda t: (-terms[t][0], not terms[t][1], -len(t), t)):
-        at = np.array(where[t])
-        if (~done[at]).sum() >= gain:
-            done[at] = True
-            kept.append(t)
-    return kept
+def terms_of(text: str) -> set[str]:
+    words = {plain(w) for w in set(WORD.findall(text))}
+    return {w for w in words if len(w) > 2} | {w[:k] + "*" for w in words for k in STEMS if len(w) > k}
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -227,17 +252,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     texts = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(marks), "doc_id").where("text IS NOT NULL")
     # of equal texts one is learned from
     one = texts.groupBy(F.xxhash64("text").alias("k"), "mark").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    texts = restrict(texts, one, "left_semi")
+    texts = saved(restrict(texts, one, "left_semi").select("mark", "text"), "labelled")
     sizes = {r["mark"]: r["count"] for r in texts.groupBy("mark").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
         return Model(base=float(toxic > 0))
     base = toxic / (toxic + clean)
 
-    def terms_of(text: str) -> set[str]:
-        words = {plain(w) for w in set(WORD.findall(text))}
-        return {w for w in words if len(w) > 2} | {w[:k] + "*" for w in words for k in STEMS if len(w) > k}
-
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             seen = {0: Counter(), 1: Counter()}
@@ -246,33 +267,45 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             keys = list(seen[0] | seen[1])
             yield pd.DataFrame({"term": keys, "toxic": [seen[1][k] for k in keys], "clean": [seen[0][k] for k in keys]})
 
-    terms = texts.select("mark", "text").mapInPandas(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    # so many toxic documents that, by chance, about half a term would have as many and hardly a clean one
-    tried = 40.0 * (toxic + clean)
-    least = max(3, math.ceil(math.log(max(tried, 2) * 2) / math.log(1 / base)))
-    strong = {
-        r["term"]: (r["toxic"], not r["term"].endswith("*"))
-        for r in terms.where(F.col("toxic") >= least).where(F.col("toxic") >= PRECISION * (F.col("toxic") + F.col("clean"))).orderBy(F.desc("toxic"), "term").limit(TERMS).collect()
-    }
+    terms = texts.mapInPandas(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    t, c = F.col("toxic"), F.col("clean")
+    odds = F.log((t + PULL * base) / (c + PULL * (1 - base))) - logit(base) - 1 / F.sqrt(t)
+    strong = terms.where((t >= SUPPORT) & (odds >= LEAST)).orderBy(F.desc(t * odds), "term").limit(TERMS).collect()
+    model = Model({r["term"]: (r["toxic"], r["clean"]) for r in strong}, base=base)
+    sure = [r["term"] for r in strong if r["toxic"] >= SURE and r["clean"] <= SLIPS * r["toxic"] and not r["term"].endswith("*") and edits_for(r["term"])]
+    model.near = sure[:NEAR_TERMS]
 
-    def present(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def misses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Words that only the automaton matches, with the term, by document."""
+        matcher = Matcher(model)
         for batch in batches:
-            yield pd.DataFrame({"found": [[t for t in terms_of(x) if t in strong] for x in batch["text"]]})
-
-    rows = [tuple(r) for r in texts.where("mark = 1").select("text").mapInPandas(present, "found array<string>").collect()]
-    kept = cover(rows, strong, max(1, least // 2))
-    model = Model([t for t in kept if not t.endswith("*")], [t[:-1] for t in kept if t.endswith("*")], base)
+            rows = [(plain(text[a:b]), term, mark) for mark, text in zip(batch["mark"], batch["text"], strict=True) for a, b, term in {(a, b, t) for a, b, t, e, _ in matcher.matches(text) if e}]
+            if rows:
+                yield pd.DataFrame(list(dict.fromkeys(rows)), columns=["word", "term", "mark"])
+
+    close = texts.mapInPandas(misses, "word string, term string, mark int").groupBy("word", "term").agg(F.count_if(F.col("mark") == 1).alias("toxic"), F.count_if(F.col("mark") == 0).alias("clean"))
+    rows = close.orderBy(F.desc("clean"), "word").limit(TERMS).collect()
+    by_term: dict[str, list[int]] = {}
+    for r in rows:
+        got = by_term.setdefault(r["term"], [0, 0])
+        got[0] += r["toxic"]
+        got[1] += r["clean"]
+    model.near = [x for x in model.near if by_term.get(x, [0, 0])[1] <= 2 + 0.2 * by_term.get(x, [0, 0])[0]]
+    model.benign = frozenset(r["word"] for r in rows if r["clean"] > r["toxic"])
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matcher = Matcher(model)
         for batch in batches:
-            yield pd.DataFrame({"mark": batch["mark"], "x": [features(matcher.matches(t)) for t in batch["text"]]})
+            yield pd.DataFrame({"mark": batch["mark"], "x": [features(model, matcher.matches(t), m, 1 - m) for m, t in zip(batch["mark"], batch["text"], strict=True)]})
 
     # documents with equal features count together, which bounds what is collected
-    data = texts.select("mark", "text").mapInPandas(measure, "mark int, x array<double>").groupBy("mark", "x").count().collect()
+    data = texts.mapInPandas(measure, "mark int, x array<double>").groupBy("mark", "x").count().collect()
     x = np.array([r["x"] for r in data])
     y, k = np.array([float(r["mark"]) for r in data]), np.array([r["count"] for r in data])
-    model.weights = fit_logistic(np.repeat(x, k, axis=0), np.repeat(y, k))
+    start = np.array([logit(base), 1.0, 0.7, 0.1])
+    model.weights = fit_logistic(np.repeat(x, k, axis=0), np.repeat(y, k), start)
+    # evidence never speaks against itself
+    model.weights[1:] = np.maximum(model.weights[1:], 0.0)
     return model
 
 
@@ -288,7 +321,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             if model.weights is None:
                 s = np.full(len(batch), model.base)
             else:
-                s = 1 / (1 + np.exp(-np.clip(np.array([features(f) for f in found]) @ model.weights, -30, 30)))
+                s = 1 / (1 + np.exp(-np.clip(np.array([features(model, f) for f in found]) @ model.weights, -30, 30)))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": s, "predicted": (s >= 0.5).astype(np.int32), "matches": found})
 
     schema = "doc_id long, score double, predicted int, matches array<struct<start:int,`end`:int,term:string,edits:int,quoted:boolean>>"

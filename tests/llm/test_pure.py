@@ -118,8 +118,8 @@ def test_automaton_equals_levenshtein(word):
 
 
 def test_stems_leet_and_quotation():
-    m = toxicity.Matcher(toxicity.Model(["idiot", "moron"], ["vequ"], 0.1))
-    assert [(t, e) for _, _, t, e, _ in m.matches("You ID10T, you mor0nn and vequille")] == [("idiot", 0), ("moron", 1), ("vequ", 0)]
+    m = toxicity.Matcher(toxicity.Model({"idiot": (50, 0), "moron": (50, 0), "vequ*": (50, 1)}, ["idiot", "moron"], base=0.1))
+    assert [(t, e) for _, _, t, e, _ in m.matches("You ID10T, you mor0nn and vequille")] == [("idiot", 0), ("moron", 1), ("vequ*", 0)]
     assert m.matches('she said "idiot" twice')[0][4] and not m.matches("what an idiot you are")[0][4]
     assert m.matches(None) == [] and m.matches("") == []
 

@@ -163,7 +163,7 @@ def test_toxicity(spark, odd, none):
     docs = spark.createDataFrame([(i, f"{'calm words here'} {i} {'vilefoo' if i % 4 == 0 else 'gentle'} again and more", 0) for i in range(400)] + [(1000, "such a vilefo you are", 0), (1001, None, 0), (1002, "", 0)], "doc_id long, text string, score int")
     labels = spark.createDataFrame([(i, int(i % 4 == 0), 1) for i in range(400)] + [(None, 1, 1), (3, None, 1), (9999, 1, 1), (4, 0, 1)], "doc_id long, toxic int, quality int")
     model = toxicity.fit(docs, labels)
-    assert model.words == ["vilefoo"]
+    assert model.near == ["vilefoo"]
     out = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
     assert all(out[i]["predicted"] == int(i % 4 == 0) for i in range(400)) and out[1000]["matches"][0]["edits"] == 1
     assert out[1001]["score"] == out[1002]["score"] < 0.5
