@@ -59,7 +59,7 @@ def multigraph_stats(edges: DataFrame) -> DataFrame:
 
 
 def multigraph_summary(stats: DataFrame) -> DataFrame:
-    return stats.agg(F.count_if("max_parallel > 1").alias("multigraph_windows"), F.max("max_parallel").alias("max_parallel"), F.sum("edges").alias("edges"), F.sum("unique_edges").alias("unique_edges"))
+    return stats.agg(F.count_if(F.col("max_parallel") > 1).alias("multigraph_windows"), F.max("max_parallel").alias("max_parallel"), F.sum("edges").alias("edges"), F.sum("unique_edges").alias("unique_edges"))
 
 
 def attack_pairs(flows: DataFrame, top: int = 20, y: str = "y_real") -> DataFrame:
