@@ -76,4 +76,25 @@ QUERIES: dict[str, Query] = {
         op10_probminhash_dedup,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+
+PREFERENCES_SQL = """WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role NULLS FIRST, text NULLS FIRST) - 1 AS pos,
+  '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || chr(10) || '<|end|>' || chr(10) AS r FROM conversations WHERE conv_id IS NOT NULL),
+ size AS (SELECT conv_id, sum(coalesce(length(text), 0)) AS chars, count(*) AS turns FROM t GROUP BY 1),
+ opening AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY role, text ORDER BY chars DESC, conv_id) AS k FROM t JOIN size USING (conv_id) WHERE pos = 0),
+ same AS (SELECT b.conv_id AS chosen, f.conv_id AS rejected FROM opening f JOIN opening b ON b.k = 1 AND f.k > 1 AND f.role IS NOT DISTINCT FROM b.role AND f.text IS NOT DISTINCT FROM b.text),
+ rest AS (SELECT conv_id, conv_id // 2 AS g, row_number() OVER (PARTITION BY conv_id // 2 ORDER BY chars DESC, conv_id) AS k FROM size WHERE conv_id NOT IN (SELECT chosen FROM same UNION SELECT rejected FROM same)),
+ pairs AS (SELECT * FROM same UNION ALL SELECT a.conv_id, b.conv_id FROM rest a JOIN rest b ON a.g = b.g AND a.k = 1 AND b.k = 2),
+ cut AS (SELECT p.chosen AS cid, p.rejected AS rid, x.turns AS na, y.turns AS nb, coalesce(min(a.pos) FILTER (a.role IS DISTINCT FROM b.role OR a.text IS DISTINCT FROM b.text), least(x.turns, y.turns)) AS n
+  FROM pairs p JOIN size x ON x.conv_id = chosen JOIN size y ON y.conv_id = rejected JOIN t a ON a.conv_id = chosen JOIN t b ON b.conv_id = rejected AND a.pos = b.pos GROUP BY p.chosen, p.rejected, x.turns, y.turns),
+ rows AS (SELECT c.*, 'a' AS side, t.pos, t.role, t.r FROM cut c JOIN t ON t.conv_id = cid UNION ALL SELECT c.*, 'b', t.pos, t.role, t.r FROM cut c JOIN t ON t.conv_id = rid),
+ placed AS (SELECT *, sum(length(r)) OVER (PARTITION BY cid, rid, side, pos >= n ORDER BY pos) AS stop FROM rows)
+SELECT cid AS chosen_id, rid AS rejected_id, CAST(n AS INTEGER) AS n_common,
+ coalesce(string_agg(r, '' ORDER BY pos) FILTER (side = 'a' AND pos < n), '') AS prompt,
+ coalesce(string_agg(r, '' ORDER BY pos) FILTER (side = 'a' AND pos >= n), '') AS chosen,
+ coalesce(string_agg(r, '' ORDER BY pos) FILTER (side = 'b' AND pos >= n), '') AS rejected,
+ coalesce(string_agg((stop - length(r) + 5 + length(role)) || ':' || stop, ',' ORDER BY pos) FILTER (side = 'a' AND pos >= n AND role = 'assistant'), '') AS chosen_mask,
+ coalesce(string_agg((stop - length(r) + 5 + length(role)) || ':' || stop, ',' ORDER BY pos) FILTER (side = 'b' AND pos >= n AND role = 'assistant'), '') AS rejected_mask,
+ n = na AND n = nb AS identical
+FROM placed GROUP BY cid, rid, n, na, nb"""
+
+ORACLE_SQL: dict[str, str] = {"op8_preference_formatting": PREFERENCES_SQL}
