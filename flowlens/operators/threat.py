@@ -85,10 +85,13 @@ def attack_instances(real: DataFrame, max_gap: int = 5) -> DataFrame:
     return rows.groupBy(TACTIC, "instance").agg(F.min(IDX).alias("start_idx"), F.max(IDX).alias("end_idx"))
 
 
-def first_detections(instances: DataFrame, hits: DataFrame) -> DataFrame:
-    """Adds the first detection inside each instance, null where there is none."""
-    h = hits.select(F.col(TACTIC).alias("t"), F.col(IDX).alias("at")).distinct()
-    joined = instances.join(h, (F.col(TACTIC) == F.col("t")) & F.col("at").between(F.col("start_idx"), F.col("end_idx")), "left")
+def first_detections(instances: DataFrame, hits: DataFrame, bucket: int = 256) -> DataFrame:
+    """Adds the first detection inside each instance, null where there is none.
+    Ranges are cut into buckets of windows, so that tactic and bucket are an
+    equi-join and the range is only checked within a bucket."""
+    h = hits.select(F.col(TACTIC).alias("t"), F.col(IDX).alias("at")).distinct().withColumn("hb", F.expr(f"at div {bucket}"))
+    i = instances.withColumn("b", F.explode(F.sequence(F.expr(f"start_idx div {bucket}"), F.expr(f"end_idx div {bucket}"))))
+    joined = i.join(h, (F.col(TACTIC) == F.col("t")) & (F.col("b") == F.col("hb")) & F.col("at").between(F.col("start_idx"), F.col("end_idx")), "left")
     return joined.groupBy(TACTIC, "instance", "start_idx", "end_idx").agg(F.min("at").alias("first_detection_idx"))
 
 

@@ -81,7 +81,8 @@ def split_by_window(windowed: DataFrame, limits: DataFrame, seconds: int = 30) -
 def snapshot_ordinal(spine: DataFrame) -> DataFrame:
     """Graph_Window_Idx: position in the split, empty snapshots counted. The spine
     has every window once, so the position follows from the split's first id."""
-    return spine.withColumn("Graph_Window_Idx", F.col("window_id") - F.min("window_id").over(Window.partitionBy("split")))
+    first = F.broadcast(spine.groupBy("split").agg(F.min("window_id").alias("_first")))
+    return spine.join(first, "split").withColumn("Graph_Window_Idx", F.col("window_id") - F.col("_first")).drop("_first")
 
 
 def check_continuity(spine: DataFrame, seconds: int = 30) -> DataFrame:

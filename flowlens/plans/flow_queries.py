@@ -492,6 +492,15 @@ def _(t):
     return io.read_run_log(t.spark, path).select("model_name", "Seed", "F1_Score", "Best_Epoch")
 
 
+@query("s11_read_metric_logs", duck("SELECT 'd=' || replace(Architecture, ' ', '_') AS experiment, CAST(Seed AS INTEGER) AS seed, round(F1_Score, 6) AS f1, CASE WHEN Architecture = '1-URGENT' THEN 'Simple MLP' ELSE 'd=' || replace(Architecture, ' ', '_') END AS \"Model\" FROM runs", "runs"))
+def _(t):
+    path = _path(t, "metric-logs")
+    rows = t.runs().select(F.translate("Architecture", " ", "_").alias("d"), F.col("F1_Score").alias(" F1 "), F.col("Seed").alias("Seed "))
+    rows.write.partitionBy("d").option("header", True).csv(path)
+    names = t.spark.createDataFrame([("d=1-URGENT", "Simple MLP")], "experiment string, name string")
+    return io.read_metric_logs(t.spark, path, names, "part-*.csv").select("experiment", "seed", "f1", "Model")
+
+
 @query("s12_thresholds_round_trip", duck("SELECT Architecture AS experiment, CAST(Seed AS INTEGER) AS seed, round(F1_Score, 6) AS optimal_threshold FROM runs", "runs"))
 def _(t):
     path = _path(t, "thresholds")

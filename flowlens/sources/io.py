@@ -77,9 +77,9 @@ def read_histories(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumn("experiment", F.element_at(F.split("_metadata.file_path", "/"), -2))
 
 
-def read_metric_logs(spark: SparkSession, folder: str, names: DataFrame) -> DataFrame:
+def read_metric_logs(spark: SparkSession, folder: str, names: DataFrame, pattern: str = "metrics_newth_*.csv") -> DataFrame:
     """All metrics_newth_*.csv, column names lower-cased and trimmed, with the display name of the experiment."""
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(f"{folder}/*/metrics_newth_*.csv")
+    raw = spark.read.option("header", True).option("inferSchema", False).csv(f"{folder}/*/{pattern}")
     clean = {c: c.strip().lower() for c in raw.columns}
     out = raw.withColumn("experiment", F.element_at(F.split("_metadata.file_path", "/"), -2)).withColumnsRenamed(clean)
     out = out.withColumns({c: F.col(c).try_cast("double") for c in ("f1", "precision", "recall", "optimal_threshold") if c in out.columns})
