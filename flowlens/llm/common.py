@@ -24,6 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python in batches of 1,000 rows and at most 16 MB, where the
+    session keeps the defaults, so that long texts do not add up in a worker."""
+    for key, default, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "268435456", str(16 << 20))):
+        if str(spark.conf.get(key, default)).rstrip("bB") == default:
+            spark.conf.set(key, value)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir; a local one only where
     the session names none (tests, single machine)."""

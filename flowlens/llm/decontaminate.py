@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import restrict, saved, total
+from .common import restrict, saved, small_batches, total
 
 Q, EDITS = 8, 0.1
 WHOLE, PIECE, STRIDE = 192, 128, 64
@@ -209,6 +209,7 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "item_id", portion: i
     """doc_id, item_id, start, end, edits: one row per document and item found in
     it, with the region (code points) of its best pattern."""
     spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def one(items: list[tuple[int, str]]) -> DataFrame:

@@ -29,14 +29,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import restrict, saved
+from .common import restrict, saved, small_batches
 
 SAMPLE, GRAMS = 3_000, 20_000
 SWITCH, FOREIGN, SMOOTH = 12.0, -40.0, 0.1
 #: A script counts for a language that writes at least this share of its letters in it.
 SCRIPT_SHARE = 0.01
-#: Words whose scores are kept; tokens of one Viterbi batch.
-KNOWN, TOKENS = 200_000, 1_500_000
+#: Words whose scores are kept; tokens and rows of one Viterbi batch.
+KNOWN, TOKENS, ROWS = 150_000, 800_000, 10_000
 WORD = re.compile(r"[^\W\d_]+")
 
 #: First code point of ranges and the script written in them (Unicode blocks).
@@ -146,6 +146,7 @@ def viterbi(scores: np.ndarray, tokens: np.ndarray, lens: np.ndarray, switch: fl
 
 def fit(docs: DataFrame, lang: str = "lang", sample: int = SAMPLE) -> Model:
     """Fit on rows of ``docs`` whose ``lang`` is not null."""
+    small_batches(docs.sparkSession)
     known = docs.where(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col("text").cast("string").alias("text"), "doc_id")
     n = known.groupBy("lang").count()
     share = n.select("lang", (F.lit(float(sample)) / F.col("count")).alias("share"))
@@ -239,21 +240,21 @@ def label(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
                         spans[i] = [(model.langs[path[first[j]]], at[first[j] - starts[k]][0], at[last[j] - starts[k]][1]) for j in mine]
             return pd.DataFrame({"doc_id": ids, "lang_pred": langs, "score": score, "spans": spans})
 
+        ids, texts, tokens, n = [], [], [], 0
         for batch in batches:
-            ids, texts, tokens, n = [], [], [], 0
             for i, text in zip(batch["doc_id"], batch["text"], strict=True):
                 ids.append(i)
                 texts.append(text or "")
-                tokens.append(np.array(number(WORD.findall(text)) if text else [], dtype=np.int64))
+                tokens.append(np.array(number(WORD.findall(text)) if text else [], dtype=np.int32))
                 n += len(tokens[-1])
-                if n > TOKENS:
+                if n > TOKENS or len(ids) >= ROWS:
                     yield flush(ids, texts, tokens)
                     ids, texts, tokens, n = [], [], [], 0
                     forget()
-            if ids:
-                yield flush(ids, texts, tokens)
-                forget()
+        if ids:
+            yield flush(ids, texts, tokens)
 
+    small_batches(docs.sparkSession)
     schema = "doc_id long, lang_pred string, score double, spans array<struct<lang:string,start:int,`end`:int>>"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, schema)
 

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, bounded, saved
+from .common import WORD, bounded, saved, small_batches
 
 VOCABULARY, HEAVY, MASS, FINE = 65_536, 1024, 8.0, 1e6
 
@@ -100,6 +100,7 @@ def score(docs: DataFrame, target: DataFrame, most: int = VOCABULARY, heavy: int
     """doc_id, n_tokens, loss_target, loss_background, score. ``target`` lists the
     doc_ids of the target corpus; all other documents are the background."""
     spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     marks = target.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("target", F.lit(True))
     texts = (
         docs.where("doc_id IS NOT NULL AND text IS NOT NULL")

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 BASE = ("email", "ip", "card", "phone")
 THRESHOLD, NEAR = 0.5, 48
 
@@ -121,6 +123,7 @@ def detect(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "entities": [[(k, s, e, v) for s, k, e, v in find(t, threshold)] for t in batch["text"]]})
 
+    small_batches(docs.sparkSession)
     schema = "doc_id long, entities array<struct<kind:string,start:int,`end`:int,score:double>>"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, schema)
 
@@ -159,6 +162,7 @@ def redact(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     def mask(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: redacted(t, threshold), na_action="ignore")
 
+    small_batches(docs.sparkSession)
     out = docs.withColumn("text", F.pandas_udf(mask, "string")(F.col("text")))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 

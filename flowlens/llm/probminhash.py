@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, components, restrict, saved, splitmix, words_of
+from .common import bounded, components, restrict, saved, small_batches, splitmix, words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: 24 bands of 4: a pair at J_P = 0.8 shares a band with probability 0.999997.
@@ -140,6 +140,7 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
             if ids:
                 yield flush(ids, keys, held)
 
+    small_batches(docs.sparkSession)
     cols = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return cols.mapInPandas(run, "doc_id long, text_key string, bands array<long>")
 
@@ -157,6 +158,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 out.append(probability_jaccard(left, shingler.keys(words_of(y))))
             yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "similarity": out})
 
+    small_batches(texts.sparkSession)
     joined = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
     return joined.select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long, similarity double")
 

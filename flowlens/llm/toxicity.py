@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import restrict, saved
+from .common import restrict, saved, small_batches
 
 #: Labelled documents that are learned from, at most (about); terms kept.
 SAMPLE, TERMS = 30_000, 20_000
@@ -245,6 +245,7 @@ def terms_of(text: str) -> set[str]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    small_batches(docs.sparkSession)
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("mark"))
     n = marks.count()
     if n > sample:
@@ -324,6 +325,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 s = 1 / (1 + np.exp(-np.clip(np.array([features(model, f) for f in found]) @ model.weights, -30, 30)))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": s, "predicted": (s >= 0.5).astype(np.int32), "matches": found})
 
+    small_batches(docs.sparkSession)
     schema = "doc_id long, score double, predicted int, matches array<struct<start:int,`end`:int,term:string,edits:int,quoted:boolean>>"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, schema)
 
