@@ -9,12 +9,17 @@ that the target's documents do not recognise themselves.
 
 p(w | v) = (c(v, w) + MASS * p(w)) / (c(v) + MASS),   p(w) = (c(w) + 1) / (N + V)
 
-The vocabulary is the ``VOCABULARY`` commonest words of the whole corpus, a fixed
-model size; other words share one entry. All counts cover all documents. Pairs of
-the ``HEAVY`` commonest words are counted and looked up in tables of fixed size.
-Every other pair contains a word with at most 1/HEAVY of all tokens, so its rows
-meet by key without a hot key; that exchange carries one row for each document
-and distinct pair and grows with the corpus.
+V is the number of distinct words of the whole corpus and two (the start of a text
+and an unknown word): every word counts for itself. (``most`` makes the commonest
+words the vocabulary if a caller asks for that; the others then share one entry.)
+All counts cover all documents. The ``HEAVY`` commonest words have numbers, and
+their counts and those of their pairs are looked up in tables of fixed size. Every
+other word has a 64-bit key and at most 1/HEAVY of all tokens, so its rows meet by
+that key without a hot one: a pair travels under its second word if that is light,
+else under its first. Under a light word are then all pairs that end in it, which
+gives its own count as well as theirs, so that one exchange serves both. It carries
+one row for each document and distinct pair with a light word and grows with the
+corpus.
 
 Defined results: a text without words (or null) has zero tokens, null losses and
 a null score; rows with a repeated doc_id count as one document with their texts
@@ -26,57 +31,94 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, bounded, saved, small_batches
+from .common import WORD, bounded, saved, small_batches, splitmix
 
-VOCABULARY, HEAVY, MASS, FINE = 65_536, 1024, 8.0, 1e6
+HEAVY, MASS, FINE = 1024, 8.0, 1e6
+#: Distinct words that a task keeps between batches.
+KNOWN = 300_000
 
 
 def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def vocabulary(texts: DataFrame, most: int = VOCABULARY) -> list[str]:
-    """The commonest words, commonest first; ties by name."""
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(word, n) of every word."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = Counter()
         for batch in batches:
-            found = Counter()
             for text in batch["text"]:
                 found.update(words(text))
+            if len(found) > KNOWN:
+                yield pd.DataFrame({"word": list(found), "n": list(found.values())})
+                found = Counter()
+        if found:
             yield pd.DataFrame({"word": list(found), "n": list(found.values())})
 
-    counted = texts.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def vocabulary(counted: DataFrame, most: int) -> list[str]:
+    """The commonest words, commonest first; ties by name."""
     return [r[0] for r in counted.orderBy(F.desc("n"), "word").limit(most).select("word").collect()]
 
 
+def key_of(word: str) -> int:
+    """A signed 64-bit key, none of the small numbers of the vocabulary."""
+    k = int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    return k if not 0 <= k < 1 << 32 else k + (1 << 32)
+
+
 class Ids:
-    """Word numbers: 0 for the start of a text, 1 for other words, then the vocabulary."""
+    """Word numbers: 0 for the start of a text, 1 for other words, then the vocabulary.
+    ``met`` gives words outside an open vocabulary numbers of their own, which hold
+    within one task; ``keys`` has the key of every number."""
 
-    def __init__(self, vocab: list[str]):
+    def __init__(self, vocab: list[str], more: bool = False):
         self.of = {w: i + 2 for i, w in enumerate(vocab)}
-        self.size = len(vocab) + 2
+        self.size, self.more = len(vocab) + 2, more
+        self.keys = list(range(self.size))
 
-    def __call__(self, text: str) -> np.ndarray:
+    def __call__(self, text: str, other: int = 1) -> np.ndarray:
         get = self.of.get
-        return np.array([0, *(get(w, 1) for w in words(text))], dtype=np.int64)
+        return np.array([0, *(get(w, other) for w in words(text))], dtype=np.int64)
+
+    def met(self, text: str) -> np.ndarray:
+        if not self.more:
+            return self(text)
+        found, of = words(text), self.of
+        for w in found:
+            if w not in of:
+                of[w] = len(self.keys)
+                self.keys.append(key_of(w))
+        return np.array([0, *map(of.__getitem__, found)], dtype=np.int64)
 
+    def trim(self) -> None:
+        if len(self.keys) > self.size + KNOWN:
+            self.of = {w: i for w, i in self.of.items() if i < self.size}
+            self.keys = self.keys[: self.size]
 
-def tables(texts: DataFrame, ids, heavy: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts by class (0 background, 1 target): of words, and of pairs of heavy words."""
+
+def tables(texts: DataFrame, ids, heavy: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts by class (0 background, 1 target): of heavy words, of pairs of them, and
+    of all words and starts."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         numbers = ids.value
-        one = np.zeros((2, numbers.size), dtype=np.int64)
+        other = heavy if numbers.more else 1
+        one = np.zeros((2, heavy + 1), dtype=np.int64)  # the last entry: all light words
         two = np.zeros((2, heavy * heavy), dtype=np.int64)
         for batch in batches:
             for target, text in zip(batch["target"], batch["text"], strict=True):
-                a = numbers(text)
+                a = np.minimum(numbers(text, other), heavy)
                 c = int(target)
                 np.add.at(one[c], a, 1)
                 both = (a[:-1] < heavy) & (a[1:] < heavy)
@@ -88,15 +130,14 @@ def tables(texts: DataFrame, ids, heavy: int) -> tuple[np.ndarray, np.ndarray]:
 
     rows = texts.select("target", "text").mapInPandas(count, "kind string, c int, key long, n long")
     counts = saved(rows.groupBy("kind", "c", "key").agg(F.sum("n").alias("n")), "counts")
-    size = ids.value.size
-    one, two = np.zeros((2, size)), np.zeros((2, heavy * heavy))
+    one, two = np.zeros((2, heavy + 1)), np.zeros((2, heavy * heavy))
     for kind, out in (("w", one), ("p", two)):
-        got = counts.where(F.col("kind") == kind).select("c", "key", "n").toArrow()  # at most 2 * size, 2 * heavy**2 rows
+        got = counts.where(F.col("kind") == kind).select("c", "key", "n").toArrow()  # at most 2 * heavy + 2, 2 * heavy**2 rows
         out[got["c"].to_numpy(), got["key"].to_numpy()] = got["n"].to_numpy()
-    return one, two
+    return one[:, :heavy], two, one.sum(1)
 
 
-def score(docs: DataFrame, target: DataFrame, most: int = VOCABULARY, heavy: int = HEAVY, mass: float = MASS) -> DataFrame:
+def score(docs: DataFrame, target: DataFrame, most: int | None = None, heavy: int = HEAVY, mass: float = MASS) -> DataFrame:
     """doc_id, n_tokens, loss_target, loss_background, score. ``target`` lists the
     doc_ids of the target corpus; all other documents are the background."""
     spark = docs.sparkSession
@@ -108,57 +149,83 @@ def score(docs: DataFrame, target: DataFrame, most: int = VOCABULARY, heavy: int
         .join(bounded(marks), "doc_id", "left")
         .withColumn("target", F.coalesce("target", F.lit(False)))
     )
-    ids = spark.sparkContext.broadcast(Ids(vocabulary(texts, most)))
-    size = ids.value.size
-    heavy = min(heavy, size)
-    one, two = tables(texts, ids, heavy)
-    shared = spark.sparkContext.broadcast((one.astype(np.float32), two.astype(np.float32), one.sum(1)))
+    counted = saved(word_counts(texts), "words")
+    known = Ids(vocabulary(counted, heavy - 2 if most is None else most), most is None)
+    size = counted.count() + 2 if most is None else known.size
+    ids = spark.sparkContext.broadcast(known)
+    heavy = min(heavy, known.size)
+    one, two, whole = tables(texts, ids, heavy)
+    shared = spark.sparkContext.broadcast((one, two.astype(np.float32), whole))
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """For each document a row with the losses of its heavy pairs (pair -1),
-        and a row for each of its other pairs, with the document's own counts of
-        either word and its length."""
+        """For each document a row with what its heavy words' tables give (first -2),
+        and a row for each pair with a light word: under the second word, with the
+        document's count of it and, on one row of each word, how often the word is
+        the first of a pair, or (first -1) under the light first word of a heavy one."""
         numbers = ids.value
         one, two, whole = shared.value
         for batch in batches:
-            parts: list[tuple] = []
-            for i, t, text in zip(batch["doc_id"], batch["target"], batch["text"], strict=True):
-                a = numbers(text)
-                if len(a) < 2:
-                    continue
-                names, own = np.unique(a, return_counts=True)
-                pairs, n = np.unique(a[:-1] * size + a[1:], return_counts=True)
-                v, w = pairs // size, pairs % size
-                ov, ow = own[np.searchsorted(names, v)], own[np.searchsorted(names, w)]
-                h = (v < heavy) & (w < heavy)
-                at, sums = v[h] * heavy + w[h], []
-                for c in (0, 1):
-                    mine = float(c == int(t))
-                    p = (one[c][w[h]] - mine * ow[h] + 1) / (whole[c] - mine * len(a) + size)
-                    sums.append(-(n[h] * np.log((two[c][at] - mine * n[h] + mass * p) / (one[c][v[h]] - mine * ov[h] + mass))).sum())
-                head = [[-1 - i % (1 << 40)], [n[h].sum()], *([round(x * FINE)] for x in sums[::-1])]
-                parts.append((np.full(1 + (~h).sum(), i), np.full(1 + (~h).sum(), len(a) if t else -len(a)), *(np.concatenate([x, y[~h]]) for x, y in zip(head, (pairs, n, ov, ow), strict=True))))
-            if parts:
-                yield pd.DataFrame(dict(zip(("doc_id", "own", "pair", "n", "ov", "ow"), (np.concatenate(x) for x in zip(*parts, strict=True)), strict=True)))
+            numbers.trim()
+            texts = [numbers.met(text) for text in batch["text"]]
+            if not texts:
+                continue
+            keys, wide = np.array(numbers.keys, dtype=np.int64), len(numbers.keys)
+            long = np.array([len(a) for a in texts], dtype=np.int64)
+            a, d = np.concatenate(texts), np.repeat(np.arange(len(texts)), long)
+            mark, i = batch["target"].to_numpy(dtype=bool), batch["doc_id"].to_numpy(dtype=np.int64)
+            names, own = np.unique(d * wide + a, return_counts=True)
+            ends = own.copy()  # how often each word of a document is the first of a pair
+            ends[np.searchsorted(names, np.arange(len(texts)) * wide + a[np.cumsum(long) - 1])] -= 1
+            at = np.flatnonzero(d[:-1] == d[1:])
+            pairs, n = np.unique((d[at] * wide + a[at]) * wide + a[at + 1], return_counts=True)
+            dv, w = pairs // wide, pairs % wide
+            d, v = dv // wide, dv % wide
+            iv, iw = np.searchsorted(names, dv), np.searchsorted(names, d * wide + w)
+            hv, hw = v < heavy, w < heavy
+            h = hv & hw
+            sums = []
+            for c in (0, 1):
+                mine = (mark[d] == bool(c)).astype(float)
+                p = (one[c][w[h]] - mine[h] * own[iw[h]] + 1) / (whole[c] - mine[h] * long[d[h]] + size)
+                loss = -n[h] * np.log(two[c][v[h] * heavy + w[h]] - mine[h] * n[h] + mass * p)
+                under = n[hv] * np.log(one[c][v[hv]] - mine[hv] * own[iv[hv]] + mass)
+                sums.append(np.bincount(d[h], loss, len(texts)) + np.bincount(d[hv], under, len(texts)))
+            second, before = np.flatnonzero(~hw), np.flatnonzero(hw & ~hv)
+            word, lead = np.unique(iw[second], return_index=True)
+            first = np.zeros(len(second), dtype=np.int64)
+            first[lead] = ends[word]
+            doc = np.flatnonzero(long > 1)
+            yield pd.DataFrame({
+                "doc_id": i[np.concatenate([doc, d[second], d[before]])],
+                "own": np.where(mark, long, -long)[np.concatenate([doc, d[second], d[before]])],
+                "k": np.concatenate([splitmix(i[doc].astype(np.uint64)).view(np.int64), keys[w[second]], keys[v[before]]]),
+                "other": np.concatenate([np.round(sums[1][doc] * FINE).astype(np.int64), keys[v[second]], keys[w[before]]]),
+                "n": np.concatenate([long[doc] - 1, n[second], n[before]]),
+                "o": np.concatenate([np.round(sums[0][doc] * FINE).astype(np.int64), own[iw[second]], own[iw[before]]]),
+                "first": np.concatenate([np.full(len(doc), -2), first, np.full(len(before), -1)]),
+            })
 
     # Rows are narrow because they make up the exchange: the sign of ``own``, the
-    # document's length, tells the corpus, and a negative pair marks a document's
-    # own row of heavy pairs with the two losses, in FINE-ths, in place of counts.
-    rows = texts.mapInPandas(split, "doc_id long, own int, pair long, n int, ov long, ow long")
-    counts = spark.createDataFrame(pd.DataFrame({"id": np.arange(size), "b": one[0], "t": one[1]}))
-    by_pair = Window.partitionBy("pair")
-    target = F.col("own") > 0
-    rows = rows.withColumn("pt", F.sum(F.when(target, F.col("n")).otherwise(0)).over(by_pair)).withColumn("pb", F.sum(F.when(target, 0).otherwise(F.col("n"))).over(by_pair))
-    rows = rows.withColumn("v", F.when(F.col("pair") >= 0, F.expr(f"pair div {size}"))).withColumn("w", F.when(F.col("pair") >= 0, F.col("pair") % size))
-    rows = rows.join(F.broadcast(counts.toDF("v", "vb", "vt")), "v", "left").join(F.broadcast(counts.toDF("w", "wb", "wt")), "w", "left")
+    # document's length, tells the corpus, and a document's own row has its two
+    # losses, in FINE-ths, in place of a word and a count.
+    rows = texts.mapInPandas(split, "doc_id long, own int, k long, other long, n int, o long, first int")
+    rows = rows.repartition("k").withColumn("side", F.least("first", F.lit(0)))
+    by_pair, by_word = Window.partitionBy("k", "other", "side"), Window.partitionBy("k")
+    target, n, side = F.col("own") > 0, F.col("n"), F.col("side")
+    rows = rows.withColumns({"pt": F.sum(F.when(target, n).otherwise(0)).over(by_pair), "pb": F.sum(F.when(target, 0).otherwise(n)).over(by_pair)})
+    rows = rows.withColumns({"kt": F.sum(F.when(target & (side == 0), n).otherwise(0)).over(by_word), "kb": F.sum(F.when(~target & (side == 0), n).otherwise(0)).over(by_word)})
+    counts = spark.createDataFrame(pd.DataFrame({"id": np.arange(heavy), "hb": one[0], "ht": one[1]}))
+    rows = rows.withColumn("id", F.when(side == -1, F.col("other"))).join(F.broadcast(counts), "id", "left")
 
     def of(c: str) -> Column:
         mine = (target if c == "t" else ~target).cast("double")
-        p = (F.col(f"w{c}") - mine * F.col("ow") + 1) / (F.lit(float(one[int(c == "t")].sum())) - mine * F.abs("own") + size)
-        pair = -F.log((F.col(f"p{c}") - mine * F.col("n") + mass * p) / (F.col(f"v{c}") - mine * F.col("ov") + mass))
-        return F.when(F.col("pair") < 0, F.col("ov" if c == "t" else "ow") / FINE).otherwise(F.col("n") * pair)
+        count = F.when(side == -1, F.col(f"h{c}")).otherwise(F.col(f"k{c}")) - mine * F.col("o")
+        p = (count + 1) / (F.lit(float(whole[int(c == "t")])) - mine * F.abs("own") + size)
+        pair = -n * F.log(F.col(f"p{c}") - mine * n + mass * p)
+        under = F.when(F.col("first") > 0, F.col("first") * F.log(count + mass)).otherwise(0.0)
+        return F.when(side == -2, F.col("other" if c == "t" else "o") / FINE).otherwise(pair + under)
 
-    sums = rows.groupBy("doc_id").agg(F.sum("n").cast("long").alias("n_tokens"), F.sum(of("t")).alias("t"), F.sum(of("b")).alias("b"))
+    sums = rows.groupBy("doc_id").agg(F.sum(F.when(side == -2, n)).cast("long").alias("n_tokens"), F.sum(of("t")).alias("t"), F.sum(of("b")).alias("b"))
     return (
         docs.where("doc_id IS NOT NULL")
         .select(F.col("doc_id").cast("long").alias("doc_id"))

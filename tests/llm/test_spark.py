@@ -195,6 +195,26 @@ def test_lm_scores_brute_force(spark, odd, none):
     assert lm_score.score(odd, none.select("doc_id")).count() == 12 and lm_score.score(none, none.select("doc_id")).count() == 0
 
 
+def test_lm_scores_keep_rare_words_apart(spark):
+    # more distinct words than any fixed vocabulary of 65,536
+    texts = {i: [f"r{i}x{j}" for j in range(100)] for i in range(700)} | {i: ["aa", f"r{i - 1000}x1", f"r{i - 1000}x2", "bb", f"r{i - 1000}x3", "aa", "bb"] for i in range(1000, 1020)}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    marked = lambda i: i % 2 == 0 and i < 1010
+    got = {r["doc_id"]: r for r in lm_score.score(docs, docs.where("doc_id % 2 = 0 AND doc_id < 1010").select("doc_id")).collect()}
+    size = len({w for t in texts.values() for w in t}) + 2
+    assert size > 70_000
+    for i in (0, 3, 9, 500, 1002, 1003, 1014, 1015):
+        s = ["", *texts[i]]
+        for name, mine in (("target", True), ("background", False)):
+            rest = [["", *t] for j, t in texts.items() if marked(j) == mine and j != i]
+            one, two = Counter(w for t in rest for w in t), Counter(p for t in rest for p in zip(t, t[1:], strict=False))
+            whole = sum(one.values())
+            loss = sum(-math.log((two[v, w] + 8 * (one[w] + 1) / (whole + size)) / (one[v] + 8)) for v, w in zip(s, s[1:], strict=False)) / (len(s) - 1)
+            assert math.isclose(got[i][f"loss_{name}"], loss, rel_tol=1e-6)
+    # alike but for their rare words, which the target has or lacks
+    assert got[1014]["loss_target"] < got[1015]["loss_target"]
+
+
 def test_mixing(spark, odd, none):
     targets = {"source": {"a": 0.5, "b": 0.5}, "lang": 0.5, "topic": 1.0}
     out = {r["doc_id"]: r for r in mixing.mix(odd, targets, 0.9).where("doc_id IS NOT NULL").collect()}
