@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranking import dense_ranks
+
 OPEN, CLOSE = "<|{}|>\n", "\n<|end|>\n"
 
 
@@ -47,12 +49,13 @@ def pair_by_opening(turns: DataFrame) -> DataFrame:
 
 
 def pair_neighbours(turns: DataFrame, paired: DataFrame) -> DataFrame:
-    """(chosen, rejected) for conversations that ``paired`` leaves out: ids 2k and
-    2k + 1, where both are left, with the longer one (ties: the smaller id) chosen."""
+    """(chosen, rejected) for conversations that ``paired`` leaves out: ranks 2k and
+    2k + 1 by id among them, with the longer one (ties: the smaller id) chosen; of
+    an odd number the last has no partner."""
     size = turns.groupBy("conv_id").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("chars"))
     used = paired.select(F.explode(F.array("chosen", "rejected")).alias("conv_id")).distinct()
-    left = size.join(used, "conv_id", "left_anti")
-    by = left.groupBy(F.expr("conv_id div 2").alias("k")).agg(F.min(F.struct((-F.col("chars")).alias("less"), "conv_id")).alias("a"), F.max(F.struct((-F.col("chars")).alias("less"), "conv_id")).alias("b"))
+    left = dense_ranks(size.join(used, "conv_id", "left_anti"), ["conv_id"])
+    by = left.groupBy(F.expr("rank div 2").alias("k")).agg(F.min(F.struct((-F.col("chars")).alias("less"), "conv_id")).alias("a"), F.max(F.struct((-F.col("chars")).alias("less"), "conv_id")).alias("b"))
     return by.where("a.conv_id != b.conv_id").select(F.col("a.conv_id").alias("chosen"), F.col("b.conv_id").alias("rejected"))
 
 

@@ -259,6 +259,14 @@ def test_preferences(spark):
     assert preferences.format_pairs(preferences.ordered(frame.limit(0)), pairs.limit(0)).count() == 0
 
 
+def test_preferences_pair_sparse_ids(spark):
+    ids = [-7, 3, 10, 20, 31, 57, 90]
+    t = preferences.ordered(spark.createDataFrame([(i, 0, "user", f"{i} " * (i % 4 + 1)) for i in ids], "conv_id long, turn long, role string, text string"))
+    same = preferences.pair_by_opening(t)
+    pairs = [tuple(r) for r in preferences.pair_neighbours(t, same).collect()]
+    assert same.count() == 0 and sorted(map(sorted, pairs)) == [[-7, 3], [10, 20], [31, 57]] and (10, 20) in pairs and (31, 57) in pairs
+
+
 def test_warc(spark):
     rows = [(1, "http://b.com/x", "<p>same</p>"), (2, "http://a.com/?q=1", "<p>same</p>"), (3, None, None), (4, "http://www.a.com/é", ""), (5, "no url", "é\U0001f600" * 50_000), (5, "no url", "é\U0001f600" * 50_000), (None, "http://a.com", "x"), (6, "http://b.com/x", "other"), (5, "http://c.com", "<p>same</p>")]
     pages = spark.createDataFrame([(*r, "k", 1) for r in rows], "page_id long, url string, html string, k string, first int")
