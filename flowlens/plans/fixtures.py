@@ -62,7 +62,7 @@ FROM (SELECT *, {MS[engine]} AS ms, CAST(regexp_extract(props, '([0-9]+)', 1) AS
 
 RUNS_SQL = """SELECT o_orderpriority AS Architecture, concat(o_orderpriority, '_seed', CAST(o_orderkey AS VARCHAR(20)), '_run') AS model_name,
  CAST(o_orderkey AS BIGINT) AS Seed, o_totalprice / 1000000e0 AS F1_Score, CAST(o_custkey % 60 AS INT) AS Best_Epoch
-FROM orders WHERE o_orderkey % 50 = 0"""
+FROM orders"""
 
 
 def raw_sql(engine: str) -> str:

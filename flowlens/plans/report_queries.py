@@ -577,11 +577,12 @@ def _(t):
 def _(t):
     path = f"{ranking.shared_root(t.spark)}/histories-{uuid.uuid4().hex}"
     r = t.runs()
-    h = r.select(F.concat(F.lit("exp_"), "Architecture").alias("d"), F.to_json(F.struct(F.col("Architecture").alias("experiment_name"), F.col("Seed").alias("seed"), F.struct(F.array(F.col("F1_Score")).alias("train_loss")).alias("training"), F.struct(F.col("Best_Epoch").alias("best_epoch")).alias("early_stopping"))).alias("value"))
-    # one JSON document to a file, one directory to an experiment
-    docs = h.groupBy("d").agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("value"))
-    docs.withColumn("experiment", F.regexp_replace("d", "[^A-Za-z0-9_-]", " ")).select("value", "experiment").write.partitionBy("experiment").text(path)
-    out = t.spark.read.schema(io.schema.HISTORY).option("multiLine", True).json(f"{path}/*/part-*")
+    # numbers of runs in one file: the files grow in number, not in length
+    h = r.select(F.concat(F.lit("exp_"), "Architecture").alias("d"), F.expr("Seed div 5000").alias("part"), F.to_json(F.struct(F.col("Architecture").alias("experiment_name"), F.col("Seed").alias("seed"), F.struct(F.array(F.col("F1_Score")).alias("train_loss")).alias("training"), F.struct(F.col("Best_Epoch").alias("best_epoch")).alias("early_stopping"))).alias("value"))
+    # one JSON document to a file, one directory to an experiment's runs of one range
+    docs = h.groupBy("d", "part").agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("value"))
+    docs.withColumn("experiment", F.regexp_replace("d", "[^A-Za-z0-9_-]", " ")).select("value", "experiment", "part").write.partitionBy("experiment", "part").text(path)
+    out = t.spark.read.schema(io.schema.HISTORY).option("multiLine", True).json(f"{path}/*/*/part-*")
     name = F.url_decode(F.regexp_extract("_metadata.file_path", "/experiment=([^/]*)/", 1))
     return out.select(name.alias("experiment"), "seed", F.col("early_stopping.best_epoch").alias("best_epoch"))
 
