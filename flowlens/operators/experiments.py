@@ -59,6 +59,19 @@ def loss_curve(histories: DataFrame, value: str = "train_loss") -> DataFrame:
     return long.groupBy("experiment", "epoch").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count("*").alias("seeds"))
 
 
+def loss_curve_long(long: DataFrame, value: str = "v") -> DataFrame:
+    """``loss_curve`` from rows (experiment, seed, epoch, value), without arrays."""
+    short = long.groupBy("experiment", "seed").agg(F.count("*").alias("n")).groupBy("experiment").agg(F.min("n").alias("shortest"))
+    out = long.join(F.broadcast(short), "experiment").where("epoch < shortest")
+    return out.groupBy("experiment", "epoch").agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.count("*").alias("seeds"))
+
+
+def last_stop(low: float, high: float, patience: int = 10, min_delta: float = 1e-4) -> int:
+    """The last epoch at which ``early_stop_replay`` can stop on values from low to
+    high: each better value rises by min_delta, and comes within ``patience`` epochs."""
+    return patience * (int((high - low) / min_delta) + 2)
+
+
 def loss_by_seed(histories: DataFrame) -> DataFrame:
     """experiment, seed, epoch, train_loss, val_loss, is_best."""
     z = F.posexplode(F.arrays_zip(F.col("training.train_loss").alias("train_loss"), F.col("training.val_loss").alias("val_loss"))).alias("epoch", "z")

@@ -529,25 +529,36 @@ def _(t):
 LONG = "SELECT 'p' || PROTOCOL AS experiment, window_id % 5 AS seed, row_number() OVER (PARTITION BY PROTOCOL, window_id % 5 ORDER BY flow_ord) - 1 AS epoch, Probability AS v FROM windowed"
 
 
-def histories(t):
-    w = t.windowed().select(F.concat(F.lit("p"), "PROTOCOL").alias("experiment"), (F.col("window_id") % 5).alias("seed"), "flow_ord", "Probability")
-    h = w.groupBy("experiment", "seed").agg(F.transform(F.sort_array(F.collect_list(F.struct("flow_ord", "Probability"))), lambda x: x["Probability"]).alias("v"))
-    return h.select("experiment", "seed", F.struct(F.col("v").alias("train_loss"), F.transform("v", lambda x: x / 2).alias("val_loss"), F.col("v").alias("val_aucpr")).alias("training"), F.struct(F.lit(3).alias("best_epoch")).alias("early_stopping"))
+def long_histories(t):
+    """experiment, seed, epoch, v: one row for each epoch. The epochs come from the
+    distributed rank, as a seed's history may be any part of all flows."""
+    w = t.windowed().select(F.concat(F.lit("p"), "PROTOCOL").alias("experiment"), (F.col("window_id") % 5).alias("seed"), "flow_ord", F.col("Probability").alias("v"))
+    ranked = t.saved(ranking.dense_ranks(w, ["experiment", "seed", "flow_ord"]))
+    first = ranked.groupBy("experiment", "seed").agg(F.min("rank").alias("first"))
+    return ranked.join(first, ["experiment", "seed"]).select("experiment", "seed", (F.col("rank") - F.col("first")).cast("int").alias("epoch"), "v")
 
 
 @query("r06_loss_curve", duck("SELECT experiment, CAST(epoch AS INTEGER) AS epoch, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, count(*) AS seeds FROM l JOIN (SELECT experiment, min(n) AS shortest FROM (SELECT experiment, seed, count(*) AS n FROM l GROUP BY 1, 2) GROUP BY 1) USING (experiment) WHERE epoch < shortest GROUP BY 1, 2", "windowed", l=LONG))
 def _(t):
-    return experiments.loss_curve(histories(t))
+    return experiments.loss_curve_long(long_histories(t))
 
 
 @query("r07_loss_by_seed", duck("SELECT experiment, seed, CAST(epoch AS INTEGER) AS epoch, round(v, 6) AS train_loss, round(v / 2, 6) AS val_loss, epoch = 3 AS is_best FROM l", "windowed", l=LONG))
 def _(t):
-    return experiments.loss_by_seed(histories(t))
+    return long_histories(t).select("experiment", "seed", "epoch", F.col("v").alias("train_loss"), (F.col("v") / 2).alias("val_loss"), (F.col("epoch") == 3).alias("is_best"))
+
+
+def early_stop(long):
+    """The replay reads each seed up to the epoch by which it must have stopped."""
+    low, high = long.agg(F.min("v"), F.max("v")).first()
+    head = long.where(F.col("epoch") <= experiments.last_stop(low or 0.0, high or 0.0))
+    h = head.groupBy("experiment", "seed").agg(F.transform(F.sort_array(F.collect_list(F.struct("epoch", "v"))), lambda x: x["v"]).alias("v"))
+    return experiments.early_stop_replay(h, "v")
 
 
 @query("r08_early_stop_replay")
 def _(t):
-    return experiments.early_stop_replay(histories(t))
+    return early_stop(long_histories(t))
 
 
 @query("r09_pending_experiments", duck("SELECT Architecture AS experiment, Seed AS seed FROM runs WHERE Best_Epoch < 30", "runs"))
