@@ -615,32 +615,32 @@ def evaluated(t, model, rows):
 @query("m01_train_forest")
 def _(t):
     e = t.saved(examples(t))
-    return evaluated(t, ml.train_forest(e.where("split = 'train'"), trees=20, depth=6), e)
+    return evaluated(t, ml.train_forest(e.where("split = 'train'")), e)
 
 
 @query("m02_feature_importance")
 def _(t):
     e = t.saved(examples(t).where("split = 'train'"))
     names = [*C.ROLES, *C.PROTOCOL_CLASSES, *io.schema.NUMERIC]
-    return ml.feature_importance(e, ml.train_forest(e, trees=20, depth=6), names)
+    return ml.feature_importance(e, ml.train_forest(e), names)
 
 
 @query("k03_top_importances")
 def _(t):
     e = t.saved(examples(t).where("split = 'train'"))
-    return ml.feature_importance(e, ml.train_forest(e, trees=5, depth=4), [*C.ROLES, *C.PROTOCOL_CLASSES, *io.schema.NUMERIC], top=10).select("feature")
+    return ml.feature_importance(e, ml.train_forest(e), [*C.ROLES, *C.PROTOCOL_CLASSES, *io.schema.NUMERIC], top=10).select("feature")
 
 
 @query("m03_score_flows")
 def _(t):
     e = t.saved(examples(t))
-    return ml.score_flows(ml.train_forest(e.where("split = 'train'"), trees=20, depth=6), e).select("flow_ord", "Probability")
+    return ml.score_flows(ml.train_forest(e.where("split = 'train'")), e).select("flow_ord", "Probability")
 
 
 @query("m04_train_edge_mlp")
 def _(t):
     e = t.saved(examples(t))
-    return evaluated(t, ml.train_edge_mlp(e.where("split = 'train'"), rounds=20), e)
+    return evaluated(t, ml.train_edge_mlp(e.where("split = 'train'")), e)
 
 
 @query("m05_train_context_forest")
@@ -650,7 +650,7 @@ def _(t):
     of = lambda ip, c: h.select("window_id", F.col("ip").alias(ip), c)
     rich = e.join(of(SRC, "out_entropy"), ["window_id", SRC]).join(of(DST, "in_entropy"), ["window_id", DST])
     rich = t.saved(ml.context_features(rich, ["out_entropy", "in_entropy"]))
-    return evaluated(t, ml.train_forest(rich.where("split = 'train'"), trees=20, depth=6), rich)
+    return evaluated(t, ml.train_forest(rich.where("split = 'train'")), rich)
 
 
 def streamed(t, source, build, sort="ts", mode="append"):
