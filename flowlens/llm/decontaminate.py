@@ -1,7 +1,7 @@
 """Benchmark passages in documents by q-gram lemma filtering (operator 6).
 
-Texts are reduced to lower-case letters and digits with everything else a space,
-one code per code point. A pattern of length L within e edits of a region shares
+Texts are composed (NFC) and reduced to lower-case letters and digits, with every
+run of anything else one space; a map leads back to the text's code points. A pattern of length L within e edits of a region shares
 at least L + 1 - q - q*e q-grams with it (the q-gram lemma), and those lie on at
 most e + 1 neighbouring diagonals. So the q-grams that a document shares with a
 pattern are counted in overlapping bands of 2(e + 1) diagonals, every other band
@@ -9,7 +9,7 @@ shifted by e + 1; bands that reach the bound are verified by banded alignment.
 
 An item up to ``WHOLE`` characters is one pattern; a longer one is cut into
 patterns of ``PIECE`` characters every ``STRIDE``, so that a part of a long item
-is found too. A pattern matches within ``EDITS`` of its length, fewer for very
+is found too: every verbatim run of PIECE + STRIDE - 1 = 95 reduced characters. A pattern matches within ``EDITS`` of its length, fewer for very
 short patterns so that the bound stays at one q-gram. The patterns are handed to
 the tasks in portions of bounded size; a larger benchmark takes more passes over
 the documents.
@@ -21,17 +21,19 @@ items give repeated findings, one per pair of ids; null ids are dropped.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import restrict, saved, small_batches, total
 
 Q, EDITS = 8, 0.1
-WHOLE, PIECE, STRIDE = 192, 128, 64
+WHOLE, PIECE, STRIDE = 96, 64, 32
 #: Characters of patterns in one portion that is sent to the tasks.
 PORTION = 4_000_000
 #: Bits of the table that tells which q-grams occur in any pattern.
@@ -54,8 +56,30 @@ CODES = code_table()
 
 
 def reduce(text: str) -> np.ndarray:
+    return mapped(text)[0]
+
+
+def mapped(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The reduced text, and where each of its codes starts and ends in ``text``."""
+    bounds = None
+    if not unicodedata.is_normalized("NFC", text):
+        whole = [m.span() for m in regex.finditer(r"\X", text)]
+        parts = [unicodedata.normalize("NFC", text[a:b]) for a, b in whole]
+        bounds = np.repeat(np.array(whole, dtype=np.int64), [len(p) for p in parts], axis=0)
+        text = "".join(parts)
     cps = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    return np.where(cps < 1 << 16, CODES[np.minimum(cps, 0xFFFF)], (cps & 0xFFFF).astype(np.uint16))
+    codes = np.where(cps < 1 << 16, CODES[np.minimum(cps, 0xFFFF)], (cps & 0xFFFF).astype(np.uint16))
+    blank = codes == 32
+    keep = np.ones(len(codes), dtype=bool)
+    keep[1:] = ~(blank[1:] & blank[:-1])
+    at = np.flatnonzero(keep)
+    return (codes[at], at, at + 1) if bounds is None else (codes[at], bounds[at, 0], bounds[at, 1])
+
+
+def located(patterns: Patterns, text: str) -> list[tuple[int, int, int, int]]:
+    """What ``patterns.find`` finds, with start and end in code points of ``text``."""
+    codes, starts, ends = mapped(text)
+    return [(i, int(starts[a]), int(ends[b - 1]), e) for i, a, b, e in patterns.find(codes) if a < b]
 
 
 def qgrams(codes: np.ndarray) -> np.ndarray:
@@ -218,7 +242,7 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "item_id", portion: i
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             patterns = shared.value
             for batch in batches:
-                out = [(i, *f) for i, t in zip(batch["doc_id"], batch["text"], strict=True) for f in patterns.find(reduce(t))]
+                out = [(i, *f) for i, t in zip(batch["doc_id"], batch["text"], strict=True) for f in located(patterns, t)]
                 yield pd.DataFrame(out, columns=["doc_id", "item_id", "start", "end", "edits"])
 
         return texts.mapInPandas(run, "doc_id long, item_id long, start int, `end` int, edits int")

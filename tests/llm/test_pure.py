@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import unicodedata
 
 import numpy as np
 import pytest
@@ -238,3 +239,20 @@ def test_raking_meets_marginals():
 def test_word_ids():
     ids = lm_score.Ids(["the", "of"])
     assert ids("The word OF").tolist() == [0, 2, 1, 3] and ids("").tolist() == [0]
+
+
+def test_leaks_in_part_rewrapped_or_decomposed():
+    rng = random.Random(8)
+    text = lambda n: " ".join("".join(rng.choice("abcdeéfghiü") for _ in range(rng.randint(3, 8))) for _ in range(n))
+    long, middle, short = text(60), text(40)[:190], text(14)[:80]
+    p = decontaminate.Patterns([(1, long), (2, middle), (3, short)])
+    before, after = text(30) + " \u0301 ", " ... " + text(30)
+    found = lambda t: {f[0]: (t[f[1] : f[2]], f[3]) for f in decontaminate.located(p, t)}
+    assert 2 in found(before + middle[:150] + after)
+    for at in range(0, len(long) - 95, 7):
+        assert 1 in found(before + long[at : at + 95] + after)
+    for item, whole in ((1, long), (2, middle), (3, short)):
+        for other in (whole.replace(" ", "  \n    "), unicodedata.normalize("NFD", whole)):
+            passage, edits = found(before + other + after)[item]
+            assert passage.strip() in other and edits == 0
+    assert found(before + after) == {}
