@@ -12,45 +12,53 @@ p(w | v) = (c(v, w) + MASS * p(w)) / (c(v) + MASS),   p(w) = (c(w) + 1) / (N + V
 V is the number of distinct words of the whole corpus and two (the start of a text
 and an unknown word): every word counts for itself. (``most`` makes the commonest
 words the vocabulary if a caller asks for that; the others then share one entry.)
-All counts cover all documents. The ``HEAVY`` commonest words have numbers, and
-their counts and those of their pairs are looked up in tables of fixed size. Every
-other word has a 64-bit key and at most 1/HEAVY of all tokens, so its rows meet by
-that key without a hot one: a pair travels under its second word if that is light,
-else under its first. Under a light word are then all pairs that end in it, which
-gives its own count as well as theirs, so that one exchange serves both. It carries
-one row for each document and distinct pair with a light word and grows with the
-corpus.
+All counts cover all documents; a word is known by a 64-bit key.
+
+Three passes read the texts. The first counts all words. The ``COMMON`` commonest
+become a table of fixed size that every task holds. The second counts the pairs of
+the ``HEAVY`` commonest, another table of fixed size. The third sums what a document
+needs from these tables and exchanges the rest, its distinct pairs: a pair whose
+second word is common goes where its own key leads, any other pair goes where its
+second word leads, so that this word's count comes together with those of its pairs.
+No key of the exchange can be hot: a word there has at most 1/COMMON of all tokens,
+and of the pairs those of heavy words, the frequent ones, are not exchanged. The
+number of buckets grows with the tokens, so that the pairs of one bucket fit a task;
+a task's pairs for one bucket travel as one row of packed arrays.
 
 Defined results: a text without words (or null) has zero tokens, null losses and
-a null score; rows with a repeated doc_id count as one document with their texts
+a null score; rows with a repeated doc_id count as one document with their sums
 taken together; a null doc_id is dropped; if the target or the background is
-empty its model is uniform.
+empty its model is uniform; an empty table gives an empty result. Texts of any
+length are read whole. Other columns of ``docs``, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
-from hashlib import blake2b
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, bounded, saved, small_batches, splitmix
+from .tokens import word_keys
 
-HEAVY, MASS, FINE = 1024, 8.0, 1e6
-#: Distinct words that a task keeps between batches.
-KNOWN = 300_000
+HEAVY, COMMON, MASS = 1024, 65_536, 8.0
+#: Distinct words that a task keeps between batches; tokens that it scores at once;
+#: pairs of one bucket (about).
+KNOWN, AT_ONCE, BUCKET = 300_000, 1_000_000, 1_500_000
+START = 0
 
 
 def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, n) of every word."""
+def vocabulary(texts: DataFrame, most: int) -> list[str]:
+    """The commonest words, commonest first; ties by name."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = Counter()
@@ -63,85 +71,284 @@ def word_counts(texts: DataFrame) -> DataFrame:
         if found:
             yield pd.DataFrame({"word": list(found), "n": list(found.values())})
 
-    return texts.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def vocabulary(counted: DataFrame, most: int) -> list[str]:
-    """The commonest words, commonest first; ties by name."""
+    counted = texts.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return [r[0] for r in counted.orderBy(F.desc("n"), "word").limit(most).select("word").collect()]
 
 
-def key_of(word: str) -> int:
-    """A signed 64-bit key, none of the small numbers of the vocabulary."""
-    k = int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-    return k if not 0 <= k < 1 << 32 else k + (1 << 32)
-
-
 class Ids:
-    """Word numbers: 0 for the start of a text, 1 for other words, then the vocabulary.
-    ``met`` gives words outside an open vocabulary numbers of their own, which hold
-    within one task; ``keys`` has the key of every number."""
+    """Word numbers of a closed vocabulary: 0 for the start of a text, 1 for other words."""
 
-    def __init__(self, vocab: list[str], more: bool = False):
+    def __init__(self, vocab: list[str]):
         self.of = {w: i + 2 for i, w in enumerate(vocab)}
-        self.size, self.more = len(vocab) + 2, more
-        self.keys = list(range(self.size))
+        self.size = len(vocab) + 2
 
-    def __call__(self, text: str, other: int = 1) -> np.ndarray:
+    def __call__(self, text: str) -> np.ndarray:
         get = self.of.get
-        return np.array([0, *(get(w, other) for w in words(text))], dtype=np.int64)
+        return np.array([START, *(get(w, 1) for w in words(text))], dtype=np.int64)
 
-    def met(self, text: str) -> np.ndarray:
-        if not self.more:
-            return self(text)
-        found, of = words(text), self.of
-        for w in found:
-            if w not in of:
-                of[w] = len(self.keys)
-                self.keys.append(key_of(w))
-        return np.array([0, *map(of.__getitem__, found)], dtype=np.int64)
 
-    def trim(self) -> None:
-        if len(self.keys) > self.size + KNOWN:
-            self.of = {w: i for w, i in self.of.items() if i < self.size}
-            self.keys = self.keys[: self.size]
+def reader(ids) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+    """A function that gives the keys of texts, each led by START, and their numbers."""
 
+    def closed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [ids.value(t) for t in texts]
+        return np.concatenate(found), np.array([len(a) for a in found])
 
-def tables(texts: DataFrame, ids, heavy: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts by class (0 background, 1 target): of heavy words, of pairs of them, and
-    of all words and starts."""
+    def open_(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        keys, counts = word_keys(texts)
+        return np.insert(keys, np.cumsum(counts) - counts, START), counts + 1
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        numbers = ids.value
-        other = heavy if numbers.more else 1
-        one = np.zeros((2, heavy + 1), dtype=np.int64)  # the last entry: all light words
-        two = np.zeros((2, heavy * heavy), dtype=np.int64)
-        for batch in batches:
-            for target, text in zip(batch["target"], batch["text"], strict=True):
-                a = np.minimum(numbers(text, other), heavy)
-                c = int(target)
-                np.add.at(one[c], a, 1)
-                both = (a[:-1] < heavy) & (a[1:] < heavy)
-                np.add.at(two[c], a[:-1][both] * heavy + a[1:][both], 1)
-        for kind, t in (("w", one), ("p", two)):
-            for c in (0, 1):
-                at = np.flatnonzero(t[c])
-                yield pd.DataFrame({"kind": kind, "c": c, "key": at, "n": t[c][at]})
+    return closed if ids is not None else open_
+
+
+def sums_by_key(keys: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
+    names, at = np.unique(keys, return_inverse=True)
+    return names, *(np.bincount(at, w, len(names)) for w in weights)
 
-    rows = texts.select("target", "text").mapInPandas(count, "kind string, c int, key long, n long")
-    counts = saved(rows.groupBy("kind", "c", "key").agg(F.sum("n").alias("n")), "counts")
-    one, two = np.zeros((2, heavy + 1)), np.zeros((2, heavy * heavy))
-    for kind, out in (("w", one), ("p", two)):
-        got = counts.where(F.col("kind") == kind).select("c", "key", "n").toArrow()  # at most 2 * heavy + 2, 2 * heavy**2 rows
-        out[got["c"].to_numpy(), got["key"].to_numpy()] = got["n"].to_numpy()
-    return one[:, :heavy], two, one.sum(1)
 
+def word_counts(texts: DataFrame, ids) -> DataFrame:
+    """(key, b, t): background and target count of every word and of the starts."""
 
-def score(docs: DataFrame, target: DataFrame, most: int | None = None, heavy: int = HEAVY, mass: float = MASS) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        read = reader(ids)
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def merged() -> tuple[np.ndarray, ...]:
+            return sums_by_key(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+        for batch in batches:
+            if len(batch):
+                keys, long = read(batch["text"].tolist())
+                t = np.repeat(batch["target"].to_numpy(dtype=float), long)
+                held.append(sums_by_key(keys, 1 - t, t))
+                if sum(len(h[0]) for h in held) > 4 * KNOWN:
+                    held = [merged()]
+                    if len(held[0][0]) > KNOWN:
+                        yield pd.DataFrame(dict(zip(("key", "b", "t"), held.pop(), strict=True)))
+        if held:
+            yield pd.DataFrame(dict(zip(("key", "b", "t"), merged(), strict=True)))
+
+    rows = texts.select("target", "text").mapInPandas(run, "key long, b double, t double")
+    return rows.groupBy("key").agg(F.sum("b").cast("long").alias("b"), F.sum("t").cast("long").alias("t"))
+
+
+@dataclass
+class Model:
+    """Tables of fixed size: ``keys`` of the common words in order, their place among
+    the heavy ones (-1: none), their counts and those of pairs of heavy words by
+    corpus (0 background, 1 target); all tokens by corpus, size of the vocabulary."""
+
+    keys: np.ndarray
+    heavy: np.ndarray
+    one: np.ndarray
+    whole: tuple[float, float]
+    size: int
+    mass: float
+    two: np.ndarray | None = None
+
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        """Row of each key in the table of common words, or -1."""
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
+
+    @property
+    def side(self) -> int:
+        return int(self.heavy.max()) + 1
+
+    def prior(self, c: int, count: np.ndarray, long: np.ndarray) -> np.ndarray:
+        return self.mass * (count + 1) / (self.whole[c] - long + self.size)
+
+
+def common_words(counted: DataFrame, heavy: int, common: int, mass: float, size: int | None) -> Model:
+    whole = counted.agg(F.count("*"), F.coalesce(F.sum("b"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0)), F.count_if(F.col("key") != START)).first()
+    top = counted.orderBy(F.col("key") != START, F.desc(F.col("b") + F.col("t")), "key").limit(common).toArrow()  # at most ``common`` rows
+    keys = top["key"].to_numpy()
+    rank = np.where(np.arange(len(keys)) < heavy, np.arange(len(keys)), -1)
+    order = np.argsort(keys)
+    one = np.stack([top["b"].to_numpy(), top["t"].to_numpy()]).astype(float)
+    return Model(keys[order], rank[order], one[:, order], (float(whole[1]), float(whole[2])), whole[3] + 2 if size is None else size, mass)
+
+
+def heavy_pairs(texts: DataFrame, ids, model) -> np.ndarray:
+    """Counts of the pairs of heavy words by corpus."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        read, m = reader(ids), model.value
+        n = m.side
+        two = np.zeros((2, n * n), dtype=np.int64)
+        for batch in batches:
+            if not len(batch):
+                continue
+            keys, long = read(batch["text"].tolist())
+            at = m.place(keys)
+            h = np.where(at >= 0, m.heavy[at], -1)
+            doc = np.repeat(np.arange(len(long)), long)
+            both = np.flatnonzero((h[:-1] >= 0) & (h[1:] >= 0) & (doc[:-1] == doc[1:]))
+            target = batch["target"].to_numpy(dtype=bool)[doc[both]]
+            code = h[both] * n + h[both + 1]
+            for c in (0, 1):
+                names, k = np.unique(code[target == bool(c)], return_counts=True)
+                two[c, names] += k
+        for c in (0, 1):
+            at = np.flatnonzero(two[c])
+            yield pd.DataFrame({"c": c, "key": at, "n": two[c][at]})
+
+    rows = texts.select("target", "text").mapInPandas(run, "c int, key long, n long").groupBy("c", "key").agg(F.sum("n").alias("n"))
+    got, n = rows.toArrow(), model.value.side  # at most 2 * HEAVY ** 2 rows
+    two = np.zeros((2, n * n), dtype=np.float32)
+    two[got["c"].to_numpy(), got["key"].to_numpy()] = got["n"].to_numpy()
+    return two
+
+
+#: A row's arrays, in order; the last four of fixed types, "index" is as wide as its table needs.
+KINDS = ("i8", "i4", "i8", "i8", "i8", "index", "index", "u4", "i8", "u2", "index", "u4", "u4")
+
+
+def pack(arrays: list[np.ndarray]) -> bytes:
+    """Arrays (see ``KINDS``: documents, their signed lengths, ids of those with sums,
+    light words; then of pairs under light words and of the others) as one value."""
+    out = [np.array([len(a) for a in arrays], dtype=np.int32)]
+    for kind, a in zip(KINDS, arrays, strict=True):
+        out.append(a.astype("<u4" if kind == "index" and a.size and a.max() > 65_535 else "<u2" if kind == "index" else "<" + kind))
+    wide = np.array([a.itemsize for a in out[1:]], dtype=np.int8)
+    return b"".join([wide.tobytes(), *(a.tobytes() for a in out)])
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    n = len(KINDS)
+    wide, sizes = np.frombuffer(data, np.int8, n), np.frombuffer(data, np.int32, n, n)
+    at, out = n * 5, []
+    for kind, w, size in zip(KINDS, wide, sizes, strict=True):
+        out.append(np.frombuffer(data, f"<u{w}" if kind == "index" else "<" + kind, size, at).astype(np.int64))
+        at += int(w) * int(size)
+    return out
+
+
+def exchange(texts: DataFrame, ids, model, buckets: int) -> DataFrame:
+    """(bucket, data, doc_id, n, t, b): packed pairs for a bucket, or (bucket null)
+    what the fixed tables give of a document's losses."""
+
+    def pieces(m: Model, i: np.ndarray, mark: np.ndarray, keys: np.ndarray, long: np.ndarray) -> Iterator[pd.DataFrame]:
+        u, a = np.unique(keys, return_inverse=True)
+        at, wide = m.place(u), len(u)
+        h, known = np.where(at >= 0, m.heavy[at], -1), at >= 0
+        d = np.repeat(np.arange(len(long)), long)
+        ends = np.cumsum(long) - 1
+        names, own = np.unique(d * wide + a, return_counts=True)
+        lead = own.copy()  # how often each word of a document is the first of a pair
+        lead[np.searchsorted(names, np.arange(len(long)) * wide + a[ends])] -= 1
+        inner = np.delete(np.arange(len(a)), ends)
+        pairs, n = np.unique((d[inner] * wide + a[inner]) * wide + a[inner + 1], return_counts=True)
+        dv, w = pairs // wide, pairs % wide
+        d, v = dv // wide, dv % wide
+        o = own[np.searchsorted(names, d * wide + w)]
+        light = ~known[w]
+        far = ~light & ~((h[v] >= 0) & (h[w] >= 0))
+        near = ~light & ~far
+        nd, nw = names // wide, names % wide
+        under = known[nw] & (lead > 0)
+        sums = []
+        for c in (0, 1):
+            mine = (mark == bool(c)).astype(float)
+            p = m.prior(c, m.one[c][at[w[near]]] - mine[d[near]] * o[near], mine[d[near]] * long[d[near]])
+            loss = -n[near] * np.log(m.two[c][h[v[near]] * m.side + h[w[near]]] - mine[d[near]] * n[near] + p)
+            first = lead[under] * np.log(m.one[c][at[nw[under]]] - mine[nd[under]] * own[under] + m.mass)
+            sums.append(np.bincount(d[near], loss, len(long)) + np.bincount(nd[under], first, len(long)))
+        yield pd.DataFrame({"bucket": None, "data": None, "doc_id": i, "n": long - 1, "t": sums[1].astype(np.float32), "b": sums[0].astype(np.float32)})
+
+        pair = splitmix(u[v].view(np.uint64) ^ splitmix(u[w].view(np.uint64) + np.uint64(17)))
+        last = (w == a[ends][d]) & light
+        goes = np.where(light, splitmix(u[w].view(np.uint64)), pair) % np.uint64(buckets)
+        goes = goes.astype(np.int64)
+        rest = np.flatnonzero(light | far)
+        rest = rest[np.lexsort((w[rest], ~light[rest], goes[rest]))]
+        signed = np.where(mark, long, -long)
+        cuts = np.flatnonzero(np.diff(goes[rest], prepend=-1, append=-1))
+        rows = []
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            r = rest[lo:hi]
+            docs, place = np.unique(d[r], return_inverse=True)
+            low = light[r]
+            s, f = r[low], r[~low]
+            lights, which = np.unique(w[s], return_inverse=True)
+            closing = np.flatnonzero(last[s])
+            key = pair.view(np.int64)
+            rows.append((int(goes[r[0]]), pack([
+                i[docs], signed[docs], np.unique(place[low][closing] * len(lights) + which[closing]) if len(closing) else closing,
+                u[lights], key[s], which, place[low], n[s], key[f], at[w[f]], place[~low], n[f], o[f],
+            ])))
+        if rows:
+            yield pd.DataFrame({"bucket": [b for b, _ in rows], "data": [x for _, x in rows], "doc_id": None, "n": None, "t": None, "b": None}).astype({"bucket": "Int64"})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        read, m = reader(ids), model.value
+        held: list[tuple] = []
+
+        def done() -> Iterator[pd.DataFrame]:
+            yield from pieces(m, *(np.concatenate(x) for x in zip(*held, strict=True)))
+
+        for batch in batches:
+            if len(batch):
+                held.append((batch["doc_id"].to_numpy(dtype=np.int64), batch["target"].to_numpy(dtype=bool), *read(batch["text"].tolist())))
+                if sum(len(h[2]) for h in held) > AT_ONCE:
+                    yield from done()
+                    held = []
+        if held:
+            yield from done()
+
+    return texts.select("doc_id", "target", "text").mapInPandas(run, "bucket long, data binary, doc_id long, n long, t float, b float")
+
+
+def bucket_losses(m: Model, data: list[bytes]) -> pd.DataFrame:
+    """(doc_id, n, t, b): what the pairs of one bucket add to the losses of documents."""
+    parts = [unpack(x) for x in data]
+    at = np.cumsum([0, *(len(p[0]) for p in parts)])
+    words_at = np.cumsum([0, *(len(p[3]) for p in parts)])
+    docs, signed, lights = (np.concatenate([p[j] for p in parts]) for j in (0, 1, 3))
+    long, mark = np.abs(signed), signed > 0
+    loss = {0: np.zeros(len(docs)), 1: np.zeros(len(docs))}
+
+    def joined(j: int, by: np.ndarray | None = None) -> np.ndarray:
+        return np.concatenate([p[j] + (0 if by is None else by[k]) for k, p in enumerate(parts)])
+
+    def pair_counts(key: np.ndarray, n: np.ndarray, d: np.ndarray) -> list[np.ndarray]:
+        where = np.unique(key, return_inverse=True)[1]
+        return [np.bincount(where, n * (mark[d] == bool(c)))[where] if len(where) else where for c in (0, 1)]
+
+    # under light words: their own counts come from their pairs
+    key, d, n = joined(4), joined(6, at), joined(7)
+    word = np.unique(lights, return_inverse=True)[1][joined(5, words_at)] if len(lights) else lights
+    pairs = pair_counts(key, n, d)
+    places, where = np.unique(word * len(docs) + d, return_inverse=True)
+    own = np.bincount(where, n, len(places))
+    pw, pd_ = places // max(len(docs), 1), places % max(len(docs), 1)
+    shut = np.zeros(len(places))
+    for k, p in enumerate(parts):
+        if len(p[2]):
+            last_doc, last_word = p[2] // len(p[3]) + at[k], p[2] % len(p[3]) + words_at[k]
+            shut[np.searchsorted(places, np.unique(lights, return_inverse=True)[1][last_word] * len(docs) + last_doc)] = 1
+    for c in (0, 1):
+        mine = (mark == bool(c)).astype(float)
+        count = np.bincount(pw, own * mine[pd_], int(pw.max()) + 1 if len(pw) else 0)
+        prior = m.prior(c, count[word] - mine[d] * own[where], mine[d] * long[d])
+        loss[c] += np.bincount(d, -n * np.log(pairs[c] - mine[d] * n + prior), len(docs))
+        loss[c] += np.bincount(pd_, (own - shut) * np.log(count[pw] - mine[pd_] * own + m.mass), len(docs))
+    # under their own keys: the second word is in the table
+    key, w, d, n, o = joined(8), joined(9), joined(10, at), joined(11), joined(12)
+    pairs = pair_counts(key, n, d)
+    for c in (0, 1):
+        mine = (mark == bool(c)).astype(float)
+        prior = m.prior(c, m.one[c][w] - mine[d] * o, mine[d] * long[d])
+        loss[c] += np.bincount(d, -n * np.log(pairs[c] - mine[d] * n + prior), len(docs))
+    names, t, b = sums_by_key(docs, loss[1], loss[0])
+    return pd.DataFrame({"doc_id": names, "n": 0, "t": t.astype(np.float32), "b": b.astype(np.float32)})
+
+
+def score(docs: DataFrame, target: DataFrame, most: int | None = None, heavy: int = HEAVY, mass: float = MASS, common: int = COMMON, bucket: int = BUCKET) -> DataFrame:
     """doc_id, n_tokens, loss_target, loss_background, score. ``target`` lists the
     doc_ids of the target corpus; all other documents are the background."""
     spark = docs.sparkSession
-    small_batches(docs.sparkSession)
+    small_batches(spark)
     marks = target.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("target", F.lit(True))
     texts = (
         docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
@@ -149,93 +356,44 @@ def score(docs: DataFrame, target: DataFrame, most: int | None = None, heavy: in
         .join(bounded(marks), "doc_id", "left")
         .withColumn("target", F.coalesce("target", F.lit(False)))
     )
-    counted = saved(word_counts(texts), "words")
-    known = Ids(vocabulary(counted, heavy - 2 if most is None else most), most is None)
-    size = counted.count() + 2 if most is None else known.size
-    ids = spark.sparkContext.broadcast(known)
-    heavy = min(heavy, known.size)
-    one, two, whole = tables(texts, ids, heavy)
-    shared = spark.sparkContext.broadcast((one, two.astype(np.float32), whole))
-
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """For each document a row with what its heavy words' tables give (first -2),
-        and a row for each pair with a light word: under the second word, with the
-        document's count of it and, on one row of each word, how often the word is
-        the first of a pair, or (first -1) under the light first word of a heavy one."""
-        numbers = ids.value
-        one, two, whole = shared.value
+    ids, size = None, None
+    if most is not None:
+        known = Ids(vocabulary(texts, most))
+        ids, size = spark.sparkContext.broadcast(known), known.size
+    counted = saved(word_counts(texts, ids), "words")
+    m = common_words(counted, heavy, min(common, 65_536), mass, size)
+    everyone = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    if not len(m.keys):
+        return everyone.select("doc_id", F.lit(0).cast("long").alias("n_tokens"), *(F.lit(None).cast("double").alias(c) for c in ("loss_target", "loss_background", "score")))
+    m.two = heavy_pairs(texts, ids, spark.sparkContext.broadcast(m))
+    model = spark.sparkContext.broadcast(m)
+    rows = exchange(texts, ids, model, max(1, int(sum(m.whole) / bucket)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows of a bucket follow each other."""
+        at, held = None, []
         for batch in batches:
-            numbers.trim()
-            texts = [numbers.met(text) for text in batch["text"]]
-            if not texts:
-                continue
-            keys, wide = np.array(numbers.keys, dtype=np.int64), len(numbers.keys)
-            long = np.array([len(a) for a in texts], dtype=np.int64)
-            a, d = np.concatenate(texts), np.repeat(np.arange(len(texts)), long)
-            mark, i = batch["target"].to_numpy(dtype=bool), batch["doc_id"].to_numpy(dtype=np.int64)
-            names, own = np.unique(d * wide + a, return_counts=True)
-            ends = own.copy()  # how often each word of a document is the first of a pair
-            ends[np.searchsorted(names, np.arange(len(texts)) * wide + a[np.cumsum(long) - 1])] -= 1
-            at = np.flatnonzero(d[:-1] == d[1:])
-            pairs, n = np.unique((d[at] * wide + a[at]) * wide + a[at + 1], return_counts=True)
-            dv, w = pairs // wide, pairs % wide
-            d, v = dv // wide, dv % wide
-            iv, iw = np.searchsorted(names, dv), np.searchsorted(names, d * wide + w)
-            hv, hw = v < heavy, w < heavy
-            h = hv & hw
-            sums = []
-            for c in (0, 1):
-                mine = (mark[d] == bool(c)).astype(float)
-                p = (one[c][w[h]] - mine[h] * own[iw[h]] + 1) / (whole[c] - mine[h] * long[d[h]] + size)
-                loss = -n[h] * np.log(two[c][v[h] * heavy + w[h]] - mine[h] * n[h] + mass * p)
-                under = n[hv] * np.log(one[c][v[hv]] - mine[hv] * own[iv[hv]] + mass)
-                sums.append(np.bincount(d[h], loss, len(texts)) + np.bincount(d[hv], under, len(texts)))
-            second, before = np.flatnonzero(~hw), np.flatnonzero(hw & ~hv)
-            word, lead = np.unique(iw[second], return_index=True)
-            first = np.zeros(len(second), dtype=np.int64)
-            first[lead] = ends[word]
-            doc = np.flatnonzero(long > 1)
-            yield pd.DataFrame({
-                "doc_id": i[np.concatenate([doc, d[second], d[before]])],
-                "own": np.where(mark, long, -long)[np.concatenate([doc, d[second], d[before]])],
-                "k": np.concatenate([splitmix(i[doc].astype(np.uint64)).view(np.int64), keys[w[second]], keys[v[before]]]),
-                "other": np.concatenate([np.round(sums[1][doc] * FINE).astype(np.int64), keys[v[second]], keys[w[before]]]),
-                "n": np.concatenate([long[doc] - 1, n[second], n[before]]),
-                "o": np.concatenate([np.round(sums[0][doc] * FINE).astype(np.int64), own[iw[second]], own[iw[before]]]),
-                "first": np.concatenate([np.full(len(doc), -2), first, np.full(len(before), -1)]),
-            })
-
-    # Rows are narrow because they make up the exchange: the sign of ``own``, the
-    # document's length, tells the corpus, and a document's own row has its two
-    # losses, in FINE-ths, in place of a word and a count.
-    rows = texts.mapInPandas(split, "doc_id long, own int, k long, other long, n int, o long, first int")
-    rows = rows.repartition("k").withColumn("side", F.least("first", F.lit(0)))
-    by_pair, by_word = Window.partitionBy("k", "other", "side"), Window.partitionBy("k")
-    target, n, side = F.col("own") > 0, F.col("n"), F.col("side")
-    rows = rows.withColumns({"pt": F.sum(F.when(target, n).otherwise(0)).over(by_pair), "pb": F.sum(F.when(target, 0).otherwise(n)).over(by_pair)})
-    rows = rows.withColumns({"kt": F.sum(F.when(target & (side == 0), n).otherwise(0)).over(by_word), "kb": F.sum(F.when(~target & (side == 0), n).otherwise(0)).over(by_word)})
-    counts = spark.createDataFrame(pd.DataFrame({"id": np.arange(heavy), "hb": one[0], "ht": one[1]}))
-    rows = rows.withColumn("id", F.when(side == -1, F.col("other"))).join(F.broadcast(counts), "id", "left")
-
-    def of(c: str) -> Column:
-        mine = (target if c == "t" else ~target).cast("double")
-        count = F.when(side == -1, F.col(f"h{c}")).otherwise(F.col(f"k{c}")) - mine * F.col("o")
-        p = (count + 1) / (F.lit(float(whole[int(c == "t")])) - mine * F.abs("own") + size)
-        pair = -n * F.log(F.col(f"p{c}") - mine * n + mass * p)
-        under = F.when(F.col("first") > 0, F.col("first") * F.log(count + mass)).otherwise(0.0)
-        return F.when(side == -2, F.col("other" if c == "t" else "o") / FINE).otherwise(pair + under)
-
-    sums = rows.groupBy("doc_id").agg(F.sum(F.when(side == -2, n)).cast("long").alias("n_tokens"), F.sum(of("t")).alias("t"), F.sum(of("b")).alias("b"))
-    return (
-        docs.where("doc_id IS NOT NULL")
-        .select(F.col("doc_id").cast("long").alias("doc_id"))
-        .distinct()
-        .join(sums, "doc_id", "left")
-        .select(
-            "doc_id",
-            F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"),
-            (F.col("t") / F.col("n_tokens")).alias("loss_target"),
-            (F.col("b") / F.col("n_tokens")).alias("loss_background"),
-            ((F.col("b") - F.col("t")) / F.col("n_tokens")).alias("score"),
-        )
+            own = batch["bucket"].isna()
+            if own.any():
+                yield batch.loc[own, ["doc_id", "n", "t", "b"]]
+            for b, data in zip(batch.loc[~own, "bucket"], batch.loc[~own, "data"], strict=True):
+                if b != at and held:
+                    yield bucket_losses(model.value, held)
+                    held = []
+                at = b
+                held.append(data)
+        if held:
+            yield bucket_losses(model.value, held)
+
+    # rows without a bucket need no place of their own: any of many will do
+    dealt = rows.repartition(F.coalesce("bucket", F.pmod("doc_id", F.lit(1 << 20)))).sortWithinPartitions("bucket")
+    parts = dealt.mapInPandas(run, "doc_id long, n long, t float, b float")
+    sums = parts.groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), F.sum("t").alias("t"), F.sum("b").alias("b"))
+    per = lambda c: F.when(F.col("n_tokens") > 0, c / F.col("n_tokens"))
+    return everyone.join(sums, "doc_id", "left").select(
+        "doc_id",
+        F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"),
+        per(F.col("t")).alias("loss_target"),
+        per(F.col("b")).alias("loss_background"),
+        per(F.col("b") - F.col("t")).alias("score"),
     )

@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from flowlens.llm import decontaminate, embed_dedup, langid, lm_score, mixing, pii, probminhash, toxicity, warc
+from flowlens.llm import decontaminate, embed_dedup, langid, lm_score, mixing, pii, probminhash, tokens, toxicity, warc
 
 ALPHABET = "a1.@+-_ ()%é\U0001f600\n4"
 
@@ -256,3 +256,24 @@ def test_leaks_in_part_rewrapped_or_decomposed():
             passage, edits = found(before + other + after)[item]
             assert passage.strip() in other and edits == 0
     assert found(before + after) == {}
+
+
+@given(st.lists(st.text(alphabet="aB1 _-\n\u0301éΣßİ漢\U0001f600\U00010400", max_size=40), max_size=6), st.integers(3, 50))
+@settings(max_examples=300, deadline=None)
+def test_word_keys_are_those_of_the_pattern(texts, span):
+    before, tokens.SPAN = tokens.SPAN, span
+    try:
+        keys, counts = tokens.word_keys(texts)
+    finally:
+        tokens.SPAN = before
+    found = [lm_score.words(t) for t in texts]
+    flat = [w for f in found for w in f]
+    assert counts.tolist() == [len(f) for f in found] and len(keys) == len(flat) and 0 not in keys
+    assert len(set(zip(flat, keys.tolist(), strict=True))) == len(set(flat)) == len(set(keys.tolist()))
+
+
+def test_packed_arrays_come_back():
+    rng = np.random.default_rng(9)
+    arrays = [rng.integers(0, 100, rng.integers(0, 50)) for _ in lm_score.KINDS]
+    arrays[10] = np.array([70_000, 3])
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(arrays, lm_score.unpack(lm_score.pack(arrays)), strict=True))
