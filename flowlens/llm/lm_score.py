@@ -23,7 +23,8 @@ second word leads, so that this word's count comes together with those of its pa
 No key of the exchange can be hot: a word there has at most 1/COMMON of all tokens,
 and of the pairs those of heavy words, the frequent ones, are not exchanged. The
 number of buckets grows with the tokens, so that the pairs of one bucket fit a task;
-a task's pairs for one bucket travel as one row of packed arrays.
+a batch's pairs for one bucket travel as one row of packed arrays, and the bucket
+answers the batch with one.
 
 Defined results: a text without words (or null) has zero tokens, null losses and
 a null score; rows with a repeated doc_id count as one document with their sums
@@ -35,11 +36,13 @@ length are read whole. Other columns of ``docs``, whatever their names, are not
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,7 +52,7 @@ from .tokens import word_keys
 HEAVY, COMMON, MASS = 1024, 65_536, 8.0
 #: Distinct words that a task keeps between batches; tokens that it scores at once;
 #: pairs of one bucket (about).
-KNOWN, AT_ONCE, BUCKET = 300_000, 1_000_000, 1_500_000
+KNOWN, AT_ONCE, BUCKET = 300_000, 1_000_000, 500_000
 START = 0
 
 
@@ -60,7 +63,7 @@ def words(text: str) -> list[str]:
 def vocabulary(texts: DataFrame, most: int) -> list[str]:
     """The commonest words, commonest first; ties by name."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = Counter()
         for batch in batches:
             for text in batch["text"]:
@@ -71,7 +74,7 @@ def vocabulary(texts: DataFrame, most: int) -> list[str]:
         if found:
             yield pd.DataFrame({"word": list(found), "n": list(found.values())})
 
-    counted = texts.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = texts.select("text").mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return [r[0] for r in counted.orderBy(F.desc("n"), "word").limit(most).select("word").collect()]
 
 
@@ -200,35 +203,39 @@ def heavy_pairs(texts: DataFrame, ids, model) -> np.ndarray:
     return two
 
 
-#: A row's arrays, in order; the last four of fixed types, "index" is as wide as its table needs.
-KINDS = ("i8", "i4", "i8", "i8", "i8", "index", "index", "u4", "i8", "u2", "index", "u4", "u4")
+#: Arrays of a row: of a batch's pairs for one bucket (documents by their place in the
+#: batch, their lengths, negative in the background, light words, those that end a document;
+#: pairs under light words, the others), of what the fixed tables give a batch's documents,
+#: and of a bucket's reply. "index" is as wide as it needs to be.
+PAIRS = ("index", "i4", "i8", "i8", "i8", "index", "index", "u4", "i8", "u2", "index", "u4", "u4")
+OWN, REPLY = ("i8", "i8", "f4", "f4"), ("index", "f4", "f4")
 
 
-def pack(arrays: list[np.ndarray]) -> bytes:
-    """Arrays (see ``KINDS``: documents, their signed lengths, ids of those with sums,
-    light words; then of pairs under light words and of the others) as one value."""
+def pack(kinds: tuple[str, ...], arrays: Sequence[np.ndarray]) -> bytes:
+    """Arrays as one value."""
     out = [np.array([len(a) for a in arrays], dtype=np.int32)]
-    for kind, a in zip(KINDS, arrays, strict=True):
+    for kind, a in zip(kinds, arrays, strict=True):
         out.append(a.astype("<u4" if kind == "index" and a.size and a.max() > 65_535 else "<u2" if kind == "index" else "<" + kind))
     wide = np.array([a.itemsize for a in out[1:]], dtype=np.int8)
     return b"".join([wide.tobytes(), *(a.tobytes() for a in out)])
 
 
-def unpack(data: bytes) -> list[np.ndarray]:
-    n = len(KINDS)
+def unpack(kinds: tuple[str, ...], data: bytes) -> list[np.ndarray]:
+    n = len(kinds)
     wide, sizes = np.frombuffer(data, np.int8, n), np.frombuffer(data, np.int32, n, n)
     at, out = n * 5, []
-    for kind, w, size in zip(KINDS, wide, sizes, strict=True):
-        out.append(np.frombuffer(data, f"<u{w}" if kind == "index" else "<" + kind, size, at).astype(np.int64))
+    for kind, w, size in zip(kinds, wide, sizes, strict=True):
+        a = np.frombuffer(data, f"<u{w}" if kind == "index" else "<" + kind, size, at)
+        out.append(a.astype(np.float64 if kind == "f4" else np.int64))
         at += int(w) * int(size)
     return out
 
 
 def exchange(texts: DataFrame, ids, model, buckets: int) -> DataFrame:
-    """(bucket, data, doc_id, n, t, b): packed pairs for a bucket, or (bucket null)
-    what the fixed tables give of a document's losses."""
+    """(batch, bucket, data): a batch's pairs for a bucket, or (bucket null) what the
+    fixed tables give of its documents' losses."""
 
-    def pieces(m: Model, i: np.ndarray, mark: np.ndarray, keys: np.ndarray, long: np.ndarray) -> Iterator[pd.DataFrame]:
+    def pieces(batch: int, m: Model, i: np.ndarray, mark: np.ndarray, keys: np.ndarray, long: np.ndarray) -> Iterator[pd.DataFrame]:
         u, a = np.unique(keys, return_inverse=True)
         at, wide = m.place(u), len(u)
         h, known = np.where(at >= 0, m.heavy[at], -1), at >= 0
@@ -254,7 +261,7 @@ def exchange(texts: DataFrame, ids, model, buckets: int) -> DataFrame:
             loss = -n[near] * np.log(m.two[c][h[v[near]] * m.side + h[w[near]]] - mine[d[near]] * n[near] + p)
             first = lead[under] * np.log(m.one[c][at[nw[under]]] - mine[nd[under]] * own[under] + m.mass)
             sums.append(np.bincount(d[near], loss, len(long)) + np.bincount(nd[under], first, len(long)))
-        yield pd.DataFrame({"bucket": None, "data": None, "doc_id": i, "n": long - 1, "t": sums[1].astype(np.float32), "b": sums[0].astype(np.float32)})
+        rows: list[tuple] = [(batch, None, pack(OWN, [i, long - 1, sums[1], sums[0]]))]
 
         pair = splitmix(u[v].view(np.uint64) ^ splitmix(u[w].view(np.uint64) + np.uint64(17)))
         last = (w == a[ends][d]) & light
@@ -264,7 +271,6 @@ def exchange(texts: DataFrame, ids, model, buckets: int) -> DataFrame:
         rest = rest[np.lexsort((w[rest], ~light[rest], goes[rest]))]
         signed = np.where(mark, long, -long)
         cuts = np.flatnonzero(np.diff(goes[rest], prepend=-1, append=-1))
-        rows = []
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             r = rest[lo:hi]
             docs, place = np.unique(d[r], return_inverse=True)
@@ -273,19 +279,19 @@ def exchange(texts: DataFrame, ids, model, buckets: int) -> DataFrame:
             lights, which = np.unique(w[s], return_inverse=True)
             closing = np.flatnonzero(last[s])
             key = pair.view(np.int64)
-            rows.append((int(goes[r[0]]), pack([
-                i[docs], signed[docs], np.unique(place[low][closing] * len(lights) + which[closing]) if len(closing) else closing,
+            rows.append((batch, int(goes[r[0]]), pack(PAIRS, [
+                docs, signed[docs], np.unique(place[low][closing] * len(lights) + which[closing]) if len(closing) else closing,
                 u[lights], key[s], which, place[low], n[s], key[f], at[w[f]], place[~low], n[f], o[f],
             ])))
-        if rows:
-            yield pd.DataFrame({"bucket": [b for b, _ in rows], "data": [x for _, x in rows], "doc_id": None, "n": None, "t": None, "b": None}).astype({"bucket": "Int64"})
+        yield pd.DataFrame(rows, columns=["batch", "bucket", "data"]).astype({"bucket": "Int64"})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         read, m = reader(ids), model.value
         held: list[tuple] = []
+        numbers = count(TaskContext.get().partitionId() << 32)
 
         def done() -> Iterator[pd.DataFrame]:
-            yield from pieces(m, *(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield from pieces(next(numbers), m, *(np.concatenate(x) for x in zip(*held, strict=True)))
 
         for batch in batches:
             if len(batch):
@@ -296,17 +302,17 @@ def exchange(texts: DataFrame, ids, model, buckets: int) -> DataFrame:
         if held:
             yield from done()
 
-    return texts.select("doc_id", "target", "text").mapInPandas(run, "bucket long, data binary, doc_id long, n long, t float, b float")
+    return texts.select("doc_id", "target", "text").mapInPandas(run, "batch long, bucket long, data binary")
 
 
-def bucket_losses(m: Model, data: list[bytes]) -> pd.DataFrame:
-    """(doc_id, n, t, b): what the pairs of one bucket add to the losses of documents."""
-    parts = [unpack(x) for x in data]
+def replies(m: Model, batches: list[int], data: list[bytes]) -> pd.DataFrame:
+    """What the pairs of one bucket add to the losses of each batch's documents."""
+    parts = [unpack(PAIRS, x) for x in data]
     at = np.cumsum([0, *(len(p[0]) for p in parts)])
     words_at = np.cumsum([0, *(len(p[3]) for p in parts)])
-    docs, signed, lights = (np.concatenate([p[j] for p in parts]) for j in (0, 1, 3))
-    long, mark = np.abs(signed), signed > 0
-    loss = {0: np.zeros(len(docs)), 1: np.zeros(len(docs))}
+    signed, lights = (np.concatenate([p[j] for p in parts]) for j in (1, 3))
+    long, mark, size = np.abs(signed), signed > 0, len(signed)  # a document counts once for each batch
+    loss = {0: np.zeros(size), 1: np.zeros(size)}
 
     def joined(j: int, by: np.ndarray | None = None) -> np.ndarray:
         return np.concatenate([p[j] + (0 if by is None else by[k]) for k, p in enumerate(parts)])
@@ -317,31 +323,32 @@ def bucket_losses(m: Model, data: list[bytes]) -> pd.DataFrame:
 
     # under light words: their own counts come from their pairs
     key, d, n = joined(4), joined(6, at), joined(7)
-    word = np.unique(lights, return_inverse=True)[1][joined(5, words_at)] if len(lights) else lights
+    number = np.unique(lights, return_inverse=True)[1]
+    word = number[joined(5, words_at)]
     pairs = pair_counts(key, n, d)
-    places, where = np.unique(word * len(docs) + d, return_inverse=True)
+    places, where = np.unique(word * size + d, return_inverse=True)
     own = np.bincount(where, n, len(places))
-    pw, pd_ = places // max(len(docs), 1), places % max(len(docs), 1)
+    pw, pd_ = places // max(size, 1), places % max(size, 1)
     shut = np.zeros(len(places))
     for k, p in enumerate(parts):
         if len(p[2]):
             last_doc, last_word = p[2] // len(p[3]) + at[k], p[2] % len(p[3]) + words_at[k]
-            shut[np.searchsorted(places, np.unique(lights, return_inverse=True)[1][last_word] * len(docs) + last_doc)] = 1
+            shut[np.searchsorted(places, number[last_word] * size + last_doc)] = 1
     for c in (0, 1):
         mine = (mark == bool(c)).astype(float)
         count = np.bincount(pw, own * mine[pd_], int(pw.max()) + 1 if len(pw) else 0)
         prior = m.prior(c, count[word] - mine[d] * own[where], mine[d] * long[d])
-        loss[c] += np.bincount(d, -n * np.log(pairs[c] - mine[d] * n + prior), len(docs))
-        loss[c] += np.bincount(pd_, (own - shut) * np.log(count[pw] - mine[pd_] * own + m.mass), len(docs))
+        loss[c] += np.bincount(d, -n * np.log(pairs[c] - mine[d] * n + prior), size)
+        loss[c] += np.bincount(pd_, (own - shut) * np.log(count[pw] - mine[pd_] * own + m.mass), size)
     # under their own keys: the second word is in the table
     key, w, d, n, o = joined(8), joined(9), joined(10, at), joined(11), joined(12)
     pairs = pair_counts(key, n, d)
     for c in (0, 1):
         mine = (mark == bool(c)).astype(float)
         prior = m.prior(c, m.one[c][w] - mine[d] * o, mine[d] * long[d])
-        loss[c] += np.bincount(d, -n * np.log(pairs[c] - mine[d] * n + prior), len(docs))
-    names, t, b = sums_by_key(docs, loss[1], loss[0])
-    return pd.DataFrame({"doc_id": names, "n": 0, "t": t.astype(np.float32), "b": b.astype(np.float32)})
+        loss[c] += np.bincount(d, -n * np.log(pairs[c] - mine[d] * n + prior), size)
+    out = [pack(REPLY, [p[0], loss[1][lo:hi], loss[0][lo:hi]]) for p, lo, hi in zip(parts, at[:-1], at[1:], strict=True)]
+    return pd.DataFrame({"batch": batches, "first": False, "data": out})
 
 
 def score(docs: DataFrame, target: DataFrame, most: int | None = None, heavy: int = HEAVY, mass: float = MASS, common: int = COMMON, bucket: int = BUCKET) -> DataFrame:
@@ -369,26 +376,46 @@ def score(docs: DataFrame, target: DataFrame, most: int | None = None, heavy: in
     model = spark.sparkContext.broadcast(m)
     rows = exchange(texts, ids, model, max(1, int(sum(m.whole) / bucket)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows of a bucket follow each other."""
         at, held = None, []
+
+        def done() -> pd.DataFrame:
+            return replies(model.value, *map(list, zip(*held, strict=True)))
+
         for batch in batches:
             own = batch["bucket"].isna()
             if own.any():
-                yield batch.loc[own, ["doc_id", "n", "t", "b"]]
-            for b, data in zip(batch.loc[~own, "bucket"], batch.loc[~own, "data"], strict=True):
+                yield batch.loc[own, ["batch", "data"]].assign(first=True)
+            for b, name, data in batch.loc[~own, ["bucket", "batch", "data"]].itertuples(index=False, name=None):
                 if b != at and held:
-                    yield bucket_losses(model.value, held)
+                    yield done()
                     held = []
                 at = b
-                held.append(data)
+                held.append((name, data))
         if held:
-            yield bucket_losses(model.value, held)
+            yield done()
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows of a batch follow each other, what the fixed tables gave first."""
+        at, out = None, None
+        for batch in batches:
+            for name, data in batch[["batch", "data"]].itertuples(index=False, name=None):
+                if name != at:
+                    if out:
+                        yield pd.DataFrame(out)
+                    at, out = name, dict(zip(("doc_id", "n", "t", "b"), unpack(OWN, data), strict=True))
+                else:
+                    place, t, b = unpack(REPLY, data)
+                    out["t"][place] += t
+                    out["b"][place] += b
+        if out:
+            yield pd.DataFrame(out)
 
     # rows without a bucket need no place of their own: any of many will do
-    dealt = rows.repartition(F.coalesce("bucket", F.pmod("doc_id", F.lit(1 << 20)))).sortWithinPartitions("bucket")
-    parts = dealt.mapInPandas(run, "doc_id long, n long, t float, b float")
-    sums = parts.groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), F.sum("t").alias("t"), F.sum("b").alias("b"))
+    dealt = rows.repartition(F.coalesce("bucket", F.col("batch") % (1 << 20))).sortWithinPartitions("bucket")
+    back = dealt.mapInPandas(answer, "batch long, first boolean, data binary").repartition("batch").sortWithinPartitions("batch", F.desc("first"))
+    sums = back.mapInPandas(gather, "doc_id long, n long, t double, b double").groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), F.sum("t").alias("t"), F.sum("b").alias("b"))
     per = lambda c: F.when(F.col("n_tokens") > 0, c / F.col("n_tokens"))
     return everyone.join(sums, "doc_id", "left").select(
         "doc_id",
