@@ -52,7 +52,7 @@ from .tokens import word_keys
 HEAVY, COMMON, MASS = 1024, 65_536, 8.0
 #: Distinct words that a task keeps between batches; tokens that it scores at once;
 #: pairs of one bucket (about).
-KNOWN, AT_ONCE, BUCKET = 300_000, 1_000_000, 500_000
+KNOWN, AT_ONCE, BUCKET = 300_000, 1_000_000, 1_000_000
 START = 0
 
 
@@ -207,7 +207,7 @@ def heavy_pairs(texts: DataFrame, ids, model) -> np.ndarray:
 #: batch, their lengths, negative in the background, light words, those that end a document;
 #: pairs under light words, the others), of what the fixed tables give a batch's documents,
 #: and of a bucket's reply. "index" is as wide as it needs to be.
-PAIRS = ("index", "i4", "i8", "i8", "i8", "index", "index", "u4", "i8", "u2", "index", "u4", "u4")
+PAIRS = ("index", "i4", "i8", "i8", "u4", "u2", "index", "index", "u4", "u4", "u2", "u2", "index", "u4", "u4")
 OWN, REPLY = ("i8", "i8", "f4", "f4"), ("index", "f4", "f4")
 
 
@@ -264,8 +264,9 @@ def exchange(texts: DataFrame, ids, model, buckets: int) -> DataFrame:
         rows: list[tuple] = [(batch, None, pack(OWN, [i, long - 1, sums[1], sums[0]]))]
 
         pair = splitmix(u[v].view(np.uint64) ^ splitmix(u[w].view(np.uint64) + np.uint64(17)))
+        key = np.stack([pair & np.uint64(0xFFFFFFFF), (pair >> np.uint64(32)) & np.uint64(0xFFFF)])  # within a bucket 48 bits do
         last = (w == a[ends][d]) & light
-        goes = np.where(light, splitmix(u[w].view(np.uint64)), pair) % np.uint64(buckets)
+        goes = splitmix(np.where(light, u[w].view(np.uint64), pair)) % np.uint64(buckets)
         goes = goes.astype(np.int64)
         rest = np.flatnonzero(light | far)
         rest = rest[np.lexsort((w[rest], ~light[rest], goes[rest]))]
@@ -278,10 +279,9 @@ def exchange(texts: DataFrame, ids, model, buckets: int) -> DataFrame:
             s, f = r[low], r[~low]
             lights, which = np.unique(w[s], return_inverse=True)
             closing = np.flatnonzero(last[s])
-            key = pair.view(np.int64)
             rows.append((batch, int(goes[r[0]]), pack(PAIRS, [
                 docs, signed[docs], np.unique(place[low][closing] * len(lights) + which[closing]) if len(closing) else closing,
-                u[lights], key[s], which, place[low], n[s], key[f], at[w[f]], place[~low], n[f], o[f],
+                u[lights], *key[:, s], which, place[low], n[s], *key[:, f], at[w[f]], place[~low], n[f], o[f],
             ])))
         yield pd.DataFrame(rows, columns=["batch", "bucket", "data"]).astype({"bucket": "Int64"})
 
@@ -322,9 +322,9 @@ def replies(m: Model, batches: list[int], data: list[bytes]) -> pd.DataFrame:
         return [np.bincount(where, n * (mark[d] == bool(c)))[where] if len(where) else where for c in (0, 1)]
 
     # under light words: their own counts come from their pairs
-    key, d, n = joined(4), joined(6, at), joined(7)
+    key, d, n = joined(4) | joined(5) << 32, joined(7, at), joined(8)
     number = np.unique(lights, return_inverse=True)[1]
-    word = number[joined(5, words_at)]
+    word = number[joined(6, words_at)]
     pairs = pair_counts(key, n, d)
     places, where = np.unique(word * size + d, return_inverse=True)
     own = np.bincount(where, n, len(places))
@@ -341,7 +341,7 @@ def replies(m: Model, batches: list[int], data: list[bytes]) -> pd.DataFrame:
         loss[c] += np.bincount(d, -n * np.log(pairs[c] - mine[d] * n + prior), size)
         loss[c] += np.bincount(pd_, (own - shut) * np.log(count[pw] - mine[pd_] * own + m.mass), size)
     # under their own keys: the second word is in the table
-    key, w, d, n, o = joined(8), joined(9), joined(10, at), joined(11), joined(12)
+    key, w, d, n, o = joined(9) | joined(10) << 32, joined(11), joined(12, at), joined(13), joined(14)
     pairs = pair_counts(key, n, d)
     for c in (0, 1):
         mine = (mark == bool(c)).astype(float)

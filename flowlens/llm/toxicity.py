@@ -1,21 +1,25 @@
 """Toxicity scores from a lexicon, misspellings included (operator 2).
 
-Learning, on a bounded sample of labelled rows (``SAMPLE``): words and word
-beginnings are counted by label, and those whose share of toxic documents, drawn
-towards the overall share by ``PULL`` documents, is high enough make up the
-lexicon with their log odds as weight. The surest words become a trie; a
-Levenshtein automaton runs over all of them at once (its states are sets of trie
-node and edits, built on demand), so a word is matched in time linear in its
-length. Near misses that clean documents use are left out again. Each match is
-scored in its context window: inside quotation marks, or near words that report
-speech, it counts as quotation, else as abuse. A logistic model on the summed
-weights of abusive, misspelled and quoted matches gives the score; it is fitted
-with each document's own counts taken out of the lexicon.
-
-Defined results: null and empty texts score like a text without matches; without
-labels of both kinds every score is the share of toxic labels (0 if there are
-none); of repeated labels for a doc_id the largest counts; rows are independent,
-so repeated rows give repeated results; a label without document teaches nothing.
+Learning, on a bounded sample of labelled rows (``SAMPLE``): words, and beginnings
+that several toxic words share, are counted by label, and those whose share of toxic
+documents, drawn towards the overall share by ``PULL`` documents, is high enough make
+up the lexicon with their log odds as weight. All of it becomes one trie; a
+Levenshtein automaton runs over all terms at once (its states are sets of trie node
+and edits, built on demand), so a word is matched in time linear in its length: whole
+words within the edits their length allows, beginnings exactly. Near misses that clean
+documents use are left out again. Each match is scored in its context window: inside
+quotation marks, or near words that report speech, it counts as quotation, else as
+abuse. A logistic model on the summed weights of abusive, misspelled and quoted
+matches gives the score; its weights start where ``START`` says and are fitted with
+each document's own counts taken out of the lexicon.
+
+Defined results: null and empty texts score like a text without matches; texts of any
+length are matched whole; without labels of both kinds every score is the share of
+toxic labels (0 if there are none); of repeated labels for a doc_id the largest
+counts, of equal texts one teaches; a word that fits several terms alike takes the
+first by name; rows are independent, so repeated rows give repeated results and an
+empty table an empty one; a null doc_id is scored, and not held out; a label without
+document teaches nothing. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -33,13 +37,16 @@ from pyspark.sql import functions as F
 
 from .common import restrict, saved, small_batches
 
-#: Labelled documents that are learned from, at most (about); terms kept.
-SAMPLE, TERMS = 30_000, 20_000
-#: Word beginnings that may become terms; documents that draw a term's share to the
-#: overall one; log odds a term needs; toxic documents a term needs.
-STEMS, PULL, LEAST, SUPPORT = range(4, 8), 5.0, 1.5, 3
-#: Terms that misspellings are looked for: toxic documents, share of clean ones, number.
-SURE, SLIPS, NEAR_TERMS = 8, 0.02, 2_000
+#: Labelled documents that are learned from, at most (about).
+SAMPLE = 30_000
+#: Lengths of beginnings that may become terms, and toxic words that must share one;
+#: documents that draw a term's share to the overall one; log odds a term needs; toxic
+#: documents a term needs.
+STEMS, SPREAD, PULL, LEAST, SUPPORT = range(4, 8), 3, 5.0, 1.5, 3
+#: Clean near misses that a term may have, and more for each toxic one.
+SLIPS, SLIP_SHARE = 2, 0.2
+#: Weights of abusive, misspelled and quoted matches before learning.
+START = (1.0, 0.7, 0.1)
 #: Words to either side that make up the context window.
 WINDOW = 6
 WORD = re.compile(r"[^\W_]+")
@@ -60,15 +67,16 @@ def edits_for(term: str) -> int:
 
 
 class Automaton:
-    """All terms' Levenshtein automata in one, over the lexicon's trie."""
+    """All terms' Levenshtein automata in one, over the lexicon's trie. ``words`` match
+    within the edits their length allows, ``exact`` ones without, ``stems`` as beginnings."""
 
-    def __init__(self, words: list[str], stems: list[str]):
+    def __init__(self, words: list[str], stems: list[str], exact: list[str] = ()):
         self.next: list[dict[str, int]] = [{}]
         self.word: dict[int, str] = {}
         self.stem: dict[int, str] = {}
         self.most = [0]
-        for term, whole in [*((w, True) for w in words), *((s, False) for s in stems)]:
-            k = edits_for(term) if whole else 0
+        self.edits = {w: edits_for(w) for w in words}
+        for term, k, names in [*((w, k, self.word) for w, k in self.edits.items()), *((w, 0, self.word) for w in exact), *((s, 0, self.stem) for s in stems)]:
             node = 0
             self.most[0] = max(self.most[0], k)
             for c in term:
@@ -78,7 +86,7 @@ class Automaton:
                     self.most.append(0)
                 node = self.next[node][c]
                 self.most[node] = max(self.most[node], k)
-            (self.word if whole else self.stem)[node] = term
+            names[node] = term
         self.reset()
 
     def reset(self) -> None:
@@ -114,26 +122,25 @@ class Automaton:
         self.moves[at, c] = self.number(out)
         return self.moves[at, c]
 
-    def match(self, word: str) -> tuple[str, int] | None:
-        """(term, edits) of the closest term, or None; a stem matches the words that begin with it."""
+    def fits(self, word: str) -> list[tuple[str, int]]:
+        """(term, edits) of the whole words that match, and (stem*, 0) of the stems."""
         if len(self.states) > 50_000:
             self.reset()
-        at, node, stem = self.start, 0, None
+        at, node, out = self.start, 0, []
         moves = self.moves
         for c in word:
-            if node is not None:
-                node = self.next[node].get(c)
-                if node in self.stem:
-                    stem = self.stem[node]
+            if node is not None and (node := self.next[node].get(c)) in self.stem:
+                out.append((self.stem[node] + "*", 0))
             if (to := moves.get((at, c))) is None:
                 to = self.move(at, c)
             if not self.states[to] and node is None:
-                return (stem, 0) if stem else None
+                return out
             at = to
-        best = min(((e, self.word[n]) for n, e in self.states[at].items() if n in self.word and e <= edits_for(self.word[n])), default=None)
-        if stem and (best is None or best[0]):
-            return stem, 0
-        return (best[1], best[0]) if best else None
+        return out + [(w, e) for n, e in self.states[at].items() if (w := self.word.get(n)) is not None and e <= self.edits.get(w, 0)]
+
+    def match(self, word: str) -> tuple[str, int] | None:
+        """(term, edits) of the closest term, or None."""
+        return min(self.fits(word), key=lambda f: (f[1], f[0]), default=None)
 
 
 def logit(p: float) -> float:
@@ -163,18 +170,17 @@ class Matcher:
 
     def __init__(self, model: Model, most: int = 300_000):
         self.model, self.most = model, most
-        self.automaton = Automaton(model.near, [])
+        near = set(model.near)
+        self.automaton = Automaton(model.near, [t[:-1] for t in model.terms if t.endswith("*")], [t for t in model.terms if not t.endswith("*") and t not in near])
         self.known: set[str] = set()
         self.hit: dict[str, tuple[str, int]] = {}
 
     def look_up(self, word: str) -> tuple[str, int] | None:
-        """The weightiest of the word and its beginnings if they are terms, else the closest term."""
+        """The term that weighs most for a word, misspellings at a part of their weight;
+        words that clean documents use match without edits only."""
         word = plain(word)
-        terms = self.model.terms
-        own = [t for t in (word, *(word[:k] + "*" for k in STEMS if len(word) > k)) if t in terms]
-        if own:
-            return max(own, key=lambda t: (self.model.weight(t), len(t))), 0
-        return None if not self.model.near or word in self.model.benign else self.automaton.match(word)
+        fits = [f for f in self.automaton.fits(word) if not f[1] or word not in self.model.benign]
+        return min(fits, key=lambda f: (-self.model.weight(f[0]) / (1 + f[1]), f[1], f[0]), default=None)
 
     def matches(self, text: str | None) -> list[tuple[int, int, str, int, bool]]:
         """(start, end, term, edits, quoted) of every match."""
@@ -265,34 +271,37 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             seen = {0: Counter(), 1: Counter()}
             for mark, text in zip(batch["mark"], batch["text"], strict=True):
                 seen[mark].update(terms_of(text))
-            keys = list(seen[0] | seen[1])
-            yield pd.DataFrame({"term": keys, "toxic": [seen[1][k] for k in keys], "clean": [seen[0][k] for k in keys]})
+            if keys := list(seen[0] | seen[1]):
+                yield pd.DataFrame({"term": keys, "toxic": [seen[1][k] for k in keys], "clean": [seen[0][k] for k in keys]})
 
     terms = texts.mapInPandas(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     t, c = F.col("toxic"), F.col("clean")
     odds = F.log((t + PULL * base) / (c + PULL * (1 - base))) - logit(base) - 1 / F.sqrt(t)
-    strong = terms.where((t >= SUPPORT) & (odds >= LEAST)).orderBy(F.desc(t * odds), "term").limit(TERMS).collect()
-    model = Model({r["term"]: (r["toxic"], r["clean"]) for r in strong}, base=base)
-    sure = [r["term"] for r in strong if r["toxic"] >= SURE and r["clean"] <= SLIPS * r["toxic"] and not r["term"].endswith("*") and edits_for(r["term"])]
-    model.near = sure[:NEAR_TERMS]
+    # beginnings of a few words only would say no more than these words
+    stems = F.filter(F.array(*(F.when(F.length("term") > k, F.concat(F.substring("term", 1, k), F.lit("*"))) for k in STEMS)), lambda x: x.isNotNull())
+    shared = terms.where("toxic > 0 AND term NOT LIKE '%*'").select(F.explode(stems).alias("term")).groupBy("term").count().where(F.col("count") >= SPREAD)
+    strong = terms.where((t >= SUPPORT) & (odds >= LEAST))
+    # what is collected is bounded by the sample
+    kept = strong.where("term NOT LIKE '%*'").union(strong.join(shared.select("term"), "term", "left_semi").select(strong.columns)).orderBy("term").collect()
+    model = Model({r["term"]: (r["toxic"], r["clean"]) for r in kept}, base=base)
+    model.near = [t for t in model.terms if not t.endswith("*") and edits_for(t)]
 
     def misses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Words that only the automaton matches, with the term, by document."""
+        """Words that only the automaton's edits match, with the term, by document."""
         matcher = Matcher(model)
         for batch in batches:
-            rows = [(plain(text[a:b]), term, mark) for mark, text in zip(batch["mark"], batch["text"], strict=True) for a, b, term in {(a, b, t) for a, b, t, e, _ in matcher.matches(text) if e}]
+            rows = [(plain(w), term, mark) for mark, text in zip(batch["mark"], batch["text"], strict=True) for w, term in {(text[a:b], t) for a, b, t, e, _ in matcher.matches(text) if e}]
             if rows:
-                yield pd.DataFrame(list(dict.fromkeys(rows)), columns=["word", "term", "mark"])
-
-    close = texts.mapInPandas(misses, "word string, term string, mark int").groupBy("word", "term").agg(F.count_if(F.col("mark") == 1).alias("toxic"), F.count_if(F.col("mark") == 0).alias("clean"))
-    rows = close.orderBy(F.desc("clean"), "word").limit(TERMS).collect()
-    by_term: dict[str, list[int]] = {}
-    for r in rows:
-        got = by_term.setdefault(r["term"], [0, 0])
-        got[0] += r["toxic"]
-        got[1] += r["clean"]
-    model.near = [x for x in model.near if by_term.get(x, [0, 0])[1] <= 2 + 0.2 * by_term.get(x, [0, 0])[0]]
-    model.benign = frozenset(r["word"] for r in rows if r["clean"] > r["toxic"])
+                yield pd.DataFrame(rows, columns=["word", "term", "mark"])
+
+    def by(key: str) -> dict[str, tuple[int, int]]:
+        rows = close.groupBy(key).agg(F.count_if(F.col("mark") == 1).alias("toxic"), F.count_if(F.col("mark") == 0).alias("clean")).collect()
+        return {r[key]: (r["toxic"], r["clean"]) for r in rows}
+
+    close = saved(texts.mapInPandas(misses, "word string, term string, mark int"), "misses")
+    by_term = by("term")
+    model.near = [x for x in model.near if (n := by_term.get(x, (0, 0)))[1] <= SLIPS + SLIP_SHARE * n[0]]
+    model.benign = frozenset(w for w, (toxic, clean) in by("word").items() if clean > toxic)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matcher = Matcher(model)
@@ -303,7 +312,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     data = texts.mapInPandas(measure, "mark int, x array<double>").groupBy("mark", "x").count().collect()
     x = np.array([r["x"] for r in data])
     y, k = np.array([float(r["mark"]) for r in data]), np.array([r["count"] for r in data])
-    start = np.array([logit(base), 1.0, 0.7, 0.1])
+    start = np.array([logit(base), *START])
     model.weights = fit_logistic(np.repeat(x, k, axis=0), np.repeat(y, k), start)
     # evidence never speaks against itself
     model.weights[1:] = np.maximum(model.weights[1:], 0.0)
@@ -331,7 +340,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def held_out() -> Column:
-    return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 
 
 def detect(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from flowlens.llm import decontaminate, embed_dedup, langid, lm_score, mixing, pii, preferences, probminhash, queries, toxicity, warc
 from flowlens.llm.common import components, table
 
+from .test_pure import levenshtein
+
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, n int, score double, cell string"
 
@@ -289,3 +291,82 @@ def test_warc_hot_key_over_blocks(spark):
         assert warc.lookup(blocks, pages).count() == 300
     finally:
         warc.DIRECTORY = before
+
+
+def planted_toxicity(spark):
+    """Insults said, misspelled and quoted, in texts of otherwise neutral words."""
+    rng = np.random.default_rng(12)
+    calm = [f"calm{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(120)]
+    say = lambda n: " ".join(rng.choice(calm, n))
+    insults = ["vilefool", "grubhead", "snotbrain", "mudlicker"]
+    rows, labels = [], []
+    for i in range(2400):
+        word = insults[i % 4]
+        kind = (["said"] * 5 + ["quoted"] + ["misspelled"] * 3 + ["clean"] * 15)[i // 4 % 24]
+        cut = 1 + i // 96 % (len(word) - 1)
+        text = {"said": f"{say(1)} {word} {say(6)}", "quoted": f"he wrote “{say(2)} {word} {say(2)}” and left {say(4)}", "misspelled": f"{say(1)} {word[:cut] + chr(97 + (i // 96 * 5 + i // 4) % 26) + word[cut:]} {say(6)}", "clean": say(9)}[kind]
+        rows.append((i, text, kind))
+        labels.append((i, int(kind in ("said", "misspelled"))))
+    return spark.createDataFrame(rows, "doc_id long, text string, kind string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+
+def test_toxicity_needs_automaton_and_context(spark):
+    """Without edits the misspelled, without windows the quoted insults are judged wrongly."""
+    docs, labels = planted_toxicity(spark)
+    out = toxicity.held_out()
+    model = toxicity.fit(docs.where(~out), labels.where(~out))
+    assert set(model.near) >= {"grubhead", "mudlicker", "snotbrain", "vilefool"}
+    assert abs(model.weights[2] - toxicity.START[1]) > 0.05 and abs(model.weights[3] - toxicity.START[2]) > 0.02
+
+    def right(model):
+        rows = toxicity.score(docs, model).join(docs.select("doc_id", "kind"), "doc_id").where(out).groupBy("kind").agg(F.avg("predicted")).collect()
+        return {k: p if k in ("said", "misspelled") else 1 - p for k, p in rows}
+
+    full = right(model)
+    assert all(v > 0.95 for v in full.values()), full
+    exact = toxicity.Model({t: n for t, n in model.terms.items() if not t.endswith("*")}, [], model.benign, model.base, model.weights)
+    assert right(exact)["misspelled"] < 0.1
+    before, toxicity.Matcher.quoted = toxicity.Matcher.quoted, staticmethod(lambda *_: False)
+    try:
+        found = [toxicity.Matcher(model).matches(r["text"]) for r in docs.where("kind = 'quoted'").collect()]
+        s = np.array([toxicity.features(model, f) for f in found]) @ model.weights
+    finally:
+        toxicity.Matcher.quoted = before
+    assert (s > 0).mean() > 0.9
+
+
+def test_toxicity_query_against_brute_force(spark):
+    """The registered query's rows from its own model, matched by plain edit distance."""
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    model = toxicity.fit(docs.where(~toxicity.held_out()), labels.where(~toxicity.held_out()))
+    got = {r["doc_id"]: r for r in queries.op2_toxicity_lexicon(spark, SF).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    near, cache = set(model.near), {}
+
+    def best(word):
+        if word not in cache:
+            fits = [(t, 0) for t in model.terms if (word.startswith(t[:-1]) if t.endswith("*") else word == t)]
+            if word not in model.benign:
+                fits += [(t, e) for t in near if abs(len(t) - len(word)) <= 2 and 0 < (e := levenshtein(word, t)) <= toxicity.edits_for(t)]
+            cache[word] = min(fits, key=lambda f: (-model.weight(f[0]) / (1 + f[1]), f[1], f[0]), default=None)
+        return cache[word]
+
+    for r in rows[::3]:
+        spans = list(toxicity.WORD.finditer(r["text"] or ""))
+        found = [(m.start(), m.end(), *hit, toxicity.Matcher.quoted(r["text"], spans, i)) for i, m in enumerate(spans) if (hit := best(toxicity.plain(m[0])))]
+        assert len(found) == got[r["doc_id"]]["n_matches"]
+        if model.weights is not None:
+            s = 1 / (1 + math.exp(-min(max(float(np.dot(toxicity.features(model, found), model.weights)), -30), 30)))
+            assert math.isclose(s, got[r["doc_id"]]["score"], rel_tol=1e-9) and got[r["doc_id"]]["predicted"] == int(s >= 0.5)
+
+
+def test_toxicity_on_odd_rows(spark, odd, none):
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (9, 0), (10, 0), (5, 0), (6, 0), (8, 0), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(odd, labels)
+    out = toxicity.score(odd, model).collect()
+    assert len(out) == odd.count() and all(0 <= r["score"] <= 1 for r in out)
+    empty = {r["score"] for r in out if r["doc_id"] in (5, 6, 7)}
+    assert len(empty) == 1 and toxicity.score(none, model).count() == 0
+    found = toxicity.detect(odd, labels)
+    assert found.where("held_out IS NULL").count() == 0 and found.count() == odd.count()
