@@ -6,7 +6,7 @@ are revisits that refer to it and carry no payload. Spark's text writer commits
 the files; an empty gzip member, which readers skip, serves as its separator, so
 the files are plain concatenations of gzip members.
 
-Index: the archives are scanned once; their captures are range-partitioned by
+Index: the archives are read once, as streams that hold one record at a time; their captures are range-partitioned by
 reversed-host URL key (com,example)/path, cut into compressed blocks of sorted
 lines, and a sparse directory keeps the first key of each block.
 
@@ -17,7 +17,11 @@ instead of being handed to the tasks.
 
 Defined results: null html counts as an empty payload, a null url as an empty
 one; rows whose page_id and payload repeat are all responses; rows with a null
-page_id are dropped.
+page_id are dropped. Line breaks and tabs of a url are percent-encoded before
+anything else, in the record as in the key, and urls that differ in nothing else
+share a key; each row is found by its own. Payloads of any length are written and
+read whole, as long as one fits a task; an empty table gives an empty archive, index
+and result. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -28,10 +32,11 @@ import hashlib
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from typing import BinaryIO
 from urllib.parse import urlsplit
 
 import pandas as pd
-from pyarrow import fs
+from pyarrow import NativeFile, fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,23 +44,29 @@ from .common import bounded, saved, scratch_path
 
 #: Payload bytes from which on equal payloads are written once.
 LEAST = 0
-#: Lines of a block; bytes of an archive file (about); directory entries handed to tasks.
-LINES, FILE_BYTES, DIRECTORY = 1_000, 64 << 20, 100_000
+#: Lines of a block; records of an archive file, at most; directory entries handed to tasks.
+LINES, RECORDS, DIRECTORY = 1_000, 32_768, 100_000
 LEVEL = 4
 EMPTY_MEMBER = gzip.compress(b"", 9, mtime=0)
 CRLF = b"\r\n"
 
 
+def escaped(url: str | None) -> str:
+    """The url as records and keys hold it: without line breaks and tabs."""
+    return (url or "").replace("\r", "%0D").replace("\n", "%0A").replace("\t", "%09")
+
+
 def surt(url: str | None) -> str:
     """Reversed-host key: lower-case host labels from the last to the first, port
     and user dropped, then path and query; the fragment goes."""
+    url = escaped(url)
     try:
-        parts = urlsplit((url or "").strip())
+        parts = urlsplit(url.strip())
         host = (parts.hostname or "").lower()
     except ValueError:
-        return url or ""
+        return url
     if not host:
-        return url or ""
+        return url
     labels = host.split(".")
     if labels[0] == "www" and len(labels) > 2:
         labels = labels[1:]
@@ -73,7 +84,7 @@ def record(page_id: int, url: str, payload: bytes, refers_to: int | None) -> byt
         b"WARC/1.1",
         b"WARC-Type: " + kind.encode(),
         b"WARC-Record-ID: <urn:page:%d>" % page_id,
-        b"WARC-Target-URI: " + url.encode().replace(b"\r", b"%0D").replace(b"\n", b"%0A"),
+        b"WARC-Target-URI: " + escaped(url).encode(),
         b"WARC-Payload-Digest: sha1:" + digest(payload).encode(),
         b"X-Payload-Length: %d" % len(payload),
         b"Content-Type: text/html; charset=utf-8",
@@ -106,7 +117,8 @@ def write(pages: DataFrame, path: str) -> None:
     )
     key = [F.sha1("payload").alias("k"), F.octet_length("payload").alias("size")]
     first = saved(rows.select("page_id", *key).where(F.col("size") >= LEAST).groupBy("k", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "payloads")
-    # only payloads that repeat are joined; the join carries ids, not payloads
+    # of payloads that repeat, ids meet; the list of revisits is broadcast, and only
+    # beyond its bound do the pages move to meet it
     again = rows.select("page_id", *key).join(first, ["k", "size"]).where("page_id != first").select("page_id", "k", "first").distinct()
     marked = rows.withColumns({"k": key[0]}).join(bounded(saved(again, "revisits")), ["page_id", "k"], "left")
 
@@ -115,37 +127,53 @@ def write(pages: DataFrame, path: str) -> None:
             yield pd.DataFrame({"member": [record(i, u, bytes(p), None if pd.isna(r) else int(r)) for i, u, p, r in zip(b["page_id"], b["url"], b["payload"], b["first"], strict=True)]})
 
     members = marked.select("page_id", "url", "payload", "first").mapInPandas(build, "member binary")
-    members.select(F.col("member").cast("string")).write.options(lineSep=EMPTY_MEMBER.decode("latin-1"), encoding="ISO-8859-1", maxRecordsPerFile=FILE_BYTES >> 11).text(path)
-
-
-def members(data: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(offset, length, content) of each gzip member that is not empty."""
-    at, view = 0, memoryview(data)
-    while at < len(data):
-        d = zlib.decompressobj(31)
-        parts, pos = [], at
-        while not d.eof:
-            if pos >= len(data):
+    members.select(F.col("member").cast("string")).write.options(lineSep=EMPTY_MEMBER.decode("latin-1"), encoding="ISO-8859-1", maxRecordsPerFile=RECORDS).text(path)
+
+
+def members(source: BinaryIO, step: int = 1 << 18) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, content) of each gzip member that is not empty; one at a time is held."""
+    at, data = 0, b""
+    while data or (data := source.read(step)):
+        d, parts, size = zlib.decompressobj(31), [], 0
+        while True:
+            parts.append(d.decompress(data))
+            size += len(data)
+            if d.eof:
+                break
+            if not (data := source.read(step)):
                 raise ValueError("truncated archive")
-            step = view[pos : pos + 65536]
-            parts.append(d.decompress(step))
-            pos += len(step)
-        end = pos - len(d.unused_data)
+        data = d.unused_data
+        size -= len(data)
         if content := b"".join(parts):
-            yield at, end - at, content
-        at = end
+            yield at, size, content
+        at += size
+
+
+def opened(file: str) -> NativeFile:
+    """A file where Spark's path names it (local, or a store that pyarrow reads)."""
+    store, path = fs.FileSystem.from_uri(file.replace("file:/", "file:///", 1) if file.startswith("file:/") and not file.startswith("file://") else file)
+    return store.open_input_file(path)
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
     """The captures of an archive: key, url, file, offset, length."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["key", "url", "file", "offset", "length"]
         for batch in batches:
-            for file, data in zip(batch["path"], batch["content"], strict=True):
-                out = [(surt(h["warc-target-uri"]), h["warc-target-uri"], file, o, n) for o, n, c in members(data) for h in [parse(c)]]
-                yield pd.DataFrame(out, columns=["key", "url", "file", "offset", "length"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+            for file in batch["path"]:
+                out = []
+                with opened(file) as source:
+                    for o, n, c in members(source):
+                        url = parse(c)["warc-target-uri"]
+                        out.append((surt(url), url, file, o, n))
+                        if len(out) == LINES:
+                            yield pd.DataFrame(out, columns=columns)
+                            out = []
+                if out:
+                    yield pd.DataFrame(out, columns=columns)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path")
     return files.mapInPandas(run, "key string, url string, file string, offset long, length long")
 
 
@@ -155,7 +183,7 @@ def index(captures: DataFrame, lines: int = LINES) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def block(k: int, rows: list[tuple]) -> tuple:
-            text = "\n".join("\t".join((key.replace("\t", "%09").replace("\n", "%0A"), str(o), str(n), file)) for key, o, n, file in rows)
+            text = "\n".join("\t".join((key, str(o), str(n), file)) for key, o, n, file in rows)
             return k, rows[0][0], rows[-1][0], len(rows), gzip.compress(text.encode(), LEVEL, mtime=0)
 
         held: list[tuple] = []
@@ -213,8 +241,7 @@ def locate(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
                     at = shard, block
                     lines = [x.split("\t") for x in gzip.decompress(data).decode().split("\n")]
                     keys = [x[0] for x in lines]
-                name = key.replace("\t", "%09").replace("\n", "%0A")
-                out += [(key, x[3], int(x[1]), int(x[2])) for x in lines[bisect_left(keys, name) : bisect_right(keys, name)]]
+                out += [(key, x[3], int(x[1]), int(x[2])) for x in lines[bisect_left(keys, key) : bisect_right(keys, key)]]
             yield pd.DataFrame(out, columns=["key", "file", "offset", "length"])
 
     joined = found.join(blocks.select("shard", "block", "data"), ["shard", "block"])
@@ -223,9 +250,7 @@ def locate(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def fetch(places: DataFrame) -> DataFrame:
     """Range reads: page_id, url, record_type, refers_to, payload_bytes,
-    payload_digest and payload (null for revisits) of each (file, offset, length).
-    Files are opened where Spark's path names them (local, or a store that pyarrow
-    reads)."""
+    payload_digest and payload (null for revisits) of each (file, offset, length)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         name, source = None, None
@@ -233,8 +258,7 @@ def fetch(places: DataFrame) -> DataFrame:
             out = []
             for file, offset, length in zip(batch["file"], batch["offset"], batch["length"], strict=True):
                 if file != name:
-                    store, path = fs.FileSystem.from_uri(file.replace("file:/", "file:///", 1) if file.startswith("file:/") and not file.startswith("file://") else file)
-                    name, source = file, store.open_input_file(path)
+                    name, source = file, opened(file)
                 h = parse(zlib.decompress(source.read_at(length, offset), 31))
                 revisit = h["warc-type"] == "revisit"
                 payload = None if revisit else h["body"]

@@ -1,5 +1,6 @@
 """The parts that need no Spark, against brute force."""
 
+import io
 import itertools
 import math
 import random
@@ -179,11 +180,12 @@ def test_scripts_and_surt():
 def test_members_round_trip():
     records = [warc.record(i, "http://a.b/\n", f"é{i}".encode() * (i * 50), None if i % 2 else 0) for i in range(6)]
     data = warc.EMPTY_MEMBER.join([*records, b""])
-    found = list(warc.members(data))
-    assert [data[o : o + n] for o, n, _ in found] == records
-    assert [warc.page_of(warc.parse(c)["warc-record-id"]) for _, _, c in found] == list(range(6))
+    for step in (1, 7, 100, 1 << 18):
+        found = list(warc.members(io.BytesIO(data), step))
+        assert [data[o : o + n] for o, n, _ in found] == records
+        assert [warc.page_of(warc.parse(c)["warc-record-id"]) for _, _, c in found] == list(range(6))
     with pytest.raises(ValueError):
-        list(warc.members(data + records[0][:-3]))
+        list(warc.members(io.BytesIO(data + records[0][:-3])))
 
 
 def test_multi_index_walk_covers_its_reach():

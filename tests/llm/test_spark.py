@@ -1,6 +1,8 @@
 """Operators on small frames: brute force, and the defined results for nulls,
 empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import base64
+import hashlib
 import math
 from collections import Counter
 
@@ -370,3 +372,30 @@ def test_toxicity_on_odd_rows(spark, odd, none):
     assert len(empty) == 1 and toxicity.score(none, model).count() == 0
     found = toxicity.detect(odd, labels)
     assert found.where("held_out IS NULL").count() == 0 and found.count() == odd.count()
+
+
+def captures_by_brute_force(rows):
+    """(page_id, bytes, digest, type, refers_to) of each page, from the contract alone."""
+    pay = [(i, (h or "").encode()) for i, _, h in rows if i is not None]
+    first = {}
+    for i, p in pay:
+        first[p] = min(i, first.get(p, i))
+    sha = lambda p: base64.b32encode(hashlib.sha1(p).digest()).decode()
+    return sorted(((i, len(p), sha(p), "response" if first[p] == i else "revisit", None if first[p] == i else first[p]) for i, p in pay), key=str)
+
+
+def test_warc_against_brute_force(spark):
+    """Every page of the table, and urls with line breaks, tabs, spaces and none at all."""
+    urls = ["http://a.com/x\ny", "line\nbreak", "http://a.com/\r\n", "a\tb", "a b", "a!c", "a#", "a%09b", "\t", " ", "", None, "http://", "http://[bad", "//host/p", "http://h.com/ q ", "\x00\x0b\x85\u2028", "http://a.com/x%0Ay", "HTTP://WWW.A.COM/x", "u" * 50_000]
+    odd_pages = spark.createDataFrame([(10_000_000 + i, u, f"page {i // 2}") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    for pages in (table(spark, "/root/testdata/sf0.01", "pages"), odd_pages, odd_pages.repartition(1).union(odd_pages.limit(3))):
+        rows = [(r["page_id"], r["url"], r["html"]) for r in pages.collect()]
+        got = sorted((tuple(r) for r in warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()), key=str)
+        assert got == captures_by_brute_force(rows)
+
+
+def test_warc_files_longer_than_a_read(spark):
+    pages = spark.range(60).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h.com/"), "id").alias("url"), F.expr("array_join(transform(sequence(1, 4000), x -> sha2(concat(id, ':', x), 256)), '')").alias("html"))
+    path, blocks = warc.archive(pages.repartition(1))
+    assert max(len(r["content"]) for r in spark.read.format("binaryFile").load(path).collect()) > 1 << 20
+    assert warc.lookup(blocks, pages).agg(F.sum("payload_bytes")).first()[0] == 60 * 4000 * 64
