@@ -15,7 +15,7 @@ METRICS = ("Precision", "Recall", "F1", "F2", "AUC-PR", "AUC-ROC")
 def display_names(runs: DataFrame, names: DataFrame, column: str = "model_name") -> DataFrame:
     """Adds Model: the display name of the text before _seed, or that text itself."""
     base = base_model_name(column)
-    mapped = runs.withColumn("_base", base).join(F.broadcast(names.toDF("_base", "_name")), "_base", "left")
+    mapped = runs.withColumn("_base", base).join(names.toDF("_base", "_name"), "_base", "left")
     return mapped.withColumn("Model", F.coalesce("_name", "_base")).drop("_base", "_name")
 
 
@@ -38,7 +38,7 @@ def champions_1sd(runs: DataFrame, by: str = "Architecture") -> DataFrame:
 def summary_mean_std(runs: DataFrame, order: DataFrame, metrics: Sequence[str], by: str = "Architecture") -> DataFrame:
     """Mean and sample deviation by model in the order of ``order`` (model, pos); models without runs keep nulls."""
     stats = runs.groupBy(by).agg(*[x for m in metrics for x in (F.avg(m).alias(f"{m}_mean"), F.stddev_samp(m).alias(f"{m}_std"))], F.count("*").alias("runs"))
-    return F.broadcast(order).join(stats, by, "left").withColumn("runs", F.coalesce("runs", F.lit(0)))
+    return order.join(stats, by, "left").withColumn("runs", F.coalesce("runs", F.lit(0)))
 
 
 def metrics_long(runs: DataFrame, metrics: Sequence[str], by: str = "Architecture") -> DataFrame:
@@ -55,14 +55,14 @@ def loss_curve(histories: DataFrame, value: str = "train_loss") -> DataFrame:
     """experiment, epoch, mean, std (population), up to the shortest seed."""
     arr = F.col(f"training.{value}")
     short = histories.groupBy("experiment").agg(F.min(F.size(arr)).alias("shortest"))
-    long = histories.select("experiment", F.posexplode(arr).alias("epoch", "value")).join(F.broadcast(short), "experiment").where("epoch < shortest")
+    long = histories.select("experiment", F.posexplode(arr).alias("epoch", "value")).join(short, "experiment").where("epoch < shortest")
     return long.groupBy("experiment", "epoch").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count("*").alias("seeds"))
 
 
 def loss_curve_long(long: DataFrame, value: str = "v") -> DataFrame:
     """``loss_curve`` from rows (experiment, seed, epoch, value), without arrays."""
     short = long.groupBy("experiment", "seed").agg(F.count("*").alias("n")).groupBy("experiment").agg(F.min("n").alias("shortest"))
-    out = long.join(F.broadcast(short), "experiment").where("epoch < shortest")
+    out = long.join(short, "experiment").where("epoch < shortest")
     return out.groupBy("experiment", "epoch").agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.count("*").alias("seeds"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ROLES, decode_role
+from .ranking import quantiles, shared_table
 from .ranking import dense_ranks
 
 SRC, DST = "IPV4_SRC_ADDR", "IPV4_DST_ADDR"
@@ -72,7 +73,7 @@ def host_profile(flows: DataFrame, candidates: DataFrame) -> DataFrame:
     summed by pair first; a pair then counts once at either end."""
     pairs = flows.groupBy(SRC, DST).agg(F.count("*").alias("n"))
     ends = F.explode(F.array(F.struct(F.col(SRC).alias("ip"), F.lit(True).alias("out")), F.struct(F.col(DST).alias("ip"), F.lit(False).alias("out"))))
-    each = pairs.select("n", ends.alias("e")).select("n", "e.*").join(F.broadcast(candidates.select("ip").distinct()), "ip", "left_semi")
+    each = pairs.select("n", ends.alias("e")).select("n", "e.*").join(candidates.select("ip").distinct(), "ip", "left_semi")
     count = lambda side: F.count_if(F.col("out") if side else ~F.col("out"))
     total = lambda side: F.sum(F.when(F.col("out") if side else ~F.col("out"), F.col("n")).otherwise(0))
     return each.groupBy("ip").agg(count(True).alias("out_degree"), count(False).alias("in_degree"), total(True).alias("flows_out"), total(False).alias("flows_in"))
@@ -96,11 +97,11 @@ def entropy_by_confusion(flows: DataFrame, entropy: DataFrame, kind: Column) ->
     """kind, n, mean and quartiles of the source's outgoing and the destination's incoming entropy."""
     e = flows.withColumn("kind", kind)
     e = e.join(entropy.select("window_id", F.col("ip").alias(SRC), "out_entropy"), ["window_id", SRC]).join(entropy.select("window_id", F.col("ip").alias(DST), "in_entropy"), ["window_id", DST])
-    q = lambda c, p: F.percentile(c, F.lit(p))
-    return e.groupBy("kind").agg(
-        F.count("*").alias("n"),
-        *[x for c in ("out_entropy", "in_entropy") for x in (F.avg(c).alias(f"{c}_mean"), q(c, 0.25).alias(f"{c}_p25"), q(c, 0.5).alias(f"{c}_p50"), q(c, 0.75).alias(f"{c}_p75"))],
-    )
+    e = shared_table(e.groupBy("kind", "out_entropy", "in_entropy").agg(F.count("*").alias("n")))
+    out = e.groupBy("kind").agg(F.sum("n").alias("n"), *[(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(f"{c}_mean") for c in ("out_entropy", "in_entropy")])
+    for c in ("out_entropy", "in_entropy"):
+        out = out.join(quantiles(e.groupBy("kind", c).agg(F.sum("n").alias("n")), c, {f"{c}_p25": 0.25, f"{c}_p50": 0.5, f"{c}_p75": 0.75}, ["kind"]), "kind")
+    return out
 
 
 def neighbour_mean(edges: DataFrame, nodes: DataFrame, values: list[str], src: str = "src_id", dst: str = "dst_id") -> DataFrame:
@@ -133,17 +134,13 @@ def edge_representation(edges: DataFrame, hosts: DataFrame, src: str = "src_id",
 
 def host_memory(means: DataFrame, value: str, alpha: float = 0.5) -> DataFrame:
     """window_id, host, memory: h = alpha x + (1 - alpha) h_before over the host's
-    active windows, starting from 0. Unrolled it is a weighted sum over the host's
-    earlier windows, kept in one running pass by ``aggregate``; a host has at most
-    one row for each window, which bounds its array."""
-    rows = means.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("window_id", F.col(value).alias("x")))).alias("xs"))
-    start = F.struct(F.lit(0.0).alias("h"), F.array().cast("array<struct<window_id:bigint,memory:double>>").alias("out"))
-
-    def step(acc: Column, v: Column) -> Column:
-        h = F.lit(alpha) * v["x"] + F.lit(1 - alpha) * acc["h"]
-        return F.struct(h.alias("h"), F.concat(acc["out"], F.array(F.struct(v["window_id"].cast("bigint").alias("window_id"), h.alias("memory")))).alias("out"))
-
-    return rows.select("host", F.explode(F.aggregate("xs", start, step, lambda a: a["out"])).alias("m")).select("m.window_id", "host", "m.memory")
+    active windows, starting from 0. Unrolled it is a weighted sum over the windows
+    up to here, of which those whose weight no longer shows in a double are left out,
+    so that the frame is bounded however long a host's history is."""
+    reach = math.ceil(math.log(2**-60) / math.log(1 - alpha)) if 0 < alpha < 1 else 0
+    w = Window.partitionBy("host").orderBy("window_id").rowsBetween(-reach, 0)
+    fold = F.aggregate(F.collect_list(value).over(w), F.lit(0.0), lambda h, x: F.lit(alpha) * x + F.lit(1 - alpha) * h)
+    return means.select("window_id", "host", fold.alias("memory"))
 
 
 def roles_of(edges: DataFrame) -> DataFrame:

@@ -1,11 +1,11 @@
-"""Detection metrics of scored flows. ``keys`` groups every metric, for instance by
-experiment and seed; without keys the running sums take the distributed form."""
+"""Detection metrics of scored flows. ``keys`` (without nulls) groups every metric,
+for instance by experiment and seed; running sums are distributed either way."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import over, rates, ratio
@@ -24,12 +24,12 @@ def curve(scored: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     above, and pos, neg in all. Scores are aggregated before anything is ordered."""
     keys = list(keys)
     points = scored.groupBy(*keys, F.col(SCORE).alias("threshold")).agg(F.count_if(F.col(Y) == 1).alias("tp"), F.count_if(F.col(Y) == 0).alias("fp"))
-    if keys:
-        w = Window.partitionBy(*keys).orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-        all_ = Window.partitionBy(*keys)
-        return points.withColumns({"tps": F.sum("tp").over(w), "fps": F.sum("fp").over(w), "pos": F.sum("tp").over(all_), "neg": F.sum("fp").over(all_)})
     points = points.withColumn("less", -F.col("threshold"))
-    summed = running_sums(points, ["less"], ["tp", "fp"]).withColumnsRenamed({"cum_tp": "tps", "cum_fp": "fps"}).drop("less")
+    summed = running_sums(points, [*keys, "less"], ["tp", "fp"]).withColumnsRenamed({"cum_tp": "tps", "cum_fp": "fps"}).drop("less")
+    if keys:
+        # the sums run on over all keys: what came before a key's first score goes off
+        own = summed.groupBy(*keys).agg(F.min(F.col("tps") - F.col("tp")).alias("_t"), F.min(F.col("fps") - F.col("fp")).alias("_f"), F.sum("tp").alias("pos"), F.sum("fp").alias("neg"))
+        return summed.join(own, keys).withColumns({"tps": F.col("tps") - F.col("_t"), "fps": F.col("fps") - F.col("_f")}).drop("_t", "_f")
     return summed.crossJoin(F.broadcast(points.agg(F.sum("tp").alias("pos"), F.sum("fp").alias("neg"))))
 
 
@@ -148,7 +148,7 @@ def mean_score_by_class(scored: DataFrame) -> DataFrame:
 def apply_saved_thresholds(scored: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Metrics of each (experiment, seed) at its own saved threshold."""
     keys = ["experiment", "seed"]
-    joined = scored.join(F.broadcast(thresholds), keys)
+    joined = scored.join(thresholds, keys)
     return binary_metrics(joined, F.col("optimal_threshold"), keys=keys).join(thresholds, keys)
 
 
@@ -157,10 +157,11 @@ def rethreshold(scored: DataFrame, old: DataFrame) -> DataFrame:
     keys = ["experiment", "seed"]
     best = best_threshold_f1(pr_curve(curve(scored, keys)), keys).select(*keys, F.col("threshold").alias("optimal_threshold"))
     new = apply_saved_thresholds(scored, best)
-    before = apply_saved_thresholds(scored, old).select(*keys, *[F.col(c).alias(f"old_{c}") for c in ("optimal_threshold", "Precision", "Recall", "F1")])
+    counts = confusion_counts(scored.join(old, keys), F.col("optimal_threshold"), keys=keys).withColumns(rates()).join(old, keys)
+    before = counts.select(*keys, *[F.col(c).alias(f"old_{c}") for c in ("optimal_threshold", "Precision", "Recall", "F1")])
     return new.join(before, keys, "left")
 
 
 def evaluate_champions(scored: DataFrame, thresholds: DataFrame, champions: DataFrame) -> DataFrame:
     keys = ["experiment", "seed"]
-    return apply_saved_thresholds(scored.join(F.broadcast(champions.select(*keys)), keys, "left_semi"), thresholds)
+    return apply_saved_thresholds(scored.join(champions.select(*keys), keys, "left_semi"), thresholds)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import ATTACK, coerce_numeric, label_flag, log_features
 from ..schema import NUMERIC
+from .ranking import quantiles
 
 
 def drop_header_rows(raw: DataFrame, column: str = "Timestamp") -> DataFrame:
@@ -94,19 +95,20 @@ def labels_of_missing(rows: DataFrame, column: str, label: str = "Label") -> Dat
 
 
 def non_numeric_profile(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """column, n, values: the distinct texts of each column that are no numbers."""
+    """column, value, n: the distinct texts of each column that are no numbers."""
     long = rows.unpivot([], list(columns), "column", "value")
-    bad = long.where(F.col("value").isNotNull() & coerce_numeric("value").isNull()).groupBy("column", "value").agg(F.count("*").alias("n"))
-    return bad.groupBy("column").agg(F.sum("n").alias("n"), F.array_join(F.sort_array(F.collect_list("value")), "|").alias("values"))
+    return long.where(F.col("value").isNotNull() & coerce_numeric("value").isNull()).groupBy("column", "value").agg(F.count("*").alias("n"))
 
 
 def describe(rows: DataFrame, column: str, approximate: bool = False) -> DataFrame:
     """count, mean, std (sample), min, quartiles (linear), max."""
-    q = (lambda p: F.percentile_approx(column, p, 10_000)) if approximate else (lambda p: F.percentile(column, F.lit(p)))
-    return rows.agg(
-        F.count(column).alias("count"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"),
-        q(0.25).alias("p25"), q(0.5).alias("p50"), q(0.75).alias("p75"), F.max(column).alias("max"),
-    )
+    shares = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+    first = [F.count(column).alias("count"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min")]
+    last = F.max(column).alias("max")
+    if approximate:
+        return rows.agg(*first, *[F.percentile_approx(column, p, 10_000).alias(k) for k, p in shares.items()], last)
+    exact = quantiles(rows.groupBy(column).agg(F.count("*").alias("n")), column, shares)
+    return rows.agg(*first, last).crossJoin(exact).select("count", "mean", "std", "min", *shares, "max")
 
 
 def content_stats(edges: DataFrame, sample: int = 50) -> DataFrame:
@@ -116,7 +118,7 @@ def content_stats(edges: DataFrame, sample: int = 50) -> DataFrame:
     chosen = windows.orderBy(F.md5(F.col("window_id").cast("string")), "window_id").limit(sample)
     bad = F.exists("features", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     return (
-        edges.join(F.broadcast(chosen), "window_id", "left_semi")
+        edges.join(chosen, "window_id", "left_semi")
         .groupBy("window_id")
         .agg(F.count("*").alias("flows"), F.sum("y").alias("attacks"), (F.sum("y") * 100.0 / F.count("*")).alias("attack_pct"), F.count_if(bad).alias("bad"))
     )

@@ -7,17 +7,20 @@ within the partition does the rest.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local one only where the session names none."""
+    """The folder of spark.checkpoint.dir; a local one where a local session names none."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -56,3 +59,22 @@ def running_sums(rows: DataFrame, order: list, values: list[str]) -> DataFrame:
     w = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = parts.join(offsets(parts, {v: F.sum(v) for v in values}), "part")
     return out.withColumns({f"cum_{v}": F.sum(v).over(w) + F.col(f"{v}_before") for v in values}).drop("part", *[f"{v}_before" for v in values])
+
+
+def quantiles(counts: DataFrame, value: str, shares: dict[str, float], keys: list[str] = ()) -> DataFrame:
+    """Exact quantiles (linear between neighbours) of values with their counts ``n``,
+    by keys without nulls: one column for each name in ``shares``. The values are
+    ranked in ranges, so no task holds those of a key."""
+    keys = list(keys)
+    summed = running_sums(counts.where(F.col(value).isNotNull()), [*keys, value], ["n"])
+    own = summed.groupBy(*keys).agg(F.min(F.col("cum_n") - F.col("n")).alias("_before"), F.sum("n").alias("_all"))
+    rows = summed.join(own, keys) if keys else summed.crossJoin(F.broadcast(own))
+    upto = F.col("cum_n") - F.col("_before")
+
+    def at(place: Column) -> Column:
+        return F.min(F.when(upto > place, F.col(value)))
+
+    place = {k: F.lit(p) * (F.col("_all") - 1) for k, p in shares.items()}
+    both = rows.groupBy(*keys).agg(F.max("_all").alias("_all"), *[c for k in shares for c in (at(F.floor(place[k])).alias(f"{k}_lo"), at(F.ceil(place[k])).alias(f"{k}_hi"))])
+    part = {k: place[k] - F.floor(place[k]) for k in shares}
+    return both.select(*keys, *[(F.col(f"{k}_lo") + part[k] * (F.col(f"{k}_hi") - F.col(f"{k}_lo"))).alias(k) for k in shares])

@@ -8,15 +8,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import INTERNAL, at_least_zero, canonical_tactic, mitre_tactic, rates, ratio, ttd_interpretation, ttd_quality
+from .ranking import shared_table
 
 TACTIC, IDX = "MITRE_Tactic_Base", "Graph_Window_Idx"
 LATERAL = "Lateral Movement"
 
 
 def member(flows: DataFrame, ip: str, ips: DataFrame, name: str) -> DataFrame:
-    """``name``: whether ``ip`` is in the list. Watch lists are small; they are
-    joined by broadcast."""
-    marks = F.broadcast(ips.select(F.col("ip").alias(ip)).distinct().withColumn(name, F.lit(True)))
+    """``name``: whether ``ip`` is in the list. How the list is joined follows
+    from its size."""
+    marks = ips.select(F.col("ip").alias(ip)).distinct().withColumn(name, F.lit(True))
     return flows.join(marks, ip, "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
@@ -154,25 +155,34 @@ def early_warning(hits: DataFrame, seconds: int = 30) -> DataFrame:
 def lateral_movement_pairs(hits: DataFrame, seconds: int = 30) -> DataFrame:
     """For each pair in lateral movement: when it began, the earliest alert that
     touches either host up to then, its commonest tactic, who triggered it, and
-    what is known of the victim. Alerts are reduced by (window, ends, tactic), and
-    the OR over ends is an equi-join on a host key: first only the earliest window
-    of each host is looked up, then only that window is joined."""
-    small = hits.groupBy(IDX, "Source_IP", "Dest_IP", TACTIC).agg(F.count("*").alias("n"))
+    what is known of the victim. Alerts are aggregated by host, window and tactic
+    before pairs look them up, so a scanner's victims never meet its alerts one by
+    one: what touches either end is what touches the one and the other, less what
+    runs between the two."""
+    small = shared_table(hits.groupBy(IDX, "Source_IP", "Dest_IP", TACTIC).agg(F.count("*").alias("n")))
     pairs = small.where(F.col(TACTIC) == LATERAL).groupBy(F.col("Source_IP").alias("a"), F.col("Dest_IP").alias("v")).agg(F.min(IDX).alias("lm_idx"))
-    seen = small.select(IDX, F.explode(F.array("Source_IP", "Dest_IP")).alias("host")).groupBy("host").agg(F.min(IDX).alias("first_idx"))
+    ends = F.array_distinct(F.array(F.struct(F.col("Source_IP").alias("host")), F.struct(F.col("Dest_IP").alias("host"))))
+    touched = shared_table(small.select(IDX, TACTIC, "n", F.explode(ends).alias("e")).groupBy("e.host", IDX, TACTIC).agg(F.sum("n").alias("n")))
+    seen = touched.groupBy("host").agg(F.min(IDX).alias("first_idx"))
     # a pair's own lateral movement touches both hosts, so the earliest alert is never later
-    both = pairs.join(seen.toDF("a", "fa"), "a").join(seen.toDF("v", "fv"), "v").withColumn("first_idx", F.least("fa", "fv"))
-    ends = small.select(IDX, "Source_IP", "Dest_IP", TACTIC, "n", F.explode(F.array_distinct(F.array("Source_IP", "Dest_IP"))).alias("host"))
-    keyed = both.select("a", "v", "lm_idx", "first_idx", F.explode(F.array_distinct(F.array("a", "v"))).alias("host"))
-    early = keyed.join(ends, (keyed["host"] == ends["host"]) & (keyed["first_idx"] == ends[IDX])).drop(ends["host"]).dropDuplicates(["a", "v", IDX, "Source_IP", "Dest_IP", TACTIC])
-    touches = lambda c: (F.col("Source_IP") == F.col(c)) | (F.col("Dest_IP") == F.col(c))
-    names = lambda test, c: F.array_join(F.array_sort(F.collect_set(F.when(test, F.col(c)))), ", ")
+    both = shared_table(pairs.join(seen.toDF("a", "fa"), "a").join(seen.toDF("v", "fv"), "v").select("a", "v", "lm_idx", F.least("fa", "fv").alias("first_idx")))
     keys = ["a", "v", "lm_idx", "first_idx"]
-    facts = early.groupBy(*keys).agg(
-        F.max(touches("a")).alias("by_a"), F.max(touches("v")).alias("by_v"),
-        names(F.col("Dest_IP") == F.col("v"), "Source_IP").alias("received"), names(F.col("Source_IP") == F.col("v"), "Dest_IP").alias("started"),
-    )
-    mode = early.groupBy(*keys, TACTIC).agg(F.sum("n").alias("n")).groupBy(*keys).agg(F.min(F.struct((-F.col("n")).alias("less"), TACTIC)).alias("m"))
+
+    def at_end(host: str) -> DataFrame:
+        return both.join(touched.withColumnsRenamed({"host": host, IDX: "first_idx"}), [host, "first_idx"]).select(*keys, TACTIC, "n", F.lit(host).alias("side"))
+
+    # alerts between the ends count at both of them
+    low, high = F.least("Source_IP", "Dest_IP").alias("low"), F.greatest("Source_IP", "Dest_IP").alias("high")
+    between = small.where("Source_IP != Dest_IP").groupBy(F.col(IDX).alias("first_idx"), low, high, TACTIC).agg(F.sum("n").alias("n"))
+    off = both.withColumns({"low": F.least("a", "v"), "high": F.greatest("a", "v")}).join(between, ["first_idx", "low", "high"]).select(*keys, TACTIC, (-F.col("n")).alias("n"), F.lit("both").alias("side"))
+    early = shared_table(at_end("a").union(at_end("v").where("a != v")).union(off))
+    by = early.groupBy(*keys).agg(F.max(F.col("side") == "a").alias("by_a"), F.max((F.col("side") == "v") | (F.col("a") == F.col("v"))).alias("by_v"))
+    total = early.groupBy(*keys, TACTIC).agg(F.sum("n").alias("n")).where("n > 0")
+    mode = total.groupBy(*keys).agg(F.min(F.struct((-F.col("n")).alias("less"), TACTIC)).alias("m"))
+    # the sources of a host's first alerts, and the destinations
+    at = lambda end, host: small.select(F.col(host).alias("v"), F.col(IDX).alias("first_idx"), F.col(end).alias("peer")).distinct().groupBy("v", "first_idx").agg(F.array_join(F.array_sort(F.collect_list("peer")), ", ").alias(end))
+    known = both.select(*keys).join(at("Source_IP", "Dest_IP").withColumnRenamed("Source_IP", "received"), ["v", "first_idx"], "left").join(at("Dest_IP", "Source_IP").withColumnRenamed("Dest_IP", "started"), ["v", "first_idx"], "left")
+    facts = by.join(known.fillna("", ["received", "started"]), keys)
     detail = F.when(~F.col("by_v"), "").when(F.col("received") != "", F.concat(F.lit("Attacked by: "), "received")).otherwise(F.concat(F.lit("Beaconing towards: "), "started"))
     who = F.array_join(F.array(F.when(F.col("by_a"), F.concat(F.lit("Attack_LM ("), "a", F.lit(")"))), F.when(F.col("by_v"), F.concat(F.lit("Victim_LM ("), "v", F.lit(")")))), " and ")
     m = seconds / 60

@@ -147,6 +147,7 @@ def tactic_sql() -> str:
  WHEN {att} THEN '4. External Malicious Infrastructure Communication' ELSE 'Unknown Malicious Activity' END"""
 
 
+# Tactic names and their short forms.
 BASE_SQL = """CASE WHEN starts_with(MITRE_Tactic, '1. Initial Access') THEN 'Initial Access' WHEN starts_with(MITRE_Tactic, '2. Command & Control') THEN 'Command & Control'
  WHEN starts_with(MITRE_Tactic, '3. Lateral Movement') THEN 'Lateral Movement' WHEN starts_with(MITRE_Tactic, '3. Discovery') THEN 'Discovery'
  WHEN starts_with(MITRE_Tactic, '3. Internal Malicious Activity') THEN 'Internal Malicious Activity'

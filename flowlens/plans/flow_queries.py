@@ -395,7 +395,7 @@ def _(t):
     return profile.labels_of_missing(t.raw(), "flow_byts")
 
 
-@query("a12_non_numeric_profile", duck("SELECT c AS \"column\", CAST(sum(n) AS BIGINT) AS n, string_agg(v, '|' ORDER BY v) AS values FROM (SELECT c, v, count(*) AS n FROM (SELECT 'flow_byts' AS c, flow_byts AS v FROM raw UNION ALL SELECT 'Label', Label FROM raw) WHERE v IS NOT NULL AND TRY_CAST(v AS DOUBLE) IS NULL GROUP BY 1, 2) GROUP BY 1", "raw"))
+@query("a12_non_numeric_profile", duck("SELECT c AS \"column\", v AS value, count(*) AS n FROM (SELECT 'flow_byts' AS c, flow_byts AS v FROM raw UNION ALL SELECT 'Label', Label FROM raw) WHERE v IS NOT NULL AND TRY_CAST(v AS DOUBLE) IS NULL GROUP BY 1, 2", "raw"))
 def _(t):
     return profile.non_numeric_profile(t.raw(), ["flow_byts", "Label"])
 
@@ -492,13 +492,17 @@ def _(t):
     return io.read_run_log(t.spark, path).select("model_name", "Seed", "F1_Score", "Best_Epoch")
 
 
-@query("s11_read_metric_logs", duck("SELECT 'd=' || replace(Architecture, ' ', '_') AS experiment, CAST(Seed AS INTEGER) AS seed, round(F1_Score, 6) AS f1, CASE WHEN Architecture = '1-URGENT' THEN 'Simple MLP' ELSE 'd=' || replace(Architecture, ' ', '_') END AS \"Model\" FROM runs", "runs"))
+@query("s11_read_metric_logs", duck("SELECT 'd=' || replace(Architecture, ' ', '_') AS experiment, CAST(Seed AS INTEGER) AS seed, round(F1_Score, 6) AS f1, CASE WHEN Seed % 2 = 1 THEN round(Best_Epoch / 64.0e0, 6) END AS recall, CASE WHEN Architecture = '1-URGENT' THEN 'Simple MLP' ELSE 'd=' || replace(Architecture, ' ', '_') END AS \"Model\" FROM runs", "runs"))
 def _(t):
     path = _path(t, "metric-logs")
-    rows = t.runs().select(F.translate("Architecture", " ", "_").alias("d"), F.col("F1_Score").alias(" F1 "), F.col("Seed").alias("Seed "))
-    rows.write.partitionBy("d").option("header", True).csv(path)
+    # two kinds of files: headers in other order, other case, other names
+    runs = t.runs().select(F.translate("Architecture", " ", "_").alias("d"), "F1_Score", "Seed", (F.col("Best_Epoch") / 64).alias("part"))
+    one = runs.where("Seed % 2 = 0").select("d", F.col("F1_Score").alias(" F1 "), F.col("Seed").alias("Seed "))
+    two = runs.where("Seed % 2 = 1").select("d", F.concat(F.lit("net_seed"), "Seed").alias("Model_Name"), F.col("part").alias("Recall"), F.col("F1_Score").alias("best F1"))
+    for rows in (one, two):
+        rows.write.partitionBy("d").mode("append").option("header", True).option("maxRecordsPerFile", 50_000).csv(path)
     names = t.spark.createDataFrame([("d=1-URGENT", "Simple MLP")], "experiment string, name string")
-    return io.read_metric_logs(t.spark, path, names, "part-*.csv").select("experiment", "seed", "f1", "Model")
+    return io.read_metric_logs(t.spark, path, names, "part-*.csv").select("experiment", "seed", "f1", "recall", "Model")
 
 
 @query("s12_thresholds_round_trip", duck("SELECT Architecture AS experiment, CAST(Seed AS INTEGER) AS seed, round(F1_Score, 6) AS optimal_threshold FROM runs", "runs"))

@@ -295,9 +295,12 @@ _BEST = """SELECT experiment, seed, t AS optimal_threshold FROM (SELECT *, row_n
  SELECT experiment, seed, t, tps / CAST(tps + fps AS DOUBLE) AS p, tps / CAST(pos AS DOUBLE) AS r FROM (SELECT *, sum(a) OVER w AS tps, sum(b) OVER w AS fps, sum(a) OVER (PARTITION BY experiment, seed) AS pos FROM (SELECT experiment, seed, Probability AS t, count(*) FILTER (y_real = 1) AS a, count(*) FILTER (y_real = 0) AS b FROM sd GROUP BY 1, 2, 3) WINDOW w AS (PARTITION BY experiment, seed ORDER BY t DESC)))) WHERE k = 1"""
 
 
-@query("e15_rethreshold", duck(_KEYED, "windowed", sd=SEEDED, th=_BEST, ct=GROUPED.format("th"), rt=RATES.format("ct")))
+_OLD = "SELECT n.*, round(o.optimal_threshold, 6) AS old_optimal_threshold, round(o.p, 6) AS \"old_Precision\", round(o.r, 6) AS \"old_Recall\", round(CASE WHEN o.p + o.r > 0 THEN 2 * o.p * o.r / (o.p + o.r) ELSE 0 END, 6) AS \"old_F1\" FROM nw n JOIN rto o USING (experiment, seed)"
+
+
+@query("e15_rethreshold", duck(_OLD, "windowed", sd=SEEDED, th=_BEST, ct=GROUPED.format("th"), rt=RATES.format("ct"), nw=_KEYED, ths=SAVED, cto=GROUPED.format("ths"), rto=RATES.format("cto")))
 def _(t):
-    return metrics.rethreshold(*seeded(t)).select(*_COLS)
+    return metrics.rethreshold(*seeded(t)).select(*_COLS, "old_optimal_threshold", "old_Precision", "old_Recall", "old_F1")
 
 
 @query("e16_evaluate_champions", duck(_KEYED.replace("FROM rt", "FROM rt WHERE seed = 2"), "windowed", sd=SEEDED, th=SAVED, ct=GROUPED.format("th"), rt=RATES.format("ct")))
@@ -590,12 +593,11 @@ def _(t):
     r = t.runs()
     # numbers of runs in one file: the files grow in number, not in length
     h = r.select(F.concat(F.lit("exp_"), "Architecture").alias("d"), F.expr("Seed div 5000").alias("part"), F.to_json(F.struct(F.col("Architecture").alias("experiment_name"), F.col("Seed").alias("seed"), F.struct(F.array(F.col("F1_Score")).alias("train_loss")).alias("training"), F.struct(F.col("Best_Epoch").alias("best_epoch")).alias("early_stopping"))).alias("value"))
-    # one JSON document to a file, one directory to an experiment's runs of one range
+    # one JSON document to a file, one directory to an experiment
     docs = h.groupBy("d", "part").agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("value"))
-    docs.withColumn("experiment", F.regexp_replace("d", "[^A-Za-z0-9_-]", " ")).select("value", "experiment", "part").write.partitionBy("experiment", "part").text(path)
-    out = t.spark.read.schema(io.schema.HISTORY).option("multiLine", True).json(f"{path}/*/*/part-*")
-    name = F.url_decode(F.regexp_extract("_metadata.file_path", "/experiment=([^/]*)/", 1))
-    return out.select(name.alias("experiment"), "seed", F.col("early_stopping.best_epoch").alias("best_epoch"))
+    docs.select("value", "d").write.partitionBy("d").option("maxRecordsPerFile", 1).text(path)
+    out = io.read_histories(t.spark, path, "part-*")
+    return out.select(F.substring(F.url_decode("experiment"), 3, 1000).alias("experiment"), "seed", F.col("early_stopping.best_epoch").alias("best_epoch"))
 
 
 # models and streams: no SQL form ---------------------------------------------------
@@ -604,7 +606,7 @@ def _(t):
 def examples(t):
     w = t.windowed()
     s = windows.split_by_window(w, windows.split_limits(t.flows()), HOUR)
-    return s.select("split", "window_id", "flow_ord", SRC, DST, "Port_Category", "y_real", F.col("y_real").alias("y"), C.edge_features().alias("features"))
+    return s.select("split", "window_id", "flow_ord", SRC, DST, "Port_Category", "IN_BYTES", "PROTOCOL", "y_real", F.col("y_real").alias("y"), C.edge_features().alias("features"))
 
 
 def evaluated(t, model, rows):
@@ -643,25 +645,40 @@ def _(t):
     return evaluated(t, ml.train_edge_mlp(e.where("split = 'train'")), e)
 
 
+def in_context(e):
+    """Flows with what their ends' entropy, neighbourhood means and memory say, and the names of these columns."""
+    hosts = graph.port_entropy(e).withColumnRenamed("ip", "host")
+    means = ranking.shared_table(graph.neighbour_mean(e, hosts, ["IN_BYTES", "PROTOCOL"], SRC, DST))
+    memory = graph.host_memory(means, "out_PROTOCOL")
+    hosts = hosts.join(means, ["window_id", "host"]).join(memory, ["window_id", "host"])
+    rich = graph.edge_representation(e, hosts, SRC, DST)
+    return rich, [f"{end}_{c}" for end in ("src", "dst") for c in hosts.columns if c not in ("window_id", "host")]
+
+
 @query("m05_train_context_forest")
 def _(t):
-    e = examples(t)
-    h = graph.port_entropy(e)
-    of = lambda ip, c: h.select("window_id", F.col("ip").alias(ip), c)
-    rich = e.join(of(SRC, "out_entropy"), ["window_id", SRC]).join(of(DST, "in_entropy"), ["window_id", DST])
-    rich = t.saved(ml.context_features(rich, ["out_entropy", "in_entropy"]))
+    rich = t.saved(ml.context_features(*in_context(t.saved(examples(t)))))
     return evaluated(t, ml.train_forest(rich.where("split = 'train'")), rich)
 
 
+FILES = 4
+
+
 def streamed(t, source, build, sort="ts", mode="append"):
-    """Run ``build`` as a stream over ``source``, written in the order of time to a
-    few files that arrive one by one, and return what it wrote."""
+    """Run ``build`` as a stream over ``source``, written in the order of ``sort`` to
+    ``FILES`` files that arrive one by one, each a micro-batch, and return what it
+    wrote and the groups that it dropped as late, by Spark's own count."""
     root = f"{ranking.shared_root(t.spark)}/stream-{uuid.uuid4().hex}"
-    source.repartitionByRange(4, sort).sortWithinPartitions(sort).write.parquet(f"{root}/in")
-    stream = t.spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 4).parquet(f"{root}/in")
+    cuts = source.select(F.percentile_approx(F.col(sort), [i / FILES for i in range(1, FILES)], 1000)).first()[0] or []
+    number = sum((F.when(F.col(sort) > F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0))
+    parts = t.saved(source.withColumn("file", number))
+    for i in range(FILES):  # one after the other, as a stream takes older files first
+        parts.where(F.col("file") == i).drop("file").coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = t.spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
     q = build(stream).writeStream.outputMode(mode).format("parquet").option("checkpointLocation", f"{root}/state").option("path", f"{root}/out").trigger(availableNow=True).start()
     q.awaitTermination()
-    return t.spark.read.parquet(f"{root}/out")
+    late = sum(s.numRowsDroppedByWatermark for p in q.recentProgress for s in p.stateOperators)
+    return t.spark.read.parquet(f"{root}/out"), late
 
 
 def timed(t):
@@ -675,13 +692,13 @@ EPOCH = "FLOW_START_MILLISECONDS // 300000 * 300000"
 
 @query("st01_stream_windows", duck(f"SELECT w AS window_ms, flows, attacks FROM (SELECT {EPOCH} AS w, count(*) AS flows, count(*) FILTER (Attack = 'Infilteration') AS attacks FROM windowed GROUP BY 1) WHERE {CLOSED}", "windowed"))
 def _(t):
-    out = streamed(t, timed(t), lambda s: streams.stream_windows(s, 300))
+    out, _ = streamed(t, timed(t), lambda s: streams.stream_windows(s, 300))
     return out.select(F.unix_millis("window_start").alias("window_ms"), "flows", "attacks")
 
 
 @query("st02_stream_port_entropy", duck(f"SELECT w AS window_ms, ip, round(greatest(-sum(n / t * log2(n / t)), 0), 6) AS entropy FROM (SELECT *, sum(n) OVER (PARTITION BY w, ip) AS t FROM (SELECT {EPOCH} AS w, IPV4_SRC_ADDR AS ip, Port_Category, CAST(count(*) AS DOUBLE) AS n FROM windowed GROUP BY 1, 2, 3)) WHERE {CLOSED} GROUP BY 1, 2", "windowed"))
 def _(t):
-    out = streamed(t, timed(t), lambda s: streams.stream_port_entropy(s, 300))
+    out, _ = streamed(t, timed(t), lambda s: streams.stream_port_entropy(s, 300))
     return out.select(F.unix_millis("window_start").alias("window_ms"), "ip", "entropy")
 
 
@@ -689,18 +706,18 @@ def _(t):
 def _(t):
     cols = ["Graph_Window_Idx", "Source_IP", "Dest_IP", "Port_Category", "y_real", "Probability"]
     s = t.scored().withColumn("ts", F.timestamp_millis("FLOW_START_MILLISECONDS")).select("ts", *cols)
-    out = streamed(t, s, lambda x: streams.stream_alerts(x, t.ips(C2), t.ips(ATTACKERS), THRESHOLD))
+    out, _ = streamed(t, s, lambda x: streams.stream_alerts(x, t.ips(C2), t.ips(ATTACKERS), THRESHOLD))
     return out.groupBy("Graph_Window_Idx", "Source_IP", "Dest_IP", "MITRE_Tactic_Base").agg(F.count("*").alias("n"))
 
 
-@query("st05_stream_instances")
+@query("st05_stream_instances", duck(f"SELECT i.MITRE_Tactic_Base, start_idx, end_idx, count(*) AS flows FROM i JOIN gt g ON g.MITRE_Tactic_Base = i.MITRE_Tactic_Base AND {G} BETWEEN start_idx AND end_idx WHERE end_idx * {HOUR} + 5.5 * {HOUR} <= (SELECT max({G}) FROM gt) * {HOUR} - 60 GROUP BY 1, 2, 3", "gt", i=INSTANCES))
 def _(t):
     g = threat.gt(t.events()).select(F.timestamp_millis(F.col(threat.IDX) * (HOUR * 1000)).alias("ts"), threat.TACTIC)
-    out = streamed(t, g, lambda s: streams.stream_instances(s, HOUR))
+    out, _ = streamed(t, g, lambda s: streams.stream_instances(s, HOUR))
     return out.select(threat.TACTIC, (F.unix_seconds("start_ts") / HOUR).cast("long").alias("start_idx"), (F.unix_seconds("end_ts") / HOUR).cast("long").alias("end_idx"), "flows")
 
 
-@query("st03_stream_host_memory")
+@query("st03_stream_host_memory", duck("SELECT host, window_id, round(sum(x * 0.5 * pow(0.5, r - q)), 6) AS memory FROM (SELECT a.window_id, a.host, a.r, b.q, b.x FROM m a JOIN (SELECT host, x, r AS q FROM m) b ON a.host = b.host AND b.q <= a.r AND b.q > a.r - 60) GROUP BY 1, 2", "windowed", m="SELECT IPV4_SRC_ADDR AS host, window_id, avg(PROTOCOL) AS x, row_number() OVER (PARTITION BY IPV4_SRC_ADDR ORDER BY window_id) AS r FROM windowed GROUP BY 1, 2"))
 def _(t):
     w = t.windowed()
     key, provider = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -708,16 +725,18 @@ def _(t):
     t.spark.conf.set(key, provider)
     try:
         x = w.groupBy(F.col(SRC).alias("host"), "window_id").agg(F.avg("PROTOCOL").alias("x"))
-        return streamed(t, x, streams.stream_host_memory, sort="window_id")
+        return streamed(t, x, streams.stream_host_memory, sort="window_id")[0]
     finally:
         t.spark.conf.set(key, before)
 
 
 @query("st06_late_data")
 def _(t):
-    """Rows of the first file that carry an hour-old time once later files have
-    moved the watermark are dropped; the batch form keeps them."""
-    late = timed(t).withColumn("order", F.col("ts") + F.expr("CASE WHEN hash(ts, y_real) % 7 = 0 THEN INTERVAL 2 DAYS ELSE INTERVAL 0 DAYS END"))
-    out = streamed(t, late, lambda s: streams.stream_windows(s.drop("order"), 300), sort="order")
-    return out.agg(F.sum("flows").alias("kept")).crossJoin(late.agg(F.count("*").alias("sent")))
+    """Rows that arrive twelve days after their time are dropped once the batch before
+    has moved the watermark past it: flows sent, kept in closed windows, and
+    late ones, with Spark's own count of the groups that these made up."""
+    late = timed(t).withColumn("order", F.col("ts") + F.expr("CASE WHEN hash(ts, y_real) % 7 = 0 THEN INTERVAL 12 DAYS ELSE INTERVAL 0 DAYS END"))
+    out, dropped = streamed(t, late, lambda s: streams.stream_windows(s.drop("order"), 300), sort="order")
+    sent = late.agg(F.count("*").alias("sent"), F.count_if(F.col("order") != F.col("ts")).alias("delayed"))
+    return out.agg(F.sum("flows").alias("kept")).crossJoin(sent).withColumn("dropped_groups", F.lit(dropped).cast("long"))
 

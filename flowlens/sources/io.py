@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import csv
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema
+from ..functions.columns import extract_seed
+
+#: What is read of a metric log.
+LOG = ("seed", "name", "f1", "precision", "recall", "optimal_threshold")
 
 
 def read_flows(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -71,21 +77,41 @@ def read_run_log(spark: SparkSession, log: str) -> DataFrame:
     return spark.read.option("mergeSchema", True).parquet(log)
 
 
-def read_histories(spark: SparkSession, folder: str) -> DataFrame:
-    """Histories under one directory for each experiment; experiment is the directory's name."""
-    out = spark.read.schema(schema.HISTORY).option("multiLine", True).json(f"{folder}/*/*.json")
+def read_histories(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFrame:
+    """Histories, one JSON document (or a list of them) to a file, under one directory
+    for each experiment; experiment is the directory's name."""
+    out = spark.read.schema(schema.HISTORY).option("multiLine", True).json(f"{folder}/*/{pattern}")
     return out.withColumn("experiment", F.element_at(F.split("_metadata.file_path", "/"), -2))
 
 
 def read_metric_logs(spark: SparkSession, folder: str, names: DataFrame, pattern: str = "metrics_newth_*.csv") -> DataFrame:
-    """All metrics_newth_*.csv, column names lower-cased and trimmed, with the display name of the experiment."""
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(f"{folder}/*/{pattern}")
-    clean = {c: c.strip().lower() for c in raw.columns}
-    out = raw.withColumn("experiment", F.element_at(F.split("_metadata.file_path", "/"), -2)).withColumnsRenamed(clean)
-    out = out.withColumns({c: F.col(c).try_cast("double") for c in ("f1", "precision", "recall", "optimal_threshold") if c in out.columns})
-    if "seed" in out.columns:
-        out = out.withColumn("seed", F.col("seed").try_cast("int"))
-    return out.join(F.broadcast(names.toDF("experiment", "_m")), "experiment", "left").withColumn("Model", F.coalesce("_m", "experiment")).drop("_m")
+    """experiment, seed, f1, precision, recall, optimal_threshold and Model (the
+    display name) of all logs. A file's own header says what its columns are: names
+    count without case and outer blanks, those that a file lacks are null. The seed
+    is its own column, or stands in the model's name (the first column, if none is
+    called model_name); score and threshold are the first columns whose names hold
+    f1 and th."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for text, path in zip(batch["value"], batch["path"], strict=True):
+                rows = [r for r in csv.reader(text.splitlines()) if r]
+                if len(rows) < 2:
+                    continue
+                head = [c.strip().lower() for c in rows[0]]
+                # the first of equal names counts
+                at = {c: i for i, c in reversed(list(enumerate(head)))}
+                first = lambda part: next((i for i, c in enumerate(head) if part in c), None)  # noqa: B023, E731
+                places = [at.get("seed"), at.get("model_name", 0), first("f1"), at.get("precision"), at.get("recall"), first("th")]
+                out = [[r[i] if i is not None and i < len(r) else None for i in places] for r in rows[1:]]
+                yield pd.DataFrame(out, columns=LOG, dtype=object).assign(path=path)
+
+    files = spark.read.text(f"{folder}/*/{pattern}", wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    raw = files.mapInPandas(run, ", ".join(f"{c} string" for c in (*LOG, "path")))
+    number = lambda c: F.trim(c).try_cast("double").alias(c)
+    seed = F.coalesce(F.trim("seed").try_cast("int"), extract_seed("name")).alias("seed")
+    out = raw.select(F.element_at(F.split("path", "/"), -2).alias("experiment"), seed, *[number(c) for c in LOG[2:]])
+    return out.join(names.toDF("experiment", "_m"), "experiment", "left").withColumn("Model", F.coalesce("_m", "experiment")).drop("_m")
 
 
 def save_thresholds(thresholds: DataFrame, path: str) -> None:

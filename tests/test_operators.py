@@ -217,3 +217,83 @@ def test_plans_stay_native(spark):
         p = plan(df)
         assert "CartesianProduct" not in p and "BatchEvalPython" not in p and "ArrowEvalPython" not in p
     assert "PushedFilters: [IsNotNull(FLOW_START_MILLISECONDS)" in plan(windows.slice_day(t.saved(t.flows()), "2024-01-03"))
+
+
+def test_metric_logs_by_their_own_headers(spark, tmp_path):
+    files = {
+        "a/metrics_newth_1.csv": "seed,f1,precision\n1,0.9,0.1\n",
+        "a/metrics_newth_2.csv": "precision, Seed ,F1,recall\n0.2,2,0.8,0.7\n",
+        "b/metrics_newth_3.csv": "Model_Name,Best_F1,Optimal_Threshold\n\"net, seed_7\",0.6,0.3\nno number,0.5,x\n",
+        "b/metrics_newth_4.csv": "run,threshold\nmlp_seed12,0.4\n",
+        "b/metrics_newth_5.csv": "",
+        "b/other.csv": "seed,f1\n9,9\n",
+    }
+    for name, text in files.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    names = spark.createDataFrame([("a", "Model A")], "experiment string, name string")
+    out = sorted((tuple(r) for r in io.read_metric_logs(spark, f"file://{tmp_path}", names).collect()), key=str)
+    assert out == sorted([
+        ("a", 1, 0.9, 0.1, None, None, "Model A"), ("a", 2, 0.8, 0.2, 0.7, None, "Model A"), ("b", 7, 0.6, None, None, 0.3, "b"),
+        ("b", None, 0.5, None, None, None, "b"), ("b", 12, None, None, None, 0.4, "b"),
+    ], key=str)
+
+
+def test_lateral_movement_of_one_scanner(spark):
+    """A scanner with many victims and many first alerts: the rows of no step grow with their product."""
+    victims, alerts = 300, 400
+    rows = [(0, "scan", f"d{i}", "Discovery" if i % 3 else "Initial Access") for i in range(alerts)] + [(5, "scan", f"v{i}", "Lateral Movement") for i in range(victims)]
+    rows += [(0, "scan", "v0", "Discovery"), (0, "v1", "scan", "Initial Access"), (0, "x", "v2", "Initial Access"), (0, "v2", "v2", "Lateral Movement"), (0, "w", "w", "Lateral Movement")]
+    hits = spark.createDataFrame([(i, s, d, t, 1) for i, s, d, t in rows], f"{threat.IDX} long, Source_IP string, Dest_IP string, {threat.TACTIC} string, n int")
+    out = {(r["LM_Source"], r["LM_Dest"]): r for r in threat.lateral_movement_pairs(hits, 60).collect()}
+    assert len(out) == victims + 2
+    pairs = {}
+    for i, s, d, t in rows:
+        if t == "Lateral Movement":
+            pairs[s, d] = min(i, pairs.get((s, d), i))
+    for (a, v), lm in pairs.items():
+        hist = [r for r in rows if r[0] <= lm and {r[1], r[2]} & {a, v}]
+        first = min(r[0] for r in hist)
+        early = [r for r in hist if r[0] == first]
+        count = {t: sum(r[3] == t for r in early) for t in {r[3] for r in early}}
+        got = out[a, v]
+        assert (got["First_Alert_Min"], got["Lateral_Movement_Min"]) == (first, lm)
+        assert got["Early_Warning_Tactic"] == min(count, key=lambda t: (-count[t], t))
+        by = [n for n, h in ((f"Attack_LM ({a})", a), (f"Victim_LM ({v})", v)) if any(h in r[1:3] for r in early)]
+        assert got["Alert_Caused_By"] == " and ".join(by)
+        received, started = (sorted({r[x] for r in early if r[y] == v}) for x, y in ((1, 2), (2, 1)))
+        want = "" if len(by) == 1 and by[0].startswith("Attack") else f"Attacked by: {', '.join(received)}" if received else f"Beaconing towards: {', '.join(started)}"
+        assert got["Forensic_Detail"] == want
+
+
+def test_quantiles_are_those_of_numpy(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice("ab"), rng.choice([1.0, 2.5, 2.5, 7.0, 11.0, 40.0])) for _ in range(101)] + [("c", 3.0), ("d", None)]
+    counts = spark.createDataFrame(rows, "k string, x double").groupBy("k", "x").agg(F.count("*").alias("n"))
+    shares = {"lo": 0.1, "mid": 0.5, "hi": 0.9}
+    got = {r["k"]: r for r in ranking.quantiles(counts, "x", shares, ["k"]).collect()}
+    assert sorted(got) == ["a", "b", "c"]
+    for k in got:
+        assert np.allclose([got[k][n] for n in shares], np.quantile([x for a, x in rows if a == k], list(shares.values())))
+    assert math.isclose(ranking.quantiles(counts.groupBy("x").agg(F.sum("n").alias("n")), "x", {"m": 0.3}).first()["m"], np.quantile([x for _, x in rows if x is not None], 0.3))
+
+
+def test_keyed_curves_are_those_of_each_key(spark):
+    rng = random.Random(6)
+    rows = [(e, s, rng.randint(0, 30) / 30, rng.randint(0, 1)) for e in "ab" for s in (1, 2, 3) for _ in range(40)]
+    scored = spark.createDataFrame(rows, "experiment string, seed int, Probability double, y_real int")
+    keyed = sorted(tuple(r[c] for c in ("experiment", "seed", "threshold", "tps", "fps", "pos", "neg")) for r in metrics.curve(scored, ["experiment", "seed"]).collect())
+    for e, s in {k[:2] for k in keyed}:
+        part = metrics.curve(scored.where((F.col("experiment") == e) & (F.col("seed") == s)))
+        assert sorted(tuple(r[c] for c in ("threshold", "tps", "fps", "pos", "neg")) for r in part.collect()) == [k[2:] for k in keyed if k[:2] == (e, s)]
+
+
+def test_late_rows_are_dropped_and_counted(spark):
+    r = report_queries.query.__globals__["QUERIES"]["st06_late_data"](spark, SF).first()
+    assert r["dropped_groups"] > 0 and 0 < r["sent"] - r["kept"] <= r["delayed"] + 5
+
+
+def test_context_of_hosts(spark):
+    e, names = report_queries.in_context(report_queries.examples(Tables(spark, SF)).limit(500))
+    assert {f"{end}_{c}" for end in ("src", "dst") for c in ("out_entropy", "in_entropy", "out_IN_BYTES", "in_PROTOCOL", "memory")} <= set(names)
+    assert ml.context_features(e, names).select(F.size("features").alias("n")).distinct().collect() == [(32 + len(names),)]
