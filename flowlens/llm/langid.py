@@ -260,12 +260,12 @@ def label(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
 
 
 def held_out() -> Column:
-    return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """Fit on the rows that are not held out, label all rows."""
-    model = fit(docs.where(~held_out()))
+    """Fit on the rows with a doc_id that are not held out, label all rows."""
+    model = fit(docs.where(F.col("doc_id").isNotNull() & ~held_out()))
     return label(docs, model).withColumn("held_out", held_out())
 
 

@@ -30,6 +30,8 @@ from .common import saved, unit_interval
 DIMS = ("source", "lang", "topic")
 CELLS, SWEEPS, TOLERANCE = 200_000, 200, 1e-9
 NONE = "(none)"
+#: In a target: all categories that it does not name, which share by their tokens.
+REST = "*"
 
 #: Topic of a text: the first whose mark occurs in it.
 TOPICS = (("table", " | "), ("legal", "icensed "), ("contact", "@"), ("shouting", "!!"))
@@ -56,11 +58,31 @@ def dims_of(docs: DataFrame) -> dict[str, Column]:
 
 
 def tempered(cells: DataFrame, dim: str, power: float) -> dict[str, float]:
-    """Target shares of a dimension: its token shares to a power, made to sum to
-    one. The categories of a dimension are a list that people keep."""
-    n = {r[0]: float(r[1]) ** power for r in cells.groupBy(dim).agg(F.sum("tokens")).where("sum(tokens) > 0").collect()}
-    whole = sum(n.values()) or 1.0
-    return {k: v / whole for k, v in n.items()}
+    """Target shares of a dimension with few categories: its token shares to a power, made to sum to one."""
+    return shares_local(cells.groupBy(dim).agg(F.sum("tokens").alias("tokens")).toPandas(), dim, power)
+
+
+def shares_local(cells: pd.DataFrame, dim: str, target: Mapping[str, float] | float) -> dict[str, float]:
+    """The shares that a target (see ``mix``) gives to the categories of a dimension."""
+    n = cells[cells["tokens"] > 0].groupby(dim)["tokens"].sum().astype(float)
+    if not isinstance(target, Mapping):
+        n = n**target
+        return (n / max(n.sum(), 1e-300)).to_dict()
+    rest = n[[k not in target for k in n.index]]
+    others = (rest / max(rest.sum(), 1e-300) * target[REST]).to_dict() if REST in target else {}
+    return {k: v for k, v in target.items() if k != REST} | others
+
+
+def shares_frame(cells: DataFrame, dim: str, target: Mapping[str, float] | float) -> DataFrame:
+    """``shares_local`` as a DataFrame (dim, want), for any number of categories."""
+    n = cells.groupBy(dim).agg(F.sum("tokens").cast("double").alias("n")).where("n > 0")
+    if not isinstance(target, Mapping):
+        return n.select(dim, F.pow("n", F.lit(float(target))).alias("want"))
+    named = cells.sparkSession.createDataFrame([(k, float(v)) for k, v in target.items() if k != REST and v > 0], f"{dim} string, want double")
+    if not target.get(REST):
+        return named
+    rest = n.join(named, dim, "left_anti")
+    return named.union(rest.crossJoin(F.broadcast(rest.agg(F.sum("n").alias("all")))).select(dim, F.col("n") / F.col("all") * float(target[REST])))
 
 
 def rake_local(cells: pd.DataFrame, targets: Mapping[str, Mapping[str, float]]) -> np.ndarray:
@@ -100,10 +122,9 @@ def scale_local(tokens: np.ndarray, w: np.ndarray, budget: float) -> np.ndarray:
         full |= p >= 1
 
 
-def rake_cells(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], budget_share: float) -> DataFrame:
+def rake_cells(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | float], budget_share: float) -> DataFrame:
     """The DataFrame form of ``rake_local`` and ``scale_local``, for cell tables of any size."""
-    spark = cells.sparkSession
-    want = {d: spark.createDataFrame([(k, float(v)) for k, v in targets[d].items() if v > 0], f"{d} string, want double") for d in DIMS}
+    want = {d: saved(shares_frame(cells, d, targets[d]), "shares") for d in DIMS}
     now = cells.withColumn("w", F.col("tokens").cast("double"))
     for d in DIMS:
         now = now.join(want[d].select(d), d, "left_semi")
@@ -132,13 +153,13 @@ def rake_cells(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], bud
     return now.withColumn("weight", F.col("w")).withColumn("probability", F.least(F.lit(1.0), F.col("rate") * t)).select(*DIMS, "weight", "probability")
 
 
-def calibrate(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], budget_share: float, most: int = CELLS) -> DataFrame:
+def calibrate(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | float], budget_share: float, most: int = CELLS) -> DataFrame:
     """source, lang, topic, weight, probability for each cell with tokens."""
     cells = cells.where("tokens > 0")
     if cells.limit(most + 1).count() > most:
         return rake_cells(cells, targets, budget_share)
     local = cells.toPandas().sort_values(list(DIMS)).reset_index(drop=True)
-    w = rake_local(local, targets)
+    w = rake_local(local, {d: shares_local(local, d, targets[d]) for d in DIMS})
     p = scale_local(local["tokens"].to_numpy(dtype=float), w, budget_share * float(local["tokens"].sum()))
     out = [(*r, float(a), float(b)) for r, a, b in zip(local[list(DIMS)].itertuples(index=False), w, p, strict=True)]
     schema = "source string, lang string, topic string, weight double, probability double"
@@ -147,8 +168,7 @@ def calibrate(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], budg
 
 def calibrated(rows: DataFrame, targets: Mapping[str, Mapping[str, float] | float], budget_share: float) -> DataFrame:
     cells = saved(rows.groupBy(*DIMS).agg(F.sum("tokens").alias("tokens")), "cells")
-    shares = {d: t if isinstance(t, Mapping) else tempered(cells, d, t) for d, t in targets.items()}
-    return calibrate(cells, shares, budget_share)
+    return calibrate(cells, targets, budget_share)
 
 
 def drawn(probability: Column, tokens: Column, salt: str) -> tuple[Column, Column]:
@@ -158,8 +178,9 @@ def drawn(probability: Column, tokens: Column, salt: str) -> tuple[Column, Colum
 
 def mix(docs: DataFrame, targets=None, budget_share: float = 0.5, salt: str = "mix") -> DataFrame:
     """doc_id, source, lang, topic, tokens, weight (of the document's cell),
-    probability, sampled. A target is a mapping of shares, or a power to which the
-    dimension's own token shares are raised."""
+    probability, sampled. A target is a mapping of shares, in which ``REST`` stands for
+    all categories without one (they get none if it is missing), or a power to which
+    the dimension's own token shares are raised."""
     rows = saved(docs.select("doc_id", *[c.alias(n) for n, c in dims_of(docs).items()]), "tokens")
     joined = rows.join(calibrated(rows, targets or TARGETS, budget_share), list(DIMS), "left")
     p, sampled = drawn(F.col("probability"), F.col("tokens"), salt)
@@ -167,12 +188,14 @@ def mix(docs: DataFrame, targets=None, budget_share: float = 0.5, salt: str = "m
 
 
 #: The mixture of the registered query and of the pipeline.
-TARGETS = {"source": 0.5, "lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}, "topic": 0.7}
+TARGETS = {"source": 0.5, "lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1, REST: 0.05}, "topic": 0.7}
 
 
 def sample(docs: DataFrame, targets=None, budget_share: float = 0.5, salt: str = "mix") -> DataFrame:
     """The sampled rows of ``docs``, with the cell's ``mix_weight`` and
-    ``mix_probability``. Texts are read twice and never shuffled: the cells are
+    ``mix_probability`` in place of columns of these names (or of ``_source``, ``_lang``,
+    ``_topic``, ``_tokens``, which go). Rows without doc_id, or with a null or empty
+    text, are never sampled; rows with equal doc_ids are drawn alike. Texts are read twice and never shuffled: the cells are
     joined to the rows by broadcast."""
     rows = docs.select(*[c.alias(n) for n, c in dims_of(docs).items()])
     cells = calibrated(rows, targets or TARGETS, budget_share).toDF(*[f"_{d}" for d in DIMS], "mix_weight", "mix_probability")

@@ -1,5 +1,6 @@
 """The SQL form of operator 8, and the pipeline against brute force."""
 
+import hashlib
 import os
 
 import duckdb
@@ -60,3 +61,58 @@ def test_stages_on_odd_rows(spark, odd, none):  # noqa: F811
             now = corpus_pipeline.saved(stage(spark, now, SF), name)
             assert now.columns[: len(odd.columns)] == odd.columns
     assert langid.held_out() is not None and mixing.NONE == "(none)"
+
+
+def test_mixing_query_against_brute_force(spark):
+    """Raking and calibration written out with plain dictionaries."""
+    docs = [(r["doc_id"], r["source"], r["lang"], r["text"] or "") for r in table(spark, SF, "documents").collect()]
+
+    def topic(text):
+        return next((n for n, m in mixing.TOPICS if m in text), mixing.OTHER_TOPIC)
+
+    cell_of = {i: (s or mixing.NONE, la or mixing.NONE, topic(t)) for i, s, la, t in docs}
+    size = {i: len(t.split()) for i, _, _, t in docs}
+    tokens = {}
+    for i, c in cell_of.items():
+        tokens[c] = tokens.get(c, 0) + size[i]
+    tokens = {c: n for c, n in tokens.items() if n}
+    whole = sum(tokens.values())
+    targets = []
+    for j, d in enumerate(mixing.DIMS):
+        have = {}
+        for c, n in tokens.items():
+            have[c[j]] = have.get(c[j], 0) + n
+        t = mixing.TARGETS[d]
+        if isinstance(t, dict):
+            rest = sum(n for k, n in have.items() if k not in t)
+            want = {k: t[k] if k in t else t[mixing.REST] * n / rest for k, n in have.items()}
+        else:
+            want = {k: n**t for k, n in have.items()}
+        targets.append({k: v / sum(want.values()) for k, v in want.items()})
+    w = {c: n / whole for c, n in tokens.items()}
+    for _ in range(mixing.SWEEPS):
+        for j in range(3):
+            have = {}
+            for c, v in w.items():
+                have[c[j]] = have.get(c[j], 0) + v
+            w = {c: v * targets[j][c[j]] / have[c[j]] for c, v in w.items()}
+    lo, hi = 0.0, 1e12
+    for _ in range(200):  # the factor at which the expected tokens are half of all
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(min(n, mid * w[c]) for c, n in tokens.items()) < whole / 2 else (lo, mid)
+    got = {r["doc_id"]: r for r in queries.op1_ipf_mixing(spark, SF).collect()}
+    assert got.keys() == cell_of.keys()
+    for i, r in got.items():
+        p = min(1.0, lo * w[cell_of[i]] / tokens[cell_of[i]]) if size[i] else 0.0
+        assert abs(r["probability"] - p) < 1e-5
+        draw = int(hashlib.md5(f"mix:{i}".encode()).hexdigest()[:13], 16) / 2**52
+        assert abs(draw - p) < 1e-5 or r["sampled"] == (draw < p)
+
+
+def test_language_query_labels_every_document_alike(spark):
+    """Whatever the partitions, each whole text gets the label of the model fitted on the other rows."""
+    docs = table(spark, SF, "documents")
+    model = langid.fit(docs.where("doc_id IS NOT NULL").where(~langid.held_out()))
+    got = {r["doc_id"]: r["lang_pred"] for r in queries.op7_language_id(spark, SF).collect()}
+    again = {r["doc_id"]: r["lang_pred"] for r in langid.label(docs.repartition(3), model).collect()}
+    assert got == again and len(got) == docs.count()
