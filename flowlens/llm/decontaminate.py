@@ -5,7 +5,8 @@ run of anything else one space; a map leads back to the text's code points. A pa
 at least L + 1 - q - q*e q-grams with it (the q-gram lemma), and those lie on at
 most e + 1 neighbouring diagonals. So the q-grams that a document shares with a
 pattern are counted in overlapping bands of 2(e + 1) diagonals, every other band
-shifted by e + 1; bands that reach the bound are verified by banded alignment.
+shifted by e + 1. Common q-grams are counted only where the others reach a bound that
+is lower by as many; bands that reach the full bound are verified by banded alignment.
 
 An item up to ``WHOLE`` characters is one pattern; a longer one is cut into
 patterns of ``PIECE`` characters every ``STRIDE``, so that a part of a long item
@@ -98,6 +99,7 @@ def qgrams(codes: np.ndarray) -> np.ndarray:
 class Patterns:
     def __init__(self, items: list[tuple[int, str]]):
         self.item, self.codes = [], []
+        self.windows: dict[tuple[int, int], np.ndarray] = {}
         for item, text in items:
             codes = reduce(text)
             solid = np.flatnonzero(codes != 32)
@@ -112,7 +114,8 @@ class Patterns:
         self.size = size
         self.edits = np.maximum(np.minimum((EDITS * size).astype(np.int64), (size - Q) // Q), 0)
         self.bound = size + 1 - Q - Q * self.edits
-        keys = [qgrams(c) for c in self.codes]
+        self.whole, self.whole_bound = [qgrams(c) for c in self.codes], self.bound.copy()
+        keys = list(self.whole)
         n = np.array([len(k) for k in keys], dtype=np.int64)
         # q-grams that many patterns share cost most and tell least: each pattern
         # leaves out some of its own and lowers its bound by as many
@@ -152,7 +155,8 @@ class Patterns:
         """(item, start, end, edits): the best region of each item in a reduced text."""
         if not len(self.keys) or len(codes) < Q:
             return []
-        owner, diagonal = self.hits(qgrams(codes))
+        grams = qgrams(codes)
+        owner, diagonal = self.hits(grams)
         if not len(owner):
             return []
         step = self.edits[owner] + 1
@@ -172,6 +176,8 @@ class Patterns:
                 continue
             if self.item[p] in best and best[self.item[p]][2] == 0:
                 continue
+            if self.kept(p, grams, b * (e + 1), 2 * (e + 1)) < self.whole_bound[p]:
+                continue
             found = exact(self.codes[p], codes, b * (e + 1), 2 * (e + 1)) or align(self.codes[p], codes, b * (e + 1), 2 * (e + 1), e)
             if found:
                 done.add((p, b))
@@ -182,6 +188,17 @@ class Patterns:
         return [(i, *v) for i, v in best.items()]
 
 
+    def kept(self, p: int, grams: np.ndarray, diagonal: int, width: int) -> int:
+        """How many of all q-grams of a pattern, common ones too, stand in the text on
+        ``width`` diagonals from ``diagonal`` on."""
+        mine = self.whole[p]
+        lo, hi = diagonal, diagonal + len(mine) + width - 1
+        part = grams[max(lo, 0) : max(hi, 0)]
+        part = np.concatenate([np.zeros(max(-lo, 0), grams.dtype), part, np.zeros(max(hi - max(len(grams), lo, 0), 0), grams.dtype)])[: hi - lo]
+        at = self.windows.setdefault((len(mine), width), np.add.outer(np.arange(len(mine)), np.arange(width)))
+        return int((part[at] == mine[:, None]).any(axis=1).sum())
+
+
 def exact(pattern: np.ndarray, codes: np.ndarray, diagonal: int, width: int) -> tuple[int, int, int] | None:
     """``pattern`` itself on one of the diagonals."""
     lo = max(diagonal, 0)
