@@ -178,7 +178,8 @@ NEEDS |= {k: [*NEEDS["ev"], "ev"] for k in ("gt", "tp", "fp")} | {"ruled": [*NEE
 
 
 def duck(body: str, *ctes: str, **own: str) -> str:
-    """A statement over the named expressions, with further ones of its own."""
+    """A statement over the named expressions, with further ones of its own. Labels are
+    worked out once; a predicate on them pushed into their cases takes minutes."""
     names = list(dict.fromkeys(n for c in ctes for n in (*NEEDS.get(c, []), c)))
-    parts = [f"{n} AS ({CTES[n]})" for n in names] + [f"{k} AS ({v})" for k, v in own.items()]
+    parts = [f"{n} AS {'MATERIALIZED ' if n == 'labelled' else ''}({CTES[n]})" for n in names] + [f"{k} AS ({v})" for k, v in own.items()]
     return f"WITH {', '.join(parts)} {body}" if parts else body
