@@ -9,9 +9,10 @@ region. The walk ends at a cost that was calibrated on a sample so that a partne
 exactly at the threshold lies in a visited cell with the target probability.
 What shares a cell is verified with cosines in double precision.
 
-A pair is looked for from the vector in the smaller cell only, and by blocks of
-bounded size, so that a hot cell is many small tasks. Blocks emit a count per
-vector and links that span the block's groups, never its pairs.
+Equal vectors with equal labels are searched for once and counted as often as
+they occur. A pair is looked for from the vector in the smaller cell only, and by
+blocks of bounded size, so that a hot cell is many small tasks. Blocks emit a
+count per vector and links that span the block's groups, never its pairs.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components, and vectors with a null label, link with nothing; vectors of
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, saved
@@ -105,16 +106,18 @@ def units(vectors) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-def block_links(ids: np.ndarray, x: np.ndarray, other_ids: np.ndarray, y: np.ndarray, same: bool, threshold: float):
+def block_links(ids: np.ndarray, x: np.ndarray, other_ids: np.ndarray, y: np.ndarray, same: bool, threshold: float, copies: np.ndarray | None = None, other_copies: np.ndarray | None = None):
     """Links of one block of pairs: (id, count) and linked (id, id) that connect
-    whatever the block connects."""
+    whatever the block connects. Each row stands for one vector, or for ``copies``."""
     hit = x @ y.T >= threshold
     if same:
         hit = np.triu(hit, 1)
     r, c = np.nonzero(hit)
     if not len(r):
         return None
-    n = np.bincount(r, minlength=len(ids)), np.bincount(c, minlength=len(other_ids))
+    copies, other_copies = (np.ones(len(i), np.int64) if k is None else k for i, k in ((ids, copies), (other_ids, other_copies)))
+    # whole numbers below 2 ** 53 are exact in double precision
+    n = tuple(np.bincount(at, w, minlength=len(i)).astype(np.int64) for at, w, i in ((r, other_copies[c], ids), (c, copies[r], other_ids)))
     # a row's links all meet in its first column; columns first linked to one row meet there
     first = hit.argmax(1)[np.unique(r)]
     edges = [np.stack([ids[np.unique(r)], other_ids[first]], 1)]
@@ -140,15 +143,18 @@ def block_links(ids: np.ndarray, x: np.ndarray, other_ids: np.ndarray, y: np.nda
     return np.concatenate([k for k, _ in counts]), np.concatenate([v for _, v in counts]), e
 
 
-def links(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, sample: int = SAMPLE, cell: int = CELL, block: int = BLOCK) -> DataFrame:
+def usable(label: str = "label", embedding: str = "embedding") -> Column:
+    """Whether a vector can link at all."""
+    finite = F.forall(embedding, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    return F.coalesce(F.col(label).isNotNull() & (F.size(embedding) > 0) & finite & F.exists(embedding, lambda v: v != 0), F.lit(False))
+
+
+def links(sound: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, sample: int = SAMPLE, cell: int = CELL, block: int = BLOCK) -> DataFrame:
     """(kind, a, b): kind 'n' says that vector a has b links in some block, kind
-    'e' that a and b are linked or reach each other over links."""
-    spark = vectors.sparkSession
-    sound = (
-        vectors.where("label IS NOT NULL AND size(embedding) > 0")
-        .where(F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0))
-        .withColumn("dim", F.size("embedding"))
-    )
+    'e' that a and b are linked or reach each other over links. ``sound`` has
+    usable vectors: vec_id, label, dim, embedding and copies, for how many equal
+    vectors a row stands."""
+    spark = sound.sparkSession
     sizes = {r["dim"]: r["count"] for r in sound.groupBy("dim").count().orderBy(F.desc("count")).limit(16).collect()}
     grids = {}
     for dim, n in sizes.items():
@@ -164,7 +170,7 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
         for batch in batches:
             for dim, part in batch.groupby("dim"):
                 x = units(part["embedding"])
-                base = pd.DataFrame({"label": part["label"].to_numpy(), "dim": dim, "vec_id": part["vec_id"].to_numpy(), "x": list(x)})
+                base = pd.DataFrame({"label": part["label"].to_numpy(), "dim": dim, "vec_id": part["vec_id"].to_numpy()})
                 if dim in grids:
                     home, rows, cells = grids[dim].walk(x)
                 else:
@@ -174,9 +180,8 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
                     yield base.iloc[rows].assign(cell=cells, home=False)
 
     key = ["label", "dim", "cell"]
-    placed = saved(
-        sound.select("vec_id", "label", "dim", "embedding").mapInPandas(place, "label int, dim int, vec_id long, x array<double>, cell long, home boolean"), "cells"
-    )
+    # cells hold ids; a vector joins them again only when its blocks are dealt
+    placed = saved(sound.select("vec_id", "label", "dim", "embedding").mapInPandas(place, "label int, dim int, vec_id long, cell long, home boolean"), "cells")
     # blocks: home rows of a cell are dealt to nh blocks, its visitors to nv; a task
     # compares one block of homes with one block of homes or visitors
     counts = placed.groupBy(key).agg(F.count_if("home").alias("nh"), F.count_if(~F.col("home")).alias("nv")).where("nh > 0 AND nh + nv > 1")
@@ -187,7 +192,6 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
     dealt = dealt.withColumn("slot", slot).select(
         *key,
         "vec_id",
-        "x",
         "home",
         "slot",
         F.explode(
@@ -200,18 +204,20 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
             ).otherwise(F.transform(F.sequence(F.lit(0), upto), lambda s: F.struct(s.alias("i"), F.col("slot").alias("j"), F.lit(False).alias("own"))))
         ).alias("pair"),
     )
-    dealt = dealt.select(*key, "vec_id", "x", "home", "slot", "pair.i", "pair.j", "pair.own").withColumn("task", F.xxhash64(*key, "i", "j", "own"))
+    dealt = dealt.select(*key, "vec_id", "home", "slot", "pair.i", "pair.j", "pair.own").withColumn("task", F.xxhash64(*key, "i", "j", "own"))
+    dealt = dealt.join(sound.select("vec_id", "embedding", "copies"), "vec_id")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def done(rows: pd.DataFrame):
             i, j, own = rows["i"].iloc[0], rows["j"].iloc[0], rows["own"].iloc[0]
-            ids, x = rows["vec_id"].to_numpy(), np.array(rows["x"].tolist())
+            ids, copies = rows["vec_id"].to_numpy(), rows["copies"].to_numpy()
             left = (rows["slot"] == i).to_numpy() if own else rows["home"].to_numpy()
             same = bool(own and i == j)
             right = left if same else ~left
             if not left.any() or not right.any():
                 return None
-            found = block_links(ids[left], x[left], ids[right], x[right], same, threshold)
+            x = units(rows["embedding"])
+            found = block_links(ids[left], x[left], ids[right], x[right], same, threshold, copies[left], copies[right])
             if found is None:
                 return None
             who, n, e = found
@@ -241,21 +247,28 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
 
 def near_duplicates(vectors: DataFrame, **options) -> DataFrame:
     """vec_id, n_links, component_id, kept: see the module."""
+    kept = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
     one = (
         vectors.where("vec_id IS NOT NULL")
-        .select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("int").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+        .select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("int").alias("label"), F.col("embedding").cast(kept).alias("embedding"))
         .groupBy("vec_id")
         .agg(F.max(F.struct("label", "embedding")).alias("v"))
         .select("vec_id", "v.*")
     )
+    # equal vectors of a label are one class, known by two keys of 64 bits and named by its smallest vec_id
+    one = one.withColumns({"dim": F.when(usable(), F.size("embedding")), "k1": F.xxhash64(F.lit(1), "embedding"), "k2": F.xxhash64(F.lit(2), "embedding")})
     one = saved(one, "vectors")
-    found = links(one, **options)
-    n = found.where("kind = 'n'").groupBy(F.col("a").alias("vec_id")).agg(F.sum("b").alias("n_links"))
-    groups = components(found.where("kind = 'e'"), "a", "b").toDF("vec_id", "component_id")
+    same = ["label", "dim", "k1", "k2"]
+    classes = saved(one.where("dim IS NOT NULL").groupBy(*same).agg(F.min("vec_id").alias("class_id"), F.count("*").alias("copies")), "classes")
+    sound = one.join(classes.select(F.col("class_id").alias("vec_id"), "copies"), "vec_id").select("vec_id", "label", "dim", "embedding", "copies")
+    found = links(saved(sound, "sound"), **options)
+    n = found.where("kind = 'n'").groupBy(F.col("a").alias("class_id")).agg(F.sum("b").alias("n"))
+    groups = components(found.where("kind = 'e'"), "a", "b").toDF("class_id", "component_id")
+    results = classes.join(n, "class_id", "left").join(groups, "class_id", "left")
+    results = results.select(*same, (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "class_id").alias("component_id"))
     return (
-        one.select("vec_id")
-        .join(n, "vec_id", "left")
-        .join(groups, "vec_id", "left")
+        one.select("vec_id", *same)
+        .join(results, same, "left")
         .select(
             "vec_id",
             F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

@@ -110,6 +110,32 @@ def test_embeddings_recall_against_brute_force(spark):
         assert (n <= hit.sum(1)).all() and n.sum() >= (0.97 if block == 64 else 1) * hit.sum()
 
 
+def test_embeddings_with_copies_against_brute_force(spark):
+    """A third of all vectors are equal, others occur a few times, in single precision."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(120, 8)).astype(np.float32)
+    x = np.concatenate([base, base[rng.integers(0, 120, 120)], base[:1].repeat(200, axis=0), base[:1] + rng.normal(size=(80, 8)).astype(np.float32) * 0.1])
+    labels = np.where(np.arange(len(x)) % 7 == 0, 1, 0)
+    ids = rng.permutation(len(x)) * 3 + 2
+    rows = [(int(i), v.tolist(), int(la)) for i, v, la in zip(ids, x, labels, strict=True)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    hit = (u @ u.T >= 0.98) & (labels[:, None] == labels[None])
+    np.fill_diagonal(hit, False)
+    reach = ids.copy()
+    while True:
+        low = np.minimum(reach, np.where(hit, reach[None], reach.max()).min(1))
+        if (low == reach).all():
+            break
+        reach = low
+    for options in ({"block": 4096}, {"block": 32, "cell": 4096}):  # one cell; few cells and small blocks
+        got = {r["vec_id"]: r for r in embed_dedup.near_duplicates(frame, **options).collect()}
+        n = np.array([got[i]["n_links"] for i in ids.tolist()])
+        assert len(got) == len(x) and (n <= hit.sum(1)).all() and n.sum() >= (1 if options["block"] == 4096 else 0.97) * hit.sum()
+        if options["block"] == 4096:
+            assert [got[i]["component_id"] for i in ids.tolist()] == reach.tolist()
+
+
 def test_pii_frames(odd, none):
     out = pii.digest(pii.detect(odd)).collect()
     assert len(out) == odd.count() and all(r["n_email"] == 0 for r in out)
