@@ -483,7 +483,7 @@ def _(t):
     return io.load_scaler(t.spark, path)
 
 
-@query("s09_append_run", duck("SELECT model_name, Seed, F1_Score, CASE WHEN Best_Epoch >= 30 THEN Best_Epoch END AS Best_Epoch FROM runs", "runs"))
+@query("s09_append_run", duck("SELECT model_name, Seed, F1_Score, CASE WHEN Best_Epoch >= 30 THEN Best_Epoch END AS Best_Epoch FROM runs", "runs"), exact=True)
 def _(t):
     path = _path(t, "log")
     runs = t.runs()

@@ -18,10 +18,13 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def query(name: str, oracle: str | None = None):
+def query(name: str, oracle: str | None = None, exact: bool = False):
+    """Register a query; ``exact`` leaves its doubles as they are."""
+
     def add(build: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return rounded(build(Tables(spark, sf_dir)))
+            out = build(Tables(spark, sf_dir))
+            return out if exact else rounded(out)
 
         run.__name__ = name
         assert name not in QUERIES, name
