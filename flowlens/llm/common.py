@@ -106,9 +106,11 @@ def total(parts: Iterable[DataFrame]) -> DataFrame:
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component) for every node of an undirected edge list; the component
-    is its smallest node. Alternating large-star and small-star steps, each a
-    join whose hot keys adaptive execution can split; only a count and a
-    checksum reach the driver. Nulls are dropped, loops ignored."""
+    is its smallest node. Alternating large-star and small-star steps; only a
+    count and a checksum reach the driver. The minima, one row for each node, are
+    written before they are joined: the join then has exchanges of its own, not
+    those of the aggregate, so that adaptive execution can split a hub's edges.
+    Nulls are dropped, loops ignored."""
     e = (
         edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
         .where(F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") != F.col("v")))
@@ -119,10 +121,10 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     while True:
         # large star: neighbours above u are tied to the smallest of u's neighbourhood
         both = e.union(e.select("v", "u")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = saved(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         # small star: neighbours below u, and u, are tied to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = saved(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u")
         nxt = saved(
             small.select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -132,7 +134,8 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
             "edges",
         )
         now = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        discard(e)
+        for done in (e, least, large, low):
+            discard(done)
         e = nxt
         if now == mark:
             break
