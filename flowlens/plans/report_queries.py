@@ -559,7 +559,16 @@ def early_stop(long):
     return experiments.early_stop_replay(h, "v")
 
 
-@query("r08_early_stop_replay")
+# one epoch more of every seed that goes on, until ten in a row bring nothing better
+REPLAY = """WITH RECURSIVE h AS MATERIALIZED (SELECT * FROM l), s AS (
+    SELECT experiment, seed, epoch, epoch AS best_epoch, v AS best, 0 AS wait FROM h WHERE epoch = 0
+    UNION ALL
+    SELECT experiment, seed, h.epoch, CASE WHEN v > best + 1e-4 THEN h.epoch ELSE best_epoch END, CASE WHEN v > best + 1e-4 THEN v ELSE best END, CASE WHEN v > best + 1e-4 THEN 0 ELSE wait + 1 END
+    FROM s JOIN h USING (experiment, seed) WHERE h.epoch = s.epoch + 1 AND wait < 10)
+SELECT * FROM s"""
+
+
+@query("r08_early_stop_replay", duck("SELECT experiment, seed, CAST(max_by(best_epoch, epoch) AS INTEGER) AS best_epoch, round(max_by(best, epoch), 6) AS best_value, CAST(max(epoch) FILTER (WHERE wait = 10) AS INTEGER) AS stopped_epoch FROM (" + REPLAY + ") GROUP BY 1, 2", "windowed", l=LONG))
 def _(t):
     return early_stop(long_histories(t))
 
