@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embed_dedup, langid, lm_score, mixing, pii, preferences, probminhash, toxicity, warc
+from . import decontaminate, divergence, embed_dedup, langid, lm_score, mixing, pii, preferences, probminhash, toxicity, warc
 from .common import saved, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,10 @@ def op10_probminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -74,6 +78,7 @@ QUERIES: dict[str, Query] = {
         op8_preference_formatting,
         op9_warc_index,
         op10_probminhash_dedup,
+        op12_source_divergence,
     )
 }
 
@@ -97,4 +102,20 @@ SELECT cid AS chosen_id, rid AS rejected_id, CAST(n AS INTEGER) AS n_common,
  n = na AND n = nb AS identical
 FROM placed GROUP BY cid, rid, n, na, nb"""
 
-ORACLE_SQL: dict[str, str] = {"op8_preference_formatting": PREFERENCES_SQL}
+DIVERGENCE_SQL = r"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+ t AS (SELECT id, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+ kept AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT id) >= 10),
+ g AS (SELECT DISTINCT lang, source FROM d),
+ langs AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+ c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+ sizes AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source),
+ p AS MATERIALIZED (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000 * (coalesce(c.n, 0) + 2)::HUGEINT // (coalesce(s.total, 0) + 2 * l.v)::HUGEINT AS p,
+   1 + 1000000000 * (k.n + 2)::HUGEINT // (l.total + 2 * l.v)::HUGEINT AS q
+   FROM g JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN sizes s ON s.lang = g.lang AND s.source = g.source LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+ f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+ rows AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // (p + q) AS BIGINT) FROM p WHERE n > 0 AND p > q),
+ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM rows)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10"""
+
+ORACLE_SQL: dict[str, str] = {"op8_preference_formatting": PREFERENCES_SQL, "op12_source_divergence": DIVERGENCE_SQL}
