@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, divergence, embed_dedup, langid, lm_score, mixing, pii, preferences, probminhash, toxicity, warc
+from . import decontaminate, divergence, embed_dedup, langid, lm_score, mixing, pii, preferences, probminhash, toxicity, warc, whitening
 from .common import saved, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,10 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -79,6 +83,7 @@ QUERIES: dict[str, Query] = {
         op9_warc_index,
         op10_probminhash_dedup,
         op12_source_divergence,
+        op13_embedding_whitening,
     )
 }
 
