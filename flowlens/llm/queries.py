@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, divergence, embed_dedup, langid, lm_score, mixing, pii, preferences, probminhash, toxicity, warc, whitening
+from . import decontaminate, divergence, embed_dedup, langid, lm_score, mixing, pii, preferences, probminhash, quality, toxicity, warc, whitening
 from .common import saved, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,11 @@ def op10_probminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -82,6 +87,7 @@ QUERIES: dict[str, Query] = {
         op8_preference_formatting,
         op9_warc_index,
         op10_probminhash_dedup,
+        op11_quality_classifier,
         op12_source_divergence,
         op13_embedding_whitening,
     )
