@@ -40,7 +40,7 @@ from .common import WORD, discard, restrict, saved, small_batches, splitmix
 #: Labelled documents that are learned from, at most (about).
 SAMPLE = 20_000
 #: Places of features; parts and rounds of the training.
-SPACE, SHARDS, ROUNDS = 1 << 20, 8, 4
+SPACE, SHARDS, ROUNDS = 1 << 18, 8, 4
 #: Rate, its offset, and the weights of L1 and L2 in the updates.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
 #: Scores from here on are predicted 1.
