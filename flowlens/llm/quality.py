@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import WORD, discard, restrict, saved, small_batches, splitmix
 
 #: Labelled documents that are learned from, at most (about).
-SAMPLE = 20_000
+SAMPLE = 8_000
 #: Places of features; parts and rounds of the training.
 SPACE, SHARDS, ROUNDS = 1 << 18, 8, 4
 #: Rate, its offset, and the weights of L1 and L2 in the updates.
