@@ -13,8 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ROLES, decode_role
-from .ranking import quantiles, shared_table
-from .ranking import dense_ranks
+from .ranking import dense_ranks, quantiles, shared_table
 
 SRC, DST = "IPV4_SRC_ADDR", "IPV4_DST_ADDR"
 
@@ -28,18 +27,17 @@ def host_ids(windowed: DataFrame) -> DataFrame:
 
 
 def local_ids(windowed: DataFrame, hosts: DataFrame) -> DataFrame:
-    """window_id, global_id, local_id: dense order of the global ids in each window."""
-    both = windowed.select("window_id", F.explode(F.array(SRC, DST)).alias("ip")).distinct().join(hosts, "ip")
+    """window_id, ip, global_id, local_id: dense order of the global ids in each window."""
+    both = windowed.select("window_id", F.explode(F.array(SRC, DST)).alias("ip")).distinct().join(hosts.select("ip", "global_id"), "ip")
     w = Window.partitionBy("window_id").orderBy("global_id")
-    return both.withColumn("local_id", F.dense_rank().over(w) - 1).select("window_id", "global_id", "local_id")
+    return both.withColumn("local_id", F.dense_rank().over(w) - 1).select("window_id", "ip", "global_id", "local_id")
 
 
-def snapshot_edges(windowed: DataFrame, hosts: DataFrame, nodes: DataFrame, extra: dict[str, Column] | None = None) -> DataFrame:
-    """window_id, edge_ord, src_id, dst_id, src_local, dst_local and the columns of ``extra``."""
-    h = hosts.select("ip", "global_id")
-    e = windowed.join(h.toDF(SRC, "src_id"), SRC).join(h.toDF(DST, "dst_id"), DST)
-    e = e.join(nodes.select("window_id", F.col("global_id").alias("src_id"), F.col("local_id").alias("src_local")), ["window_id", "src_id"])
-    e = e.join(nodes.select("window_id", F.col("global_id").alias("dst_id"), F.col("local_id").alias("dst_local")), ["window_id", "dst_id"])
+def snapshot_edges(windowed: DataFrame, nodes: DataFrame, extra: dict[str, Column] | None = None) -> DataFrame:
+    """window_id, edge_ord, src_id, dst_id, src_local, dst_local and the columns of
+    ``extra``: one join with the nodes for each end."""
+    of = lambda end, p: nodes.select("window_id", F.col("ip").alias(end), F.col("global_id").alias(f"{p}_id"), F.col("local_id").alias(f"{p}_local"))
+    e = windowed.join(of(SRC, "src"), ["window_id", SRC]).join(of(DST, "dst"), ["window_id", DST])
     return e.select("window_id", F.col("flow_ord").alias("edge_ord"), "src_id", "dst_id", "src_local", "dst_local", *[c.alias(k) for k, c in (extra or {}).items()])
 
 
@@ -104,43 +102,72 @@ def entropy_by_confusion(flows: DataFrame, entropy: DataFrame, kind: Column) ->
     return out
 
 
-def neighbour_mean(edges: DataFrame, nodes: DataFrame, values: list[str], src: str = "src_id", dst: str = "dst_id") -> DataFrame:
-    """window_id, host, and for each value column its mean over the host's
-    outgoing and incoming edges, 0 where it has none. Sums by pair come first."""
-    pairs = edges.groupBy("window_id", src, dst).agg(F.count("*").alias("n"), *[F.sum(v).alias(v) for v in values])
+def vector_sum(vector: str, size: int, weight: Column | None = None, where: Column | None = None) -> Column:
+    """Aggregate: the sum of the vectors in an array column, entry by entry, null entries
+    as 0, times ``weight``, of the rows that ``where`` holds for. Its parts are plain sums,
+    so that every task adds up what it has before anything is shuffled, and no vector is
+    taken apart into rows."""
 
-    def side(host: str, prefix: str) -> DataFrame:
-        return pairs.groupBy("window_id", F.col(host).alias("host")).agg(*[(F.sum(v) / F.sum("n")).alias(f"{prefix}_{v}") for v in values])
+    def entry(i: int) -> Column:
+        x = F.coalesce(F.get(vector, F.lit(i)).cast("double"), F.lit(0.0))
+        x = x if weight is None else x * weight
+        return F.coalesce(F.sum(x if where is None else F.when(where, x)), F.lit(0.0))
 
-    out = nodes.select("window_id", "host").join(side(src, "out"), ["window_id", "host"], "left").join(side(dst, "in"), ["window_id", "host"], "left")
-    return out.fillna(0.0)
+    return F.array(*map(entry, range(size)))
 
 
-def two_hop_mean(edges: DataFrame, means: DataFrame, src: str = "src_id", dst: str = "dst_id") -> DataFrame:
-    """Per host the mean of its incoming neighbours' vectors, once for each edge, 0 where there are none."""
-    values = [c for c in means.columns if c not in ("window_id", "host")]
+def neighbour_mean(edges: DataFrame, size: int, vector: str = "features", src: str = "src_id", dst: str = "dst_id") -> DataFrame:
+    """window_id, host, out, in: the mean vector over the host's outgoing and over its
+    incoming edges, zeros where it has none. An edge counts at both of its ends in one
+    aggregate by (window, host), whose partial sums make a hot host one row of a task."""
+    side = F.explode(F.array(F.struct(F.col(src).alias("host"), F.lit(True).alias("out")), F.struct(F.col(dst).alias("host"), F.lit(False).alias("out"))))
+    ends = edges.select("window_id", vector, side.alias("e")).select("window_id", vector, "e.*")
+    parts = {"out": F.col("out"), "in": ~F.col("out")}
+    sums = ends.groupBy("window_id", "host").agg(*[c for k, w in parts.items() for c in (vector_sum(vector, size, where=w).alias(f"s_{k}"), F.count_if(w).alias(f"n_{k}"))])
+    mean = lambda k: F.transform(f"s_{k}", lambda v: v / F.greatest(f"n_{k}", F.lit(1))).alias(k)
+    return sums.select("window_id", "host", *map(mean, parts))
+
+
+def host_vector(means: DataFrame) -> DataFrame:
+    """window_id, host, vector: outgoing and incoming means in one array."""
+    return means.select("window_id", "host", F.concat("out", "in").alias("vector"))
+
+
+def two_hop_mean(edges: DataFrame, hosts: DataFrame, size: int, src: str = "src_id", dst: str = "dst_id") -> DataFrame:
+    """Per host the mean of its incoming neighbours' vectors (``hosts``: window_id, host,
+    vector), once for each edge, zeros where there are none."""
     pairs = edges.groupBy("window_id", src, dst).agg(F.count("*").alias("n"))
-    got = pairs.join(means.withColumnRenamed("host", src), ["window_id", src])
-    sums = got.groupBy("window_id", F.col(dst).alias("host")).agg(*[(F.sum(F.col(v) * F.col("n")) / F.sum("n")).alias(f"hop2_{v}") for v in values])
-    return means.select("window_id", "host").join(sums, ["window_id", "host"], "left").fillna(0.0)
+    got = pairs.join(hosts.withColumnRenamed("host", src), ["window_id", src])
+    sums = got.groupBy("window_id", F.col(dst).alias("host")).agg(vector_sum("vector", size, F.col("n")).alias("s"), F.sum("n").alias("n"))
+    mean = sums.select("window_id", "host", F.transform("s", lambda v: v / F.col("n")).alias("hop2"))
+    out = hosts.select("window_id", "host").join(mean, ["window_id", "host"], "left")
+    return out.withColumn("hop2", F.coalesce("hop2", F.array_repeat(F.lit(0.0), size)))
 
 
 def edge_representation(edges: DataFrame, hosts: DataFrame, src: str = "src_id", dst: str = "dst_id") -> DataFrame:
-    """Edges with the columns of both ends, prefixed src_ and dst_."""
+    """Edges with the columns of both ends, prefixed src_ and dst_. Tables that are bucketed
+    by window (``io.write_buckets``) are joined where they lie."""
     values = [c for c in hosts.columns if c not in ("window_id", "host")]
     of = lambda end, p: hosts.select("window_id", F.col("host").alias(end), *[F.col(v).alias(f"{p}_{v}") for v in values])
     return edges.join(of(src, "src"), ["window_id", src]).join(of(dst, "dst"), ["window_id", dst])
 
 
-def host_memory(means: DataFrame, value: str, alpha: float = 0.5) -> DataFrame:
-    """window_id, host, memory: h = alpha x + (1 - alpha) h_before over the host's
-    active windows, starting from 0. Unrolled it is a weighted sum over the windows
-    up to here, of which those whose weight no longer shows in a double are left out,
-    so that the frame is bounded however long a host's history is."""
-    reach = math.ceil(math.log(2**-60) / math.log(1 - alpha)) if 0 < alpha < 1 else 0
-    w = Window.partitionBy("host").orderBy("window_id").rowsBetween(-reach, 0)
-    fold = F.aggregate(F.collect_list(value).over(w), F.lit(0.0), lambda h, x: F.lit(alpha) * x + F.lit(1 - alpha) * h)
-    return means.select("window_id", "host", fold.alias("memory"))
+def host_memory(hosts: DataFrame, size: int, vector: str = "vector", alpha: float = 0.5) -> DataFrame:
+    """window_id, host, memory: h = alpha x + (1 - alpha) h_before over the vectors of the
+    host's active windows, starting from zeros. A host's windows are cut into blocks as
+    long as a weight still shows in a double; within a block the recursion is a running
+    sum of scaled vectors, and the end of the block before it, scaled down, stands for all
+    that came earlier, so that work for a row does not grow with the host's history."""
+    reach = math.ceil(math.log(2**-60) / math.log(1 - alpha)) if 0 < alpha < 1 else 1
+    w = Window.partitionBy("host").orderBy("window_id")
+    r = hosts.withColumn("r", F.row_number().over(w) - 1).withColumns({"block": F.floor(F.col("r") / reach), "at": F.col("r") % reach})
+    keep = lambda n: F.pow(F.lit(1.0 - alpha), n)
+    inside = Window.partitionBy("host", "block").orderBy("window_id").rowsBetween(Window.unboundedPreceding, 0)
+    scaled = [F.sum(F.coalesce(F.get(vector, F.lit(i)).cast("double"), F.lit(0.0)) * (alpha / keep(F.col("at")))).over(inside) for i in range(size)]
+    own = r.select("host", "window_id", "at", F.array(*scaled).alias("s")).withColumn("own", F.transform("s", lambda v: v * keep(F.col("at"))))
+    before = F.last(F.when(F.col("at") == reach - 1, F.col("own")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    both = F.zip_with("own", "before", lambda a, b: a + b * keep(F.col("at") + 1))
+    return own.withColumn("before", before).select("window_id", "host", F.when(F.col("before").isNull(), F.col("own")).otherwise(both).alias("memory"))
 
 
 def roles_of(edges: DataFrame) -> DataFrame:

@@ -23,9 +23,9 @@ def vector(rows: DataFrame, features: str = "features") -> DataFrame:
     return rows.withColumn("vector", array_to_vector(F.transform(features, lambda v: F.coalesce(v.cast("double"), F.lit(0.0)))))
 
 
-def train_forest(train: DataFrame, trees: int = TREES, depth: int = DEPTH, y: str = "y") -> Model:
+def train_forest(train: DataFrame, trees: int = TREES, depth: int = DEPTH, y: str = "y", subset: str = "auto") -> Model:
     data = vector(balanced(train, y)).select("vector", F.col(y).cast("double").alias("label"), "weight")
-    return RandomForestClassifier(featuresCol="vector", labelCol="label", weightCol="weight", numTrees=trees, maxDepth=depth, seed=SEED).fit(data)
+    return RandomForestClassifier(featuresCol="vector", labelCol="label", weightCol="weight", numTrees=trees, maxDepth=depth, featureSubsetStrategy=subset, seed=SEED).fit(data)
 
 
 def feature_importance(train: DataFrame, model: Model, names: list[str], top: int = 10) -> DataFrame:
@@ -52,11 +52,13 @@ def train_edge_mlp(train: DataFrame, inputs: int = 32, rounds: int = 50, y: str
     return MultilayerPerceptronClassifier(featuresCol="vector", labelCol="label", layers=[inputs, 32, 32, 2], maxIter=rounds, seed=SEED).fit(data)
 
 
-def context_features(edges: DataFrame, extra: list[str]) -> DataFrame:
-    """Edge features with columns of both ends appended."""
-    return edges.withColumn("features", F.concat("features", F.array(*[F.col(c).cast("float") for c in extra])))
+def context_features(edges: DataFrame, ends: tuple[str, ...] = ("src_context", "dst_context")) -> DataFrame:
+    """Edge features with the context vectors of both ends appended."""
+    return edges.withColumn("features", F.concat("features", *[F.transform(c, lambda v: v.cast("float")) for c in ends])).drop(*ends)
 
 
-def train_context_forest(edges: DataFrame, extra: list[str], trees: int = TREES, depth: int = DEPTH) -> Model:
-    """The forest on edge features and host context: entropy, neighbourhood means, memory."""
-    return train_forest(context_features(edges, extra), trees, depth)
+def train_context_forest(rich: DataFrame, trees: int = TREES, depth: int = DEPTH) -> Model:
+    """The forest on edge features and host context (``context_features``): entropy,
+    neighbourhood means, memory. Nine tenths of the vector are context, so a split looks
+    at a third of it, lest the edge's own features hardly ever come up."""
+    return train_forest(rich, trees, depth, subset="onethird")

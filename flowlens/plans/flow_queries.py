@@ -71,12 +71,12 @@ def _hot(value: str, classes) -> list[str]:
     return [f"CAST({value} = '{c}' AS FLOAT)" for c in classes]
 
 
-_SLOTS = [*_hot("role", C.ROLES), *_hot("proto", C.PROTOCOL_CLASSES), *[f"CAST(CASE WHEN {c} > -1 THEN ln(1e0 + {c}) END AS FLOAT)" for c in NUMERIC]]
+SLOTS = [*_hot("role", C.ROLES), *_hot("proto", C.PROTOCOL_CLASSES), *[f"CAST(CASE WHEN {c} > -1 THEN ln(1e0 + {c}) END AS FLOAT)" for c in NUMERIC]]
 
 
 @query(
     "p07_edge_features",
-    duck("SELECT flow_ord, slot, round(CAST(v AS DOUBLE), 4) AS value FROM (SELECT flow_ord, unnest(range(32)) AS slot, unnest([" + ", ".join(_SLOTS) + "]) AS v FROM r)", "flows", r=f"SELECT *, {role_sql()} AS role, {PROTO} AS proto FROM flows"),
+    duck("SELECT flow_ord, slot, round(CAST(v AS DOUBLE), 4) AS value FROM (SELECT flow_ord, unnest(range(32)) AS slot, unnest([" + ", ".join(SLOTS) + "]) AS v FROM r)", "flows", r=f"SELECT *, {role_sql()} AS role, {PROTO} AS proto FROM flows"),
 )
 def _(t):
     f = t.flows().select("flow_ord", F.posexplode(C.edge_features()).alias("slot", "v"))

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import experiments, graph, metrics, ml, profile, ranking, threat, windows
+from .. import schema
 from ..sources import io
 from ..streaming import streams
-from .fixtures import ATTACKERS, C2, FOCUS, HOUR, THRESHOLD, duck
+from . import flow_queries
+from .fixtures import ATTACKERS, C2, FOCUS, HOUR, THRESHOLD, duck, role_sql
 from .flow_queries import KIND, spine, spine_duck
 from .registry import query
 
@@ -23,7 +25,7 @@ SRC, DST = "IPV4_SRC_ADDR", "IPV4_DST_ADDR"
 HOSTS = """SELECT ip, row_number() OVER (ORDER BY w, side, o, ip) - 1 AS global_id FROM (SELECT ip, window_id AS w, side, flow_ord AS o, row_number() OVER (PARTITION BY ip ORDER BY window_id, side, flow_ord) AS k FROM (
  SELECT window_id, 0 AS side, flow_ord, IPV4_SRC_ADDR AS ip FROM windowed UNION ALL SELECT window_id, 1, flow_ord, IPV4_DST_ADDR FROM windowed)) WHERE k = 1"""
 NODES = "SELECT window_id, global_id, row_number() OVER (PARTITION BY window_id ORDER BY global_id) - 1 AS local_id FROM (SELECT DISTINCT window_id, global_id FROM (SELECT window_id, IPV4_SRC_ADDR AS ip FROM windowed UNION SELECT window_id, IPV4_DST_ADDR FROM windowed) JOIN hosts USING (ip))"
-EDGES = "SELECT f.window_id, f.flow_ord AS edge_ord, a.global_id AS src_id, b.global_id AS dst_id, m.local_id AS src_local, n.local_id AS dst_local, y_real, L4_DST_PORT, IN_BYTES, PROTOCOL FROM windowed f JOIN hosts a ON a.ip = IPV4_SRC_ADDR JOIN hosts b ON b.ip = IPV4_DST_ADDR JOIN nodes m ON m.window_id = f.window_id AND m.global_id = a.global_id JOIN nodes n ON n.window_id = f.window_id AND n.global_id = b.global_id"
+EDGES = "SELECT f.window_id, f.flow_ord AS edge_ord, a.global_id AS src_id, b.global_id AS dst_id, m.local_id AS src_local, n.local_id AS dst_local, y_real, f.flow_ord FROM windowed f JOIN hosts a ON a.ip = IPV4_SRC_ADDR JOIN hosts b ON b.ip = IPV4_DST_ADDR JOIN nodes m ON m.window_id = f.window_id AND m.global_id = a.global_id JOIN nodes n ON n.window_id = f.window_id AND n.global_id = b.global_id"
 
 
 def graph_duck(body: str, **own: str) -> str:
@@ -31,10 +33,12 @@ def graph_duck(body: str, **own: str) -> str:
 
 
 def graph_tables(t, extra=None):
-    w = t.windowed()
+    """Windowed flows, written once, host ids, nodes and edges with the columns of ``extra``."""
+    extra = {"y_real": F.col("y_real"), **(extra or {})}
+    w = t.saved(t.windowed().select("window_id", "flow_ord", SRC, DST, *[c.alias(k) for k, c in extra.items()]))
     hosts = graph.host_ids(w)
-    nodes = graph.local_ids(w, hosts)
-    return w, hosts, nodes, graph.snapshot_edges(w, hosts, nodes, {"y_real": F.col("y_real"), "IN_BYTES": F.col("IN_BYTES"), "PROTOCOL": F.col("PROTOCOL"), **(extra or {})})
+    nodes = t.saved(graph.local_ids(w, hosts))
+    return w, hosts, nodes, graph.snapshot_edges(w, nodes, {k: F.col(k) for k in extra})
 
 
 @query("g01_host_ids", graph_duck("SELECT * FROM hosts"))
@@ -44,8 +48,7 @@ def _(t):
 
 @query("g02_local_ids", graph_duck("SELECT window_id, global_id, local_id FROM nodes"))
 def _(t):
-    w, hosts, nodes, _ = graph_tables(t)
-    return nodes.withColumn("local_id", F.col("local_id").cast("long"))
+    return graph_tables(t)[2].select("window_id", "global_id", F.col("local_id").cast("long").alias("local_id"))
 
 
 @query("s07_host_dictionary", graph_duck("SELECT global_id, ip FROM hosts"))
@@ -108,35 +111,66 @@ def _(t):
     return graph.entropy_by_confusion(w, graph.port_entropy(w, normalise=False), C.confusion_class())
 
 
-MEANS = "SELECT n.window_id, n.global_id AS host, coalesce(o.a, 0) AS \"out_IN_BYTES\", coalesce(o.b, 0) AS \"out_PROTOCOL\", coalesce(i.a, 0) AS \"in_IN_BYTES\", coalesce(i.b, 0) AS \"in_PROTOCOL\" FROM nodes n LEFT JOIN (SELECT window_id, src_id, avg(IN_BYTES) AS a, avg(PROTOCOL) AS b FROM edges GROUP BY 1, 2) o ON o.window_id = n.window_id AND o.src_id = n.global_id LEFT JOIN (SELECT window_id, dst_id, avg(IN_BYTES) AS a, avg(PROTOCOL) AS b FROM edges GROUP BY 1, 2) i ON i.window_id = n.window_id AND i.dst_id = n.global_id"
+#: Length of a feature vector, and of what a host's outgoing and incoming edges say together.
+WIDE = len(C.ROLES) + len(C.PROTOCOL_CLASSES) + len(schema.NUMERIC)
+BOTH = 2 * WIDE
+SIDES = [f"{side}_{i}" for side in ("out", "in") for i in range(WIDE)]
+SLOTS = f"SELECT flow_ord, {', '.join(f'coalesce(CAST({v} AS DOUBLE), 0) AS f_{i}' for i, v in enumerate(flow_queries.SLOTS))} FROM (SELECT *, {role_sql()} AS role, {flow_queries.PROTO} AS proto FROM windowed)"
+_side = lambda id: f"SELECT window_id, {id}, {', '.join(f'avg(f_{i}) AS f_{i}' for i in range(WIDE))} FROM wide GROUP BY 1, 2"
+MEANS = f"""SELECT n.window_id, n.global_id AS host, {', '.join(f'coalesce({s[0]}.f_{i}, 0) AS {s}_{i}' for s in ('out', 'in') for i in range(WIDE))} FROM nodes n
+ LEFT JOIN ({_side('src_id')}) o ON o.window_id = n.window_id AND o.src_id = n.global_id LEFT JOIN ({_side('dst_id')}) i ON i.window_id = n.window_id AND i.dst_id = n.global_id"""
+
+
+def means_duck(body: str, **own: str) -> str:
+    return graph_duck(body, slots=SLOTS, wide="SELECT e.*, s.* EXCLUDE (flow_ord) FROM edges e JOIN slots s USING (flow_ord)", m=MEANS, **own)
+
+
+def entries(array: str, names) -> list:
+    """The entries of an array as columns, to four places."""
+    return [F.round(F.get(array, F.lit(i)), 4).alias(n) for i, n in enumerate(names)]
+
+
+def rounds(names, prefix: str = "") -> str:
+    return ", ".join(f"round({prefix}{n}, 4) AS {n}" for n in names)
 
 
 def means(t):
-    _, _, nodes, edges = graph_tables(t)
-    return edges, graph.neighbour_mean(edges, nodes.withColumnRenamed("global_id", "host"), ["IN_BYTES", "PROTOCOL"])
+    """Edges with their feature vectors, and for each host the means of both sides."""
+    _, _, nodes, edges = graph_tables(t, {"features": C.edge_features()})
+    return edges, graph.host_vector(t.saved(graph.neighbour_mean(edges, WIDE)))
 
 
-@query("g10_neighbour_mean", graph_duck("SELECT window_id, host, round(\"out_IN_BYTES\", 6) AS \"out_IN_BYTES\", round(\"out_PROTOCOL\", 6) AS \"out_PROTOCOL\", round(\"in_IN_BYTES\", 6) AS \"in_IN_BYTES\", round(\"in_PROTOCOL\", 6) AS \"in_PROTOCOL\" FROM m", m=MEANS))
+@query("g10_neighbour_mean", means_duck(f"SELECT window_id, host, {rounds(SIDES)} FROM m"))
 def _(t):
-    return means(t)[1]
+    return means(t)[1].select("window_id", "host", *entries("vector", SIDES))
 
 
-@query("g11_two_hop_mean", graph_duck('SELECT m.window_id, m.host, round(coalesce(avg(s."out_IN_BYTES"), 0), 6) AS hop2_bytes FROM m LEFT JOIN edges e ON e.window_id = m.window_id AND e.dst_id = m.host LEFT JOIN m s ON s.window_id = e.window_id AND s.host = e.src_id GROUP BY 1, 2', m=MEANS))
+HOP2 = [f"hop2_{c}" for c in SIDES]
+
+
+@query("g11_two_hop_mean", means_duck(f"SELECT m.window_id, m.host, {', '.join(f'round(coalesce(avg(s.{c}), 0), 4) AS hop2_{c}' for c in SIDES)} FROM m LEFT JOIN edges e ON e.window_id = m.window_id AND e.dst_id = m.host LEFT JOIN m s ON s.window_id = e.window_id AND s.host = e.src_id GROUP BY 1, 2"))
 def _(t):
-    edges, m = means(t)
-    return graph.two_hop_mean(edges, m).select("window_id", "host", F.col("hop2_out_IN_BYTES").alias("hop2_bytes"))
+    edges, hosts = means(t)
+    return graph.two_hop_mean(edges, hosts, BOTH).select("window_id", "host", *entries("hop2", HOP2))
 
 
-@query("g12_edge_representation", graph_duck('SELECT e.edge_ord, round(a."out_IN_BYTES", 6) AS src_bytes, round(b."in_IN_BYTES", 6) AS dst_bytes, e.IN_BYTES AS "IN_BYTES" FROM edges e JOIN m a ON a.window_id = e.window_id AND a.host = e.src_id JOIN m b ON b.window_id = e.window_id AND b.host = e.dst_id', m=MEANS))
+@query("g12_edge_representation", means_duck(f"SELECT e.edge_ord, {', '.join(f'round({p}.{c}, 4) AS {e}_{c}' for p, e in (('a', 'src'), ('b', 'dst')) for c in SIDES)}, {', '.join(f'round(e.f_{i}, 4) AS f_{i}' for i in range(WIDE))} FROM wide e JOIN m a ON a.window_id = e.window_id AND a.host = e.src_id JOIN m b ON b.window_id = e.window_id AND b.host = e.dst_id"))
 def _(t):
-    edges, m = means(t)
-    return graph.edge_representation(edges, m).select("edge_ord", F.col("src_out_IN_BYTES").alias("src_bytes"), F.col("dst_in_IN_BYTES").alias("dst_bytes"), "IN_BYTES")
+    edges, hosts = means(t)
+    out = graph.edge_representation(edges, hosts)
+    ends = [c for end in ("src", "dst") for c in entries(f"{end}_vector", [f"{end}_{c}" for c in SIDES])]
+    return out.select("edge_ord", *ends, *[F.round(F.coalesce(F.get("features", F.lit(i)).cast("double"), F.lit(0.0)), 4).alias(f"f_{i}") for i in range(WIDE)])
+
 
+MEMORY = [f"memory_{c}" for c in SIDES]
 
-@query("g13_host_memory", graph_duck('SELECT window_id, host, round(sum(x * 0.5 * pow(0.5, r - q)), 4) AS memory FROM (SELECT a.window_id, a.host, a.r, b.q, b.x FROM (SELECT window_id, host, row_number() OVER (PARTITION BY host ORDER BY window_id) AS r FROM m) a JOIN (SELECT host, "out_PROTOCOL" AS x, row_number() OVER (PARTITION BY host ORDER BY window_id) AS q FROM m) b ON a.host = b.host AND b.q <= a.r AND b.q > a.r - 60) GROUP BY 1, 2', m=MEANS))
+
+@query("g13_host_memory", means_duck(
+    f"SELECT window_id, host, {', '.join(f'round(sum({c} * 0.5 * pow(0.5, r - q)), 4) AS memory_{c}' for c in SIDES)} FROM (SELECT a.window_id, a.host, a.r, b.* EXCLUDE (window_id, host, r), b.r AS q FROM k a JOIN k b ON a.host = b.host AND b.r <= a.r AND b.r > a.r - 60) GROUP BY 1, 2",
+    k="SELECT *, row_number() OVER (PARTITION BY host ORDER BY window_id) AS r FROM m",
+))
 def _(t):
-    out = graph.host_memory(means(t)[1], "out_PROTOCOL")
-    return out.withColumn("memory", F.round("memory", 4))
+    return graph.host_memory(means(t)[1], BOTH).select("window_id", "host", *entries("memory", MEMORY))
 
 
 @query("f06_dense_local_rank", graph_duck("SELECT window_id, max(local_id) + 1 AS hosts FROM nodes GROUP BY 1"))
@@ -615,7 +649,7 @@ def _(t):
 def examples(t):
     w = t.windowed()
     s = windows.split_by_window(w, windows.split_limits(t.flows()), HOUR)
-    return s.select("split", "window_id", "flow_ord", SRC, DST, "Port_Category", "IN_BYTES", "PROTOCOL", "y_real", F.col("y_real").alias("y"), C.edge_features().alias("features"))
+    return s.select("split", "window_id", "flow_ord", SRC, DST, "Port_Category", "y_real", F.col("y_real").alias("y"), C.edge_features().alias("features"))
 
 
 def evaluated(t, model, rows):
@@ -632,14 +666,14 @@ def _(t):
 @query("m02_feature_importance")
 def _(t):
     e = t.saved(examples(t).where("split = 'train'"))
-    names = [*C.ROLES, *C.PROTOCOL_CLASSES, *io.schema.NUMERIC]
+    names = [*C.ROLES, *C.PROTOCOL_CLASSES, *schema.NUMERIC]
     return ml.feature_importance(e, ml.train_forest(e), names)
 
 
 @query("k03_top_importances")
 def _(t):
     e = t.saved(examples(t).where("split = 'train'"))
-    return ml.feature_importance(e, ml.train_forest(e), [*C.ROLES, *C.PROTOCOL_CLASSES, *io.schema.NUMERIC], top=10).select("feature")
+    return ml.feature_importance(e, ml.train_forest(e), [*C.ROLES, *C.PROTOCOL_CLASSES, *schema.NUMERIC], top=10).select("feature")
 
 
 @query("m03_score_flows")
@@ -655,44 +689,57 @@ def _(t):
 
 
 def in_context(e):
-    """Flows with what their ends' entropy, neighbourhood means and memory say, and the names of these columns."""
-    hosts = graph.port_entropy(e).withColumnRenamed("ip", "host")
-    means = ranking.shared_table(graph.neighbour_mean(e, hosts, ["IN_BYTES", "PROTOCOL"], SRC, DST))
-    memory = graph.host_memory(means, "out_PROTOCOL")
-    hosts = hosts.join(means, ["window_id", "host"]).join(memory, ["window_id", "host"])
-    rich = graph.edge_representation(e, hosts, SRC, DST)
-    return rich, [f"{end}_{c}" for end in ("src", "dst") for c in hosts.columns if c not in ("window_id", "host")]
+    """Flows with what both of their ends' entropy, neighbourhood means and memory say."""
+    means = ranking.shared_table(graph.host_vector(graph.neighbour_mean(e, WIDE, src=SRC, dst=DST)))
+    hosts = graph.port_entropy(e).withColumnRenamed("ip", "host").join(means, ["window_id", "host"]).join(graph.host_memory(means, BOTH), ["window_id", "host"])
+    hosts = hosts.select("window_id", "host", F.concat(F.array("out_entropy", "in_entropy"), "vector", "memory").alias("context"))
+    return graph.edge_representation(e, hosts, SRC, DST)
 
 
 @query("m05_train_context_forest")
 def _(t):
-    rich = t.saved(ml.context_features(*in_context(t.saved(examples(t)))))
-    return evaluated(t, ml.train_forest(rich.where("split = 'train'")), rich)
+    rich = t.saved(ml.context_features(in_context(t.saved(examples(t)))))
+    return evaluated(t, ml.train_context_forest(rich.where("split = 'train'")), rich)
+
+
+PARTS = 4
 
 
-FILES = 4
+def arriving(source, order=None):
+    """``source`` with the number of the part that a row arrives in: ranges of equal length of ``order``, milliseconds."""
+    order = order if order is not None else F.unix_millis("ts")
+    rows = source.withColumn("_at", order)
+    ends = F.broadcast(rows.agg(F.min("_at").alias("_a"), F.max("_at").alias("_b")))
+    return rows.crossJoin(ends).withColumn("part", F.expr(f"(_at - _a) * {PARTS} div (_b - _a + 1)")).drop("_at", "_a", "_b")
 
 
-def streamed(t, source, build, sort="ts", mode="append"):
-    """Run ``build`` as a stream over ``source``, written in the order of ``sort`` to
-    ``FILES`` files that arrive one by one, each a micro-batch, and return what it
-    wrote and the groups that it dropped as late, by Spark's own count."""
+def streamed(t, parts, start):
+    """Write each part of ``parts`` (its column ``part``) in parallel to the folder that a
+    stream watches, and after each run the stream on what is new, as one micro-batch,
+    from its checkpoint on. ``start``: (stream, checkpoint folder, output folder) -> a
+    writer. Returns the output folder and how many rows Spark dropped as late."""
     root = f"{ranking.shared_root(t.spark)}/stream-{uuid.uuid4().hex}"
-    cuts = source.select(F.percentile_approx(F.col(sort), [i / FILES for i in range(1, FILES)], 1000)).first()[0] or []
-    number = sum((F.when(F.col(sort) > F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0))
-    parts = t.saved(source.withColumn("file", number))
-    for i in range(FILES):  # one after the other, as a stream takes older files first
-        parts.where(F.col("file") == i).drop("file").coalesce(1).write.mode("append").parquet(f"{root}/in")
-    stream = t.spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    q = build(stream).writeStream.outputMode(mode).format("parquet").option("checkpointLocation", f"{root}/state").option("path", f"{root}/out").trigger(availableNow=True).start()
-    q.awaitTermination()
-    late = sum(s.numRowsDroppedByWatermark for p in q.recentProgress for s in p.stateOperators)
-    return t.spark.read.parquet(f"{root}/out"), late
+    parts = t.saved(parts)
+    kinds = parts.drop("part").schema
+    late = 0
+    for i in range(PARTS):
+        parts.where(F.col("part") == i).drop("part").write.mode("append").parquet(f"{root}/in")
+        stream = t.spark.readStream.schema(kinds).parquet(f"{root}/in")
+        q = start(stream, f"{root}/state", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+        late += sum(s.numRowsDroppedByWatermark for p in q.recentProgress for s in p.stateOperators)
+    return f"{root}/out", late
+
+
+def appended(t, parts, build):
+    """What the stream of ``build`` appended, and the rows that were dropped as late."""
+    out, late = streamed(t, parts, lambda s, state, path: build(s).writeStream.outputMode("append").format("parquet").option("path", path))
+    return t.spark.read.parquet(out), late
 
 
 def timed(t):
     w = t.windowed(300)
-    return w.select(F.timestamp_millis("FLOW_START_MILLISECONDS").alias("ts"), "Attack", SRC, "Port_Category", "y_real")
+    return w.select(F.timestamp_millis("FLOW_START_MILLISECONDS").alias("ts"), "flow_ord", "Attack", SRC, DST, "Port_Category", "PROTOCOL", "y_real")
 
 
 CLOSED = "w + 300000 <= (SELECT max(FLOW_START_MILLISECONDS) FROM windowed) - 60000"
@@ -701,51 +748,64 @@ EPOCH = "FLOW_START_MILLISECONDS // 300000 * 300000"
 
 @query("st01_stream_windows", duck(f"SELECT w AS window_ms, flows, attacks FROM (SELECT {EPOCH} AS w, count(*) AS flows, count(*) FILTER (Attack = 'Infilteration') AS attacks FROM windowed GROUP BY 1) WHERE {CLOSED}", "windowed"))
 def _(t):
-    out, _ = streamed(t, timed(t), lambda s: streams.stream_windows(s, 300))
+    out, _ = appended(t, arriving(timed(t)), lambda s: streams.stream_windows(s, 300))
     return out.select(F.unix_millis("window_start").alias("window_ms"), "flows", "attacks")
 
 
-@query("st02_stream_port_entropy", duck(f"SELECT w AS window_ms, ip, round(greatest(-sum(n / t * log2(n / t)), 0), 6) AS entropy FROM (SELECT *, sum(n) OVER (PARTITION BY w, ip) AS t FROM (SELECT {EPOCH} AS w, IPV4_SRC_ADDR AS ip, Port_Category, CAST(count(*) AS DOUBLE) AS n FROM windowed GROUP BY 1, 2, 3)) WHERE {CLOSED} GROUP BY 1, 2", "windowed"))
+_STREAM_H = f"SELECT w, ip, o, greatest(-sum(n / t * log2(n / t)), 0) / {math.log2(7)!r} AS h FROM (SELECT *, sum(n) OVER (PARTITION BY w, ip, o) AS t FROM (SELECT {EPOCH} AS w, ip, o, Port_Category, CAST(count(*) AS DOUBLE) AS n FROM (SELECT *, IPV4_SRC_ADDR AS ip, true AS o FROM windowed UNION ALL SELECT *, IPV4_DST_ADDR, false FROM windowed) GROUP BY ALL)) GROUP BY 1, 2, 3"
+
+
+@query("st02_stream_port_entropy", duck(f"SELECT w AS window_ms, ip, round(coalesce(max(h) FILTER (o), 0), 6) + 0 AS out_entropy, round(coalesce(max(h) FILTER (NOT o), 0), 6) + 0 AS in_entropy FROM s WHERE {CLOSED} GROUP BY 1, 2", "windowed", s=_STREAM_H))
 def _(t):
-    out, _ = streamed(t, timed(t), lambda s: streams.stream_port_entropy(s, 300))
-    return out.select(F.unix_millis("window_start").alias("window_ms"), "ip", "entropy")
+    out, _ = appended(t, arriving(timed(t)), lambda s: streams.stream_port_entropy(s, 300))
+    return out.select(F.unix_millis("window_start").alias("window_ms"), "ip", "out_entropy", "in_entropy")
 
 
 @query("st04_stream_alerts", duck(f"SELECT {G}, Source_IP, Dest_IP, MITRE_Tactic_Base, count(*) AS n FROM ev GROUP BY ALL", "ev"))
 def _(t):
     cols = ["Graph_Window_Idx", "Source_IP", "Dest_IP", "Port_Category", "y_real", "Probability"]
     s = t.scored().withColumn("ts", F.timestamp_millis("FLOW_START_MILLISECONDS")).select("ts", *cols)
-    out, _ = streamed(t, s, lambda x: streams.stream_alerts(x, t.ips(C2), t.ips(ATTACKERS), THRESHOLD))
+    out, _ = appended(t, arriving(s), lambda x: streams.stream_alerts(x, t.ips(C2), t.ips(ATTACKERS), THRESHOLD))
     return out.groupBy("Graph_Window_Idx", "Source_IP", "Dest_IP", "MITRE_Tactic_Base").agg(F.count("*").alias("n"))
 
 
 @query("st05_stream_instances", duck(f"SELECT i.MITRE_Tactic_Base, start_idx, end_idx, count(*) AS flows FROM i JOIN gt g ON g.MITRE_Tactic_Base = i.MITRE_Tactic_Base AND {G} BETWEEN start_idx AND end_idx WHERE end_idx * {HOUR} + 5.5 * {HOUR} <= (SELECT max({G}) FROM gt) * {HOUR} - 60 GROUP BY 1, 2, 3", "gt", i=INSTANCES))
 def _(t):
     g = threat.gt(t.events()).select(F.timestamp_millis(F.col(threat.IDX) * (HOUR * 1000)).alias("ts"), threat.TACTIC)
-    out, _ = streamed(t, g, lambda s: streams.stream_instances(s, HOUR))
+    out, _ = appended(t, arriving(g), lambda s: streams.stream_instances(s, HOUR))
     return out.select(threat.TACTIC, (F.unix_seconds("start_ts") / HOUR).cast("long").alias("start_idx"), (F.unix_seconds("end_ts") / HOUR).cast("long").alias("end_idx"), "flows")
 
 
-@query("st03_stream_host_memory", duck("SELECT host, window_id, round(sum(x * 0.5 * pow(0.5, r - q)), 6) AS memory FROM (SELECT a.window_id, a.host, a.r, b.q, b.x FROM m a JOIN (SELECT host, x, r AS q FROM m) b ON a.host = b.host AND b.q <= a.r AND b.q > a.r - 60) GROUP BY 1, 2", "windowed", m="SELECT IPV4_SRC_ADDR AS host, window_id, avg(PROTOCOL) AS x, row_number() OVER (PARTITION BY IPV4_SRC_ADDR ORDER BY window_id) AS r FROM windowed GROUP BY 1, 2"))
-def _(t):
-    w = t.windowed()
+def remembered(t, parts, **options):
+    """The memory stream's rows, and the rows dropped as late; it needs the RocksDB state store."""
     key, provider = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     before = t.spark.conf.get(key)
     t.spark.conf.set(key, provider)
     try:
-        x = w.groupBy(F.col(SRC).alias("host"), "window_id").agg(F.avg("PROTOCOL").alias("x"))
-        return streamed(t, x, streams.stream_host_memory, sort="window_id")[0]
+        return appended(t, parts, lambda s: streams.stream_host_memory(s, **options))
     finally:
         t.spark.conf.set(key, before)
 
 
-@query("st06_late_data")
+_HOURS = f"SELECT IPV4_SRC_ADDR AS host, FLOW_START_MILLISECONDS // {HOUR * 1000} AS window_id, avg(PROTOCOL) AS x, row_number() OVER (PARTITION BY IPV4_SRC_ADDR ORDER BY FLOW_START_MILLISECONDS // {HOUR * 1000}) AS r FROM windowed GROUP BY 1, 2"
+
+
+@query("st03_stream_host_memory", duck(f"SELECT host, window_id, round(sum(x * 0.5 * pow(0.5, r - q)), 6) AS memory FROM (SELECT a.window_id, a.host, a.r, b.q, b.x FROM m a JOIN (SELECT host, x, r AS q FROM m) b ON a.host = b.host AND b.q <= a.r AND b.q > a.r - 60) WHERE (window_id + 1) * {HOUR * 1000} <= (SELECT max(FLOW_START_MILLISECONDS) FROM windowed) - 60000 GROUP BY 1, 2", "windowed", m=_HOURS))
 def _(t):
-    """Rows that arrive twelve days after their time are dropped once the batch before
-    has moved the watermark past it: flows sent, kept in closed windows, and
-    late ones, with Spark's own count of the groups that these made up."""
-    late = timed(t).withColumn("order", F.col("ts") + F.expr("CASE WHEN hash(ts, y_real) % 7 = 0 THEN INTERVAL 12 DAYS ELSE INTERVAL 0 DAYS END"))
-    out, dropped = streamed(t, late, lambda s: streams.stream_windows(s.drop("order"), 300), sort="order")
-    sent = late.agg(F.count("*").alias("sent"), F.count_if(F.col("order") != F.col("ts")).alias("delayed"))
-    return out.agg(F.sum("flows").alias("kept")).crossJoin(sent).withColumn("dropped_groups", F.lit(dropped).cast("long"))
+    rows = timed(t).select("ts", F.col(SRC).alias("host"), F.col("PROTOCOL").alias("x"))
+    return remembered(t, arriving(rows), seconds=HOUR)[0]
+
 
+_LATE = f"""SELECT *, {EPOCH} AS w, CAST((due - min(due) OVER ()) * {PARTS} // (max(due) OVER () - min(due) OVER () + 1) AS BIGINT) AS part FROM (SELECT *, FLOW_START_MILLISECONDS + CASE WHEN flow_ord % 7 = 0 THEN 1036800000 ELSE 0 END AS due FROM windowed)"""
+_SEEN = f"SELECT p.part, (SELECT max(FLOW_START_MILLISECONDS) FROM l WHERE l.part < p.part) - 60000 AS mark FROM (SELECT unnest(range({PARTS})) AS part) p"
+
+
+@query("st06_late_data", duck("SELECT w AS window_ms, count(*) AS flows, count(*) FILTER (Attack = 'Infilteration') AS attacks, count(*) FILTER (coalesce(w + 300000 <= mark, false)) AS late, count(*) FILTER (coalesce(w + 300000 <= mark, false)) > 0 AS corrected FROM l JOIN seen USING (part) GROUP BY 1", "windowed", l=_LATE, seen=_SEEN))
+def _(t):
+    """Every seventh flow arrives twelve days after its time: its window has closed by
+    then, and is corrected; ``late`` counts these rows, against the watermark of the
+    batch that they came in."""
+    at = F.unix_millis("ts") + F.when(F.col("flow_ord") % 7 == 0, 12 * 86_400_000).otherwise(0)
+    table = streams.WindowCorrections(t.spark, f"{ranking.shared_root(t.spark)}/windows-{uuid.uuid4().hex}", 300, 60)
+    streamed(t, arriving(timed(t), at), lambda s, state, path: s.writeStream.foreachBatch(table.write))
+    return table.read().withColumn("corrected", F.col("late") > 0)

@@ -28,7 +28,7 @@ def test_models_train_at_the_operators_size(spark, monkeypatch):
     class Seen(Exception):
         pass
 
-    def forest(train, trees=ml.TREES, depth=ml.DEPTH, y="y"):
+    def forest(train, trees=ml.TREES, depth=ml.DEPTH, y="y", subset="auto"):
         raise Seen(trees, depth)
 
     def net(train, inputs=32, rounds=50, y="y"):
