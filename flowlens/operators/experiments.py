@@ -51,18 +51,16 @@ def metrics_mean(runs: DataFrame, metrics: Sequence[str], by: str = "Architectur
     return runs.groupBy(by).agg(*[F.avg(m).alias(m) for m in metrics])
 
 
-def loss_curve(histories: DataFrame, value: str = "train_loss") -> DataFrame:
-    """experiment, epoch, mean, std (population), up to the shortest seed."""
-    arr = F.col(f"training.{value}")
-    short = histories.groupBy("experiment").agg(F.min(F.size(arr)).alias("shortest"))
-    long = histories.select("experiment", F.posexplode(arr).alias("epoch", "value")).join(short, "experiment").where("epoch < shortest")
-    return long.groupBy("experiment", "epoch").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count("*").alias("seeds"))
-
-
-def loss_curve_long(long: DataFrame, value: str = "v") -> DataFrame:
-    """``loss_curve`` from rows (experiment, seed, epoch, value), without arrays."""
-    short = long.groupBy("experiment", "seed").agg(F.count("*").alias("n")).groupBy("experiment").agg(F.min("n").alias("shortest"))
-    out = long.join(short, "experiment").where("epoch < shortest")
+def history_rows(histories: DataFrame) -> DataFrame:
+    """experiment, seed, best_epoch, epoch, train_loss, val_loss: a row for each epoch."""
+    z = F.posexplode(F.arrays_zip(F.col("training.train_loss").alias("train_loss"), F.col("training.val_loss").alias("val_loss"))).alias("epoch", "z")
+    return histories.select("experiment", "seed", F.col("early_stopping.best_epoch").alias("best_epoch"), z).select("experiment", "seed", "best_epoch", "epoch", "z.*")
+
+
+def loss_curve(rows: DataFrame, value: str = "train_loss") -> DataFrame:
+    """experiment, epoch, mean, std (population), seeds, up to the shortest seed."""
+    short = rows.groupBy("experiment", "seed").agg(F.count("*").alias("n")).groupBy("experiment").agg(F.min("n").alias("shortest"))
+    out = rows.join(short, "experiment").where("epoch < shortest")
     return out.groupBy("experiment", "epoch").agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.count("*").alias("seeds"))
 
 
@@ -72,11 +70,9 @@ def last_stop(low: float, high: float, patience: int = 10, min_delta: float = 1e
     return patience * (int((high - low) / min_delta) + 2)
 
 
-def loss_by_seed(histories: DataFrame) -> DataFrame:
-    """experiment, seed, epoch, train_loss, val_loss, is_best."""
-    z = F.posexplode(F.arrays_zip(F.col("training.train_loss").alias("train_loss"), F.col("training.val_loss").alias("val_loss"))).alias("epoch", "z")
-    out = histories.select("experiment", "seed", F.col("early_stopping.best_epoch").alias("best"), z)
-    return out.select("experiment", "seed", "epoch", "z.train_loss", "z.val_loss", (F.col("epoch") == F.col("best")).alias("is_best"))
+def loss_by_seed(rows: DataFrame) -> DataFrame:
+    """experiment, seed, epoch, train_loss, val_loss, is_best: the best epoch is the history's own."""
+    return rows.select("experiment", "seed", "epoch", "train_loss", "val_loss", (F.col("epoch") == F.col("best_epoch")).alias("is_best"))
 
 
 def early_stop_replay(histories: DataFrame, values: str = "training.val_aucpr", patience: int = 10, min_delta: float = 1e-4, mode: str = "max") -> DataFrame:

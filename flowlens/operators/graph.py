@@ -8,11 +8,13 @@ pair before anything joins on the host alone.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ROLES, decode_role
+from .profile import quantile_sketches
 from .ranking import dense_ranks, quantiles, shared_table
 
 SRC, DST = "IPV4_SRC_ADDR", "IPV4_DST_ADDR"
@@ -102,6 +104,15 @@ def entropy_by_confusion(flows: DataFrame, entropy: DataFrame, kind: Column) ->
     return out
 
 
+def entropy_sketches(flows: DataFrame, entropy: DataFrame, kind: Column, by: Sequence[str] = ()) -> DataFrame:
+    """by, kind, side, sketch: KLL sketches of the source's outgoing and the destination's
+    incoming entropy, of every flow, which ``profile.describe_sketches`` merges."""
+    e = flows.select(*by, "window_id", SRC, DST, kind.alias("kind"))
+    e = e.join(entropy.select("window_id", F.col("ip").alias(SRC), "out_entropy"), ["window_id", SRC]).join(entropy.select("window_id", F.col("ip").alias(DST), "in_entropy"), ["window_id", DST])
+    sides = F.explode(F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("value")) for c in ("out_entropy", "in_entropy")]))
+    return quantile_sketches(e.select(*by, "kind", sides.alias("e")).select(*by, "kind", "e.*"), "value", [*by, "kind", "side"])
+
+
 def vector_sum(vector: str, size: int, weight: Column | None = None, where: Column | None = None) -> Column:
     """Aggregate: the sum of the vectors in an array column, entry by entry, null entries
     as 0, times ``weight``, of the rows that ``where`` holds for. Its parts are plain sums,

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import over, rates, ratio
-from .ranking import running_sums
+from .ranking import running_sums, shared_table
 
 Y, SCORE = "y_real", "Probability"
 
@@ -152,14 +152,41 @@ def apply_saved_thresholds(scored: DataFrame, thresholds: DataFrame) -> DataFram
     return binary_metrics(joined, F.col("optimal_threshold"), keys=keys).join(thresholds, keys)
 
 
+def counts_above(threshold: Column) -> dict[str, Column]:
+    """TP, FP, TN, FN of scores above a threshold, as aggregates over a curve: the sums at
+    the lowest score above it are those of all scores above it."""
+    over_it = lambda c: F.coalesce(F.max(F.when(F.col("threshold") > threshold, F.col(c))), F.lit(0))
+    tp, fp = over_it("tps"), over_it("fps")
+    return {"TP": tp, "FP": fp, "TN": F.max("neg") - fp, "FN": F.max("pos") - tp}
+
+
 def rethreshold(scored: DataFrame, old: DataFrame) -> DataFrame:
-    """Per (experiment, seed): the best F1 threshold, the metrics there, and the old metrics next to them."""
+    """Per (experiment, seed): the best F1 threshold, the metrics there, and the old metrics
+    next to them. All of it is read off one curve, written once: the area does not depend on
+    the threshold, and the counts at a threshold stand in the curve."""
     keys = ["experiment", "seed"]
-    best = best_threshold_f1(pr_curve(curve(scored, keys)), keys).select(*keys, F.col("threshold").alias("optimal_threshold"))
-    new = apply_saved_thresholds(scored, best)
-    counts = confusion_counts(scored.join(old, keys), F.col("optimal_threshold"), keys=keys).withColumns(rates()).join(old, keys)
-    before = counts.select(*keys, *[F.col(c).alias(f"old_{c}") for c in ("optimal_threshold", "Precision", "Recall", "F1")])
-    return new.join(before, keys, "left")
+    points = shared_table(curve(scored, keys))
+    best = best_threshold_f1(pr_curve(points), keys).select(*keys, F.col("threshold").alias("new"))
+    both = best.join(old.select(*keys, F.col("optimal_threshold").alias("old")), keys, "left")
+    at = points.join(both, keys)
+    p = F.col("tps") / (F.col("tps") + F.col("fps"))
+    below = F.col("neg") - F.col("fps") + F.col("fp") / 2
+    two = (F.max("pos") > 0) & (F.max("neg") > 0)
+    named = {f"{n}_{k}": c for n in ("new", "old") for k, c in counts_above(F.col(n)).items()}
+    sums = at.groupBy(*keys).agg(
+        F.first("new").alias("optimal_threshold"),
+        F.first("old").alias("old_optimal_threshold"),
+        F.when(two, F.sum(F.when(F.col("pos") > 0, F.col("tp") / F.col("pos") * p))).otherwise(0.0).alias("AUC_PR"),
+        F.when(two, F.try_divide(F.sum(F.col("tp") * below), F.max("pos").cast("double") * F.max("neg"))).otherwise(0.5).alias("AUC_ROC"),
+        *[c.alias(k) for k, c in named.items()],
+    )
+    rate = {n: rates(*(f"{n}_{k}" for k in ("TP", "FP", "TN", "FN"))) for n in ("new", "old")}
+    known = F.col("old_optimal_threshold").isNotNull()
+    return sums.select(
+        *keys, *[F.col(f"new_{k}").alias(k) for k in ("TP", "FP", "TN", "FN")], *[c.alias(k) for k, c in rate["new"].items()],
+        (F.col("new_TP") + F.col("new_FP") + F.col("new_TN") + F.col("new_FN")).alias("Total_Flows"), "AUC_ROC", "AUC_PR", "optimal_threshold",
+        "old_optimal_threshold", *[F.when(known, rate["old"][k]).alias(f"old_{k}") for k in ("Precision", "Recall", "F1")],
+    )
 
 
 def evaluate_champions(scored: DataFrame, thresholds: DataFrame, champions: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import ATTACK, coerce_numeric, label_flag, log_features
 from ..schema import NUMERIC
-from .ranking import quantiles
+from .ranking import quantiles, shared_table
 
 
 def drop_header_rows(raw: DataFrame, column: str = "Timestamp") -> DataFrame:
@@ -32,16 +32,45 @@ def hour_distribution(flows: DataFrame, ts: str = "FLOW_START_TIME") -> DataFram
     return out.withColumn("ratio", F.coalesce(F.try_divide(F.col("attack"), F.col("attack") + F.col("benign")), F.lit(0.0)))
 
 
-def unique_hosts_per_window(windowed: DataFrame, approximate: bool = False) -> DataFrame:
-    """window_id, distinct sources, destinations, and either. The exact form
-    counts roles by host first, so that the three counts need one shuffle of hosts."""
+def both_ends(rows: DataFrame, *keep: Column) -> DataFrame:
     ends = F.explode(F.array(F.struct(F.col("IPV4_SRC_ADDR").alias("ip"), F.lit(True).alias("src")), F.struct(F.col("IPV4_DST_ADDR").alias("ip"), F.lit(False).alias("src"))))
-    hosts = windowed.select("window_id", ends.alias("e")).select("window_id", "e.*")
-    if approximate:
-        n = F.approx_count_distinct
-        return hosts.groupBy("window_id").agg(n(F.when(F.col("src"), F.col("ip"))).alias("src_hosts"), n(F.when(~F.col("src"), F.col("ip"))).alias("dst_hosts"), n("ip").alias("hosts"))
-    each = hosts.groupBy("window_id", "ip").agg(F.max("src").alias("s"), F.max(~F.col("src")).alias("d"))
-    return each.groupBy("window_id").agg(F.count_if("s").alias("src_hosts"), F.count_if("d").alias("dst_hosts"), F.count("*").alias("hosts"))
+    kept = rows.select(*keep, ends.alias("e"))
+    return kept.select(*[c for c in kept.columns if c != "e"], "e.*")
+
+
+def unique_hosts(flows: DataFrame, widths: Sequence[int] = (30, 60, 300), ms: str = "FLOW_START_MILLISECONDS") -> DataFrame:
+    """width_s, window_ms (clock-anchored), distinct sources, destinations, and either. Flows
+    are read once, at the first width, of which the others are multiples; a host counts
+    once for each of its windows there, and the wider windows are made of these."""
+    base = widths[0] * 1000
+    hosts = both_ends(flows, F.expr(f"{ms} div {base} * {base}").alias("window_ms"))
+    each = shared_table(hosts.groupBy("window_ms", "ip").agg(F.max("src").alias("s"), F.max(~F.col("src")).alias("d")))
+    out = None
+    for width in widths:
+        at = F.expr(f"window_ms div {width * 1000} * {width * 1000}").alias("window_ms")
+        wide = each if width == widths[0] else each.groupBy(at, "ip").agg(F.max("s").alias("s"), F.max("d").alias("d"))
+        n = wide.groupBy(F.lit(width).alias("width_s"), "window_ms").agg(F.count_if("s").alias("src_hosts"), F.count_if("d").alias("dst_hosts"), F.count("*").alias("hosts"))
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+def host_sketches(flows: DataFrame, width: int = 30, lg: int = 12, ms: str = "FLOW_START_MILLISECONDS") -> DataFrame:
+    """window_ms, src, dst: theta sketches of the distinct sources and destinations."""
+    at = F.expr(f"{ms} div {width * 1000} * {width * 1000}").alias("window_ms")
+    return flows.groupBy(at).agg(F.theta_sketch_agg("IPV4_SRC_ADDR", F.lit(lg)).alias("src"), F.theta_sketch_agg("IPV4_DST_ADDR", F.lit(lg)).alias("dst"))
+
+
+def rolled_up(sketches: DataFrame, widths: Sequence[int] = (30, 60, 300), lg: int = 12) -> DataFrame:
+    """``unique_hosts`` from sketches of the first width: wider windows are unions of
+    sketches, and hosts of either kind the union of both. Counts are exact up to 2^lg
+    hosts in a window, and have a relative standard error of 1 / sqrt(2^lg) beyond."""
+    out = None
+    for width in widths:
+        at = F.expr(f"window_ms div {width * 1000} * {width * 1000}").alias("window_ms")
+        wide = sketches if width == widths[0] else sketches.groupBy(at).agg(*[F.theta_union_agg(c, F.lit(lg)).alias(c) for c in ("src", "dst")])
+        n = wide.select(F.lit(width).alias("width_s"), "window_ms", *[F.theta_sketch_estimate(c).alias(f"{c}_hosts") for c in ("src", "dst")], F.theta_sketch_estimate(F.theta_union("src", "dst", F.lit(lg))).alias("hosts"))
+        out = n if out is None else out.unionByName(n)
+    return out
 
 
 def flows_per_pair_window(windowed: DataFrame) -> DataFrame:
@@ -67,12 +96,38 @@ def class_balance(flows: DataFrame) -> DataFrame:
     return out.withColumn("pos_weight", F.when(some, F.col("neg") / F.col("pos"))).withColumn("bias", F.when(some & (F.col("neg") > 0), F.log(F.col("pos") / F.col("neg"))))
 
 
-def fit_scaler(train: DataFrame) -> DataFrame:
-    """feature, mean, scale of the log features: population deviation, 0 becomes 1."""
+def moments(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, feature, n, mean, m2 (sum of squares about the mean) of the log features: a
+    state that further rows extend through ``merge_moments``. Nulls do not count."""
     logs = log_features()
-    one = train.agg(*[F.struct(F.avg(logs[c]).alias("mean"), F.stddev_pop(logs[c]).alias("scale")).alias(c) for c in NUMERIC])
-    long = one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c)["mean"].alias("mean"), F.col(c)["scale"].alias("scale")) for c in NUMERIC])).alias("s")).select("s.*")
-    return long.withColumn("scale", F.when(F.col("scale") == 0, 1.0).otherwise(F.col("scale")))
+    of = lambda x: F.struct(F.count(x).alias("n"), F.avg(x).alias("mean"), (F.var_pop(x) * F.count(x)).alias("m2"))
+    one = rows.groupBy(*keys).agg(*[of(logs[c]).alias(c) for c in NUMERIC])
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c)["n"].alias("n"), F.col(c)["mean"].alias("mean"), F.col(c)["m2"].alias("m2")) for c in NUMERIC]))
+    return one.select(*keys, each.alias("s")).select(*keys, "s.*")
+
+
+def merge_moments(states: DataFrame) -> DataFrame:
+    """feature, n, mean, m2 of all states together; what is added to the states' own sums
+    of squares is how far their means lie from the common one, so nothing cancels."""
+    some = states.where("n > 0")
+    whole = some.groupBy("feature").agg(F.sum("n").alias("all"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("middle"))
+    # a row for each feature
+    both = some.join(F.broadcast(whole), "feature")
+    square = F.col("m2") + F.col("n") * (F.col("mean") - F.col("middle")) ** 2
+    out = both.groupBy("feature").agg(F.first("all").alias("n"), F.first("middle").alias("mean"), F.sum(square).alias("m2"))
+    # a feature without a number in any state keeps its row
+    return states.select("feature").distinct().join(out, "feature", "left").fillna(0, ["n"])
+
+
+def scaler_of(state: DataFrame) -> DataFrame:
+    """feature, mean, scale: population deviation, 0 becomes 1."""
+    scale = F.sqrt(F.col("m2") / F.col("n"))
+    return state.select("feature", "mean", F.when(F.col("n") > 0, F.when(scale == 0, 1.0).otherwise(scale)).alias("scale"))
+
+
+def fit_scaler(train: DataFrame) -> DataFrame:
+    """feature, mean, scale of the log features, in one pass."""
+    return scaler_of(moments(train))
 
 
 def apply_scaler(flows: DataFrame, params: DataFrame) -> DataFrame:
@@ -100,15 +155,26 @@ def non_numeric_profile(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     return long.where(F.col("value").isNotNull() & coerce_numeric("value").isNull()).groupBy("column", "value").agg(F.count("*").alias("n"))
 
 
-def describe(rows: DataFrame, column: str, approximate: bool = False) -> DataFrame:
+QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+
+
+def describe(rows: DataFrame, column: str) -> DataFrame:
     """count, mean, std (sample), min, quartiles (linear), max."""
-    shares = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
     first = [F.count(column).alias("count"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min")]
-    last = F.max(column).alias("max")
-    if approximate:
-        return rows.agg(*first, *[F.percentile_approx(column, p, 10_000).alias(k) for k, p in shares.items()], last)
-    exact = quantiles(rows.groupBy(column).agg(F.count("*").alias("n")), column, shares)
-    return rows.agg(*first, last).crossJoin(exact).select("count", "mean", "std", "min", *shares, "max")
+    exact = quantiles(rows.groupBy(column).agg(F.count("*").alias("n")), column, QUARTILES)
+    return rows.agg(*first, F.max(column).alias("max")).crossJoin(exact).select("count", "mean", "std", "min", *QUARTILES, "max")
+
+
+def quantile_sketches(rows: DataFrame, column: str, keys: Sequence[str] = (), k: int = 200) -> DataFrame:
+    """keys, sketch: KLL sketches of a column, mergeable over any of the keys. With k = 200
+    ranks are off by at most about 1.65 % of the rows, with 99 % confidence."""
+    return rows.groupBy(*keys).agg(F.kll_sketch_agg_double(F.col(column).cast("double"), F.lit(k)).alias("sketch"))
+
+
+def describe_sketches(sketches: DataFrame, keys: Sequence[str] = (), shares: dict[str, float] = QUARTILES, k: int = 200) -> DataFrame:
+    """keys, count and quantiles of the merged sketches: values that occur in the rows."""
+    merged = sketches.groupBy(*keys).agg(F.kll_merge_agg_double("sketch", F.lit(k)).alias("sketch"))
+    return merged.select(*keys, F.kll_sketch_get_n_double("sketch").alias("count"), *[F.kll_sketch_get_quantile_double("sketch", F.lit(p)).alias(n) for n, p in shares.items()])
 
 
 def content_stats(edges: DataFrame, sample: int = 50) -> DataFrame:

@@ -61,6 +61,40 @@ def running_sums(rows: DataFrame, order: list, values: list[str]) -> DataFrame:
     return out.withColumns({f"cum_{v}": F.sum(v).over(w) + F.col(f"{v}_before") for v in values}).drop("part", *[f"{v}_before" for v in values])
 
 
+def previous(parts: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
+    """Adds prev_<c>: the column in the row before, of the same keys, null for a key's
+    first row. ``parts`` is what ``ordered_parts`` returned for [*keys, *order], whose
+    values are distinct. The last row of each part is carried to the next one that has
+    rows (one row for each part), so that a key's rows may lie in any number of parts."""
+    here = Window.partitionBy("part").orderBy(*keys, *order)
+    row = F.struct(*keys, *columns)
+    ends = parts.groupBy("part").agg(F.max_by(row, F.struct(*keys, *order)).alias("end"))
+    carried = F.broadcast(ends.select("part", F.lag("end").over(Window.orderBy("part")).alias("_carried")))
+    rows = parts.withColumn("_p", F.lag(row).over(here)).join(carried, "part").withColumn("_p", F.coalesce("_p", "_carried"))
+    same = F.col("_p").isNotNull()
+    for k in keys:
+        same &= F.col(f"_p.{k}").eqNullSafe(F.col(k))
+    return rows.withColumns({f"prev_{c}": F.when(same, F.col(f"_p.{c}")) for c in columns}).drop("_p", "_carried")
+
+
+def with_previous(rows: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
+    return previous(ordered_parts(rows, [*keys, *order]), keys, order, columns).drop("part")
+
+
+def islands(rows: DataFrame, keys: list[str], order: list[str], starts: Column, name: str = "island") -> DataFrame:
+    """Numbers the runs of a key's rows: from 1, one more wherever ``starts`` holds, which may
+    speak of the rows' columns and of prev_<order>, null for a key's first row; that row
+    always starts a run. Order and sums are distributed as in ``running_sums``."""
+    rows = previous(ordered_parts(rows, [*keys, *order]), keys, order, order)
+    rows = rows.withColumn("_new", (F.col(f"prev_{order[0]}").isNull() | F.coalesce(starts, F.lit(False))).cast("long"))
+    here = Window.partitionBy("part").orderBy(*keys, *order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = rows.join(offsets(rows, {"_n": F.sum("_new")}), "part").withColumn("_cum", F.sum("_new").over(here) + F.col("_n_before"))
+    # the sums run on over all keys: what came before a key's first row goes off
+    base = summed.groupBy(*keys).agg(F.min(F.col("_cum") - F.col("_new")).alias("_base"))
+    out = summed.join(base, keys) if keys else summed.crossJoin(F.broadcast(base))
+    return out.withColumn(name, F.col("_cum") - F.col("_base")).drop("part", "_new", "_n_before", "_cum", "_base", *[f"prev_{c}" for c in order])
+
+
 def quantiles(counts: DataFrame, value: str, shares: dict[str, float], keys: list[str] = ()) -> DataFrame:
     """Exact quantiles (linear between neighbours) of values with their counts ``n``,
     by keys without nulls: one column for each name in ``shares``. The values are

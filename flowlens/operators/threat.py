@@ -4,11 +4,11 @@ MITRE_Tactic_Base."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import INTERNAL, at_least_zero, canonical_tactic, mitre_tactic, rates, ratio, ttd_interpretation, ttd_quality
-from .ranking import shared_table
+from .ranking import islands, shared_table, with_previous
 
 TACTIC, IDX = "MITRE_Tactic_Base", "Graph_Window_Idx"
 LATERAL = "Lateral Movement"
@@ -75,14 +75,17 @@ def temporal_recall(events: DataFrame, ignore_unknown: bool = False) -> DataFram
     return out.select(TACTIC, "tp_windows", "fn_windows", pct(F.col("tp_windows"), F.col("fn_windows")).alias("temporal_recall_pct"), "global_fp_windows", pct(F.col("t"), F.col("global_fp_windows")).alias("global_precision_pct"))
 
 
+def window_gaps(real: DataFrame) -> DataFrame:
+    """tactic, window, gap to the tactic's window before, null for its first."""
+    out = with_previous(real.select(TACTIC, IDX).distinct(), [TACTIC], [IDX], [IDX])
+    return out.select(TACTIC, IDX, (F.col(IDX) - F.col(f"prev_{IDX}")).alias("gap"))
+
+
 def attack_instances(real: DataFrame, max_gap: int = 5) -> DataFrame:
     """Runs of a tactic's windows without a gap above ``max_gap``: tactic, instance,
-    start and end. Windows are made distinct before they are ordered."""
-    w = Window.partitionBy(TACTIC).orderBy(IDX)
-    rows = real.select(TACTIC, IDX).distinct()
-    gap = F.col(IDX) - F.lag(IDX).over(w)
-    rows = rows.withColumn("new", (F.coalesce(gap, F.lit(max_gap + 1)) > max_gap).cast("long"))
-    rows = rows.withColumn("instance", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    start and end. Windows are made distinct before they are ordered, and a tactic's
+    windows may lie in any number of ranges."""
+    rows = islands(real.select(TACTIC, IDX).distinct(), [TACTIC], [IDX], F.col(IDX) - F.col(f"prev_{IDX}") > max_gap, "instance")
     return rows.groupBy(TACTIC, "instance").agg(F.min(IDX).alias("start_idx"), F.max(IDX).alias("end_idx"))
 
 
@@ -180,7 +183,9 @@ def lateral_movement_pairs(hits: DataFrame, seconds: int = 30) -> DataFrame:
     total = early.groupBy(*keys, TACTIC).agg(F.sum("n").alias("n")).where("n > 0")
     mode = total.groupBy(*keys).agg(F.min(F.struct((-F.col("n")).alias("less"), TACTIC)).alias("m"))
     # the sources of a host's first alerts, and the destinations
-    at = lambda end, host: small.select(F.col(host).alias("v"), F.col(IDX).alias("first_idx"), F.col(end).alias("peer")).distinct().groupBy("v", "first_idx").agg(F.array_join(F.array_sort(F.collect_list("peer")), ", ").alias(end))
+    # of the victims' first windows alone: what a scanner does elsewhere is not gathered
+    wanted = shared_table(both.select("v", "first_idx").distinct())
+    at = lambda end, host: small.select(F.col(host).alias("v"), F.col(IDX).alias("first_idx"), F.col(end).alias("peer")).join(wanted, ["v", "first_idx"], "left_semi").distinct().groupBy("v", "first_idx").agg(F.array_join(F.array_sort(F.collect_list("peer")), ", ").alias(end))
     known = both.select(*keys).join(at("Source_IP", "Dest_IP").withColumnRenamed("Source_IP", "received"), ["v", "first_idx"], "left").join(at("Dest_IP", "Source_IP").withColumnRenamed("Dest_IP", "started"), ["v", "first_idx"], "left")
     facts = by.join(known.fillna("", ["received", "started"]), keys)
     detail = F.when(~F.col("by_v"), "").when(F.col("received") != "", F.concat(F.lit("Attacked by: "), "received")).otherwise(F.concat(F.lit("Beaconing towards: "), "started"))

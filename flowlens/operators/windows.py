@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from datetime import UTC, datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import valid_ips
+from .ranking import with_previous
 
 MS = "FLOW_START_MILLISECONDS"
 TRAIN_SHARE, VAL_SHARE = 0.70, 0.85
@@ -87,14 +88,14 @@ def snapshot_ordinal(spine: DataFrame) -> DataFrame:
 
 def check_continuity(spine: DataFrame, seconds: int = 30) -> DataFrame:
     """Per split: snapshots, empty, gaps in ids, steps in time that are not the
-    width. ``spine`` has split, window_id, window_start_ms, is_empty."""
-    w = Window.partitionBy("split").orderBy("window_id")
-    step = spine.withColumn("id_step", F.col("window_id") - F.lag("window_id").over(w)).withColumn("ms_step", F.col("window_start_ms") - F.lag("window_start_ms").over(w))
+    width. ``spine`` has split, window_id, window_start_ms, is_empty. The windows of a
+    split are compared in ranges, not in one task."""
+    step = with_previous(spine.select("split", "window_id", "window_start_ms", "is_empty"), ["split"], ["window_id"], ["window_id", "window_start_ms"])
     return step.groupBy("split").agg(
         F.count("*").alias("snapshots"),
         F.count_if("is_empty").alias("empty"),
-        F.count_if(F.col("id_step") != 1).alias("id_gaps"),
-        F.count_if(F.col("ms_step") != seconds * 1000).alias("time_gaps"),
+        F.count_if(F.col("window_id") - F.col("prev_window_id") != 1).alias("id_gaps"),
+        F.count_if(F.col("window_start_ms") - F.col("prev_window_start_ms") != seconds * 1000).alias("time_gaps"),
     )
 
 

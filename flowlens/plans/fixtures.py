@@ -3,12 +3,16 @@ from one text for Spark and DuckDB."""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import ROLE_PORTS, ROLES, label_flag, port_role, valid_ips
 from ..operators import threat, windows
-from ..operators.ranking import shared_table
+from ..operators.ranking import shared_root, shared_table
+from ..sources import io
 
 MS = {
     "spark": "(timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts) div 1000)",
@@ -125,6 +129,17 @@ class Tables:
     def saved(self, df: DataFrame) -> DataFrame:
         return shared_table(df)
 
+    def saved_colocated(self, build: Callable[..., DataFrame], *tables: DataFrame, buckets: int = 16) -> DataFrame:
+        """What ``build`` makes of the tables, each written in buckets of windows first."""
+        names = [f"buckets_{uuid.uuid4().hex}" for _ in tables]
+        for name, table in zip(names, tables, strict=True):
+            io.write_buckets(table, name, f"{shared_root(self.spark)}/{name}", buckets)
+        with io.colocated(self.spark):
+            out = self.saved(build(*map(self.spark.table, names)))
+        for name in names:
+            self.spark.sql(f"DROP TABLE {name}")
+        return out
+
 
 # The same frames for DuckDB, as common table expressions.
 
@@ -137,6 +152,7 @@ def role_sql(port: str = "L4_DST_PORT") -> str:
     return f"CASE {whens} WHEN {port} < 1024 THEN '{ROLES[5]}' ELSE '{ROLES[6]}' END"
 
 
+# Tactic labels, as in columns.mitre_tactic.
 def tactic_sql() -> str:
     a, b = "Source_IP LIKE '172.31.%'", "Dest_IP LIKE '172.31.%'"
     att, c2, p, high = _in("Source_IP", ATTACKERS), _in("Dest_IP", C2), "Port_Category", ROLES[6]

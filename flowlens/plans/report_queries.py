@@ -5,12 +5,11 @@ from __future__ import annotations
 import math
 import uuid
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .. import schema
 from ..functions import columns as C
 from ..operators import experiments, graph, metrics, ml, profile, ranking, threat, windows
-from .. import schema
 from ..sources import io
 from ..streaming import streams
 from . import flow_queries
@@ -162,6 +161,19 @@ def _(t):
     return out.select("edge_ord", *ends, *[F.round(F.coalesce(F.get("features", F.lit(i)).cast("double"), F.lit(0.0)), 4).alias(f"f_{i}") for i in range(WIDE)])
 
 
+@query("s06_bucketed_join", means_duck(f"SELECT e.window_id, count(*) AS edges, {', '.join(f'round(sum({p}.{c}), 3) AS {e}_{c}' for p, e in (('a', 'src'), ('b', 'dst')) for c in SIDES[::8])} FROM wide e JOIN m a ON a.window_id = e.window_id AND a.host = e.src_id JOIN m b ON b.window_id = e.window_id AND b.host = e.dst_id GROUP BY 1"))
+def _(t):
+    """The edge representation from bucketed tables, summed by window: nothing is exchanged."""
+    edges, hosts = means(t)
+    out = t.saved_colocated(lambda e, h: summed(graph.edge_representation(e, h)), edges, hosts)
+    return out.select("window_id", "edges", *[F.round(c, 3).alias(c) for c in out.columns[2:]])
+
+
+def summed(rep):
+    places = range(0, BOTH, 8)
+    return rep.groupBy("window_id").agg(F.count("*").alias("edges"), *[F.sum(F.get(f"{e}_vector", F.lit(i))).alias(f"{e}_{SIDES[i]}") for e in ("src", "dst") for i in places])
+
+
 MEMORY = [f"memory_{c}" for c in SIDES]
 
 
@@ -173,6 +185,19 @@ def _(t):
     return graph.host_memory(means(t)[1], BOTH).select("window_id", "host", *entries("memory", MEMORY))
 
 
+@query("g05_multigraph_summary", graph_duck("SELECT count(*) FILTER (m > 1) AS multigraph_windows, max(m) AS max_parallel, CAST(sum(n) AS BIGINT) AS edges, CAST(sum(u) AS BIGINT) AS unique_edges FROM (SELECT window_id, max(k) AS m, sum(k) AS n, count(*) AS u FROM (SELECT window_id, src_id, dst_id, count(*) AS k FROM edges GROUP BY 1, 2, 3) GROUP BY 1)"))
+def _(t):
+    return graph.multigraph_summary(graph.multigraph_stats(graph_tables(t)[3]))
+
+
+@query("g09_entropy_sketch")
+def _(t):
+    """Quartiles of G09 from KLL sketches by day, merged."""
+    w = t.windowed()
+    days = w.withColumn("day", F.expr("FLOW_START_MILLISECONDS div 86400000"))
+    return profile.describe_sketches(t.saved(graph.entropy_sketches(days, graph.port_entropy(w, normalise=False), C.confusion_class(), ["day"])), ["kind", "side"])
+
+
 @query("f06_dense_local_rank", graph_duck("SELECT window_id, max(local_id) + 1 AS hosts FROM nodes GROUP BY 1"))
 def _(t):
     return graph_tables(t)[2].groupBy("window_id").agg((F.max("local_id") + 1).cast("long").alias("hosts"))
@@ -184,10 +209,11 @@ def _(t):
  LEFT JOIN (SELECT split, count(*) AS flows, count(*) FILTER (Attack = 'Infilteration') AS attack FROM w JOIN spine USING (window_id) GROUP BY 1) e USING (split)
  LEFT JOIN (SELECT split, count(*) AS occ, count(DISTINCT ip) AS hosts FROM (SELECT DISTINCT window_id, ip FROM (SELECT window_id, IPV4_SRC_ADDR AS ip FROM w UNION ALL SELECT window_id, IPV4_DST_ADDR FROM w)) JOIN spine USING (window_id) GROUP BY 1) n USING (split)"""))
 def _(t):
-    s = spine(t)
-    w = t.windowed(300).join(s.select("window_id", "split"), "window_id")
+    w = t.saved(t.windowed(300).select("window_id", SRC, DST, F.col("y_real").alias("y")))
+    s = t.saved(spine(t, windowed=w))
+    w = w.join(s.select("window_id", "split"), "window_id")
     nodes = w.select("split", "window_id", F.explode(F.array(SRC, DST)).alias("global_id")).distinct()
-    return profile.split_summary(w.select("split", F.col("y_real").alias("y")), nodes, s)
+    return profile.split_summary(w.select("split", "y"), nodes, s)
 
 
 @query("a18_verify_entropy", duck("SELECT 0::BIGINT AS edges_without_role, round(min(least(out_entropy, in_entropy)), 6) AS min_entropy, round(max(greatest(out_entropy, in_entropy)), 6) AS max_entropy, count(DISTINCT window_id) FILTER (greatest(out_entropy, in_entropy) > 1.000000001) AS windows_above_one, (SELECT max(window_id) + 1 - count(DISTINCT window_id) FROM windowed) AS empty FROM h", "windowed", h=ENTROPY))
@@ -391,8 +417,7 @@ def _(t):
 
 @query("f01_lag_per_group", duck(f"SELECT MITRE_Tactic_Base, x AS {G}, x - lag(x) OVER (PARTITION BY MITRE_Tactic_Base ORDER BY x) AS gap FROM (SELECT DISTINCT MITRE_Tactic_Base, {G} AS x FROM gt)", "gt"))
 def _(t):
-    w = Window.partitionBy(threat.TACTIC).orderBy(threat.IDX)
-    return threat.gt(t.events()).select(threat.TACTIC, threat.IDX).distinct().withColumn("gap", F.col(threat.IDX) - F.lag(threat.IDX).over(w))
+    return threat.window_gaps(threat.gt(t.events()))
 
 
 @query("f02_instance_numbers", duck("SELECT MITRE_Tactic_Base, count(*) AS instances, max(instance) AS last FROM i GROUP BY 1", "gt", i=INSTANCES))
@@ -575,14 +600,24 @@ def long_histories(t):
     return ranked.join(first, ["experiment", "seed"]).select("experiment", "seed", (F.col("rank") - F.col("first")).cast("int").alias("epoch"), "v")
 
 
-@query("r06_loss_curve", duck("SELECT experiment, CAST(epoch AS INTEGER) AS epoch, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, count(*) AS seeds FROM l JOIN (SELECT experiment, min(n) AS shortest FROM (SELECT experiment, seed, count(*) AS n FROM l GROUP BY 1, 2) GROUP BY 1) USING (experiment) WHERE epoch < shortest GROUP BY 1, 2", "windowed", l=LONG))
+EPOCHS = "SELECT 'exp_' || Architecture AS experiment, CAST(Seed AS INTEGER) AS seed, CAST(e AS INTEGER) AS epoch, F1_Score / (e + 1) AS train_loss, F1_Score / (e + 2) AS val_loss, e = Seed % 3 AS is_best FROM (SELECT *, unnest(range(3 + Seed % 4)) AS e FROM runs)"
+
+
+def histories(t):
+    """Training histories of every run, written as JSON and read back (S10): 3 to 6 epochs each."""
+    loss = lambda d: F.transform(F.sequence(F.lit(0), (F.col("Seed") % 4).cast("int") + 2), lambda e: F.col("F1_Score") / (e + d))
+    training = F.struct(loss(1).alias("train_loss"), loss(2).alias("val_loss"))
+    return read_back(t, t.runs(), training, F.struct((F.col("Seed") % 3).cast("int").alias("best_epoch")))
+
+
+@query("r06_loss_curve", duck("SELECT experiment, epoch, round(avg(train_loss), 6) AS mean, round(stddev_pop(train_loss), 6) AS std, count(*) AS seeds FROM l JOIN (SELECT experiment, min(n) AS shortest FROM (SELECT experiment, seed, count(*) AS n FROM l GROUP BY 1, 2) GROUP BY 1) USING (experiment) WHERE epoch < shortest GROUP BY 1, 2", "runs", l=EPOCHS))
 def _(t):
-    return experiments.loss_curve_long(long_histories(t))
+    return experiments.loss_curve(experiments.history_rows(histories(t)))
 
 
-@query("r07_loss_by_seed", duck("SELECT experiment, seed, CAST(epoch AS INTEGER) AS epoch, round(v, 6) AS train_loss, round(v / 2, 6) AS val_loss, epoch = 3 AS is_best FROM l", "windowed", l=LONG))
+@query("r07_loss_by_seed", duck("SELECT experiment, seed, epoch, round(train_loss, 6) AS train_loss, round(val_loss, 6) AS val_loss, is_best FROM l", "runs", l=EPOCHS))
 def _(t):
-    return long_histories(t).select("experiment", "seed", "epoch", F.col("v").alias("train_loss"), (F.col("v") / 2).alias("val_loss"), (F.col("epoch") == 3).alias("is_best"))
+    return experiments.loss_by_seed(experiments.history_rows(histories(t)))
 
 
 def early_stop(long):
@@ -630,17 +665,22 @@ def _(t):
     return out.select("run_id", "model_name", "run_ts", F.col("hp")["hp_epochs"].alias("hp_epochs"), F.col("data")["data_arch"].alias("data_arch"), "F1", F.unix_seconds("timestamp").cast("int").alias("at"))
 
 
-@query("s10_read_histories", duck("SELECT 'exp_' || Architecture AS experiment, CAST(Seed AS INTEGER) AS seed, Best_Epoch AS best_epoch FROM runs", "runs"))
-def _(t):
+def read_back(t, runs, training, early_stopping):
+    """Histories of runs as JSON, one document to a file and one directory to an experiment, read again."""
     path = f"{ranking.shared_root(t.spark)}/histories-{uuid.uuid4().hex}"
-    r = t.runs()
     # numbers of runs in one file: the files grow in number, not in length
-    h = r.select(F.concat(F.lit("exp_"), "Architecture").alias("d"), F.expr("Seed div 5000").alias("part"), F.to_json(F.struct(F.col("Architecture").alias("experiment_name"), F.col("Seed").alias("seed"), F.struct(F.array(F.col("F1_Score")).alias("train_loss")).alias("training"), F.struct(F.col("Best_Epoch").alias("best_epoch")).alias("early_stopping"))).alias("value"))
-    # one JSON document to a file, one directory to an experiment
+    document = F.to_json(F.struct(F.col("Architecture").alias("experiment_name"), F.col("Seed").alias("seed"), training.alias("training"), early_stopping.alias("early_stopping")))
+    h = runs.select(F.concat(F.lit("exp_"), "Architecture").alias("d"), F.expr("Seed div 5000").alias("part"), document.alias("value"))
     docs = h.groupBy("d", "part").agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("value"))
     docs.select("value", "d").write.partitionBy("d").option("maxRecordsPerFile", 1).text(path)
     out = io.read_histories(t.spark, path, "part-*")
-    return out.select(F.substring(F.url_decode("experiment"), 3, 1000).alias("experiment"), "seed", F.col("early_stopping.best_epoch").alias("best_epoch"))
+    return out.withColumn("experiment", F.substring(F.url_decode("experiment"), 3, 1000))
+
+
+@query("s10_read_histories", duck("SELECT 'exp_' || Architecture AS experiment, CAST(Seed AS INTEGER) AS seed, Best_Epoch AS best_epoch FROM runs", "runs"))
+def _(t):
+    out = read_back(t, t.runs(), F.struct(F.array(F.col("F1_Score")).alias("train_loss")), F.struct(F.col("Best_Epoch").alias("best_epoch")))
+    return out.select("experiment", "seed", F.col("early_stopping.best_epoch").alias("best_epoch"))
 
 
 # models and streams: no SQL form ---------------------------------------------------

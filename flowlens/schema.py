@@ -31,7 +31,8 @@ FLOW = struct(
     Label=I,
     Attack=S,
 )
-SCALER = struct(feature=S, mean=D, scale=D)
+#: State of the scaler: rows, mean and sum of squares about the mean, by chunk of the data.
+MOMENTS = struct(feature=S, n=L, mean=D, m2=D, chunk=S)
 HISTORY = struct(
     experiment_name=S,
     seed=I,

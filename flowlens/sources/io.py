@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -60,21 +61,56 @@ def read_hosts(spark: SparkSession, path: str, inverted: bool = False) -> DataFr
     return out.select("global_id", "ip") if inverted else out.select("ip", "global_id")
 
 
-def save_scaler(params: DataFrame, path: str) -> None:
-    params.coalesce(1).write.mode("overwrite").parquet(path)
+def extend_scaler(states: DataFrame, path: str) -> None:
+    """Save the moments of one or more chunks (``profile.moments`` by the column ``chunk``),
+    each for itself: a chunk that is saved again takes the place of what it left before."""
+    states.repartition("chunk").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk").parquet(path)
 
 
-def load_scaler(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schema.SCALER).parquet(path)
+def load_scaler_state(spark: SparkSession, path: str) -> DataFrame:
+    """The moments of every chunk, to be merged or extended."""
+    return spark.read.schema(schema.MOMENTS).parquet(path)
 
 
 def append_run(log: str, record: DataFrame) -> None:
-    record.write.mode("append").parquet(log)
-
-
-def read_run_log(spark: SparkSession, log: str) -> DataFrame:
-    """All runs; columns that later runs added are null in earlier ones."""
-    return spark.read.option("mergeSchema", True).parquet(log)
+    """Append runs. An append is a folder named by a digest of its rows, whatever their
+    order, and takes the place of that folder alone: an append that is repeated, or that
+    ran twice, leaves its runs once, one that dies half-way leaves nothing that is read,
+    and writers at the same time do not touch each other's folders."""
+    h = F.xxhash64(F.to_json(F.struct(*record.columns), {"ignoreNullFields": "false"}))
+    d = record.agg(F.count("*").alias("n"), F.sum(h.cast("decimal(38,0)")).alias("sum"), F.bit_xor(h).alias("xor"), F.lit(",".join(record.columns)).alias("columns"))
+    one = F.broadcast(d.select(F.sha2(F.concat_ws(":", "n", F.coalesce("sum", F.lit(0)), F.coalesce("xor", F.lit(0)), "columns"), 256).alias("append")))
+    record.crossJoin(one).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("append").parquet(log)
+
+
+def read_run_log(spark: SparkSession, log: str, run: Sequence[str] = ()) -> DataFrame:
+    """All runs; columns that later runs added are null in earlier ones. With the columns
+    ``run`` that identify a run, one row of each: that of the latest append."""
+    out = spark.read.option("mergeSchema", True).option("basePath", log).parquet(log)
+    if not run:
+        return out.drop("append")
+    names = [c for c in out.columns if c != "append"]
+    age = F.struct(F.col("_metadata.file_modification_time").alias("at"), "append")
+    last = out.select(*names, age.alias("_age")).groupBy(*run).agg(F.max_by(F.struct(*[c for c in names if c not in run]), "_age").alias("_r"))
+    return last.select(*run, "_r.*").select(*names)
+
+
+def write_buckets(table: DataFrame, name: str, path: str, buckets: int, key: str = "window_id") -> None:
+    """A catalogue table in buckets of ``key``, sorted by it within each bucket, so that
+    tables with as many buckets are joined and grouped by it without an exchange."""
+    table.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+
+
+@contextmanager
+def colocated(spark: SparkSession) -> Iterator[None]:
+    """Within it, a join on more columns than the bucket key still uses the buckets."""
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def read_histories(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFrame:
@@ -115,7 +151,7 @@ def read_metric_logs(spark: SparkSession, folder: str, names: DataFrame, pattern
 
 
 def save_thresholds(thresholds: DataFrame, path: str) -> None:
-    thresholds.coalesce(1).write.mode("overwrite").parquet(path)
+    thresholds.write.mode("overwrite").parquet(path)
 
 
 def load_thresholds(spark: SparkSession, path: str) -> DataFrame:
