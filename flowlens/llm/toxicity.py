@@ -1,17 +1,26 @@
 """Toxicity scores from a lexicon, misspellings included (operator 2).
 
-Learning, on a bounded sample of labelled rows (``SAMPLE``): words, and beginnings
-that several toxic words share, are counted by label, and those whose share of toxic
-documents, drawn towards the overall share by ``PULL`` documents, is high enough make
-up the lexicon with their log odds as weight. All of it becomes one trie; a
-Levenshtein automaton runs over all terms at once (its states are sets of trie node
-and edits, built on demand), so a word is matched in time linear in its length: whole
-words within the edits their length allows, beginnings exactly. Near misses that clean
-documents use are left out again. Each match is scored in its context window: inside
-quotation marks, or near words that report speech, it counts as quotation, else as
-abuse. A logistic model on the summed weights of abusive, misspelled and quoted
-matches gives the score; its weights start where ``START`` says and are fitted with
-each document's own counts taken out of the lexicon.
+Learning, on a bounded sample of labelled rows (``SAMPLE``): words are counted by label,
+and those whose share of toxic documents, drawn towards the overall share by ``PULL``
+documents, is high enough make up the lexicon with their log odds as weight. All of it
+becomes one trie; a Levenshtein automaton runs over all terms at once (its states are
+sets of trie node and edits, built on demand), so a word is matched in time linear in its
+length, within the edits that its term's length allows (``edits_for``).
+
+What an edited match is worth the sample says too. Every word of the sample that the
+automaton matches with edits has a record of its own (toxic and clean documents), every
+term has one of its near misses by edits, and all terms together have one by edits; each
+is drawn towards the next by ``PULL`` documents, the last one towards a part of the
+term's own weight, the smaller the more edits. So a near miss that clean documents use
+weighs nothing, one that only toxic documents use weighs much, and one that the sample
+never had weighs what its term's other near misses do.
+
+Each match is scored in its context window: inside quotation marks, or near words that
+report speech, it counts as quotation, else as abuse. A logistic model on the summed
+weights of abusive terms, of misspellings that the sample has, of other misspellings and
+of quoted matches, each word once, gives the score; its weights start where ``START`` says and are fitted with each document's own counts taken
+out of every record. For the fit alone sums are rounded to a tenth, so that documents that
+look alike are counted together.
 
 Defined results: null and empty texts score like a text without matches; texts of any
 length are matched whole; without labels of both kinds every score is the share of
@@ -27,26 +36,23 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from .common import restrict, saved, small_batches
 
 #: Labelled documents that are learned from, at most (about).
 SAMPLE = 30_000
-#: Lengths of beginnings that may become terms, and toxic words that must share one;
-#: documents that draw a term's share to the overall one; log odds a term needs; toxic
+#: Documents that draw a record to the one above it; log odds a term needs; toxic
 #: documents a term needs.
-STEMS, SPREAD, PULL, LEAST, SUPPORT = range(4, 8), 3, 5.0, 1.5, 3
-#: Clean near misses that a term may have, and more for each toxic one.
-SLIPS, SLIP_SHARE = 2, 0.2
-#: Weights of abusive, misspelled and quoted matches before learning.
-START = (1.0, 0.7, 0.1)
+PULL, LEAST, SUPPORT = 5.0, 1.5, 3
+#: Weights of abusive terms, misspellings of the sample, others, and quoted matches before learning.
+START = (1.0, 1.0, 0.5, 0.1)
 #: Words to either side that make up the context window.
 WINDOW = 6
 WORD = re.compile(r"[^\W_]+")
@@ -67,16 +73,15 @@ def edits_for(term: str) -> int:
 
 
 class Automaton:
-    """All terms' Levenshtein automata in one, over the lexicon's trie. ``words`` match
-    within the edits their length allows, ``exact`` ones without, ``stems`` as beginnings."""
+    """All terms' Levenshtein automata in one, over the lexicon's trie: whole words match
+    within the edits that their length allows."""
 
-    def __init__(self, words: list[str], stems: list[str], exact: list[str] = ()):
+    def __init__(self, words: Iterable[str], edits: Callable[[str], int] = edits_for):
         self.next: list[dict[str, int]] = [{}]
         self.word: dict[int, str] = {}
-        self.stem: dict[int, str] = {}
         self.most = [0]
-        self.edits = {w: edits_for(w) for w in words}
-        for term, k, names in [*((w, k, self.word) for w, k in self.edits.items()), *((w, 0, self.word) for w in exact), *((s, 0, self.stem) for s in stems)]:
+        self.edits = {w: edits(w) for w in words}
+        for term, k in self.edits.items():
             node = 0
             self.most[0] = max(self.most[0], k)
             for c in term:
@@ -86,7 +91,7 @@ class Automaton:
                     self.most.append(0)
                 node = self.next[node][c]
                 self.most[node] = max(self.most[node], k)
-            names[node] = term
+            self.word[node] = term
         self.reset()
 
     def reset(self) -> None:
@@ -123,20 +128,17 @@ class Automaton:
         return self.moves[at, c]
 
     def fits(self, word: str) -> list[tuple[str, int]]:
-        """(term, edits) of the whole words that match, and (stem*, 0) of the stems."""
+        """(term, edits) of the terms that match."""
         if len(self.states) > 50_000:
             self.reset()
-        at, node, out = self.start, 0, []
-        moves = self.moves
+        at, moves = self.start, self.moves
         for c in word:
-            if node is not None and (node := self.next[node].get(c)) in self.stem:
-                out.append((self.stem[node] + "*", 0))
             if (to := moves.get((at, c))) is None:
                 to = self.move(at, c)
-            if not self.states[to] and node is None:
-                return out
+            if not self.states[to]:
+                return []
             at = to
-        return out + [(w, e) for n, e in self.states[at].items() if (w := self.word.get(n)) is not None and e <= self.edits.get(w, 0)]
+        return [(w, e) for n, e in self.states[at].items() if (w := self.word.get(n)) is not None and e <= self.edits[w]]
 
     def match(self, word: str) -> tuple[str, int] | None:
         """(term, edits) of the closest term, or None."""
@@ -147,22 +149,33 @@ def logit(p: float) -> float:
     return math.log(p / (1 - p))
 
 
+Record = tuple[int, int]
+
+
 @dataclass
 class Model:
-    """terms: toxic and clean documents of each word, or of each beginning ("stem*")."""
+    """Toxic and clean documents: of each term, of each near miss, of a term's near misses by
+    edits, and of all near misses by edits."""
 
-    terms: dict[str, tuple[int, int]] = field(default_factory=dict)
-    near: list[str] = field(default_factory=list)
-    benign: frozenset[str] = frozenset()
+    terms: dict[str, Record] = field(default_factory=dict)
+    slips: dict[str, Record] = field(default_factory=dict)
+    near: dict[tuple[str, int], Record] = field(default_factory=dict)
+    all_near: dict[int, Record] = field(default_factory=dict)
     base: float = 0.0
     weights: np.ndarray | None = None
+    misspellings: bool = True
 
-    def weight(self, term: str, toxic: int = 0, clean: int = 0) -> float:
-        """Log odds of a term above the base, less an allowance for few documents,
-        with some documents taken out."""
-        t, c = self.terms[term]
-        t, c = t - toxic, c - clean
-        return max(0.0, logit((t + PULL * self.base) / (t + c + PULL)) - logit(self.base) - 1 / math.sqrt(t + 1e-9)) if t > 0 else 0.0
+    def weight(self, term: str, edits: int = 0, word: str = "", own: Record = (0, 0)) -> float:
+        """Log odds of a match above the base, less an allowance for few documents, with
+        some documents taken out."""
+        share, allowed = self.base, 0.0
+        if edits:
+            share = 1 / (1 + math.exp(-logit(self.base) - self.weight(term) / (1 + edits)))
+        for record in [self.all_near.get(edits), self.near.get((term, edits)), self.slips.get(word)] if edits else [self.terms.get(term)]:
+            t, c = (max(0, n - k) for n, k in zip(record or (0, 0), own, strict=True))
+            if t + c:
+                share, allowed = (t + PULL * share) / (t + c + PULL), 1 / math.sqrt(t) if t else math.inf
+        return max(0.0, logit(share) - logit(self.base) - allowed)
 
 
 class Matcher:
@@ -170,17 +183,16 @@ class Matcher:
 
     def __init__(self, model: Model, most: int = 300_000):
         self.model, self.most = model, most
-        near = set(model.near)
-        self.automaton = Automaton(model.near, [t[:-1] for t in model.terms if t.endswith("*")], [t for t in model.terms if not t.endswith("*") and t not in near])
+        self.automaton = Automaton(model.terms, edits_for if model.misspellings else lambda _: 0)
         self.known: set[str] = set()
         self.hit: dict[str, tuple[str, int]] = {}
 
     def look_up(self, word: str) -> tuple[str, int] | None:
-        """The term that weighs most for a word, misspellings at a part of their weight;
-        words that clean documents use match without edits only."""
+        """The term whose match weighs most for a word, if it weighs anything."""
         word = plain(word)
-        fits = [f for f in self.automaton.fits(word) if not f[1] or word not in self.model.benign]
-        return min(fits, key=lambda f: (-self.model.weight(f[0]) / (1 + f[1]), f[1], f[0]), default=None)
+        found = [(-self.model.weight(t, e, word), e, t) for t, e in self.automaton.fits(word)]
+        best = min((f for f in found if f[0] < 0), default=None)
+        return best and (best[2], best[1])
 
     def matches(self, text: str | None) -> list[tuple[int, int, str, int, bool]]:
         """(start, end, term, edits, quoted) of every match."""
@@ -216,12 +228,19 @@ class Matcher:
         return not REPORTING.isdisjoint(near)
 
 
-def features(model: Model, found: list[tuple[int, int, str, int, bool]], toxic: int = 0, clean: int = 0) -> list[float]:
-    """One, and the summed weights of abusive, misspelled and quoted terms, each term once."""
-    sums = [0.0, 0.0, 0.0]
-    for kind, term, e in {(2 if q else min(e, 1), t, e) for _, _, t, e, q in found}:
-        sums[kind] += model.weight(term, toxic * (e == 0), clean * (e == 0)) / (1 + e)
-    return [1.0, *(round(min(x, 12.0), 1) for x in sums)]
+def features(model: Model, text: str | None, found: list[tuple[int, int, str, int, bool]], own: Record = (0, 0)) -> list[float]:
+    """One, and the summed weights of abusive terms, of misspellings that the sample has, of
+    other misspellings, and of quoted matches; each word counts once in each of them."""
+    best: dict[tuple[int, str], float] = {}
+    for start, end, term, e, quoted in found:
+        word = plain(text[start:end])
+        t, c = model.slips.get(word, (0, 0))
+        kind = 3 if quoted else 0 if not e else 1 if t > own[0] or c > own[1] else 2
+        best[kind, word] = max(best.get((kind, word), 0.0), model.weight(term, e, word, own))
+    sums = [0.0] * 4
+    for (kind, _), w in best.items():
+        sums[kind] += w
+    return [1.0, *sums]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, start: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
@@ -246,8 +265,11 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, start: np.ndarray, ridge: float =
 
 
 def terms_of(text: str) -> set[str]:
-    words = {plain(w) for w in set(WORD.findall(text))}
-    return {w for w in words if len(w) > 2} | {w[:k] + "*" for w in words for k in STEMS if len(w) > k}
+    return {w for w in map(plain, set(WORD.findall(text))) if len(w) > 2}
+
+
+def as_record(row: Row) -> Record:
+    return row["toxic"], row["clean"]
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -274,39 +296,36 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             if keys := list(seen[0] | seen[1]):
                 yield pd.DataFrame({"term": keys, "toxic": [seen[1][k] for k in keys], "clean": [seen[0][k] for k in keys]})
 
-    terms = texts.mapInPandas(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    words = texts.mapInPandas(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    words = saved(words, "words")
     t, c = F.col("toxic"), F.col("clean")
     odds = F.log((t + PULL * base) / (c + PULL * (1 - base))) - logit(base) - 1 / F.sqrt(t)
-    # beginnings of a few words only would say no more than these words
-    stems = F.filter(F.array(*(F.when(F.length("term") > k, F.concat(F.substring("term", 1, k), F.lit("*"))) for k in STEMS)), lambda x: x.isNotNull())
-    shared = terms.where("toxic > 0 AND term NOT LIKE '%*'").select(F.explode(stems).alias("term")).groupBy("term").count().where(F.col("count") >= SPREAD)
-    strong = terms.where((t >= SUPPORT) & (odds >= LEAST))
     # what is collected is bounded by the sample
-    kept = strong.where("term NOT LIKE '%*'").union(strong.join(shared.select("term"), "term", "left_semi").select(strong.columns)).orderBy("term").collect()
-    model = Model({r["term"]: (r["toxic"], r["clean"]) for r in kept}, base=base)
-    model.near = [t for t in model.terms if not t.endswith("*") and edits_for(t)]
+    kept = words.where((t >= SUPPORT) & (odds >= LEAST)).orderBy("term").collect()
+    model = Model({r["term"]: as_record(r) for r in kept}, base=base)
+    names = list(model.terms)
 
     def misses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Words that only the automaton's edits match, with the term, by document."""
-        matcher = Matcher(model)
+        """The sample's words that match a term with edits."""
+        automaton = Automaton(names)
         for batch in batches:
-            rows = [(plain(w), term, mark) for mark, text in zip(batch["mark"], batch["text"], strict=True) for w, term in {(text[a:b], t) for a, b, t, e, _ in matcher.matches(text) if e}]
+            rows = [(w, term, e, t, c) for w, t, c in zip(batch["term"], batch["toxic"], batch["clean"], strict=True) for term, e in automaton.fits(w) if e]
             if rows:
-                yield pd.DataFrame(rows, columns=["word", "term", "mark"])
-
-    def by(key: str) -> dict[str, tuple[int, int]]:
-        rows = close.groupBy(key).agg(F.count_if(F.col("mark") == 1).alias("toxic"), F.count_if(F.col("mark") == 0).alias("clean")).collect()
-        return {r[key]: (r["toxic"], r["clean"]) for r in rows}
+                yield pd.DataFrame(rows, columns=["word", "term", "edits", "toxic", "clean"])
 
-    close = saved(texts.mapInPandas(misses, "word string, term string, mark int"), "misses")
-    by_term = by("term")
-    model.near = [x for x in model.near if (n := by_term.get(x, (0, 0)))[1] <= SLIPS + SLIP_SHARE * n[0]]
-    model.benign = frozenset(w for w, (toxic, clean) in by("word").items() if clean > toxic)
+    close = saved(words.mapInPandas(misses, "word string, term string, edits int, toxic long, clean long"), "misses")
+    # a word that is a term itself says nothing about other words near it
+    close = close.join(F.broadcast(close.sparkSession.createDataFrame([(n,) for n in names], "word string")), "word", "left_anti")
+    total = [F.sum(k).alias(k) for k in ("toxic", "clean")]
+    model.slips = {r["word"]: as_record(r) for r in close.select("word", "toxic", "clean").distinct().collect()}
+    model.near = {(r["term"], r["edits"]): as_record(r) for r in close.groupBy("term", "edits").agg(*total).collect()}
+    model.all_near = {r["edits"]: as_record(r) for r in close.select("word", "edits", "toxic", "clean").distinct().groupBy("edits").agg(*total).collect()}
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matcher = Matcher(model)
         for batch in batches:
-            yield pd.DataFrame({"mark": batch["mark"], "x": [features(model, matcher.matches(t), m, 1 - m) for m, t in zip(batch["mark"], batch["text"], strict=True)]})
+            x = [[round(v, 1) for v in features(model, t, matcher.matches(t), (m, 1 - m))] for m, t in zip(batch["mark"], batch["text"], strict=True)]
+            yield pd.DataFrame({"mark": batch["mark"], "x": x})
 
     # documents with equal features count together, which bounds what is collected
     data = texts.mapInPandas(measure, "mark int, x array<double>").groupBy("mark", "x").count().collect()
@@ -331,7 +350,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             if model.weights is None:
                 s = np.full(len(batch), model.base)
             else:
-                s = 1 / (1 + np.exp(-np.clip(np.array([features(model, f) for f in found]) @ model.weights, -30, 30)))
+                s = 1 / (1 + np.exp(-np.clip(np.array([features(model, t, f) for t, f in zip(batch["text"], found, strict=True)]) @ model.weights, -30, 30)))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": s, "predicted": (s >= 0.5).astype(np.int32), "matches": found})
 
     small_batches(docs.sparkSession)

@@ -111,7 +111,7 @@ def levenshtein(a, b):
 @settings(max_examples=300, deadline=None)
 def test_automaton_equals_levenshtein(word):
     terms = ["abcab", "aabbccaab", "cab", "bbbbb", "abcabcabca"]
-    a = test_automaton_equals_levenshtein.__dict__.setdefault("a", toxicity.Automaton(terms, []))
+    a = test_automaton_equals_levenshtein.__dict__.setdefault("a", toxicity.Automaton(terms))
     near = [(levenshtein(word, t), t) for t in terms if levenshtein(word, t) <= toxicity.edits_for(t)]
     got = a.match(word)
     assert (got is None) == (not near)
@@ -119,11 +119,19 @@ def test_automaton_equals_levenshtein(word):
         assert got[1] == min(near)[0]
 
 
-def test_stems_leet_and_quotation():
-    m = toxicity.Matcher(toxicity.Model({"idiot": (50, 0), "moron": (50, 0), "vequ*": (50, 1)}, ["idiot", "moron"], base=0.1))
-    assert [(t, e) for _, _, t, e, _ in m.matches("You ID10T, you mor0nn and vequille")] == [("idiot", 0), ("moron", 1), ("vequ*", 0)]
+def test_leet_records_and_quotation():
+    m = toxicity.Matcher(toxicity.Model({"idiot": (50, 0), "moron": (50, 0), "vequille": (50, 1)}, base=0.1))
+    assert [(t, e) for _, _, t, e, _ in m.matches("You ID10T, you mor0nn and vequile")] == [("idiot", 0), ("moron", 1), ("vequille", 1)]
     assert m.matches('she said "idiot" twice')[0][4] and not m.matches("what an idiot you are")[0][4]
     assert m.matches(None) == [] and m.matches("") == []
+    # a word of clean documents is passed over, though it stands near a term; others near it are not
+    m = toxicity.Matcher(toxicity.Model({"moron": (50, 0)}, slips={"morons": (9, 0), "morose": (0, 9), "moros": (1, 30)}, near={("moron", 1): (10, 30)}, all_near={1: (10, 30)}, base=0.1))
+    w = m.model.weight
+    assert [t for _, _, t, _, _ in m.matches("morons morose moros")] == ["moron"]
+    assert w("moron") > w("moron", 1, "morons") > w("moron", 1, "moromn") > w("moron", 1, "moros") == 0
+    # a document's own counts say nothing about it
+    assert w("moron", 1, "morons", (1, 0)) < w("moron", 1, "morons")
+    assert toxicity.Matcher(toxicity.Model({"moron": (50, 0)}, base=0.1, misspellings=False)).matches("morons") == []
 
 
 def test_qgram_filter_finds_edited_passages_and_no_others():

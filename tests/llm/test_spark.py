@@ -2,6 +2,7 @@
 empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import base64
+import dataclasses
 import hashlib
 import math
 from collections import Counter
@@ -193,7 +194,7 @@ def test_toxicity(spark, odd, none):
     docs = spark.createDataFrame([(i, f"{'calm words here'} {i} {'vilefoo' if i % 4 == 0 else 'gentle'} again and more", 0) for i in range(400)] + [(1000, "such a vilefo you are", 0), (1001, None, 0), (1002, "", 0)], "doc_id long, text string, score int")
     labels = spark.createDataFrame([(i, int(i % 4 == 0), 1) for i in range(400)] + [(None, 1, 1), (3, None, 1), (9999, 1, 1), (4, 0, 1)], "doc_id long, toxic int, quality int")
     model = toxicity.fit(docs, labels)
-    assert model.near == ["vilefoo"]
+    assert set(model.terms) == {"vilefoo"}
     out = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
     assert all(out[i]["predicted"] == int(i % 4 == 0) for i in range(400)) and out[1000]["matches"][0]["edits"] == 1
     assert out[1001]["score"] == out[1002]["score"] < 0.5
@@ -343,8 +344,8 @@ def test_toxicity_needs_automaton_and_context(spark):
     docs, labels = planted_toxicity(spark)
     out = toxicity.held_out()
     model = toxicity.fit(docs.where(~out), labels.where(~out))
-    assert set(model.near) >= {"grubhead", "mudlicker", "snotbrain", "vilefool"}
-    assert abs(model.weights[2] - toxicity.START[1]) > 0.05 and abs(model.weights[3] - toxicity.START[2]) > 0.02
+    assert set(model.terms) >= {"grubhead", "mudlicker", "snotbrain", "vilefool"} and model.slips
+    assert max(abs(model.weights[2:4] - toxicity.START[1:3])) > 0.05 and abs(model.weights[4] - toxicity.START[3]) > 0.02
 
     def right(model):
         rows = toxicity.score(docs, model).join(docs.select("doc_id", "kind"), "doc_id").where(out).groupBy("kind").agg(F.avg("predicted")).collect()
@@ -352,12 +353,11 @@ def test_toxicity_needs_automaton_and_context(spark):
 
     full = right(model)
     assert all(v > 0.95 for v in full.values()), full
-    exact = toxicity.Model({t: n for t, n in model.terms.items() if not t.endswith("*")}, [], model.benign, model.base, model.weights)
-    assert right(exact)["misspelled"] < 0.1
-    before, toxicity.Matcher.quoted = toxicity.Matcher.quoted, staticmethod(lambda *_: False)
+    assert right(dataclasses.replace(model, misspellings=False))["misspelled"] < 0.1
+    before, toxicity.Matcher.quoted = toxicity.Matcher.__dict__["quoted"], staticmethod(lambda *_: False)
     try:
-        found = [toxicity.Matcher(model).matches(r["text"]) for r in docs.where("kind = 'quoted'").collect()]
-        s = np.array([toxicity.features(model, f) for f in found]) @ model.weights
+        found = [(r["text"], toxicity.Matcher(model).matches(r["text"])) for r in docs.where("kind = 'quoted'").collect()]
+        s = np.array([toxicity.features(model, *f) for f in found]) @ model.weights
     finally:
         toxicity.Matcher.quoted = before
     assert (s > 0).mean() > 0.9
@@ -370,14 +370,13 @@ def test_toxicity_query_against_brute_force(spark):
     got = {r["doc_id"]: r for r in queries.op2_toxicity_lexicon(spark, SF).collect()}
     rows = docs.collect()
     assert len(got) == len(rows)
-    near, cache = set(model.near), {}
+    cache = {}
 
     def best(word):
         if word not in cache:
-            fits = [(t, 0) for t in model.terms if (word.startswith(t[:-1]) if t.endswith("*") else word == t)]
-            if word not in model.benign:
-                fits += [(t, e) for t in near if abs(len(t) - len(word)) <= 2 and 0 < (e := levenshtein(word, t)) <= toxicity.edits_for(t)]
-            cache[word] = min(fits, key=lambda f: (-model.weight(f[0]) / (1 + f[1]), f[1], f[0]), default=None)
+            near = [(t, e) for t in model.terms if abs(len(t) - len(word)) <= 2 and (e := levenshtein(word, t)) <= toxicity.edits_for(t)]
+            fits = [(t, e) for t, e in near if model.weight(t, e, word) > 0]
+            cache[word] = min(fits, key=lambda f: (-model.weight(*f, word), f[1], f[0]), default=None)
         return cache[word]
 
     for r in rows[::3]:
@@ -385,7 +384,7 @@ def test_toxicity_query_against_brute_force(spark):
         found = [(m.start(), m.end(), *hit, toxicity.Matcher.quoted(r["text"], spans, i)) for i, m in enumerate(spans) if (hit := best(toxicity.plain(m[0])))]
         assert len(found) == got[r["doc_id"]]["n_matches"]
         if model.weights is not None:
-            s = 1 / (1 + math.exp(-min(max(float(np.dot(toxicity.features(model, found), model.weights)), -30), 30)))
+            s = 1 / (1 + math.exp(-min(max(float(np.dot(toxicity.features(model, r["text"], found), model.weights)), -30), 30)))
             assert math.isclose(s, got[r["doc_id"]]["score"], rel_tol=1e-9) and got[r["doc_id"]]["predicted"] == int(s >= 0.5)
 
 
