@@ -615,7 +615,7 @@ def _(t):
     return experiments.loss_curve(experiments.history_rows(histories(t)))
 
 
-@query("r07_loss_by_seed", duck("SELECT experiment, seed, epoch, round(train_loss, 6) AS train_loss, round(val_loss, 6) AS val_loss, is_best FROM l", "runs", l=EPOCHS))
+@query("r07_loss_by_seed", duck("SELECT experiment, seed, epoch, train_loss, val_loss, is_best FROM l", "runs", l=EPOCHS), exact=True)
 def _(t):
     return experiments.loss_by_seed(experiments.history_rows(histories(t)))
 
