@@ -13,9 +13,8 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of (id) that may be broadcast: at 16 bytes each that is 16 MB. Beyond
-#: it the same join runs as a shuffle join.
-BROADCAST_IDS = 1_000_000
+#: Bytes of rows that may be broadcast. Beyond them the same join runs as a shuffle join.
+BROADCAST_BYTES = 16 << 20
 
 #: A word: letters, marks or digits of any script.
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
@@ -66,8 +65,10 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_IDS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is."""
+def bounded(df: DataFrame, width: int = 16) -> DataFrame:
+    """``df`` with a broadcast hint if its rows, ``width`` bytes each (two long columns, if
+    nothing is said), fit ``BROADCAST_BYTES``, else as it is."""
+    rows = BROADCAST_BYTES // width
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 

@@ -22,9 +22,12 @@ second word is common goes where its own key leads, any other pair goes where it
 second word leads, so that this word's count comes together with those of its pairs.
 No key of the exchange can be hot: a word there has at most 1/COMMON of all tokens,
 and of the pairs those of heavy words, the frequent ones, are not exchanged. The
-number of buckets grows with the tokens, so that the pairs of one bucket fit a task;
-a batch's pairs for one bucket travel as one row of packed arrays, and the bucket
-answers the batch with one.
+exchange has one bucket for each of its partitions, however many tokens there are: a
+batch's pairs for one of them travel as one row of packed arrays, so that a pair costs
+the same few bytes at any size. Where a partition has more pairs than are worked on at
+once, it splits its rows into finer buckets, sorts them, and adds the answers for a
+batch up again: sorting within the partition, no further exchange, and one row back for
+each batch and partition.
 
 Defined results: a text without words (or null) has zero tokens, null losses and
 a null score; rows with a repeated doc_id count as one document with their sums
@@ -206,16 +209,22 @@ def heavy_pairs(texts: DataFrame, ids, model) -> np.ndarray:
 #: Arrays of a row: of a batch's pairs for one bucket (documents by their place in the
 #: batch, their lengths, negative in the background, light words, those that end a document;
 #: pairs under light words, the others), of what the fixed tables give a batch's documents,
-#: and of a bucket's reply. "index" is as wide as it needs to be.
-PAIRS = ("index", "i4", "i8", "i8", "u4", "u2", "index", "index", "u4", "u4", "u2", "u2", "index", "u4", "u4")
+#: and of a bucket's reply. "index" is as wide as it needs to be; "rising" numbers are
+#: written as their steps, as wide as these need to be.
+PAIRS = ("index", "i4", "i8", "i8", "u4", "u2", "rising", "index", "index", "u4", "u2", "u2", "index", "index", "index")
 OWN, REPLY = ("i8", "i8", "f4", "f4"), ("index", "f4", "f4")
 
 
+def narrow(a: np.ndarray) -> np.ndarray:
+    most = int(a.max()) if a.size else 0
+    return a.astype("<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4" if most < 1 << 32 else "<u8")
+
+
 def pack(kinds: tuple[str, ...], arrays: Sequence[np.ndarray]) -> bytes:
     """Arrays as one value."""
     out = [np.array([len(a) for a in arrays], dtype=np.int32)]
     for kind, a in zip(kinds, arrays, strict=True):
-        out.append(a.astype("<u4" if kind == "index" and a.size and a.max() > 65_535 else "<u2" if kind == "index" else "<" + kind))
+        out.append(narrow(np.diff(a, prepend=0)) if kind == "rising" else narrow(a) if kind == "index" else a.astype("<" + kind))
     wide = np.array([a.itemsize for a in out[1:]], dtype=np.int8)
     return b"".join([wide.tobytes(), *(a.tobytes() for a in out)])
 
@@ -225,12 +234,46 @@ def unpack(kinds: tuple[str, ...], data: bytes) -> list[np.ndarray]:
     wide, sizes = np.frombuffer(data, np.int8, n), np.frombuffer(data, np.int32, n, n)
     at, out = n * 5, []
     for kind, w, size in zip(kinds, wide, sizes, strict=True):
-        a = np.frombuffer(data, f"<u{w}" if kind == "index" else "<" + kind, size, at)
-        out.append(a.astype(np.float64 if kind == "f4" else np.int64))
+        a = np.frombuffer(data, f"<u{w}" if kind in ("index", "rising") else "<" + kind, size, at)
+        a = a.astype(np.float64 if kind == "f4" else np.int64)
+        out.append(np.cumsum(a) if kind == "rising" else a)
         at += int(w) * int(size)
     return out
 
 
+def finer(key: np.ndarray, parts: int) -> np.ndarray:
+    """The finer bucket of keys, by bits that the exchange has not used."""
+    return (splitmix(key.astype(np.int64).view(np.uint64) ^ np.uint64(0x5BD1E995)) % np.uint64(parts)).astype(np.int64)
+
+
+def split(data: bytes, parts: int) -> list[tuple[int, bytes]]:
+    """The rows of the finer buckets that a row of pairs holds."""
+    docs, signed, closing, lights, *light, klo, khi, w, place, n, o = unpack(PAIRS, data)
+    lo, hi, which, where, times = light
+    of_light, of_far = finer(lights, parts), finer(klo | khi << 32, parts)
+    shut_doc, shut_word = (closing // len(lights), closing % len(lights)) if len(closing) else (closing, closing)
+    out = []
+    for k in range(parts):
+        s, f, own = np.flatnonzero(of_light[which] == k), np.flatnonzero(of_far == k), np.flatnonzero(of_light == k)
+        if not len(s) + len(f):
+            continue
+        at = np.unique(np.concatenate([where[s], place[f]]))
+        c = np.flatnonzero(of_light[shut_word] == k)
+        ends = np.searchsorted(at, shut_doc[c]) * len(own) + np.searchsorted(own, shut_word[c])
+        out.append((k, pack(PAIRS, [
+            docs[at], signed[at], np.sort(ends), lights[own], lo[s], hi[s], np.searchsorted(own, which[s]), np.searchsorted(at, where[s]), times[s],
+            klo[f], khi[f], w[f], np.searchsorted(at, place[f]), n[f], o[f],
+        ])))
+    return out
+
+
+def summed(data: Sequence[bytes]) -> bytes:
+    """Replies to one batch, added up."""
+    place, t, b = (np.concatenate(x) for x in zip(*(unpack(REPLY, d) for d in data), strict=True))
+    at, where = np.unique(place, return_inverse=True)
+    return pack(REPLY, [at, np.bincount(where, t, len(at)), np.bincount(where, b, len(at))])
+
+
 def exchange(texts: DataFrame, ids, model, buckets: int) -> DataFrame:
     """(batch, bucket, data): a batch's pairs for a bucket, or (bucket null) what the
     fixed tables give of its documents' losses."""
@@ -374,7 +417,9 @@ def score(docs: DataFrame, target: DataFrame, most: int | None = None, heavy: in
         return everyone.select("doc_id", F.lit(0).cast("long").alias("n_tokens"), *(F.lit(None).cast("double").alias(c) for c in ("loss_target", "loss_background", "score")))
     m.two = heavy_pairs(texts, ids, spark.sparkContext.broadcast(m))
     model = spark.sparkContext.broadcast(m)
-    rows = exchange(texts, ids, model, max(1, int(sum(m.whole) / bucket)))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, int(np.ceil(sum(m.whole) / (bucket * buckets))))
+    rows = exchange(texts, ids, model, buckets)
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows of a bucket follow each other."""
@@ -412,9 +457,37 @@ def score(docs: DataFrame, target: DataFrame, most: int | None = None, heavy: in
         if out:
             yield pd.DataFrame(out)
 
-    # rows without a bucket need no place of their own: any of many will do
-    dealt = rows.repartition(F.coalesce("bucket", F.col("batch") % (1 << 20))).sortWithinPartitions("bucket")
-    back = dealt.mapInPandas(answer, "batch long, first boolean, data binary").repartition("batch").sortWithinPartitions("batch", F.desc("first"))
+    def divide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            own = batch["bucket"].isna()
+            if own.any():
+                yield batch.loc[own]
+            for b, name, data in batch.loc[~own, ["bucket", "batch", "data"]].itertuples(index=False, name=None):
+                yield pd.DataFrame([(name, int(b) * parts + k, d) for k, d in split(data, parts)], columns=["batch", "bucket", "data"])
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows of a batch follow each other."""
+        at, held = None, []
+        for batch in batches:
+            own = batch["first"]
+            if own.any():
+                yield batch.loc[own]
+            for name, data in batch.loc[~own, ["batch", "data"]].itertuples(index=False, name=None):
+                if name != at and held:
+                    yield pd.DataFrame({"batch": [at], "first": False, "data": [summed(held)]})
+                    held = []
+                at = name
+                held.append(data)
+        if held:
+            yield pd.DataFrame({"batch": [at], "first": False, "data": [summed(held)]})
+
+    # rows without a bucket need no place of their own: any will do
+    dealt = rows.repartitionById(buckets, F.coalesce("bucket", F.col("batch") % buckets).cast("int"))
+    dealt = (dealt.mapInPandas(divide, "batch long, bucket long, data binary") if parts > 1 else dealt).sortWithinPartitions("bucket")
+    back = dealt.mapInPandas(answer, "batch long, first boolean, data binary")
+    if parts > 1:
+        back = back.sortWithinPartitions("batch").mapInPandas(add, "batch long, first boolean, data binary")
+    back = back.repartition("batch").sortWithinPartitions("batch", F.desc("first"))
     sums = back.mapInPandas(gather, "doc_id long, n long, t double, b double").groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), F.sum("t").alias("t"), F.sum("b").alias("b"))
     per = lambda c: F.when(F.col("n_tokens") > 0, c / F.col("n_tokens"))
     return everyone.join(sums, "doc_id", "left").select(

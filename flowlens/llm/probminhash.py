@@ -37,6 +37,8 @@ BANDS, ROWS = 24, 4
 CHUNK = 400_000
 #: Documents of one block when what the stars leave apart is compared.
 BLOCK = 256
+#: Documents that one slot of a bucket's head is compared with (about).
+DEAL = 64
 
 
 class Shingler:
@@ -146,21 +148,30 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, similarity) for each pair of document ids."""
+    """(a, b, similarity) for each pair of document ids. The pairs of one ``a`` are dealt to
+    slots of about ``DEAL``; its text goes once to each of them, ahead of the texts that it
+    is compared with, so that neither a frequent ``a`` nor copies of its text meet in a task."""
+    slots = F.ceil(F.col("n") / DEAL)
+    sized = pairs.join(pairs.groupBy("a").agg(F.count("*").alias("n")), "a")
+    dealt = saved(sized.select("a", F.pmod(F.xxhash64("b", F.lit(43)), slots).cast("int").alias("slot"), "b"), "dealt")
+    left = dealt.select("a", "slot").distinct().join(texts.toDF("a", "text"), "a").select("a", "slot", F.col("a").alias("b"), F.lit(True).alias("head"), "text")
+    right = dealt.join(texts.toDF("b", "text"), "b").select("a", "slot", "b", F.lit(False).alias("head"), "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler, last, left = Shingler(), None, None
+        shingler, left = Shingler(), None
         for batch in batches:
             out = []
-            for a, x, y in zip(batch["a"], batch["text_a"], batch["text_b"], strict=True):
-                if a != last:
-                    last, left = a, shingler.keys(words_of(x))
-                out.append(probability_jaccard(left, shingler.keys(words_of(y))))
-            yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "similarity": out})
+            for a, b, head, text in zip(batch["a"], batch["b"], batch["head"], batch["text"], strict=True):
+                keys = shingler.keys(words_of(text))
+                if head:
+                    left = keys
+                else:
+                    out.append((a, b, probability_jaccard(left, keys)))
+            yield pd.DataFrame(out, columns=["a", "b", "similarity"])
 
     small_batches(texts.sparkSession)
-    joined = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-    return joined.select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long, similarity double")
+    rows = left.unionByName(right).repartition("a", "slot").sortWithinPartitions("a", "slot", F.desc("head"))
+    return rows.select("a", "b", "head", "text").mapInPandas(run, "a long, b long, similarity double")
 
 
 def merges(ids: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], left: np.ndarray, threshold: float) -> list[tuple[int, int]]:

@@ -115,12 +115,14 @@ def write(pages: DataFrame, path: str) -> None:
     rows = pages.where("page_id IS NOT NULL").select(
         F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload")
     )
+    # the payload's digest decides; once two are known to be equal, 64 bits of it tell a page's rows apart
     key = [F.sha1("payload").alias("k"), F.octet_length("payload").alias("size")]
+    short = F.xxhash64("k").alias("h")
     first = saved(rows.select("page_id", *key).where(F.col("size") >= LEAST).groupBy("k", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "payloads")
     # of payloads that repeat, ids meet; the list of revisits is broadcast, and only
     # beyond its bound do the pages move to meet it
-    again = rows.select("page_id", *key).join(first, ["k", "size"]).where("page_id != first").select("page_id", "k", "first").distinct()
-    marked = rows.withColumns({"k": key[0]}).join(bounded(saved(again, "revisits")), ["page_id", "k"], "left")
+    again = rows.select("page_id", *key).join(first, ["k", "size"]).where("page_id != first").select("page_id", short, "first").distinct()
+    marked = rows.withColumn("k", key[0]).withColumn("h", short).drop("k").join(bounded(saved(again, "revisits"), 24), ["page_id", "h"], "left")
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -283,7 +285,8 @@ def lookup(blocks: DataFrame, urls: DataFrame) -> DataFrame:
             yield pd.DataFrame({"key": [surt(u) for u in batch["url"]]})
 
     wanted = urls.select(F.coalesce("url", F.lit("")).alias("url")).distinct().mapInPandas(run, "key string")
-    return fetch(locate(blocks, wanted))
+    # written first: dealing by ranges reads its rows twice
+    return fetch(saved(locate(blocks, wanted), "places"))
 
 
 def archive(pages: DataFrame) -> tuple[str, DataFrame]:
@@ -291,7 +294,8 @@ def archive(pages: DataFrame) -> tuple[str, DataFrame]:
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
     write(pages, path)
-    return path, saved(index(scan(spark, path)), "index")
+    # the archives are read once, for narrow captures; dealing by ranges reads these twice
+    return path, saved(index(saved(scan(spark, path), "captures")), "index")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

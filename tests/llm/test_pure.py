@@ -285,5 +285,34 @@ def test_word_keys_are_those_of_the_pattern(texts, span):
 def test_packed_arrays_come_back():
     rng = np.random.default_rng(9)
     arrays = [rng.integers(0, 100, rng.integers(0, 50)) for _ in lm_score.PAIRS]
-    arrays[12] = np.array([70_000, 3])
+    arrays[12], arrays[7] = np.array([70_000, 3]), np.array([1 << 40])
+    arrays[6].sort()
     assert all((a == b).all() and len(a) == len(b) for a, b in zip(arrays, lm_score.unpack(lm_score.PAIRS, lm_score.pack(lm_score.PAIRS, arrays)), strict=True))
+
+
+def test_rows_of_pairs_are_split_without_loss():
+    """Every pair comes back in one finer bucket, with its word, document and counts."""
+    rng = np.random.default_rng(10)
+    docs, lights = np.unique(rng.integers(0, 90, 40)), np.unique(rng.integers(1, 1 << 60, 30))
+    signed = rng.integers(-50, 50, len(docs))
+    which = np.sort(rng.integers(0, len(lights), 200))
+    light = [rng.integers(0, 1 << 32, 200), rng.integers(0, 1 << 16, 200), which, rng.integers(0, len(docs), 200), rng.integers(1, 5, 200)]
+    far = [rng.integers(0, 1 << 32, 300), rng.integers(0, 1 << 16, 300), rng.integers(0, 60_000, 300), rng.integers(0, len(docs), 300), rng.integers(1, 9, 300), rng.integers(1, 400, 300)]
+    closing = np.unique(light[3][:20] * len(lights) + which[:20])
+    data = lm_score.pack(lm_score.PAIRS, [docs, signed, closing, lights, *light, *far])
+
+    def told(d):
+        docs, signed, closing, lights, a, b, which, place, n, *far = lm_score.unpack(lm_score.PAIRS, d)
+        one = list(zip(a, b, lights[which], docs[place], signed[place], n, strict=True))
+        two = list(zip(far[0], far[1], far[2], docs[far[3]], signed[far[3]], far[4], far[5], strict=True))
+        return one, two, [(docs[c // len(lights)], lights[c % len(lights)]) for c in closing.tolist()]
+
+    parts = lm_score.split(data, 7)
+    assert len(parts) == 7
+    whole = [sorted(x for _, d in parts for x in told(d)[k]) for k in range(3)]
+    assert whole == [sorted(x) for x in told(data)]
+    word = {x[2] for _, d in parts for x in told(d)[0]}
+    assert sum(len({x[2] for x in told(d)[0]}) for _, d in parts) == len(word)  # a word has one place
+    reply = lambda p, t: lm_score.pack(lm_score.REPLY, [np.array(p), np.array(t, float), np.array(t, float) * 2])
+    place, t, b = lm_score.unpack(lm_score.REPLY, lm_score.summed([reply([1, 4], [1, 2]), reply([0, 4], [5, 7])]))
+    assert place.tolist() == [0, 1, 4] and t.tolist() == [5, 1, 9] and b.tolist() == [10, 2, 18]

@@ -206,6 +206,9 @@ def test_lm_scores_brute_force(spark, odd, none):
     docs = table(spark, SF, "documents").where("doc_id < 60")
     target = docs.where("doc_id % 3 = 0").select("doc_id")
     got = {r["doc_id"]: r for r in lm_score.score(docs, target, most=200, heavy=20).collect()}
+    # every partition splits its rows
+    for r in lm_score.score(docs, target, most=200, heavy=20, bucket=300).collect():
+        assert all(r[c] == got[r["doc_id"]][c] or math.isclose(r[c], got[r["doc_id"]][c], rel_tol=1e-5) for c in ("n_tokens", "loss_target", "loss_background"))
     texts = {r["doc_id"]: lm_score.words(r["text"]) for r in docs.collect()}
     common = sorted((n := Counter(w for t in texts.values() for w in t)), key=lambda w: (-n[w], w))[:200]
     ids = {w: i + 2 for i, w in enumerate(common)}
