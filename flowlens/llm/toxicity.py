@@ -95,9 +95,11 @@ class Automaton:
         self.reset()
 
     def reset(self) -> None:
-        self.ids: dict[tuple, int] = {}
-        self.states: list[dict[int, int]] = []
-        self.moves: dict[tuple[int, str], int] = {}
+        """States by number; 0 is the one that nothing matches from."""
+        self.ids: dict[tuple, int] = {(): 0}
+        self.states: list[dict[int, int]] = [{}]
+        self.moves: list[dict[str, int]] = [{}]
+        self.ends: list[list[tuple[str, int]]] = [[]]
         self.start = self.number({0: 0})
 
     def number(self, state: dict[int, int]) -> int:
@@ -113,6 +115,8 @@ class Automaton:
         if key not in self.ids:
             self.ids[key] = len(self.states)
             self.states.append(state)
+            self.moves.append({})
+            self.ends.append([(w, e) for n, e in state.items() if (w := self.word.get(n)) is not None and e <= self.edits[w]])
         return self.ids[key]
 
     def move(self, at: int, c: str) -> int:
@@ -124,8 +128,8 @@ class Automaton:
                 k = e + (letter != c)
                 if k <= self.most[child] and k < out.get(child, 99):
                     out[child] = k
-        self.moves[at, c] = self.number(out)
-        return self.moves[at, c]
+        self.moves[at][c] = self.number(out)
+        return self.moves[at][c]
 
     def fits(self, word: str) -> list[tuple[str, int]]:
         """(term, edits) of the terms that match."""
@@ -133,12 +137,11 @@ class Automaton:
             self.reset()
         at, moves = self.start, self.moves
         for c in word:
-            if (to := moves.get((at, c))) is None:
-                to = self.move(at, c)
-            if not self.states[to]:
+            step = moves[at]
+            at = step[c] if c in step else self.move(at, c)
+            if not at:
                 return []
-            at = to
-        return [(w, e) for n, e in self.states[at].items() if (w := self.word.get(n)) is not None and e <= self.edits[w]]
+        return self.ends[at]
 
     def match(self, word: str) -> tuple[str, int] | None:
         """(term, edits) of the closest term, or None."""
@@ -190,33 +193,31 @@ class Matcher:
     def look_up(self, word: str) -> tuple[str, int] | None:
         """The term whose match weighs most for a word, if it weighs anything."""
         word = plain(word)
-        found = [(-self.model.weight(t, e, word), e, t) for t, e in self.automaton.fits(word)]
-        best = min((f for f in found if f[0] < 0), default=None)
+        if not (fits := self.automaton.fits(word)):
+            return None
+        best = min((f for t, e in fits if (f := (-self.model.weight(t, e, word), e, t))[0] < 0), default=None)
         return best and (best[2], best[1])
 
     def matches(self, text: str | None) -> list[tuple[int, int, str, int, bool]]:
         """(start, end, term, edits, quoted) of every match."""
         if not text or not self.model.terms:
             return []
-        words = set(WORD.findall(text))
-        new = words - self.known
+        words = WORD.findall(text)
+        new = set(words) - self.known
         if new:
             if len(self.known) > self.most:
                 self.known.clear()
                 self.hit.clear()
-                new = words
+                new = set(words)
             for w in new:
                 if found := self.look_up(w):
                     self.hit[w] = found
             self.known |= new
-        if words.isdisjoint(self.hit):
+        hits = [i for i, w in enumerate(words) if w in self.hit]
+        if not hits:
             return []
         spans = list(WORD.finditer(text))
-        out = []
-        for i, m in enumerate(spans):
-            if found := self.hit.get(m[0]):
-                out.append((m.start(), m.end(), *found, self.quoted(text, spans, i)))
-        return out
+        return [(spans[i].start(), spans[i].end(), *self.hit[words[i]], self.quoted(text, spans, i)) for i in hits]
 
     @staticmethod
     def quoted(text: str, spans: list[re.Match], i: int) -> bool:
