@@ -55,7 +55,7 @@ from .tokens import word_keys
 HEAVY, COMMON, MASS = 1024, 65_536, 8.0
 #: Distinct words that a task keeps between batches; tokens that it scores at once;
 #: pairs of one bucket (about).
-KNOWN, AT_ONCE, BUCKET = 300_000, 1_000_000, 500_000
+KNOWN, AT_ONCE, BUCKET = 300_000, 600_000, 400_000
 START = 0
 
 
