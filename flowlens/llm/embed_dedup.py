@@ -16,8 +16,10 @@ count per vector and links that span the block's groups, never its pairs.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components, and vectors with a null label, link with nothing; vectors of
-different length never link; rows with a repeated vec_id count once (the largest
-label and vector); a null vec_id is dropped.
+different length never link, and every length has a grid of its own; rows with a
+repeated vec_id count once (the largest label and vector); a null vec_id is dropped; an
+empty table gives an empty one; ties do not arise, as a pair links or does not. Columns
+other than vec_id, label and embedding, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -32,8 +34,9 @@ from pyspark.sql import functions as F
 from .common import components, saved
 
 THRESHOLD, RECALL = 0.98, 0.995
-#: Vectors that the codebooks and the calibration are fitted on, at most.
-SAMPLE = 20_000
+#: Vectors that the codebooks and the calibration are fitted on, at most; beyond
+#: SAMPLE / FEW centroids (3 billion vectors of one length) FEW for each centroid.
+SAMPLE, FEW = 20_000, 8
 #: Vectors per cell that the grid is laid out for; rows of one block.
 CELL, BLOCK = 512, 1024
 
@@ -55,7 +58,9 @@ def borders(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     between that centroid's region and each other region."""
     d = (x * x).sum(1)[:, None] + (c * c).sum(1) - 2 * x @ c.T
     near = d.argmin(1)
-    gap = np.sqrt(np.maximum(((c[:, None] - c[None]) ** 2).sum(2), 1e-18))[near]
+    # distances of centroids, for the rows' own ones only: no table of all pairs of centroids
+    size = (c * c).sum(1)
+    gap = np.sqrt(np.maximum(size[near][:, None] + size - 2 * c[near] @ c.T, 1e-18))
     m = (d - d[np.arange(len(x)), near][:, None]) / (2 * gap)
     return near, np.maximum(m, 0) ** 2
 
@@ -155,15 +160,18 @@ def links(sound: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL
     usable vectors: vec_id, label, dim, embedding and copies, for how many equal
     vectors a row stands."""
     spark = sound.sparkSession
-    sizes = {r["dim"]: r["count"] for r in sound.groupBy("dim").count().orderBy(F.desc("count")).limit(16).collect()}
+    # a row for each length that occurs
+    sizes = {r["dim"]: r["count"] for r in sound.groupBy("dim").count().collect()}
     grids = {}
     for dim, n in sizes.items():
         if dim < 2 or n <= block:
             continue
         part = sound.where(F.col("dim") == dim)
-        if n > sample:
-            part = part.where(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1 << 40)) < int(sample / n * 0.97 * (1 << 40))).limit(sample)
-        k = int(np.clip(np.ceil(np.sqrt(n / cell)), 2, 512))
+        # cells stay of one size however many vectors there are; a centroid is fitted on FEW of the sample at least
+        k = max(2, int(np.ceil(np.sqrt(n / cell))))
+        most = max(sample, FEW * k)
+        if n > most:
+            part = part.where(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1 << 40)) < int(most / n * 0.97 * (1 << 40))).limit(most)
         grids[dim] = Grid(units(r[0] for r in part.select("embedding").toLocalIterator()), k, threshold, recall)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -111,6 +111,39 @@ def test_embeddings_recall_against_brute_force(spark):
         assert (n <= hit.sum(1)).all() and n.sum() >= (0.97 if block == 64 else 1) * hit.sum()
 
 
+def test_embeddings_query_against_brute_force(spark):
+    """Every link of the table itself; a bound on what the walk may miss."""
+    rows = [r for r in table(spark, SF, "embeddings").collect() if r["embedding"] is not None and r["label"] is not None]
+    x = np.array([r["embedding"] for r in rows], dtype=np.float64)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    labels = np.array([r["label"] for r in rows])
+    hit = (u @ u.T >= 0.98) & (labels[:, None] == labels[None])
+    np.fill_diagonal(hit, False)
+    got = {r["vec_id"]: r["n_links"] for r in queries.op4_multi_index_dedup(spark, SF).collect()}
+    n = np.array([got[r["vec_id"]] for r in rows])
+    assert (n <= hit.sum(1)).all() and n.sum() >= 0.97 * hit.sum()
+
+
+def test_many_centroids_and_many_lengths(spark):
+    """More cells than any fixed number, and over sixteen lengths, each with its grid."""
+    rng = np.random.default_rng(15)
+    rows = []
+    for dim in range(2, 22):
+        base = rng.normal(size=(40, dim))
+        rows += [(len(rows) + i, v.tolist(), 1) for i, v in enumerate(np.concatenate([base, base * 2.5]))]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in embed_dedup.near_duplicates(frame, block=16, cell=1).collect()}
+    for d in range(20):
+        x = np.array([r[1] for r in rows[d * 80 : d * 80 + 80]])
+        u = x / np.linalg.norm(x, axis=1)[:, None]
+        want = (u @ u.T >= 0.98).sum(1) - 1
+        mine = np.array([got[d * 80 + i] for i in range(80)])
+        assert (mine <= want).all() and mine.sum() >= 0.95 * want.sum()
+    c = rng.normal(size=(700, 4))
+    near, m = embed_dedup.borders(rng.normal(size=(50, 4)), c)
+    assert m.shape == (50, 700) and (m[np.arange(50), near] == 0).all() and (m >= 0).all()
+
+
 def test_embeddings_with_copies_against_brute_force(spark):
     """A third of all vectors are equal, others occur a few times, in single precision."""
     rng = np.random.default_rng(5)
