@@ -17,7 +17,11 @@ the documents.
 
 Defined results: null and empty texts match nothing; items shorter than q after
 reduction cannot be told from chance and match nothing; repeated documents and
-items give repeated findings, one per pair of ids; null ids are dropped.
+items give repeated findings, one per pair of ids; null ids are dropped; of an item's
+regions in a text that with the fewest edits counts, of those the first that was found;
+texts of any length are read whole; without documents or without items nothing is found.
+Columns other than doc_id, text, item_id, whatever their names, are not read; ``remove``
+keeps them.
 """
 
 from __future__ import annotations

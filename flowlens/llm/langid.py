@@ -13,7 +13,11 @@ each language. Everything else runs over all rows and whole texts.
 Defined results: null text, or text without a letter, is ``und`` with score 0;
 words in a script that no training text uses count for no language, and a text of
 such words only gets the first learned language with score 0; ties go to the
-smaller language name; without any training row all texts are ``und``.
+smaller language name; without any training row all texts are ``und``; texts of any
+length are labelled whole; rows are independent, so repeated rows give repeated results
+and an empty table an empty one, though a row that is repeated among those learned from
+counts as often. Columns other than doc_id, text and lang, whatever their names, are not
+read; ``keep_identified`` keeps them.
 """
 
 from __future__ import annotations

@@ -13,7 +13,10 @@ the driver, beyond that by the same steps as DataFrame aggregations.
 Defined results: null or missing source, language or topic is a category of its
 own, ``(none)``; categories without a target share get weight zero, target shares
 of absent categories are dealt to the others in proportion; null and empty texts
-have no token and are never sampled; rows with a repeated doc_id are drawn alike.
+have no token and are never sampled; rows with a repeated doc_id are drawn alike;
+texts of any length are counted whole; an empty table gives an empty one. Columns other
+than doc_id, text, source, lang and topic, whatever their names, are not read; ``sample``
+keeps them, but for those that it writes.
 """
 
 from __future__ import annotations
@@ -57,11 +60,6 @@ def dims_of(docs: DataFrame) -> dict[str, Column]:
     return named | {"topic": F.coalesce(topic, F.lit(NONE)), "tokens": tokens_of(F.col("text"))}
 
 
-def tempered(cells: DataFrame, dim: str, power: float) -> dict[str, float]:
-    """Target shares of a dimension with few categories: its token shares to a power, made to sum to one."""
-    return shares_local(cells.groupBy(dim).agg(F.sum("tokens").alias("tokens")).toPandas(), dim, power)
-
-
 def shares_local(cells: pd.DataFrame, dim: str, target: Mapping[str, float] | float) -> dict[str, float]:
     """The shares that a target (see ``mix``) gives to the categories of a dimension."""
     n = cells[cells["tokens"] > 0].groupby(dim)["tokens"].sum().astype(float)

@@ -7,8 +7,10 @@ pattern and validator alone: their score starts at the threshold and context
 only raises it. Further kinds need a checksum or context words to reach it.
 
 Defined results: a null text counts as empty; offsets are code points, the end
-is exclusive; each kind's spans do not overlap among themselves; rows are
-independent, so repeated rows give repeated results.
+is exclusive; each kind's spans do not overlap among themselves, the leftmost of two
+that would winning; rows are independent, so repeated rows give repeated results and an
+empty table an empty one; texts of any length are read whole, in time linear in it. Other
+columns, whatever their names, are not read; ``redact`` keeps them.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ Defined results: turns are ordered by turn number, then role and text, nulls
 first; null roles and texts render as empty; a repeated turn row is a turn of its
 own; conversations with a null id are dropped; if one conversation is a prefix of
 the other its completion is empty; if the two are equal both are, and
-``identical`` is true.
+``identical`` is true; of conversations that are as long the one with the smaller id
+counts as longer; texts of any length are rendered whole; an empty table gives an empty
+one. Columns other than conv_id, turn, role and text, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -63,7 +65,10 @@ def format_pairs(turns: DataFrame, pairs: DataFrame) -> DataFrame:
     """chosen_id, rejected_id, n_common, prompt, chosen, rejected, chosen_mask,
     rejected_mask (arrays of start, end: code points of the completion that are
     trained on), identical. ``turns`` as ``ordered`` gives them."""
-    body = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("pos", "role", "text"))).alias("turns"))
+    # with each turn where its rendering ends in the conversation, by the exchange that puts it together
+    w = Window.partitionBy("conv_id").orderBy("pos")
+    turns = turns.withColumn("upto", F.sum(F.length(rendered(F.col("role"), F.col("text")))).over(w))
+    body = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("pos", "role", "text", "upto"))).alias("turns"))
     joined = pairs.select("chosen", "rejected").distinct().join(body.toDF("chosen", "a"), "chosen").join(body.toDF("rejected", "b"), "rejected")
     differs = F.filter(
         F.sequence(F.lit(0), F.least(F.size("a"), F.size("b")) - 1),
@@ -77,18 +82,16 @@ def format_pairs(turns: DataFrame, pairs: DataFrame) -> DataFrame:
     def rest(side: str) -> Column:
         return F.slice(side, F.col("n") + 1, F.greatest(F.size(side) - F.col("n"), F.lit(0)))
 
-    def mask(part: Column) -> Column:
-        # running length of the rendered turns; a trained span is the text and its end mark
-        empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+    def mask(side: str) -> Column:
+        # a trained span is the text and its end mark
+        before = F.coalesce(F.get(side, F.col("n") - 1)["upto"], F.lit(0))
 
-        def add(acc: Column, t: Column) -> Column:
-            end = acc["at"] + F.length(rendered(t["role"], t["text"]))
-            start = acc["at"] + F.lit(len(OPEN) - 2) + F.length(F.coalesce(t["role"], F.lit("")))
-            span = F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
-            grown = F.when(t["role"].eqNullSafe("assistant"), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
-            return F.struct(end.cast("int").alias("at"), grown.alias("spans"))
+        def span(t: Column) -> Column:
+            end = t["upto"] - before
+            start = end - len(CLOSE) - F.length(F.coalesce(t["text"], F.lit("")))
+            return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
 
-        return F.aggregate(part, empty, add, lambda acc: acc["spans"])
+        return F.transform(F.filter(rest(side), lambda t: t["role"].eqNullSafe("assistant")), span)
 
     return joined.select(
         F.col("chosen").alias("chosen_id"),
@@ -97,7 +100,7 @@ def format_pairs(turns: DataFrame, pairs: DataFrame) -> DataFrame:
         text(F.slice("a", F.lit(1), F.col("n"))).alias("prompt"),
         text(rest("a")).alias("chosen"),
         text(rest("b")).alias("rejected"),
-        mask(rest("a")).alias("chosen_mask"),
-        mask(rest("b")).alias("rejected_mask"),
+        mask("a").alias("chosen_mask"),
+        mask("b").alias("rejected_mask"),
         ((F.col("n") == F.size("a")) & (F.col("n") == F.size("b"))).alias("identical"),
     )

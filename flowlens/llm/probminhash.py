@@ -15,7 +15,10 @@ band are candidates and are verified with exact J_P.
 Defined results: case and punctuation are ignored; a text of one to four words is
 one shingle; a text without words (null, empty, only signs) has no shingle and is
 its own group; rows with a repeated doc_id count as one document (its smallest
-text key); a null doc_id is dropped.
+text key); a null doc_id is dropped; of documents that meet as many in a bucket the one
+with the smaller doc_id is its head; texts of any length are read whole; an empty table
+gives an empty one. Columns other than doc_id and text, whatever their names, are not
+read; ``keep_one`` keeps them.
 """
 
 from __future__ import annotations

@@ -1,7 +1,11 @@
 """The SQL form of operator 8, and the pipeline against brute force."""
 
 import hashlib
+import math
 import os
+import re
+import zlib
+from collections import Counter
 
 import duckdb
 
@@ -116,3 +120,53 @@ def test_language_query_labels_every_document_alike(spark):
     got = {r["doc_id"]: r["lang_pred"] for r in queries.op7_language_id(spark, SF).collect()}
     again = {r["doc_id"]: r["lang_pred"] for r in langid.label(docs.repartition(3), model).collect()}
     assert got == again and len(got) == docs.count()
+
+
+def test_language_query_against_plain_python(spark):
+    """Trigram counts, scores and the search over switches written out once more, for every document."""
+    docs = [(r["doc_id"], r["text"] or "", r["lang"]) for r in table(spark, SF, "documents").collect()]
+    learn = [(t, la) for i, t, la in docs if la is not None and zlib.crc32(str(i).encode()) % 4 != 2]
+    langs = sorted({la for _, la in learn})
+    count, scripts = {la: Counter() for la in langs}, {la: Counter() for la in langs}
+    for text, la in learn:
+        for w in re.findall(r"[^\W\d_]+", text):
+            s = f"^{w.lower()}$"
+            count[la].update(s[i : i + 3] for i in range(len(s) - 2))
+            scripts[la][langid.script(w)] += sum(c.isalpha() for c in w)
+    count = {la: dict(sorted(n.items(), key=lambda x: (-x[1], x[0].encode()))[: langid.GRAMS]) for la, n in count.items()}
+    kinds = len({g for n in count.values() for g in n})
+    norm = {la: math.log(sum(n.values()) + langid.SMOOTH * kinds) for la, n in count.items()}
+    uses = {la: {k for k, v in n.items() if v >= langid.SCRIPT_SHARE * n.total()} for la, n in scripts.items()}
+    cache = {}
+
+    def scores(w):
+        if w not in cache:
+            s = f"^{w.lower()}$"
+            of = [sum(math.log(count[la].get(s[i : i + 3], 0) + langid.SMOOTH) - norm[la] for i in range(len(s) - 2)) for la in langs]
+            ok = [langid.script(w) in uses[la] for la in langs]
+            top = max((x for x, o in zip(of, ok, strict=True) if o), default=0.0)
+            cache[w] = [(x - top if o else langid.FOREIGN) if any(ok) else 0.0 for x, o in zip(of, ok, strict=True)]
+        return cache[w]
+
+    got = {r["doc_id"]: r for r in queries.op7_language_id(spark, SF).collect()}
+    assert got.keys() == {i for i, _, _ in docs}
+    for i, text, _ in docs:
+        words = re.findall(r"[^\W\d_]+", text)
+        if not words:
+            assert (got[i]["lang_pred"], got[i]["score"], got[i]["n_spans"]) == ("und", 0.0, 0)
+            continue
+        value, back = scores(words[0]), []
+        for w in words[1:]:
+            top = max(range(len(langs)), key=lambda k: (value[k], -k))
+            back.append([k if value[k] >= value[top] - langid.SWITCH else top for k in range(len(langs))])
+            value = [max(v, value[top] - langid.SWITCH) + s for v, s in zip(value, scores(w), strict=True)]
+        path = [max(range(len(langs)), key=lambda k: (value[k], -k))]
+        for step in reversed(back):
+            path.append(step[path[-1]])
+        path.reverse()
+        held = Counter()
+        for k, w in zip(path, words, strict=True):
+            held[k] += len(w)
+        best = min(held, key=lambda k: (-held[k], k))
+        assert got[i]["lang_pred"] == langs[best] and math.isclose(got[i]["score"], held[best] / held.total(), rel_tol=1e-9)
+        assert got[i]["n_spans"] == 1 + sum(a != b for a, b in zip(path, path[1:], strict=False))

@@ -296,7 +296,8 @@ def test_mixing(spark, odd, none):
     sampled = mixing.sample(docs)
     assert {r["doc_id"] for r in sampled.select("doc_id").collect()} == {r["doc_id"] for r in rows.where("sampled").collect()}
     cells = rows.groupBy(*mixing.DIMS).agg(F.sum("tokens").alias("tokens"))
-    shares = {"source": mixing.tempered(cells, "source", 0.5), "lang": mixing.TARGETS["lang"], "topic": mixing.tempered(cells, "topic", 0.7)}
+    local = cells.toPandas()
+    shares = {"source": mixing.shares_local(local, "source", 0.5), "lang": mixing.TARGETS["lang"], "topic": mixing.shares_local(local, "topic", 0.7)}
     few = cells.where("source IN ('src0', 'src1', 'src2')")
     shares["source"] = {k: v for k, v in shares["source"].items() if k in ("src0", "src1", "src2")}
     a = {tuple(r)[:3]: r["probability"] for r in mixing.calibrate(few, shares, 0.5).collect()}
@@ -460,3 +461,19 @@ def test_warc_files_longer_than_a_read(spark):
     path, blocks = warc.archive(pages.repartition(1))
     assert max(len(r["content"]) for r in spark.read.format("binaryFile").load(path).collect()) > 1 << 20
     assert warc.lookup(blocks, pages).agg(F.sum("payload_bytes")).first()[0] == 60 * 4000 * 64
+
+
+def test_preferences_long_turns_and_ties(spark):
+    """Turns of any length, many of them, and conversations that are as long as each other."""
+    long = "word " * 60_000
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", long), (2, 0, "user", "hi"), (2, 1, "assistant", long + "x"), (3, 0, "user", "hi"), (3, 1, "assistant", long)]
+    rows += [(c, k, "assistant" if k % 2 else "user", f"turn {k}" if k < 400 else f"turn {k} of {c}") for c in (10, 11) for k in range(900)]
+    turns = preferences.ordered(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    pairs = preferences.pair_by_opening(turns)
+    out = {(r["chosen_id"], r["rejected_id"]): r for r in preferences.format_pairs(turns, pairs).collect()}
+    assert set(out) == {(2, 1), (2, 3), (10, 11)}  # 2 is longest; 10 and 11 are as long
+    r = out[2, 1]
+    assert r["n_common"] == 1 and [r["chosen"][m["start"] : m["end"]] for m in r["chosen_mask"]] == [long + "x" + "\n<|end|>\n"]
+    r = out[10, 11]
+    assert r["n_common"] == 400 and len(r["chosen_mask"]) == 250
+    assert [r["rejected"][m["start"] : m["end"]] for m in r["rejected_mask"]] == [f"turn {k} of 11\n<|end|>\n" for k in range(401, 900, 2)]
