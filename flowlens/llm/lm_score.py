@@ -55,7 +55,9 @@ from .tokens import word_keys
 HEAVY, COMMON, MASS = 1024, 65_536, 8.0
 #: Distinct words that a task keeps between batches; tokens that it scores at once;
 #: pairs of one bucket (about).
-KNOWN, AT_ONCE, BUCKET = 300_000, 600_000, 400_000
+KNOWN, AT_ONCE, BUCKET = 300_000, 1_000_000, 400_000
+#: Tokens at once for each bucket of the exchange, so that a row stays about 100 KB, and at least.
+EACH, LEAST_AT_ONCE = 8_000, 200_000
 START = 0
 
 
@@ -331,6 +333,7 @@ def exchange(texts: DataFrame, ids, model, buckets: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         read, m = reader(ids), model.value
         held: list[tuple] = []
+        most = min(AT_ONCE, max(LEAST_AT_ONCE, EACH * buckets))
         numbers = count(TaskContext.get().partitionId() << 32)
 
         def done() -> Iterator[pd.DataFrame]:
@@ -339,7 +342,7 @@ def exchange(texts: DataFrame, ids, model, buckets: int) -> DataFrame:
         for batch in batches:
             if len(batch):
                 held.append((batch["doc_id"].to_numpy(dtype=np.int64), batch["target"].to_numpy(dtype=bool), *read(batch["text"].tolist())))
-                if sum(len(h[2]) for h in held) > AT_ONCE:
+                if sum(len(h[2]) for h in held) > most:
                     yield from done()
                     held = []
         if held:
