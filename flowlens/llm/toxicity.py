@@ -203,19 +203,20 @@ class Matcher:
         if not text or not self.model.terms:
             return []
         words = WORD.findall(text)
-        new = set(words) - self.known
+        own = set(words)
+        new = own - self.known
         if new:
             if len(self.known) > self.most:
                 self.known.clear()
                 self.hit.clear()
-                new = set(words)
+                new = own
             for w in new:
                 if found := self.look_up(w):
                     self.hit[w] = found
             self.known |= new
-        hits = [i for i, w in enumerate(words) if w in self.hit]
-        if not hits:
+        if own.isdisjoint(self.hit):
             return []
+        hits = [i for i, w in enumerate(words) if w in self.hit]
         spans = list(WORD.finditer(text))
         return [(spans[i].start(), spans[i].end(), *self.hit[words[i]], self.quoted(text, spans, i)) for i in hits]
 
