@@ -113,30 +113,31 @@ def entropy_sketches(flows: DataFrame, entropy: DataFrame, kind: Column, by: Seq
     return quantile_sketches(e.select(*by, "kind", sides.alias("e")).select(*by, "kind", "e.*"), "value", [*by, "kind", "side"])
 
 
-def vector_sum(vector: str, size: int, weight: Column | None = None, where: Column | None = None) -> Column:
+def vector_sum(vector: str, size: int, weight: Column | None = None) -> Column:
     """Aggregate: the sum of the vectors in an array column, entry by entry, null entries
-    as 0, times ``weight``, of the rows that ``where`` holds for. Its parts are plain sums,
-    so that every task adds up what it has before anything is shuffled, and no vector is
-    taken apart into rows."""
+    as 0, times ``weight``. Its parts are plain sums, so that every task adds up what it has
+    before anything is shuffled, and no vector is taken apart into rows."""
 
     def entry(i: int) -> Column:
         x = F.coalesce(F.get(vector, F.lit(i)).cast("double"), F.lit(0.0))
-        x = x if weight is None else x * weight
-        return F.coalesce(F.sum(x if where is None else F.when(where, x)), F.lit(0.0))
+        return F.coalesce(F.sum(x if weight is None else x * weight), F.lit(0.0))
 
     return F.array(*map(entry, range(size)))
 
 
 def neighbour_mean(edges: DataFrame, size: int, vector: str = "features", src: str = "src_id", dst: str = "dst_id") -> DataFrame:
     """window_id, host, out, in: the mean vector over the host's outgoing and over its
-    incoming edges, zeros where it has none. An edge counts at both of its ends in one
-    aggregate by (window, host), whose partial sums make a hot host one row of a task."""
-    side = F.explode(F.array(F.struct(F.col(src).alias("host"), F.lit(True).alias("out")), F.struct(F.col(dst).alias("host"), F.lit(False).alias("out"))))
-    ends = edges.select("window_id", vector, side.alias("e")).select("window_id", vector, "e.*")
-    parts = {"out": F.col("out"), "in": ~F.col("out")}
-    sums = ends.groupBy("window_id", "host").agg(*[c for k, w in parts.items() for c in (vector_sum(vector, size, where=w).alias(f"s_{k}"), F.count_if(w).alias(f"n_{k}"))])
-    mean = lambda k: F.transform(f"s_{k}", lambda v: v / F.greatest(f"n_{k}", F.lit(1))).alias(k)
-    return sums.select("window_id", "host", *map(mean, parts))
+    incoming edges, zeros where it has none. Either side is one aggregate by (window,
+    host), whose partial sums make a hot host one row of a task; they are joined where
+    these aggregates leave them."""
+
+    def side(host: str, name: str) -> DataFrame:
+        sums = edges.groupBy("window_id", F.col(host).alias("host")).agg(vector_sum(vector, size).alias("s"), F.count("*").alias("n"))
+        return sums.select("window_id", "host", F.transform("s", lambda v: v / F.col("n")).alias(name))
+
+    none = F.array_repeat(F.lit(0.0), size)
+    both = side(src, "out").join(side(dst, "in"), ["window_id", "host"], "full")
+    return both.select("window_id", "host", F.coalesce("out", none).alias("out"), F.coalesce("in", none).alias("in"))
 
 
 def host_vector(means: DataFrame) -> DataFrame:

@@ -300,9 +300,9 @@ def test_vector_means_equal_plain_loops(spark):
         assert np.allclose(r["hop2"], np.mean(near, axis=0) if near else np.zeros(8))
     assert len(graph.edge_representation(edges, hosts).collect()) == len(rows)
     assert graph.neighbour_mean(edges.limit(0), 4).count() == 0
-    # one exchange for both sides, no vector in rows of its entries
+    # one exchange for each side and none for their join, no vector in rows of its entries
     p = plan(graph.neighbour_mean(edges, 4))
-    assert p.count("Exchange hashpartitioning") == 1 and "posexplode" not in p and "Python" not in p
+    assert p.count("Exchange hashpartitioning") == 2 and "posexplode" not in p and "Python" not in p
 
 
 @pytest.mark.parametrize("alpha", [0.5, 0.97, 0.2, 1.0])
