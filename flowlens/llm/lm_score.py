@@ -55,9 +55,9 @@ from .tokens import word_keys
 HEAVY, COMMON, MASS = 1024, 65_536, 8.0
 #: Distinct words that a task keeps between batches; tokens that it scores at once;
 #: pairs of one bucket (about).
-KNOWN, AT_ONCE, BUCKET = 300_000, 1_000_000, 400_000
-#: Tokens at once for each bucket of the exchange, so that a row stays about 100 KB, and at least.
-EACH, LEAST_AT_ONCE = 8_000, 200_000
+KNOWN, AT_ONCE, BUCKET = 200_000, 400_000, 250_000
+#: Tokens at once for each bucket of the exchange, so that a row stays about 50 KB, and at least.
+EACH, LEAST_AT_ONCE = 4_000, 200_000
 START = 0
 
 
