@@ -24,10 +24,10 @@ No key of the exchange can be hot: a word there has at most 1/COMMON of all toke
 and of the pairs those of heavy words, the frequent ones, are not exchanged. The
 exchange has one bucket for each of its partitions, however many tokens there are: a
 batch's pairs for one of them travel as one row of packed arrays, so that a pair costs
-the same few bytes at any size. Where a partition has more pairs than are worked on at
-once, it splits its rows into finer buckets, sorts them, and adds the answers for a
-batch up again: sorting within the partition, no further exchange, and one row back for
-each batch and partition.
+the same few bytes at any size, and get one row back. A task holds its bucket's rows as
+they are packed, some twelve bytes a pair, and works on finer buckets of about ``BUCKET``
+tokens one after the other; spark.sql.shuffle.partitions has to suit the input, as for
+any exchange.
 
 Defined results: a text without words (or null) has zero tokens, null losses and
 a null score; rows with a repeated doc_id count as one document with their sums
@@ -425,24 +425,26 @@ def score(docs: DataFrame, target: DataFrame, most: int | None = None, heavy: in
     rows = exchange(texts, ids, model, buckets)
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows of a bucket follow each other."""
-        at, held = None, []
-
-        def done() -> pd.DataFrame:
-            return replies(model.value, *map(list, zip(*held, strict=True)))
-
+        """The rows of a bucket, held as they are packed, split into finer ones that are
+        worked on one after the other; a batch gets one row back."""
+        held: dict[int, list[tuple[int, bytes]]] = {}
         for batch in batches:
             own = batch["bucket"].isna()
             if own.any():
                 yield batch.loc[own, ["batch", "data"]].assign(first=True)
-            for b, name, data in batch.loc[~own, ["bucket", "batch", "data"]].itertuples(index=False, name=None):
-                if b != at and held:
-                    yield done()
-                    held = []
-                at = b
-                held.append((name, data))
-        if held:
-            yield done()
+            for name, data in batch.loc[~own, ["batch", "data"]].itertuples(index=False, name=None):
+                for k, part in split(data, parts) if parts > 1 else [(0, data)]:
+                    held.setdefault(k, []).append((name, part))
+        back: dict[int, list[bytes]] = {}
+        for k in sorted(held):
+            out = replies(model.value, *map(list, zip(*held.pop(k), strict=True)))
+            for name, data in zip(out["batch"], out["data"], strict=True):
+                mine = back.setdefault(name, [])
+                mine.append(data)
+                if len(mine) > 4:
+                    back[name] = [summed(mine)]
+        for name in list(back):
+            yield pd.DataFrame({"batch": [name], "first": False, "data": [summed(back.pop(name))]})
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows of a batch follow each other, what the fixed tables gave first."""
@@ -460,36 +462,9 @@ def score(docs: DataFrame, target: DataFrame, most: int | None = None, heavy: in
         if out:
             yield pd.DataFrame(out)
 
-    def divide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            own = batch["bucket"].isna()
-            if own.any():
-                yield batch.loc[own]
-            for b, name, data in batch.loc[~own, ["bucket", "batch", "data"]].itertuples(index=False, name=None):
-                yield pd.DataFrame([(name, int(b) * parts + k, d) for k, d in split(data, parts)], columns=["batch", "bucket", "data"])
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows of a batch follow each other."""
-        at, held = None, []
-        for batch in batches:
-            own = batch["first"]
-            if own.any():
-                yield batch.loc[own]
-            for name, data in batch.loc[~own, ["batch", "data"]].itertuples(index=False, name=None):
-                if name != at and held:
-                    yield pd.DataFrame({"batch": [at], "first": False, "data": [summed(held)]})
-                    held = []
-                at = name
-                held.append(data)
-        if held:
-            yield pd.DataFrame({"batch": [at], "first": False, "data": [summed(held)]})
-
     # rows without a bucket need no place of their own: any will do
     dealt = rows.repartitionById(buckets, F.coalesce("bucket", F.col("batch") % buckets).cast("int"))
-    dealt = (dealt.mapInPandas(divide, "batch long, bucket long, data binary") if parts > 1 else dealt).sortWithinPartitions("bucket")
     back = dealt.mapInPandas(answer, "batch long, first boolean, data binary")
-    if parts > 1:
-        back = back.sortWithinPartitions("batch").mapInPandas(add, "batch long, first boolean, data binary")
     back = back.repartition("batch").sortWithinPartitions("batch", F.desc("first"))
     sums = back.mapInPandas(gather, "doc_id long, n long, t double, b double").groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), F.sum("t").alias("t"), F.sum("b").alias("b"))
     per = lambda c: F.when(F.col("n_tokens") > 0, c / F.col("n_tokens"))
