@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import Model
 from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -9,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TREES, DEPTH, SEED = 100, 15, 42
+#: Rows of a partition that a model is trained on, at most about.
+ROWS = 250_000
 
 
 def balanced(train: DataFrame, y: str = "y") -> DataFrame:
@@ -23,9 +27,20 @@ def vector(rows: DataFrame, features: str = "features") -> DataFrame:
     return rows.withColumn("vector", array_to_vector(F.transform(features, lambda v: F.coalesce(v.cast("double"), F.lit(0.0)))))
 
 
+def spread(train: DataFrame) -> DataFrame:
+    """``train`` dealt evenly, a whole number of partitions for each core. A model passes
+    over its rows again and again, and every pass waits for the largest partition."""
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    return train.repartition(cores * max(1, math.ceil(train.count() / (cores * ROWS))))
+
+
 def train_forest(train: DataFrame, trees: int = TREES, depth: int = DEPTH, y: str = "y", subset: str = "auto") -> Model:
-    data = vector(balanced(train, y)).select("vector", F.col(y).cast("double").alias("label"), "weight")
-    return RandomForestClassifier(featuresCol="vector", labelCol="label", weightCol="weight", numTrees=trees, maxDepth=depth, featureSubsetStrategy=subset, seed=SEED).fit(data)
+    """Spark ML's forest; the nodes that a row has reached are kept from level to level, as
+    walking down all trees again costs more the deeper they are."""
+    rows = spread(balanced(train.select("features", y), y))
+    data = vector(rows).select("vector", F.col(y).cast("double").alias("label"), "weight")
+    forest = RandomForestClassifier(featuresCol="vector", labelCol="label", weightCol="weight", numTrees=trees, maxDepth=depth, featureSubsetStrategy=subset, seed=SEED, cacheNodeIds=True)
+    return forest.fit(data)
 
 
 def feature_importance(train: DataFrame, model: Model, names: list[str], top: int = 10) -> DataFrame:

@@ -3,7 +3,9 @@
 import duckdb
 from pyspark.sql import functions as F
 
-from flowlens.plans import registry, report_queries  # noqa: F401
+from flowlens.operators import ml
+from flowlens.plans import registry, report_queries
+from flowlens.plans.fixtures import Tables
 
 from .conftest import SF
 
@@ -24,3 +26,49 @@ def test_strict_timeline_without_a_significant_window(spark, tmp_path):
     want = con.sql(registry.ORACLES["t07_timeline_strict"]).select(*out.columns).fetchall()
     assert any(r[out.columns.index("first_significant_idx")] is None for r in want)
     assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
+
+
+def partition_sizes(df):
+    return df.groupBy(F.spark_partition_id()).count().select("count").toPandas()["count"].tolist()
+
+
+def uneven(spark):
+    """Rows of which nearly all lie in one partition."""
+    rows = spark.range(3_000, numPartitions=1).union(spark.range(10, numPartitions=3))
+    return rows.select(F.array((F.col("id") % 2).cast("float"), F.lit(0.5)).alias("features"), (F.col("id") % 2).cast("int").alias("y"))
+
+
+def test_forest_passes_over_even_partitions(spark, monkeypatch):
+    seen = []
+
+    class Forest(ml.RandomForestClassifier):
+        def fit(self, data):
+            seen.append((partition_sizes(data), self.getCacheNodeIds()))
+            return super().fit(data)
+
+    monkeypatch.setattr(ml, "RandomForestClassifier", Forest)
+    ml.train_forest(uneven(spark), trees=2, depth=2)
+    ((sizes, kept),) = seen
+    assert sum(sizes) == 3_010 and len(sizes) == spark.sparkContext.defaultParallelism and max(sizes) < 1.1 * min(sizes) and kept
+
+
+def test_more_rows_are_more_partitions(spark, monkeypatch):
+    monkeypatch.setattr(ml, "ROWS", 300)
+    assert len(partition_sizes(ml.spread(uneven(spark)))) == 12
+
+
+def test_a_model_scores_its_test_rows_once(spark, monkeypatch):
+    scored = []
+    score = ml.score_flows
+
+    def counting(model, rows):
+        out = score(model, rows)
+        times = spark.sparkContext.accumulator(0)
+        scored.append(times)
+        mark = F.udf(lambda p: times.add(1) or p, "double").asNondeterministic()
+        return out.withColumn("Probability", mark("Probability"))
+
+    monkeypatch.setattr(ml, "score_flows", counting)
+    e = uneven(spark).withColumns({"y_real": F.col("y"), "split": F.lit("test")})
+    report_queries.evaluated(Tables(spark, SF), ml.train_forest(e, trees=2, depth=2), e).collect()
+    assert [t.value for t in scored] == [3_010]
