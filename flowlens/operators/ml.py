@@ -63,7 +63,8 @@ def oversampled(train: DataFrame, y: str = "y") -> DataFrame:
 
 
 def train_edge_mlp(train: DataFrame, inputs: int = 32, rounds: int = 50, y: str = "y") -> Model:
-    data = vector(oversampled(train, y)).select("vector", F.col(y).cast("double").alias("label"))
+    rows = oversampled(spread(train.select("features", y)), y)
+    data = vector(rows).select("vector", F.col(y).cast("double").alias("label"))
     return MultilayerPerceptronClassifier(featuresCol="vector", labelCol="label", layers=[inputs, 32, 32, 2], maxIter=rounds, seed=SEED).fit(data)
 
 

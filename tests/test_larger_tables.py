@@ -83,3 +83,16 @@ def test_edge_representation_rounds_what_is_the_edges_own(spark):
     finally:
         spark.conf.set(key, before)
     assert plan.split("Join")[0].count("round(") == report_queries.WIDE
+
+
+def test_net_passes_over_even_partitions(spark, monkeypatch):
+    seen = []
+
+    class Net(ml.MultilayerPerceptronClassifier):
+        def fit(self, data):
+            seen.append(partition_sizes(data))
+
+    monkeypatch.setattr(ml, "MultilayerPerceptronClassifier", Net)
+    ml.train_edge_mlp(uneven(spark), inputs=2)
+    (sizes,) = seen
+    assert sum(sizes) == 3_010 and max(sizes) < 1.1 * min(sizes)
