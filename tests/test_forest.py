@@ -59,3 +59,31 @@ def test_degenerate_tables(spark):
     assert {r[0] for r in ml.score_flows(ml.train_context_forest(rows, trees=2, depth=3), rows).select("Probability").collect()} == {1.0}
     # bagging draws each row once on average
     assert abs(forest.POISSON.mean() - 1) < 0.001 and abs((forest.POISSON == 0).mean() - np.exp(-1)) < 0.001
+
+
+def test_blocks_stay_small(spark):
+    """However many rows a task has, what readers, writers and batches count as a row is a few KB."""
+    rows = flows(spark).selectExpr("transform(features, v -> coalesce(v, 0f)) AS features", "y AS label")
+    cuts = forest.cut_points(rows, SIZE, 3_000)
+    got = forest.blocks_of(rows, cuts).toArrow()
+    sizes = [len(c) for c in got.column("codes").to_pylist()]
+    assert max(sizes) <= 4_096 and sum(sizes) == 3_000 * SIZE
+    chunks = list(forest.together(iter(got.to_batches()), SIZE))
+    codes, numbers = (np.concatenate(x) for x in zip(*chunks, strict=True))
+    assert len(set(numbers.tolist())) == 3_000
+    table = rows.toPandas()
+    want = 2 * forest.binned(np.stack(table["features"]), cuts) + table["label"].to_numpy("uint8")[:, None]
+    assert sorted(map(bytes, codes)) == sorted(map(bytes, want))
+
+
+def test_draws_go_by_the_number_of_a_row():
+    numbers = np.concatenate([np.arange(50_000), (7 << 33) + np.arange(50_000)])
+    some = np.random.default_rng(7).permutation(len(numbers))[:1_000]
+    times = np.stack([forest.bag(42, t, numbers) for t in range(20)])
+    assert all(np.array_equal(forest.bag(42, t, numbers[some]), times[t, some]) for t in range(20))
+    # Poisson(1), and neither trees nor neighbours know of each other
+    share = np.bincount(times.ravel(), minlength=4)[:4] / times.size
+    assert np.allclose(share, np.exp(-1) / np.array([1, 1, 2, 6]), atol=0.002)
+    between = np.corrcoef(times)
+    assert np.abs(between - np.eye(20)).max() < 0.02
+    assert max(abs(np.corrcoef(t[1:], t[:-1])[0, 1]) for t in times) < 0.02
